@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+
+def carried(module: str) -> None:
+    """Send the module's functions to the executors by value: they need not have this package installed."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
+carried(__name__)
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 

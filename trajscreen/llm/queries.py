@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, sharding, sketch
+from . import decontaminate, mixing, ngram_join, sharding, sketch
 
 SHARDS = 24
 
@@ -16,6 +16,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar(_table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mixture(_table(spark, sf_dir, "documents")).drop("draw")
     return mixed.withColumn("weight", F.round("weight", 6)).withColumn("probability", F.round("probability", 6))
@@ -34,6 +38,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
     "op3_mixing": op3_mixing,
     "op5_decontamination": op5_decontamination,
     "op6_fingerprints": op6_fingerprints,
