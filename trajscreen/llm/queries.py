@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, ngram_join, sharding, sketch
+from . import decontaminate, mixing, ngram_join, pii, sharding, sketch, url_filter
 
 SHARDS = 24
 
@@ -25,6 +25,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.withColumn("weight", F.round("weight", 6)).withColumn("probability", F.round("probability", 6))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(_table(spark, sf_dir, "pages"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("text_hash")
 
@@ -33,6 +37,10 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymised(_table(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_table(spark, sf_dir, "documents"), [1.0] * SHARDS)
 
@@ -40,8 +48,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op3_mixing": op3_mixing,
+    "op4_url_filter": op4_url_filter,
     "op5_decontamination": op5_decontamination,
     "op6_fingerprints": op6_fingerprints,
+    "op7_surrogates": op7_surrogates,
     "op10_sharding": op10_sharding,
 }
 
