@@ -118,8 +118,9 @@ def chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, np.ndarr
         row = end
 
 
-def word_hashes(data: np.ndarray, bounds: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of a run of rows, and each row's bounds among them. separators: 256 flags."""
+def word_hashes(data: np.ndarray, bounds: np.ndarray, separators: np.ndarray, head: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of a run of rows, and each row's bounds among them. separators: 256 flags. head: hash only as
+    many first bytes of each word."""
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64)
     inside = ~separators[data]
@@ -130,6 +131,7 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray, separators: np.ndarray) ->
     ends = inside.copy()
     ends[:-1] &= ~inside[1:] | starts[1:]
     first, last = np.flatnonzero(starts), np.flatnonzero(ends) + 1
+    last = np.minimum(last, first + head) if head else last
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(data)), out=total[1:])
     h = (total[last] - total[first]) * powers(INVERSE, len(data))[first]

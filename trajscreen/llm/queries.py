@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, ngram_join, pii, sharding, sketch, url_filter
+from . import decontaminate, mixing, ngram_join, pii, quality, sharding, sketch, toxicity, url_filter
 
 SHARDS = 24
 
@@ -20,6 +20,10 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar(_table(spark, sf_dir, "documents"), words=3, percent=90)
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), lambda k: quality.crc_remainder(k, 5) == 0)
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mixture(_table(spark, sf_dir, "documents")).drop("draw")
     return mixed.withColumn("weight", F.round("weight", 6)).withColumn("probability", F.round("probability", 6))
@@ -41,17 +45,23 @@ def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymised(_table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), lambda k: quality.crc_remainder(k, 4) == 2)
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_table(spark, sf_dir, "documents"), [1.0] * SHARDS)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
+    "op2_quality": op2_quality,
     "op3_mixing": op3_mixing,
     "op4_url_filter": op4_url_filter,
     "op5_decontamination": op5_decontamination,
     "op6_fingerprints": op6_fingerprints,
     "op7_surrogates": op7_surrogates,
+    "op9_toxicity": op9_toxicity,
     "op10_sharding": op10_sharding,
 }
 
