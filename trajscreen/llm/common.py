@@ -25,16 +25,20 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
 
+_local_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see (spark.checkpoint.dir). Only a local master may fall back to a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder all executors see (spark.checkpoint.dir). Where it is unset, a local master gets a temporary one."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="spark-shared-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    app = spark.sparkContext.applicationId
+    if app not in _local_dirs:
+        _local_dirs[app] = tempfile.mkdtemp(prefix="spark-shared-")
+    return _local_dirs[app]
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
