@@ -137,7 +137,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that aren't contaminated, all columns."""
-    bad = contamination(docs, benchmark, key, text).where("contaminated").select(key, "text_hash").distinct()
+    bad = saved(contamination(docs, benchmark, key, text).where("contaminated").select(key, "text_hash").distinct(), "contaminated")
     marked = docs.withColumn("__hash", F.xxhash64(F.col(text)))
     on = marked[key].eqNullSafe(bad[key]) & (marked["__hash"] == bad["text_hash"])
     return marked.join(bad, on, "left_anti").drop("__hash")

@@ -200,14 +200,8 @@ def logit(model: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
     return (np.tanh((x - model["mean"]) / model["std"] @ model["w0"] + model["b0"]) @ model["w1"] + model["b1"]) / model["t"]
 
 
-def scored(docs: DataFrame, labels: DataFrame, held_out: Callable, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, cut: float = 0.3) -> DataFrame:
-    """One row per row of docs: key, held_out, score (probability of label 1), predicted (1 if score >= cut).
-
-    held_out: column -> boolean column of the rows whose labels aren't learnt from. Null and empty texts have a vector of
-    their own kind and a score. Null labels and keys aren't learnt from; of repeated labels of a key the largest counts.
-    With no labelled rows the score is 0.5, with one class only that class's share. Repeated rows get equal scores. An
-    empty table gives no rows. Columns other than key and text aren't read.
-    """
+def fitted(docs: DataFrame, labels: DataFrame, held_out: Callable, key: str, text: str, label: str, sample: int) -> Callable[[pa.Array], np.ndarray]:
+    """Learns from docs and labels; the returned function gives the scores of texts and runs on executors."""
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     kind = dict(docs.dtypes)[key]
@@ -222,19 +216,47 @@ def scored(docs: DataFrame, labels: DataFrame, held_out: Callable, key: str = "d
     model = None
     if len(y) and 0 < y.mean() < 1:
         model = fit_network(np.stack([np.frombuffer(r["v"], np.float32) for r in found]).astype(np.float64), y)
-    share = float(y.mean()) if len(y) else 0.5
+    share, cache = float(y.mean()) if len(y) else 0.5, {}
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = index_vectors()
+    def score(texts: pa.Array) -> np.ndarray:
+        if "index" not in cache:
+            cache["index"] = index_vectors()
+        x = pooled(texts, context.value, cache["index"]).astype(np.float64)
+        return 1 / (1 + np.exp(-np.clip(logit(model, x), -40, 40))) if model else np.full(len(x), share)
+
+    return score
+
+
+def scored(docs: DataFrame, labels: DataFrame, held_out: Callable, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, cut: float = 0.3) -> DataFrame:
+    """One row per row of docs: key, held_out, score (probability of label 1), predicted (1 if score >= cut).
+
+    held_out: column -> boolean column of the rows whose labels aren't learnt from. Null and empty texts have a vector of
+    their own kind and a score. Null labels and keys aren't learnt from; of repeated labels of a key the largest counts.
+    With no labelled rows the score is 0.5, with one class only that class's share. Repeated rows get equal scores. An
+    empty table gives no rows. Columns other than key and text aren't read.
+    """
+    score = fitted(docs, labels, held_out, key, text, label, sample)
+    kind = dict(docs.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = pooled(batch.column("text"), context.value, index).astype(np.float64)
-            p = 1 / (1 + np.exp(-np.clip(logit(model, x), -40, 40))) if model else np.full(len(x), share)
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(p, pa.float64())], ["key", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(score(batch.column("text")), pa.float64())], ["key", "score"])
 
-    out = rows.mapInArrow(score, f"key {kind}, score double")
+    out = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text")).mapInArrow(run, f"key {kind}, score double")
     return out.select(F.col("key").alias(key), F.coalesce(held_out(F.col("key")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
 
 
+def accepted(docs: DataFrame, labels: DataFrame, held_out: Callable, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, cut: float = 0.3) -> DataFrame:
+    """The rows of docs, all columns, whose score is cut or more; like scored() otherwise."""
+    score = fitted(docs, labels, held_out, key, text, label, sample)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(score(batch.column(text)) >= cut))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def crc_remainder(key, divisor: int):
     """crc32 of the key as text, modulo divisor."""
     return F.pmod(F.crc32(F.encode(key.cast("string"), "UTF-8")), F.lit(divisor))
