@@ -7,8 +7,9 @@ tokens come last) and go on by a hash of their own. Order 0 makes the candidates
 a parity bitmap (its differing bits are at most the differing tokens) drop most; the rest must share a prefix token
 under every other order too before their sets are intersected.
 
-Only the components are asked for, so a bucket first links its members to one leader; the second round compares only
-members of different components, which keeps groups of copies from being expanded into all pairs.
+Only the components are asked for, so a bucket first links its members to one leader; the later rounds compare only
+members of different components, each with its likeliest partner before all others, which keeps groups of copies from
+being expanded into all pairs.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER_TABLE, SPACES, carried, chunks, mix, saved, shingle_hashes, word_hashes
@@ -30,6 +31,8 @@ TABLE_BITS = 22  # the table of counts has this many index bits (4 MB of classes
 SLICES = 16
 ORDERS = 3
 LONGS = 8  # 64-bit words of a parity bitmap
+#: (tokens, 64-bit words): sets of so many tokens or more have a wider bitmap besides, the last that fits.
+WIDER = ((800, 64), (6000, 512))
 SEEDS = np.array([0x51ED270B7A1F39C5, 0xA24BAED4963EE407, 0x9FB21C651E98DF25], np.uint64)
 SALTED = 1000  # pairs that are verified together with one copy of their leader's set
 BLOOM_BITS = 23
@@ -82,26 +85,33 @@ def frequency_classes(docs: DataFrame, n: int) -> np.ndarray:
     return np.clip(np.floor(np.log2(np.maximum(counts, 1e-9) / (2 * mean))) + 1, 0, 40).astype(np.uint8)
 
 
+def parity_bitmap(tokens: np.ndarray, longs: int) -> np.ndarray:
+    """Bit i: whether an odd number of tokens falls on it."""
+    odd = np.bincount(((tokens >> np.uint64(20)) & np.uint64(64 * longs - 1)).astype(np.int64), minlength=64 * longs) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _described(n: int, percent: int, classes) -> Callable:
-    """(kh, text) -> (kh, cls, n, bitmap, prefix); bitmap and prefix only once a class and task."""
+    """(key, kh, text) -> (key, kh, cls, n, bitmap, wide, prefix); the last three only once a class and task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
-            cls, size, maps, prefixes = [], [], [], []
+            cls, size, maps, wides, prefixes = [], [], [], [], []
             for s in token_sets(batch.column("text"), n):
                 size.append(len(s))
                 digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
                 cls.append(digest)
                 if digest is None or digest in seen:
                     maps.append(None)
+                    wides.append(None)
                     prefixes.append(None)
                     continue
                 seen.add(digest)
-                odd = np.bincount(((s >> np.uint64(20)) & np.uint64(64 * LONGS - 1)).astype(np.int64), minlength=64 * LONGS) & 1
-                maps.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+                maps.append(parity_bitmap(s, LONGS))
+                wides.append(parity_bitmap(s, [w for least, w in WIDER if len(s) >= least][-1]) if len(s) >= WIDER[0][0] else None)
                 prefixes.append(prefix(s, classes.value, 0, percent).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("kh"), pa.array(cls, pa.binary()), pa.array(size, pa.int64()), pa.array(maps, pa.list_(pa.int64())), pa.array(prefixes, pa.list_(pa.int64()))], ["key", "kh", "cls", "n", "bitmap", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("kh"), pa.array(cls, pa.binary()), pa.array(size, pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in (maps, wides, prefixes))], ["key", "kh", "cls", "n", "bitmap", "wide", "prefix"])
 
     return run
 
@@ -136,14 +146,26 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(waiting[0]), pa.array(waiting[1]), pa.array(waiting[2]), pa.array([leader], pa.int64())], ["token", "n", "sid", "leader"])
 
 
-def _close(a: str, b: str, percent: int) -> F.Column:
-    """What length and bitmaps allow."""
-    differing = None
+def _differing(a: str, b: str) -> Column:
+    """Bits in which two bitmaps differ."""
+    out = None
     for i in range(LONGS):
         bits = F.bit_count(F.col(f"{a}.bitmap")[i].bitwiseXOR(F.col(f"{b}.bitmap")[i]))
-        differing = bits if differing is None else differing + bits
+        out = bits if out is None else out + bits
+    return out
+
+
+def _close(a: str, b: str, percent: int) -> Column:
+    """What length and bitmaps allow."""
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (differing * (100 + percent) <= (100 - percent) * (n + m))
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (_differing(a, b) * (100 + percent) <= (100 - percent) * (n + m))
+
+
+def _close_when_wide(a: str, b: str, percent: int) -> Column:
+    """The same by the wider bitmaps, where both have one of equal width."""
+    wide = F.aggregate(F.zip_with(F.col(f"{a}.wide"), F.col(f"{b}.wide"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    unlike = F.coalesce(F.size(f"{a}.wide") != F.size(f"{b}.wide"), F.lit(True)) | F.col(f"{a}.wide").isNull() | F.col(f"{b}.wide").isNull()
+    return unlike | (wide * (100 + percent) <= (100 - percent) * (F.col(f"{a}.n") + F.col(f"{b}.n")))
 
 
 def _wanted(hashes: DataFrame) -> np.ndarray:
@@ -250,8 +272,8 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(F.col(key)).alias("kh"), F.col(text).cast("binary").alias("text"))
     classes = spark.sparkContext.broadcast(frequency_classes(rows.select("text"), words))
     kind = dict(docs.dtypes)[key]
-    described = saved(rows.mapInArrow(_described(words, percent, classes), f"key {kind}, kh bigint, cls binary, n bigint, bitmap array<bigint>, prefix array<bigint>"), "described")
-    sets = described.where("prefix is not null").groupBy("cls").agg(F.first(F.struct("kh", "n", "bitmap", "prefix")).alias("s")).select("cls", "s.*")
+    described = saved(rows.mapInArrow(_described(words, percent, classes), f"key {kind}, kh bigint, cls binary, n bigint, bitmap array<bigint>, wide array<bigint>, prefix array<bigint>"), "described")
+    sets = described.where("prefix is not null").groupBy("cls").agg(F.first(F.struct("kh", "n", "bitmap", "wide", "prefix")).alias("s")).select("cls", "s.*")
     sets = saved(sets.withColumn("sid", F.monotonically_increasing_id()), "sets")
     postings = sets.select("sid", "n", F.explode("prefix").alias("token")).select("token", "n", "sid")
     shared = postings.repartition("token").sortWithinPartitions("token", "n", "sid").mapInArrow(_buckets, "token bigint, n bigint, sid bigint, leader bigint")
@@ -259,7 +281,9 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     info = sets.select("sid", "n", "bitmap", "kh", "cls")
 
     def linked(candidates: DataFrame, name: str) -> DataFrame:
-        pairs = saved(candidates, f"{name}-pairs")
+        x, y = (sets.select("sid", "n", "wide").alias(i) for i in "xy")
+        pairs = candidates.alias("p").join(y, F.col("p.b") == F.col("y.sid")).join(x, F.col("p.a") == F.col("x.sid"))
+        pairs = saved(pairs.where(_close_when_wide("x", "y", percent)).select("a", "b"), f"{name}-pairs")
         members = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
         asked = saved(info.join(members, "sid").select("sid", "cls", "kh"), f"{name}-members")
         wanted = spark.sparkContext.broadcast(_wanted(asked.select("kh")))
@@ -273,16 +297,24 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
 
     stars = shared.where("sid <> leader").select("leader", "sid").distinct().alias("p")
     stars = stars.join(info.alias("y"), F.col("p.sid") == F.col("y.sid")).join(info.alias("x"), F.col("p.leader") == F.col("x.sid"))
-    first = linked(stars.where(_close("x", "y", percent)).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")), "star")
-    grouped = saved(components(first), "components")
+    links = linked(stars.where(_close("x", "y", percent)).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")), "star")
+    grouped = saved(components(links), "components")
 
     labelled = shared.join(grouped.withColumnRenamed("node", "sid"), "sid", "left").select("token", "sid", F.coalesce("component", "sid").alias("component"))
     open_ = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
     rest = saved(labelled.join(open_, "token").join(info.select("sid", "n", "bitmap"), "sid"), "open-buckets")
     across = (F.col("x.token") == F.col("y.token")) & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.component") != F.col("y.component"))
-    crossing = rest.alias("x").join(rest.alias("y"), across & _close("x", "y", percent)).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
-    second = linked(crossing, "cross")
-    links = first.unionByName(second)
+    crossing = rest.alias("x").join(rest.alias("y"), across & _close("x", "y", percent)).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"), _differing("x", "y").alias("d"))
+    crossing = saved(crossing.distinct(), "crossing")
+    # the likeliest partner of each member first: that joins most of what is one component, and leaves few pairs between
+    best = crossing.groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("b")).select("a", "b").union(crossing.groupBy("b").agg(F.min_by("a", F.struct("d", "a")).alias("a")).select("a", "b")).distinct()
+    best = saved(best, "best")
+    links = saved(links.unionByName(linked(best, "near")), "links")
+    grouped = saved(components(links), "components")
+    of = lambda side: grouped.select(F.col("node").alias(side), F.col("component").alias(f"{side}_component"))
+    left = crossing.select("a", "b").join(best, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    left = left.where(F.coalesce("a_component", "a") != F.coalesce("b_component", "b")).select("a", "b")
+    links = links.unionByName(linked(left, "cross"))
     grouped = components(links)
 
     of_set = sets.select("cls", "sid").join(grouped.withColumnRenamed("node", "sid"), "sid", "left").select("cls", F.coalesce("component", "sid").alias("component"))
