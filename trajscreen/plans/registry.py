@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from trajscreen.plans import screening
+from trajscreen.plans import evaluation, screening
 
-QUERIES = dict(screening.QUERIES)
-ORACLE_SQL = dict(screening.ORACLE_SQL)
+QUERIES = screening.QUERIES | evaluation.QUERIES
+ORACLE_SQL = screening.ORACLE_SQL | evaluation.ORACLE_SQL
 flagship = screening.flagship
