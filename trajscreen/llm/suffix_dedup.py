@@ -29,6 +29,7 @@ BEFORE = SPAN - GRAM  # bytes before an anchor that a string holding it can reac
 SHALLOW = 32  # bytes beyond the common gram that quicksort looks at
 #: Anchors with more surroundings than this go the exact way by string hashes, spread over all tasks.
 CROWDED = 100_000
+SPREAD = 256  # parts over which the settled anchors of a gram are dealt
 BATCH = 20_000  # surroundings that are sorted at once
 
 
@@ -65,13 +66,21 @@ def anchors(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Anchors of (d1, d2, text). Those whose surroundings occur twice in a run of texts are settled at once; only one of
+    them goes on to meet the others of its gram, so a passage that fills the corpus sends few rows to its task."""
     for batch in batches:
         d1, d2 = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("d1", "d2"))
         for first, data, bounds in chunks(batch.column("text")):
             row, at, gram, around = anchors(data, bounds)
             if len(row):
                 n = np.diff(bounds)[row]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (gram, around, d1[first + row], d2[first + row], at.astype(np.int32), n.astype(np.int32))], ["gram", "around", "d1", "d2", "at", "n"])
+                both = gram.view(np.uint64) ^ mix(around.view(np.uint64))
+                _, one, same, count = np.unique(both, return_index=True, return_inverse=True, return_counts=True)
+                settled = count[same] > 1
+                pick = np.concatenate([np.arange(len(row)), one[count > 1]])
+                spread = np.where(settled, 1 + (at + row) % SPREAD, 0)
+                flags = np.concatenate([spread, np.zeros(int((count > 1).sum()), np.int64)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (gram[pick], around[pick], d1[first + row[pick]], d2[first + row[pick]], at[pick].astype(np.int32), n[pick].astype(np.int32), flags)], [*COLUMNS, "spread"])
 
 
 COLUMNS = ["gram", "around", "d1", "d2", "at", "n"]
@@ -79,7 +88,7 @@ COLUMNS = ["gram", "around", "d1", "d2", "at", "n"]
 
 def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Anchors sorted by (gram, around). Those whose surroundings occur twice or more (covered), and, of grams with several
-    surroundings, the first anchor of each (asked). Holds one row and the first anchor of the open gram."""
+    surroundings, the first anchor of each (asked). Settled ones pass. Holds one row and the first anchor of the open gram."""
     carry: dict | None = None
 
     def rows(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -92,6 +101,12 @@ def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         t = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in COLUMNS], axis=1)
+        settled = batch.column("spread").to_numpy(zero_copy_only=False) > 0
+        if settled.any():
+            yield from rows([(t[settled], np.ones(int(settled.sum()), bool), np.zeros(int(settled.sum()), bool))])
+            t = t[~settled]
+        if not len(t):
+            continue
         if carry:
             t = np.concatenate([carry["row"], t])
         new_gram = np.r_[True, t[1:, 0] != t[:-1, 0]]
@@ -350,8 +365,8 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", crowded:
     kept_texts.write.bucketBy(parts, "d1", "d2").option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd").saveAsTable(name)
     texts = spark.table(name)
 
-    schema = "gram bigint, around bigint, d1 bigint, d2 bigint, at int, n int"
-    found = texts.mapInArrow(_anchor_rows, schema).repartition("gram").sortWithinPartitions("gram", "around")
+    schema = "gram bigint, around bigint, d1 bigint, d2 bigint, at int, n int, spread int"
+    found = texts.mapInArrow(_anchor_rows, schema).repartition("gram", "spread").sortWithinPartitions("gram", "around")
     repeated = saved(found.mapInArrow(_sorted_out, "gram bigint, around bigint, d1 bigint, d2 bigint, at bigint, n bigint, covered boolean, asked boolean"), "anchors")
     whole = repeated.where("covered").select("d1", "d2", F.greatest(F.col("at") - BEFORE, F.lit(0)).cast("int").alias("first"), F.least(F.col("at") + SPAN, "n").cast("int").alias("last"))
 
