@@ -55,20 +55,22 @@ def raked(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None =
             sums = cells.groupBy(d).agg(F.sum("tokens").cast("double").alias("s"))
             norm = sums.agg(F.sum(F.pow("s", F.lit(powers[d]))).alias("n"))
             out = out.withColumn(f"__n_{d}", norm.scalar()).withColumn(f"__s_{d}", F.sum("tokens").over(Window.partitionBy(d)).cast("double"))
-            goal = F.pow(F.col(f"__s_{d}"), F.lit(powers[d])) / F.col(f"__n_{d}")
+            goal = F.coalesce(F.try_divide(F.pow(F.col(f"__s_{d}"), F.lit(powers[d])), F.col(f"__n_{d}")), F.lit(0.0))
         out = out.withColumn(f"__goal_{d}", goal * F.col("__total"))
     out = saved(out.withColumn("weight", F.when(F.col("tokens") > 0, F.lit(1.0)).otherwise(0.0)), "cells")
-    for _ in range(rounds):
+    for done in range(1, rounds + 1):
         for d in DIMENSIONS:
             now = F.sum(F.col("tokens") * F.col("weight")).over(Window.partitionBy(d))
             out = out.withColumn("weight", F.when(now > 0, F.col("weight") * F.col(f"__goal_{d}") / now).otherwise(0.0))
+        if done % ROUNDS == 0:
+            out = saved(out, "raking")  # keeps the plan short
     return out.select(*DIMENSIONS, "tokens", "weight")
 
 
 def probabilities(cells: DataFrame, budget: float = BUDGET, steps: int = STEPS) -> DataFrame:
     """Raked cells with probability = min(1, factor * weight), so that the expected tokens are budget times all tokens,
     or come near where the cap binds. Each step reads two sums."""
-    cells, factor = saved(cells, "raked"), 1.0
+    factor = 1.0
     for _ in range(steps):
         got, all_of = cells.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.lit(factor) * F.col("weight"))), F.sum("tokens")).first()
         if not got:

@@ -1,8 +1,8 @@
 """Toxicity classifier with counterfactual regularisation.
 
 A logistic model over the presence of words that the labelled sample ties to a class. For every labelled document that
-mentions an identity group, a counterfactual is made by swapping its identity terms for others of their kind, and the
-square of the score's change is a penalty of the fit; so the mention of a group alone does not move the score, whatever
+mentions an identity group, a counterfactual is made by swapping its identity terms for others of their kind or for a
+general word, and the square of the score's change is a penalty of the fit; so the mention of a group alone does not move the score, whatever
 groups the toxic examples happen to name.
 """
 
@@ -24,7 +24,7 @@ SAMPLE = 20_000
 WORDS = 4096  # words of the model at most, identity terms besides
 LEAST_DOCS = 5  # documents of the sample that must have a word of the model
 LEAST_Z = 3.0
-PENALTY = 4.0  # of squared changes of the logit under swaps
+PENALTY = 10.0  # of squared changes of the logit under swaps
 STEPS = 600
 
 # fixed values: identity terms by kind; a term is swapped for others of its kind
@@ -83,16 +83,17 @@ def _presence(words: np.ndarray) -> Callable:
 
 
 def swapped(x: np.ndarray, groups: list[np.ndarray], rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of x (presence) that mention an identity, and their counterfactuals: each mentioned column moves to another
-    column of its group."""
+    """Rows of x (presence) that mention an identity, and their counterfactuals, two of each: each mentioned column moves
+    to another column of its group, or to a word for people in general, which the model doesn't have."""
     rows = np.flatnonzero(sum(x[:, g].any(1).astype(int) for g in groups)) if groups else np.zeros(0, int)
-    own, other = x[rows], x[rows].copy()
+    own, other, general = x[rows], x[rows].copy(), x[rows].copy()
     for g in groups:
+        general[:, g] = False
         for i in np.flatnonzero(own[:, g].any(1)):
             there = own[i, g]
             other[i, g] = False
             other[i, rng.permutation(g[~there])[: there.sum()] if (~there).any() else g] = True
-    return own, other
+    return np.concatenate([own, own]), np.concatenate([other, general])
 
 
 def fit(x: np.ndarray, y: np.ndarray, groups: list[np.ndarray], penalty: float = PENALTY) -> tuple[np.ndarray, float]:
@@ -135,7 +136,9 @@ def scored(docs: DataFrame, labels: DataFrame, held_out: Callable, key: str = "d
     z = (F.col("p") - F.col("n") * share) / F.sqrt(F.col("n") * max(share * (1 - share), 1e-9))
     tied = counts.where(F.col("n") >= LEAST_DOCS).withColumn("z", F.abs(z)).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "word").limit(WORDS).collect()  # WORDS rows at most
     terms = {k: hash_of(v) for k, v in IDENTITIES.items()}
-    words = np.unique(np.concatenate([np.array([r["word"] for r in tied], np.int64).view(np.uint64), *terms.values()]))
+    chosen_words = np.array([r["word"] for r in tied], np.int64).view(np.uint64)
+    beginnings = np.concatenate([next(word_sets(pa.array([w]))) for v in IDENTITIES.values() for w in v])  # no way round the swaps
+    words = np.unique(np.concatenate([chosen_words[~np.isin(chosen_words, beginnings)], *terms.values()]))
     weights, bias = np.zeros(len(words)), float(np.log((share + 1e-4) / (1 - share + 1e-4)))
     if 0 < share < 1:
         found = learnt.mapInArrow(_presence(words), "h bigint, y double, bits binary").groupBy("h").agg(F.first("y").alias("y"), F.min("bits").alias("bits")).orderBy("h").limit(sample).collect()  # a bounded number of bounded rows

@@ -21,6 +21,7 @@ RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
 
 #: Rows of the training sample at most: the labelled URLs of the lowest key hashes.
 SAMPLE = 20_000
+FOLDS = 5  # of the labelled rows, for the blocked shares
 TREES = {"maxIter": 12, "maxDepth": 4, "maxBins": 32, "stepSize": 0.3, "seed": 7}
 
 SYMBOLS = "abcdefghijklmnopqrstuvwxyz0123456789-_./"
@@ -71,13 +72,17 @@ def lexical(rows: DataFrame) -> DataFrame:
 
 
 def _with_rates(rows: DataFrame, by: str) -> DataFrame:
-    """Share of all rows, and smoothed share of blocked rows among the labelled ones without the row itself."""
+    """Share of all rows, and smoothed share of blocked rows among the labelled ones. A labelled row's share leaves out its
+    own fold, so that the share doesn't give its label away."""
     total = rows.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("t")).scalar()
-    stats = saved(rows.groupBy(by).agg(F.count(F.lit(1)).alias("__n"), F.count("label").alias("__labelled"), F.coalesce(F.sum("label"), F.lit(0.0)).alias("__blocked")), f"url-{by}")
-    own, n = F.coalesce("label", F.lit(0.0)), F.col("label").isNotNull().cast("double")
-    joined = rows.join(stats, by)
-    joined = joined.withColumn("__t", total)
-    return joined.withColumns({f"{by}_share": F.col("__n") / F.col("__t"), f"{by}_blocked": (F.col("__blocked") - own + 1.0) / (F.col("__labelled") - n + 2.0)}).drop("__n", "__labelled", "__blocked", "__t")
+    fold = F.pmod(hashed_52(F.col("url"), F.lit("fold")), F.lit(FOLDS)).cast("int")
+    folded = rows.withColumn("__fold", F.when(F.col("label").isNotNull(), fold).otherwise(-1))
+    sums = saved(folded.groupBy(by, "__fold").agg(F.count(F.lit(1)).alias("n"), F.count("label").alias("labelled"), F.coalesce(F.sum("label"), F.lit(0.0)).alias("blocked")), f"url-{by}")
+    every = sums.groupBy(by).agg(F.sum("n").alias("__n"), F.sum("labelled").alias("__labelled"), F.sum("blocked").alias("__blocked"))
+    own = sums.where("__fold >= 0").select(by, "__fold", F.col("labelled").alias("__own"), F.col("blocked").alias("__own_blocked"))
+    joined = folded.join(every, by).join(own, [by, "__fold"], "left").fillna(0, ["__own"]).fillna(0.0, ["__own_blocked"]).withColumn("__t", total)
+    added = {f"{by}_share": F.col("__n") / F.col("__t"), f"{by}_blocked": (F.col("__blocked") - F.col("__own_blocked") + 1.0) / (F.col("__labelled") - F.col("__own") + 2.0)}
+    return joined.withColumns(added).drop("__fold", "__n", "__labelled", "__blocked", "__own", "__own_blocked", "__t")
 
 
 def features(rows: DataFrame) -> DataFrame:
