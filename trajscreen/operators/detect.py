@@ -13,11 +13,15 @@ from trajscreen.operators.mesh import NORMAL, displacement, neighbour_mean, tet_
 
 KEYS = ("sim", "frame", "node")
 MAD = 1.4826
-TRACK = Window.partitionBy("sim", "node").orderBy("frame")
+
+
+def track():
+    """A node's frames in order."""
+    return Window.partitionBy("sim", "node").orderBy("frame")
 
 
 def _lag(c: str, n: int) -> Column:
-    return F.lag(c, n).over(TRACK)
+    return F.lag(c, n).over(track())
 
 
 def constvel_scores(positions: DataFrame) -> DataFrame:

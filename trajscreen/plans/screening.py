@@ -99,8 +99,8 @@ FROM (SELECT p.*, node_type FROM positions p JOIN rest ON p.node = rest.node) q
 def p14(spark, d):
     p, r = _views(spark, d, "positions", "rest")
     at = p.join(r.select("node", "node_type"), "node")
-    v = [F.round(F.col(c) - F.lag(c).over(detect.TRACK), 6).alias(f"v{c}") for c in "xyz"]
-    a = [F.when(F.col("node_type") == 1, F.round(F.lead(c).over(detect.TRACK) - F.col(c), 6)).otherwise(0.0).alias(f"a{c}") for c in "xyz"]
+    v = [F.round(F.col(c) - F.lag(c).over(detect.track()), 6).alias(f"v{c}") for c in "xyz"]
+    a = [F.when(F.col("node_type") == 1, F.round(F.lead(c).over(detect.track()) - F.col(c), 6)).otherwise(0.0).alias(f"a{c}") for c in "xyz"]
     return at.select("sim", "frame", "node", *v, *a)
 
 
@@ -126,7 +126,7 @@ def p16(spark, d):
 
 @query("p18_training_pairs", oracle("SELECT sim, frame, node, round(tx, 6) AS tx, round(ty, 6) AS ty, round(tz, 6) AS tz FROM (SELECT sim, frame, node, lead(x) OVER t - 2*x + lag(x) OVER t AS tx, lead(y) OVER t - 2*y + lag(y) OVER t AS ty, lead(z) OVER t - 2*z + lag(z) OVER t AS tz FROM positions WINDOW t AS (PARTITION BY sim, node ORDER BY frame)) q WHERE tx IS NOT NULL", "positions"), zero=('tx', 'ty', 'tz'))
 def p18(spark, d):
-    t = [F.round(F.lead(c).over(detect.TRACK) - 2 * F.col(c) + F.lag(c).over(detect.TRACK), 6).alias(f"t{c}") for c in "xyz"]
+    t = [F.round(F.lead(c).over(detect.track()) - 2 * F.col(c) + F.lag(c).over(detect.track()), 6).alias(f"t{c}") for c in "xyz"]
     return view(spark, d, "positions").select("sim", "frame", "node", *t).where("tx is not null")
 
 
