@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trajscreen.functions.columns import median, norm3
-from trajscreen.operators.mesh import NORMAL, displacement, neighbour_mean, tet_volumes
+from trajscreen.operators.mesh import NORMAL, displacement, neighbour_mean, signed_distance, tet_volumes
 
 KEYS = ("sim", "frame", "node")
 MAD = 1.4826
@@ -164,3 +164,15 @@ def plate_nodes(nodes: DataFrame) -> DataFrame:
 def stride(df: DataFrame, start: int, stop: int, step: int) -> DataFrame:
     """Every step-th frame of [start, stop)."""
     return df.where((F.col("frame") >= start) & (F.col("frame") < stop) & ((F.col("frame") - start) % step == 0))
+
+
+def contact_scores(positions: DataFrame, nodes: DataFrame, cells: DataFrame) -> DataFrame:
+    """Depth of plate nodes inside the actuator, 0 elsewhere."""
+    depth = signed_distance(positions, nodes, cells).select(*KEYS, F.greatest(-F.col("distance"), F.lit(0.0)).alias("d"))
+    return positions.select(*KEYS).join(depth, list(KEYS), "left").select(*KEYS, F.coalesce("d", F.lit(0.0)).alias("score"))
+
+
+def hotspot_nodes(scores: DataFrame, nodes: DataFrame, k: int = 10) -> DataFrame:
+    """(sim, frame, node, score, rank): the k highest plate nodes of each frame."""
+    own = scores.join(plate_nodes(nodes), "node")
+    return own.withColumn("rank", F.row_number().over(Window.partitionBy("sim", "frame").orderBy(F.desc("score"), "node"))).where(F.col("rank") <= k)

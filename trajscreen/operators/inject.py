@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trajscreen.functions.columns import draw
-from trajscreen.operators.mesh import NORMAL, hops
+from trajscreen.operators.mesh import NORMAL, hops, point_triangle, surface_triangles
 
 TYPES = ("hourglass", "penetration", "inversion", "instability", "frozen")
 SEVERITIES = {1: 1.0, 2: 10.0, 3: 100.0}
@@ -128,3 +128,83 @@ def pick_frames(plan: DataFrame, keys: Sequence[str] = ("sim", "type", "sev"), s
     slot = F.floor(F.col("r") * F.col("m") / F.col("n"))
     first = F.ceil(slot * F.col("n") / F.col("m"))
     return spaced.where(F.col("r") == first).drop("n", "r", "m")
+
+
+def inject_penetration(copies: DataFrame, positions: DataFrame, nodes: DataFrame, cells: DataFrame, steps: DataFrame, frames: int = 5, most: int = 10, touching: float = 1e-3) -> DataFrame:
+    """Deltas: the plate nodes nearest to the actuator at t0 (within `touching`, or the nearest one; `most` at most) are moved
+    to the closest point of its surface and on by the size, away from where they were."""
+    keys = ["sim", "type", "sev"]
+    hull = surface_triangles(cells, nodes)
+    corner = lambda n: positions.select("sim", "frame", F.col("node").alias(n), *[F.col(c).alias(f"{n}{c}") for c in "xyz"])
+    plate = positions.join(nodes.where(F.col("node_type") == NORMAL).select("node"), "node").select("sim", "frame", "node", *[F.col(c).alias(f"p{c}") for c in "xyz"])
+    window = copies.join(steps, "sim").withColumn("frame", F.explode(F.sequence("t0", F.col("t0") + (frames - 1))))
+    faces = window.select("sim", "frame").distinct().join(corner("a"), ["sim", "frame"]).join(hull, "a").join(corner("b"), ["sim", "frame", "b"]).join(corner("c"), ["sim", "frame", "c"])
+    at = lambda n: [F.col(f"{n}{c}") for c in "xyz"]
+    foot, d = point_triangle(at("p"), at("a"), at("b"), at("c"))
+    near = plate.join(faces, ["sim", "frame"]).groupBy("sim", "frame", "node").agg(F.min(F.struct(d.alias("d"), *[f.alias(f"f{c}") for f, c in zip(foot, "xyz", strict=True)])).alias("m"), *[F.first(f"p{c}").alias(f"p{c}") for c in "xyz"])
+    near = near.select("sim", "frame", "node", "m.d", "m.fx", "m.fy", "m.fz", "px", "py", "pz")
+    rank = Window.partitionBy(*keys).orderBy("d", "node")
+    chosen = copies.join(near.withColumnRenamed("frame", "t0"), ["sim", "t0"]).withColumn("r", F.row_number().over(rank)).withColumn("least", F.min("d").over(Window.partitionBy(*keys)))
+    chosen = chosen.where((F.col("r") <= most) & (F.col("d") <= F.greatest(F.lit(touching), F.col("least")))).select(*keys, "node")
+    size = F.element_at(F.create_map(*[F.lit(x) for kv in SEVERITIES.items() for x in kv]), F.col("sev")) * F.col("step")
+    length = F.greatest(F.col("d"), F.lit(1e-12))
+    moved = window.join(chosen, keys).join(near, ["sim", "frame", "node"])
+    return moved.select(*keys, "frame", "node", *[(F.col(f"f{c}") + size * (F.col(f"f{c}") - F.col(f"p{c}")) / length).alias(c) for c in "xyz"])
+
+
+def inject_inversion(copies: DataFrame, centres: DataFrame, positions: DataFrame, nodes: DataFrame, cells: DataFrame, frames: int = 5, shares: dict[int, float] | None = None) -> DataFrame:
+    """Deltas: one corner of a drawn plate tet at the centre is reflected through the opposite face, by twice a share of
+    its distance."""
+    shares = shares or {1: 0.3, 2: 0.6, 3: 1.5}
+    keys = ["sim", "type", "sev"]
+    corners = cells.select("cell", F.explode(F.array("v0", "v1", "v2", "v3")).alias("node"), F.array("v0", "v1", "v2", "v3").alias("vs")).join(nodes.select("node", "node_type"), "node")
+    own = corners.groupBy("cell", "vs").agg(F.max(F.abs(F.col("node_type") - NORMAL)).alias("off")).where("off = 0").select("cell", "vs", F.explode("vs").alias("node"))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(draw(F.col("seed"), "cell", F.col("cell")), "cell"))
+    tet = copies.join(centres, keys).join(own, "node").withColumn("r", rank).where("r = 1").drop("r")
+    turned = tet.withColumn("i", F.pmod(draw(F.col("seed"), "corner"), F.lit(4)).cast("int")).withColumn("top", F.get("vs", F.col("i"))).withColumn("face", F.filter("vs", lambda v, i: i != F.col("i")))
+    spread = turned.select(*keys, "top", *[F.get("face", F.lit(j)).alias(f"q{j}") for j in range(3)], F.explode(F.sequence("t0", F.col("t0") + (frames - 1))).alias("frame"))
+    for name in ("top", "q0", "q1", "q2"):
+        spread = spread.join(positions.select("sim", "frame", F.col("node").alias(name), *[F.col(c).alias(f"{name}{c}") for c in "xyz"]), ["sim", "frame", name])
+    u = [F.col(f"q1{c}") - F.col(f"q0{c}") for c in "xyz"]
+    v = [F.col(f"q2{c}") - F.col(f"q0{c}") for c in "xyz"]
+    n = [u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]]
+    nn = n[0] * n[0] + n[1] * n[1] + n[2] * n[2]
+    height = sum(((F.col(f"top{c}") - F.col(f"q0{c}")) * k for c, k in zip("xyz", n, strict=True)), F.lit(0.0)) / nn
+    share = F.element_at(F.create_map(*[F.lit(x) for kv in shares.items() for x in kv]), F.col("sev"))
+    return spread.select(*keys, "frame", F.col("top").alias("node"), *[(F.col(f"top{c}") - 2 * share * height * k).alias(c) for c, k in zip("xyz", n, strict=True)])
+
+
+def acceleration_floor(positions: DataFrame, nodes: DataFrame, t_max: int, first: int = 10) -> DataFrame:
+    """(sim, floor): median over frames from `first` on of the plate's root mean square second difference."""
+    order = Window.partitionBy("sim", "node").orderBy("frame")
+    second = [(F.col(c) - 2 * F.lag(c, 1).over(order) + F.lag(c, 2).over(order)) for c in "xyz"]
+    own = positions.join(nodes.where(F.col("node_type") == NORMAL).select("node"), "node").where(F.col("frame") < t_max)
+    sq = own.select("sim", "frame", (second[0] * second[0] + second[1] * second[1] + second[2] * second[2]).alias("q")).where("q is not null")
+    frames = sq.where(F.col("frame") >= first).groupBy("sim", "frame").agg(F.sqrt(F.avg("q")).alias("a"))
+    return frames.groupBy("sim").agg(F.greatest(F.percentile("a", F.lit(0.5)), F.lit(1e-9)).alias("floor"))
+
+
+def plan_blowups(sims: DataFrame, floors: DataFrame, steps: DataFrame, t_max: int = 350, growth: float = 1.3, cap: float = 100.0, hold: int = 5, onset: int = 40) -> DataFrame:
+    """(sim, kind, seed, start, n_grow, t0, top): a blow-up from the run's acceleration floor to cap times its step, at a
+    growing rate, held for some frames; the onset is drawn so that it ends within the run."""
+    top = F.col("step") * cap
+    both = sims.select("sim").join(floors, "sim").join(steps, "sim").withColumn("top", top)
+    n = F.least(F.ceil(F.log(F.col("top") / F.col("floor")) / F.log(F.lit(growth))) + 1, F.lit(t_max - 50)).cast("int")
+    grown = both.withColumn("n_grow", F.greatest(n, F.lit(1))).withColumn("start", F.col("top") / F.pow(F.lit(growth), (F.col("n_grow") - 1).cast("double")))
+    room = F.greatest(F.lit(t_max - hold - onset) - F.col("n_grow"), F.lit(1))
+    return grown.select("sim", F.lit("blowup").alias("type"), F.lit(3).alias("sev"), (F.col("sim") * 100 + 99).alias("seed"), "start", "n_grow", "top", (onset + F.pmod(draw(F.col("sim") * 100 + 99, "t0"), room)).cast("int").alias("t0"))
+
+
+def inject_blowup(patched: DataFrame, positions: DataFrame, growth: float = 1.3, hold: int = 5) -> DataFrame:
+    """Deltas of planned blow-ups (plan_blowups joined with a patch): back and forth along each node's own direction."""
+    d = unit_draws(F.col("seed"), "direction", F.col("node"))
+    length = F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
+    j = F.col("frame") - F.col("t0")
+    size = F.least(F.col("start") * F.pow(F.lit(growth), j.cast("double")), F.col("top")) * F.when(j % 2 == 0, 1.0).otherwise(-1.0)
+    return _deltas(patched, F.sequence("t0", F.col("t0") + F.col("n_grow") + (hold - 1)), positions, [size * x / length for x in d])
+
+
+def counterfactual_pairs(clean: DataFrame, corrupted: DataFrame, frame: int, keys: tuple[str, ...] = ("sim",)) -> DataFrame:
+    """Rows of one frame, side A from the clean run and side B from the corrupted one."""
+    pick = lambda df, side: df.where(F.col("frame") == frame).select(*keys, "frame", "node", "x", "y", "z").withColumn("side", F.lit(side))
+    return pick(clean, "A").unionByName(pick(corrupted, "B"))

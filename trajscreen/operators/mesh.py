@@ -150,3 +150,54 @@ def project(points: DataFrame, matrix: Sequence[Sequence[float]], size: float =
     row = lambda r: r[0] * F.col("x") + r[1] * F.col("y") + r[2] * F.col("z") + r[3]
     w = row(matrix[3])
     return points.withColumns({"px": (row(matrix[0]) / w + 1) / 2 * size, "py": (1 - row(matrix[1]) / w) / 2 * size})
+
+
+def point_triangle(p: list, a: list, b: list, c: list) -> tuple[list, object]:
+    """Closest point of a triangle (a, b, c: lists of three columns) to p, and its distance, in column algebra: the
+    nearest of the plane's foot, if it lies inside, and the three edges' closest points."""
+    sub = lambda u, v: [x - y for x, y in zip(u, v, strict=True)]
+    dot = lambda u, v: u[0] * v[0] + u[1] * v[1] + u[2] * v[2]
+    cross = lambda u, v: [u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]]
+
+    def on_edge(u: list, v: list) -> list:
+        along = sub(v, u)
+        t = F.least(F.greatest(dot(sub(p, u), along) / F.greatest(dot(along, along), F.lit(1e-30)), F.lit(0.0)), F.lit(1.0))
+        return [x + t * y for x, y in zip(u, along, strict=True)]
+
+    n = cross(sub(b, a), sub(c, a))
+    nn = F.greatest(dot(n, n), F.lit(1e-30))
+    h = dot(sub(p, a), n) / nn
+    foot = [x - h * y for x, y in zip(p, n, strict=True)]
+    inside = (dot(cross(sub(b, a), sub(foot, a)), n) >= 0) & (dot(cross(sub(c, b), sub(foot, b)), n) >= 0) & (dot(cross(sub(a, c), sub(foot, c)), n) >= 0)
+    options = [foot, on_edge(a, b), on_edge(b, c), on_edge(c, a)]
+    rows = [F.struct(norm3(*sub(p, q)).alias("d"), *[x.alias(k) for x, k in zip(q, "xyz", strict=True)]) for q in options]
+    best = F.when(inside, F.least(*rows)).otherwise(F.least(*rows[1:]))
+    return [best[k] for k in "xyz"], best["d"]
+
+
+def signed_distance(positions: DataFrame, nodes: DataFrame, cells: DataFrame, on: Sequence[str] = ("node",)) -> DataFrame:
+    """(sim, frame, node, distance) of plate nodes to the actuator's surface, negative inside one of its tets. Surface and
+    tets are found once; each frame joins its own plate nodes with its own triangles."""
+    typed = positions.join(nodes.select(*on, "node_type"), list(on))
+    points = typed.where(F.col("node_type") == NORMAL).select("sim", "frame", "node", *[F.col(c).alias(f"p{c}") for c in "xyz"])
+    hull = surface_triangles(cells, nodes)
+    corner = lambda name: positions.select("sim", "frame", F.col("node").alias(name), *[F.col(c).alias(f"{name}{c}") for c in "xyz"])
+    faces = hull.join(corner("a"), "a").join(corner("b"), ["sim", "frame", "b"]).join(corner("c"), ["sim", "frame", "c"])
+    at = lambda n: [F.col(f"{n}{c}") for c in "xyz"]
+    pairs = points.join(faces, ["sim", "frame"])
+    distance = pairs.select("sim", "frame", "node", point_triangle(at("p"), at("a"), at("b"), at("c"))[1].alias("d")).groupBy("sim", "frame", "node").agg(F.min("d").alias("d"))
+    own = cells.select("cell", F.explode(F.array(*VERTICES)).alias("node"), *VERTICES).join(nodes.select("node", "node_type"), "node").groupBy("cell", *VERTICES).agg(F.min((F.col("node_type") == OBSTACLE).cast("int")).alias("all")).where("all = 1").drop("all")
+    tets = own
+    for v in VERTICES:
+        tets = tets.join(corner(v), [*(["sim", "frame"] if v != "v0" else []), v])
+
+    def volume(a: list, b: list, c: list, d: list):
+        u, v, w = ([x - y for x, y in zip(q, a, strict=True)] for q in (b, c, d))
+        return (u[1] * v[2] - u[2] * v[1]) * w[0] + (u[2] * v[0] - u[0] * v[2]) * w[1] + (u[0] * v[1] - u[1] * v[0]) * w[2]
+
+    p, q = at("p"), [at(v) for v in VERTICES]
+    whole = F.signum(volume(*q))
+    parts = [F.signum(volume(*[p if j == i else x for j, x in enumerate(q)])) for i in range(4)]
+    within = (whole != 0) & (parts[0] == whole) & (parts[1] == whole) & (parts[2] == whole) & (parts[3] == whole)
+    inside = points.join(tets, ["sim", "frame"]).where(within).select("sim", "frame", "node").distinct().withColumn("in", F.lit(True))
+    return distance.join(inside, ["sim", "frame", "node"], "left").select("sim", "frame", "node", F.when(F.col("in"), -F.col("d")).otherwise(F.col("d")).alias("distance"))

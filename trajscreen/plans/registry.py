@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from trajscreen.plans import evaluation, screening
+from trajscreen.plans import evaluation, injected, screening
 
-QUERIES = screening.QUERIES | evaluation.QUERIES
-ORACLE_SQL = screening.ORACLE_SQL | evaluation.ORACLE_SQL
+QUERIES = screening.QUERIES | evaluation.QUERIES | injected.QUERIES
+ORACLE_SQL = screening.ORACLE_SQL | evaluation.ORACLE_SQL | injected.ORACLE_SQL
 flagship = screening.flagship
