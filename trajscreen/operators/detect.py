@@ -176,3 +176,34 @@ def hotspot_nodes(scores: DataFrame, nodes: DataFrame, k: int = 10) -> DataFrame
     """(sim, frame, node, score, rank): the k highest plate nodes of each frame."""
     own = scores.join(plate_nodes(nodes), "node")
     return own.withColumn("rank", F.row_number().over(Window.partitionBy("sim", "frame").orderBy(F.desc("score"), "node"))).where(F.col("rank") <= k)
+
+
+def diagnostics(positions: DataFrame, nodes: DataFrame, cells: DataFrame, gaps: DataFrame) -> DataFrame:
+    """(sim, frame, ratio, n_high, n_inverted, gap, speed_ratio): of each frame from the third on, the highest plate residual
+    by the median one, plate nodes over five times the median, inverted tets, the hot spot's distance to the actuator, and
+    its speed by the plate's median. gaps: (sim, frame, node, gap), a plate node's distance to the nearest actuator node."""
+    residuals = constvel_scores(positions).join(plate_nodes(nodes), "node").withColumn("m", median(F.col("score")).over(Window.partitionBy("sim", "frame")))
+    pace = speeds(positions).join(plate_nodes(nodes), "node").withColumn("pm", median(F.col("speed")).over(Window.partitionBy("sim", "frame")))
+    both = residuals.join(pace, list(KEYS)).join(gaps, list(KEYS))
+    hot = F.max(F.struct(F.col("score"), (-F.col("node")).alias("i"), F.col("gap"), (F.col("speed") / (F.col("pm") + 1e-12)).alias("r")))
+    out = both.groupBy("sim", "frame").agg(hot.alias("h"), F.max("m").alias("m"), F.sum((F.col("score") > 5 * F.col("m")).cast("int")).alias("n_high"))
+    bad = inverted_cells(positions, nodes, cells).groupBy("sim", "frame").agg(F.count(F.lit(1)).alias("n"))
+    return out.join(bad, ["sim", "frame"], "left").select("sim", "frame", (F.col("h.score") / (F.col("m") + 1e-12)).alias("ratio"), "n_high", F.coalesce("n", F.lit(0)).alias("n_inverted"), F.col("h.gap").alias("gap"), F.col("h.r").alias("speed_ratio"))
+
+
+def color_limits(residuals: DataFrame, frames: Sequence[int], q: float = 0.995, factor: float = 3.0) -> DataFrame:
+    """(sim, limit): factor times the quantile of plate residuals on a few clean frames."""
+    return residuals.where(F.col("frame").isin(list(frames))).groupBy("sim").agg((factor * F.percentile("score", F.lit(q))).alias("limit"))
+
+
+def patch_lookup(pixels: DataFrame, patches: DataFrame, grid: int, size: float) -> DataFrame:
+    """pixels (item, node, px, py) with the score of the patch (item, row, col, score) that holds each."""
+    place = lambda c: F.least(F.greatest(F.floor(F.col(c) / size * grid), F.lit(0)), F.lit(grid - 1)).cast("int")
+    return pixels.withColumn("row", place("py")).withColumn("col", place("px")).join(patches, ["item", "row", "col"]).select("item", "node", "score")
+
+
+def pixel_shift(clean: DataFrame, copy: DataFrame, keys: Sequence[str] = ("sim", "frame")) -> DataFrame:
+    """(keys, shift): largest distance in pixels of a node (px, py) from its clean twin."""
+    other = copy.select(*keys, "node", F.col("px").alias("qx"), F.col("py").alias("qy"))
+    d = F.sqrt((F.col("px") - F.col("qx")) * (F.col("px") - F.col("qx")) + (F.col("py") - F.col("qy")) * (F.col("py") - F.col("qy")))
+    return clean.join(other, [*keys, "node"]).groupBy(*keys).agg(F.max(d).alias("shift"))

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trajscreen.functions.columns import norm3
 from trajscreen.operators import alarms, answers, detect, inject, mesh, metrics
 from trajscreen.plans.fixtures import FRAMES, oracle, view
-from trajscreen.plans.screening import GAP, rounded
+from trajscreen.plans.screening import _E, COPY, GAP, MATRIX, PX, PY, changed, registered, rounded
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -17,14 +18,8 @@ ORACLE_SQL: dict[str, str] = {}
 ONSET = (15, 40)
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql:
-            ORACLE_SQL[name] = sql
-        return f
-
-    return add
+def query(name: str, sql: str | None = None, zero: tuple[str, ...] = ()) -> Callable[[Query], Query]:
+    return registered(name, sql, zero, QUERIES, ORACLE_SQL)
 
 
 def _base(spark: SparkSession, sf_dir: str):
@@ -198,3 +193,54 @@ SELECT sim, frame, node FROM (SELECT *, row_number() OVER (PARTITION BY sim, fra
 def w7(spark, d):
     p, r = (view(spark, d, n) for n in ("positions", "rest"))
     return detect.hotspot_nodes(detect.constvel_scores(p), r, 2).select("sim", "frame", "node")
+
+
+@query("x6_diagnostics")
+def x6(spark, d):
+    p, r, c = (view(spark, d, n) for n in ("positions", "rest", "cells"))
+    typed = p.join(r.select("node", "node_type"), "node")
+    a = typed.where("node_type = 0").select("sim", "frame", "node", *[F.col(k).alias("a" + k) for k in "xyz"])
+    b = typed.where("node_type = 1").select("sim", "frame", *[F.col(k).alias("b" + k) for k in "xyz"])
+    near = a.join(b, ["sim", "frame"]).groupBy("sim", "frame", "node").agg(F.min(norm3(*[F.col("a" + k) - F.col("b" + k) for k in "xyz"])).alias("gap"))
+    return rounded(detect.diagnostics(p, r, c, near), "ratio", "gap", "speed_ratio", digits=5)
+
+
+@query("c6_color_limits", oracle(""", cv AS (SELECT sim, frame, node, sqrt(dx*dx+dy*dy+dz*dz) AS score FROM (SELECT sim, frame, node, x - (2*lag(x, 1) OVER t - lag(x, 2) OVER t) AS dx, y - (2*lag(y, 1) OVER t - lag(y, 2) OVER t) AS dy, z - (2*lag(z, 1) OVER t - lag(z, 2) OVER t) AS dz FROM positions WINDOW t AS (PARTITION BY sim, node ORDER BY frame)) q WHERE dx IS NOT NULL)
+SELECT sim, round(3*quantile_cont(score, 0.995), 6) AS "limit" FROM cv WHERE node <= 4 AND frame IN (10, 20, 30, 40, 50) GROUP BY sim""", "positions"))
+def c6(spark, d):
+    p, r = (view(spark, d, n) for n in ("positions", "rest"))
+    return rounded(detect.color_limits(detect.constvel_scores(p).join(detect.plate_nodes(r), "node"), (10, 20, 30, 40, 50)), "limit")
+
+
+@query("p8_patch_lookup", oracle(f", px AS (SELECT sim*100 + frame AS item, node, {PX.format(m=_E)} AS px, {PY.format(m=_E)} AS py FROM positions) SELECT item, node, least(greatest(floor(py/448e0*4), 0), 3)*10e0 + least(greatest(floor(px/448e0*4), 0), 3) AS score FROM px", "positions"))
+def p8(spark, d):
+    p = view(spark, d, "positions")
+    pixels = mesh.project(p, MATRIX).select((F.col("sim") * 100 + F.col("frame")).alias("item"), "node", "px", "py")
+    cells = F.explode(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.struct(F.floor(i / 4).cast("int").alias("row"), (i % 4).cast("int").alias("col"))))
+    patches = pixels.select("item").distinct().select("item", cells.alias("c")).select("item", "c.row", "c.col", (F.col("c.row") * 10.0 + F.col("c.col")).alias("score"))
+    return detect.patch_lookup(pixels, patches, 4, 448.0)
+
+
+@query("p10_pixel_shift", oracle(COPY + f", a AS (SELECT sim, frame, node, {PX.format(m=_E)} AS px, {PY.format(m=_E)} AS py FROM positions), b AS (SELECT sim, frame, node, {PX.format(m=_E)} AS px, {PY.format(m=_E)} AS py FROM cp) SELECT a.sim, a.frame, round(max(sqrt((a.px-b.px)*(a.px-b.px)+(a.py-b.py)*(a.py-b.py))), 5) AS shift FROM a JOIN b ON a.sim = b.sim AND a.frame = b.frame AND a.node = b.node GROUP BY a.sim, a.frame", "positions"))
+def p10(spark, d):
+    p = view(spark, d, "positions")
+    copy = mesh.apply_deltas(p, changed(p))
+    return rounded(detect.pixel_shift(mesh.project(p, MATRIX), mesh.project(copy, MATRIX)), "shift", digits=5)
+
+
+@query("p17_load_edge_features", oracle("""SELECT a.sim, a.frame, pl.node AS plate, ac.node AS actuator, round(a.x - pl.rx, 6) AS ox, round(a.y - pl.ry, 6) AS oy, round(a.z - pl.rz, 6) AS oz FROM rest pl JOIN rest ac ON pl.node_type = 0 AND ac.node_type = 1 JOIN positions a ON a.node = ac.node
+WHERE sqrt((pl.rx-ac.rx)*(pl.rx-ac.rx)+(pl.ry-ac.ry)*(pl.ry-ac.ry)+(pl.rz-ac.rz)*(pl.rz-ac.rz)) <= 205e-1""", "positions"), zero=("ox", "oy", "oz"))
+def p17(spark, d):
+    p, r = (view(spark, d, n) for n in ("positions", "rest"))
+    pairs = mesh.contact_pairs(r, 20.5, 8).select("plate", "actuator")
+    rest = r.select(F.col("node").alias("plate"), "rx", "ry", "rz")
+    at = p.withColumnRenamed("node", "actuator").join(pairs, "actuator").join(rest, "plate")
+    return at.select("sim", "frame", "plate", "actuator", *[F.round(F.col(c) - F.col(f"r{c}"), 6).alias(f"o{c}") for c in "xyz"])
+
+
+@query("t5_heldout_type")
+def t5b(spark, d):
+    features = answers.triage_features(view(spark, d, "tall"), ["a", "b"])
+    model = answers.fit_triage(features.where("kind <> 'frozen' and sim % 2 = 0"), ["a", "b"], 10, 5)
+    out = answers.predict_triage(model, features.where("sim % 2 = 1"))
+    return rounded(out.groupBy((F.col("kind") == "frozen").alias("unseen")).agg(F.avg((F.col("conf") < 0.5).cast("double")).alias("abstain_rate")), "abstain_rate")

@@ -17,18 +17,22 @@ QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None, zero: tuple[str, ...] = ()) -> Callable[[Query], Query]:
-    """Register a query. zero: columns in which a negative zero becomes zero, on both sides."""
+def registered(name: str, sql: str | None, zero: tuple[str, ...], queries: dict[str, Query], oracles: dict[str, str]) -> Callable[[Query], Query]:
+    """Put a query and its SQL into the dictionaries. zero: columns in which a negative zero becomes zero, on both sides."""
 
     def add(f: Query) -> Query:
-        QUERIES[name] = (lambda spark, d: f(spark, d).withColumns({c: F.col(c) + F.lit(0.0) for c in zero})) if zero else f
+        queries[name] = (lambda spark, d: f(spark, d).withColumns({c: F.col(c) + F.lit(0.0) for c in zero})) if zero else f
         if sql:
-            ORACLE_SQL[name] = "SELECT * REPLACE (" + ", ".join(f"{c} + 0e0 AS {c}" for c in zero) + f") FROM ({sql}) z" if zero else sql
+            oracles[name] = "SELECT * REPLACE (" + ", ".join(f"{c} + 0e0 AS {c}" for c in zero) + f") FROM ({sql}) z" if zero else sql
         return f
 
     return add
 
 
+def query(name: str, sql: str | None = None, zero: tuple[str, ...] = ()) -> Callable[[Query], Query]:
+    return registered(name, sql, zero, QUERIES, ORACLE_SQL)
+
+
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
@@ -186,26 +190,26 @@ DELTA = ", delta AS (SELECT sim, frame, node, x + 1e0 AS x, y, z - 5e-1 AS z FRO
 COPY = DELTA + ", cp AS (SELECT p.sim, p.frame, p.node, coalesce(d.x, p.x) AS x, coalesce(d.y, p.y) AS y, coalesce(d.z, p.z) AS z FROM positions p LEFT JOIN delta d ON p.sim = d.sim AND p.frame = d.frame AND p.node = d.node)"
 
 
-def _delta(p: DataFrame) -> DataFrame:
+def changed(p: DataFrame) -> DataFrame:
     return p.where("(sim*7 + frame*3 + node) % 11 = 0 and node <= 4").select("sim", "frame", "node", (F.col("x") + 1.0).alias("x"), "y", (F.col("z") - 0.5).alias("z"))
 
 
 @query("j9_apply_deltas", oracle(COPY + " SELECT sim, frame, node, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM cp", "positions"), zero=('x', 'y', 'z'))
 def j9(spark, d):
     p = view(spark, d, "positions")
-    return rounded(mesh.apply_deltas(p, _delta(p)), "x", "y", "z")
+    return rounded(mesh.apply_deltas(p, changed(p)), "x", "y", "z")
 
 
 @query("p19_deviation", oracle(COPY + " SELECT c.sim, c.frame, round(max(sqrt((c.x-p.x)*(c.x-p.x)+(c.y-p.y)*(c.y-p.y)+(c.z-p.z)*(c.z-p.z))), 6) AS deviation FROM cp c JOIN positions p ON p.sim = c.sim AND p.frame = c.frame AND p.node = c.node GROUP BY c.sim, c.frame", "positions"))
 def p19(spark, d):
     p = view(spark, d, "positions")
-    return rounded(mesh.deviation(p, mesh.apply_deltas(p, _delta(p))).groupBy("sim", "frame").agg(F.max("distance").alias("deviation")), "deviation")
+    return rounded(mesh.deviation(p, mesh.apply_deltas(p, changed(p))).groupBy("sim", "frame").agg(F.max("distance").alias("deviation")), "deviation")
 
 
 @query("i9_label_frames", oracle(DELTA + " SELECT DISTINCT sim, frame FROM delta", "positions"))
 def i9(spark, d):
     p = view(spark, d, "positions")
-    return inject.label_frames(mesh.deviation(p, mesh.apply_deltas(p, _delta(p))), ("sim",))
+    return inject.label_frames(mesh.deviation(p, mesh.apply_deltas(p, changed(p))), ("sim",))
 
 
 DRAW = "('0x' || substr(md5({0}), 1, 8))::BIGINT"
@@ -297,7 +301,7 @@ BADCELL = VOL + RESTVOL + ", bad AS (SELECT sim, frame, vol.cell FROM vol JOIN r
 @query("d8_jacobian_scores", oracle(COPY.replace("x + 1e0 AS x", "x + 60e0 AS x") + BADCELL.replace("positions", "cp") + ", n AS (SELECT sim, frame, node, count(*) AS n FROM (SELECT sim, frame, unnest([v0,v1,v2,v3]) AS node FROM bad JOIN cells ON bad.cell = cells.cell) q GROUP BY ALL) SELECT p.sim, p.frame, p.node, CAST(coalesce(n, 0) AS DOUBLE) AS score FROM cp p LEFT JOIN n ON p.sim = n.sim AND p.frame = n.frame AND p.node = n.node", "positions", "cells"))
 def d8(spark, d):
     p, r, c = _views(spark, d, "positions", "rest", "cells")
-    moved = mesh.apply_deltas(p, _delta(p).withColumn("x", F.col("x") - 1.0 + 60.0))
+    moved = mesh.apply_deltas(p, changed(p).withColumn("x", F.col("x") - 1.0 + 60.0))
     return detect.jacobian_scores(moved, r, c)
 
 
@@ -310,7 +314,7 @@ def d9(spark, d):
 @query("d10_jacobian_frame", oracle(COPY.replace("x + 1e0 AS x", "x + 60e0 AS x") + BADCELL.replace("positions", "cp") + ", n AS (SELECT sim, frame, node, count(*) AS n FROM (SELECT sim, frame, unnest([v0,v1,v2,v3]) AS node FROM bad JOIN cells ON bad.cell = cells.cell) q GROUP BY ALL) SELECT p.sim, p.frame, sum(coalesce(n, 0)) / 4e0 AS score FROM cp p LEFT JOIN n ON p.sim = n.sim AND p.frame = n.frame AND p.node = n.node WHERE p.node <= 4 GROUP BY p.sim, p.frame", "positions", "cells"))
 def d10(spark, d):
     p, r, c = _views(spark, d, "positions", "rest", "cells")
-    moved = mesh.apply_deltas(p, _delta(p).withColumn("x", F.col("x") - 1.0 + 60.0))
+    moved = mesh.apply_deltas(p, changed(p).withColumn("x", F.col("x") - 1.0 + 60.0))
     return detect.jacobian_frame_scores(detect.jacobian_scores(moved, r, c), r)
 
 
