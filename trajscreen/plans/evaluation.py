@@ -228,9 +228,9 @@ def x3(spark, d):
     return rounded(_term_pairs(spark, d).select("item", jaccard(F.col("a"), F.col("b")).alias("similarity")), "similarity")
 
 
-@query("b8_permutation_p", "WITH x AS (SELECT 1)" + TERMS + f", nu AS (SELECT *, row_number() OVER (ORDER BY item) AS i FROM tp WHERE item % 5 = 0), re AS (SELECT nu.*, rep FROM nu, (SELECT unnest(range(20)) AS rep) r), sh AS (SELECT rep, b, row_number() OVER (PARTITION BY rep ORDER BY ('0x' || substr(md5('0|' || CAST(rep AS VARCHAR) || '|' || CAST(item AS VARCHAR)), 1, 8))::BIGINT, item) AS i FROM re), me AS (SELECT re.rep, avg({JACC.format('re.a', 'sh.b')}) AS m FROM re JOIN sh ON re.rep = sh.rep AND re.i = sh.i GROUP BY re.rep), ob AS (SELECT avg({JACC.format('a', 'b')}) AS observed FROM nu) SELECT round(observed, 6) AS observed, round((count(CASE WHEN m >= observed THEN 1 END) + 1e0)/(count(*) + 1), 6) AS p FROM me, ob GROUP BY observed")
+@query("b8_permutation_p", "WITH x AS (SELECT 1)" + TERMS + f", nu AS (SELECT *, row_number() OVER (ORDER BY ('0x' || substr(md5('0|order|' || CAST(item AS VARCHAR)), 1, 8))::BIGINT, item) AS i FROM tp), re AS (SELECT nu.*, rep FROM nu, (SELECT unnest(range(20)) AS rep) r), sh AS (SELECT rep, b, row_number() OVER (PARTITION BY rep ORDER BY ('0x' || substr(md5('0|' || CAST(rep AS VARCHAR) || '|' || CAST(item AS VARCHAR)), 1, 8))::BIGINT, item) AS i FROM re), me AS (SELECT re.rep, avg({JACC.format('re.a', 'sh.b')}) AS m FROM re JOIN sh ON re.rep = sh.rep AND re.i = sh.i GROUP BY re.rep), ob AS (SELECT avg({JACC.format('a', 'b')}) AS observed FROM nu) SELECT round(observed, 6) AS observed, round((count(CASE WHEN m >= observed THEN 1 END) + 1e0)/(count(*) + 1), 6) AS p FROM me, ob GROUP BY observed")
 def b8(spark, d):
-    return rounded(resample.permutation_p(_term_pairs(spark, d).where("item % 5 = 0"), jaccard, 20), "observed", "p")
+    return rounded(resample.permutation_p(_term_pairs(spark, d), jaccard, 20), "observed", "p")
 
 
 @query("l1_conformal_threshold", oracle(", mx AS (SELECT sim, detector, max(score) AS run_max FROM tall WHERE frame >= 10 GROUP BY sim, detector) SELECT detector, round(max(CASE WHEN r = ceil((n+1)*9e-1) THEN run_max END), 6) AS threshold FROM (SELECT *, row_number() OVER (PARTITION BY detector ORDER BY run_max, sim) AS r, count(*) OVER (PARTITION BY detector) AS n FROM mx) q GROUP BY detector", "tall"))
@@ -296,10 +296,10 @@ def d12(spark, d):
     return rounded(answers.patch_knn(e.where("vec_id % 5 <> 0"), e.where("vec_id % 5 = 0")), "score", digits=5)
 
 
-@query("d14_bundle_score", oracle(", st AS (SELECT i, avg(embedding[i]::DOUBLE) AS m, stddev_pop(embedding[i]::DOUBLE) + 1e-9 AS s FROM unit, (SELECT unnest(range(1, 65)) AS i) r WHERE vec_id % 5 = 0 GROUP BY i), z AS (SELECT vec_id, list((embedding[i]::DOUBLE - m)/s ORDER BY i) AS e FROM unit, st GROUP BY vec_id), k AS (SELECT q.vec_id, sqrt(list_sum(list_transform(list_zip(q.e, b.e), lambda p: (p[1]-p[2])*(p[1]-p[2])))) AS d FROM z q, z b WHERE q.vec_id % 5 = 1 AND b.vec_id % 5 = 0), r AS (SELECT vec_id, d, row_number() OVER (PARTITION BY vec_id ORDER BY d) AS n FROM k) SELECT vec_id, round(avg(d), 5) AS score FROM r WHERE n <= 5 GROUP BY vec_id", "unit"))
+@query("d14_bundle_score", oracle(", st AS (SELECT i, avg(embedding[i]::DOUBLE) AS m, stddev_pop(embedding[i]::DOUBLE) + 1e-9 AS s FROM unit, (SELECT unnest(range(1, 65)) AS i) r WHERE vec_id % 5 = 0 GROUP BY i), z AS (SELECT vec_id, list((embedding[i]::DOUBLE - m)/s ORDER BY i) AS e FROM unit, st GROUP BY vec_id), k AS (SELECT q.vec_id, sqrt(list_sum(list_transform(list_zip(q.e, b.e), lambda p: (p[1]-p[2])*(p[1]-p[2])))) AS d FROM z q, z b WHERE q.vec_id % 5 <> 0 AND b.vec_id % 5 = 0), r AS (SELECT vec_id, d, row_number() OVER (PARTITION BY vec_id ORDER BY d) AS n FROM k) SELECT vec_id, round(avg(d), 5) AS score FROM r WHERE n <= 5 GROUP BY vec_id", "unit"))
 def d14(spark, d):
     e = view(spark, d, "unit").select("vec_id", "embedding")
-    return rounded(answers.bundle_score(e.where("vec_id % 5 = 1"), e.where("vec_id % 5 = 0")), "score", digits=5)
+    return rounded(answers.bundle_score(e.where("vec_id % 5 <> 0"), e.where("vec_id % 5 = 0")), "score", digits=5)
 
 
 @query("s6_pending_jobs", oracle(" SELECT sim, frame FROM records WHERE k >= 10", "records"))
