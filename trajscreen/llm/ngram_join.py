@@ -7,9 +7,9 @@ tokens come last) and go on by a hash of their own. Order 0 makes the candidates
 a parity bitmap (its differing bits are at most the differing tokens) drop most; the rest must share a prefix token
 under every other order too before their sets are intersected.
 
-Only the components are asked for, so a bucket first links its members to one leader; the later rounds compare only
-members of different components, each with its likeliest partner before all others, which keeps groups of copies from
-being expanded into all pairs.
+Only the components are asked for, so a bucket first links its members to one leader; later rounds compare only
+members of different components, first each with a few others of its bucket, then with its likeliest partner, then all
+that is left. So groups of copies, near or less near, aren't expanded into all pairs.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import LOWER_TABLE, SPACES, carried, chunks, mix, saved, shingle_hashes, word_hashes
 
@@ -35,6 +36,8 @@ LONGS = 8  # 64-bit words of a parity bitmap
 WIDER = ((800, 64), (6000, 512))
 SEEDS = np.array([0x51ED270B7A1F39C5, 0xA24BAED4963EE407, 0x9FB21C651E98DF25], np.uint64)
 SALTED = 1000  # pairs that are verified together with one copy of their leader's set
+AHEAD = 8  # members of a bucket that each is held against in the second round
+KEPT = 3  # and those of them, by all its buckets, that it is verified against
 BLOOM_BITS = 23
 
 
@@ -240,6 +243,25 @@ def _verify(percent: int, classes) -> Callable:
     return run
 
 
+def _neighbours(rest: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that may be similar, of different components: in each bucket, put in an order of its own, every member
+    is held against the few that follow; each keeps its likeliest. Linear in the buckets' rows, and in a large group of
+    partly similar sets enough to join nearly all that belongs together."""
+    order = Window.partitionBy("token").orderBy(F.xxhash64("token", "sid"))
+    ahead = F.array(*[F.lead(F.struct("sid", "component", "n", "bitmap"), k).over(order) for k in range(1, AHEAD + 1)])
+
+    def differing(x: Column) -> Column:
+        return sum((F.bit_count(x["bitmap"][i].bitwiseXOR(F.col("bitmap")[i])) for i in range(1, LONGS)), F.bit_count(x["bitmap"][0].bitwiseXOR(F.col("bitmap")[0])))
+
+    def likely(x: Column) -> Column:
+        n = F.col("n")
+        return x.isNotNull() & (x["component"] != F.col("component")) & (100 * F.least(n, x["n"]) >= percent * F.greatest(n, x["n"])) & (differing(x) * (100 + percent) <= (100 - percent) * (n + x["n"]))
+
+    found = rest.withColumn("ahead", ahead).select("sid", F.explode(F.transform(F.filter("ahead", likely), lambda x: F.struct(differing(x).alias("d"), x["sid"].alias("other")))).alias("p"))
+    best = found.groupBy("sid").agg(F.slice(F.array_sort(F.collect_set("p")), 1, KEPT).alias("ps")).select("sid", F.explode("ps").alias("p"))
+    return best.select(F.least("sid", "p.other").alias("a"), F.greatest("sid", "p.other").alias("b")).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of the nodes of edges (a, b); component: its smallest node. Large-star and small-star rounds:
     every node hands its larger, then its smaller neighbours to the smallest one, until nothing changes."""
@@ -303,6 +325,12 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     labelled = shared.join(grouped.withColumnRenamed("node", "sid"), "sid", "left").select("token", "sid", F.coalesce("component", "sid").alias("component"))
     open_ = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
     rest = saved(labelled.join(open_, "token").join(info.select("sid", "n", "bitmap"), "sid"), "open-buckets")
+    near = saved(_neighbours(rest, percent), "neighbours")
+    links = saved(links.unionByName(linked(near, "neighbour")), "links")
+    grouped = saved(components(links), "components")
+    again = rest.drop("component").join(grouped.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    open_ = again.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
+    rest = saved(again.join(open_, "token"), "open-buckets")
     across = (F.col("x.token") == F.col("y.token")) & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.component") != F.col("y.component"))
     crossing = rest.alias("x").join(rest.alias("y"), across & _close("x", "y", percent)).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"), _differing("x", "y").alias("d"))
     crossing = saved(crossing.distinct(), "crossing")
