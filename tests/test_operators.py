@@ -238,3 +238,10 @@ def test_metrics_files_and_guards(spark, tmp_path):
     metrics.assert_labels_agree(a, a)
     with pytest.raises(ValueError):
         metrics.assert_labels_agree(a, a.withColumn("label", ~F.col("label")))
+
+
+def test_runs_are_whole(spark):
+    rows = spark.read.parquet(f"{SF}/lineitem.parquet").groupBy("l_suppkey").count().collect()
+    got = {r["sim"]: r for r in view(spark, SF, "positions").groupBy("sim").agg(F.count(F.lit(1)).alias("n"), F.max("frame").alias("last")).collect()}
+    assert {r["l_suppkey"]: (r["count"] // 9 * 9, r["count"] // 9 - 1) for r in rows} == {k: (v["n"], v["last"]) for k, v in got.items()}
+    assert max(v["last"] for v in got.values()) > 57

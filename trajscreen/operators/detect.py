@@ -104,10 +104,17 @@ def jacobian_frame_scores(scores: DataFrame, nodes: DataFrame) -> DataFrame:
     return own.groupBy("sim", "frame").agg((F.sum("score") / 4).alias("score"))
 
 
+def _on(frames: Sequence[int]) -> Column:
+    """Whether a row's frame is one of frames; a range is not listed."""
+    if isinstance(frames, range):
+        return (F.col("frame") >= frames.start) & (F.col("frame") < frames.stop) & ((F.col("frame") - frames.start) % frames.step == 0)
+    return F.col("frame").isin(list(frames))
+
+
 def calibrated(raw: DataFrame, nodes: DataFrame, frames: Sequence[int]) -> DataFrame:
     """raw (sim, frame, node, score) over its node's level: the node's median on the calibration frames plus the plate's
     median of those."""
-    level = raw.where(F.col("frame").isin(list(frames))).groupBy("sim", "node").agg(median(F.col("score")).alias("c"))
+    level = raw.where(_on(frames)).groupBy("sim", "node").agg(median(F.col("score")).alias("c"))
     plate = level.join(nodes.where(F.col("node_type") == NORMAL).select("node"), "node").groupBy("sim").agg(median(F.col("c")).alias("plate"))
     return raw.join(level, ["sim", "node"]).join(plate, "sim").select(*KEYS, (F.col("score") / (F.col("c") + F.col("plate") + 1e-12)).alias("score"))
 
@@ -117,9 +124,12 @@ def calibrated_causal(raw: DataFrame, nodes: DataFrame, frames: Sequence[int], g
     each prefix of calibration frames are made once a node and joined by the prefix's length."""
     order = Window.partitionBy("sim", "node").orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)
     number = F.row_number().over(Window.partitionBy("sim", "node").orderBy("frame"))
-    level = raw.where(F.col("frame").isin(list(frames))).select("sim", "node", number.alias("n"), median(F.col("score")).over(order).alias("c"))
+    level = raw.where(_on(frames)).select("sim", "node", number.alias("n"), median(F.col("score")).over(order).alias("c"))
     plate = level.join(nodes.where(F.col("node_type") == NORMAL).select("node"), "node").groupBy("sim", "n").agg(median(F.col("c")).alias("plate"))
-    past = sum(((F.col("frame") - gap) > f).cast("int") for f in frames)
+    if isinstance(frames, range):
+        past = F.greatest(F.ceil((F.least(F.col("frame") - gap, F.lit(frames.stop)) - frames.start) / frames.step).cast("int"), F.lit(0))
+    else:
+        past = sum(((F.col("frame") - gap) > f).cast("int") for f in frames)
     return raw.withColumn("n", F.greatest(past, F.lit(least))).join(level, ["sim", "node", "n"]).join(plate, ["sim", "n"]).select(*KEYS, (F.col("score") / (F.col("c") + F.col("plate") + 1e-12)).alias("score"))
 
 

@@ -101,18 +101,24 @@ def inject_frozen(patched: DataFrame, positions: DataFrame, lengths: dict[int, i
     return spread.join(positions.select("sim", "frame", "node"), ["sim", "frame", "node"], "left_semi").select("sim", "type", "sev", "frame", "node", "x", "y", "z")
 
 
+def _ending(df: DataFrame, t_max: int | DataFrame) -> DataFrame:
+    """df with t_max, one number or that of the run."""
+    return df.join(t_max.select("sim", "t_max"), "sim") if isinstance(t_max, DataFrame) else df.withColumn("t_max", F.lit(t_max))
+
+
 def label_frames(deviations: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, frame): frames with a node that is not where it is in the clean run."""
     return deviations.where("distance > 0").select(*keys, "frame").distinct()
 
 
-def choose_frames(events: DataFrame, window: int = 40, guard: int = 3, t_max: int = 350, keys: Sequence[str] = ("sim", "type", "sev"), least: int = 4) -> DataFrame:
+def choose_frames(events: DataFrame, window: int = 40, guard: int = 3, t_max: int | DataFrame = 350, keys: Sequence[str] = ("sim", "type", "sev"), least: int = 4) -> DataFrame:
     """(keys, frame, label, phase) from event frames (keys, frame): all of them, the first one the onset; and as many clean
-    ones (at least `least`, as far as there are any) near the event but outside its guard band, by hash."""
-    ev = events.where((F.col("frame") >= 2) & (F.col("frame") < t_max))
-    bounds = ev.groupBy(*keys).agg(F.min("frame").alias("a"), F.max("frame").alias("b"), F.count(F.lit(1)).alias("n"))
+    ones (at least `least`, as far as there are any) near the event but outside its guard band, by hash. t_max: the length of
+    all runs, or (sim, t_max)."""
+    ev = _ending(events, t_max).where((F.col("frame") >= 2) & (F.col("frame") < F.col("t_max")))
+    bounds = ev.groupBy(*keys).agg(F.min("frame").alias("a"), F.max("frame").alias("b"), F.count(F.lit(1)).alias("n"), F.first("t_max").alias("end"))
     marked = ev.join(bounds, list(keys)).select(*keys, "frame", F.lit(True).alias("label"), F.when(F.col("frame") == F.col("a"), "onset").otherwise("sustained").alias("phase"))
-    near = bounds.withColumn("frame", F.explode(F.sequence(F.greatest(F.col("a") - window, F.lit(2)), F.least(F.col("b") + window, F.lit(t_max - 1)))))
+    near = bounds.withColumn("frame", F.explode(F.sequence(F.greatest(F.col("a") - window, F.lit(2)), F.least(F.col("b") + window, F.col("end") - 1))))
     free = near.where((F.col("frame") < F.greatest(F.col("a") - guard, F.lit(0))) | (F.col("frame") > F.col("b") + guard))
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(draw(*[F.col(k) for k in keys], "clean", F.col("frame")), "frame"))
     clean = free.withColumn("r", rank).where(F.col("r") <= F.greatest(F.lit(least), F.col("n"))).select(*keys, "frame", F.lit(False).alias("label"), F.lit("clean").alias("phase"))
@@ -174,24 +180,24 @@ def inject_inversion(copies: DataFrame, centres: DataFrame, positions: DataFrame
     return spread.select(*keys, "frame", F.col("top").alias("node"), *[(F.col(f"top{c}") - 2 * share * height * k).alias(c) for c, k in zip("xyz", n, strict=True)])
 
 
-def acceleration_floor(positions: DataFrame, nodes: DataFrame, t_max: int, first: int = 10) -> DataFrame:
+def acceleration_floor(positions: DataFrame, nodes: DataFrame, t_max: int | DataFrame, first: int = 10) -> DataFrame:
     """(sim, floor): median over frames from `first` on of the plate's root mean square second difference."""
     order = Window.partitionBy("sim", "node").orderBy("frame")
     second = [(F.col(c) - 2 * F.lag(c, 1).over(order) + F.lag(c, 2).over(order)) for c in "xyz"]
-    own = positions.join(nodes.where(F.col("node_type") == NORMAL).select("node"), "node").where(F.col("frame") < t_max)
+    own = _ending(positions, t_max).join(nodes.where(F.col("node_type") == NORMAL).select("node"), "node").where(F.col("frame") < F.col("t_max"))
     sq = own.select("sim", "frame", (second[0] * second[0] + second[1] * second[1] + second[2] * second[2]).alias("q")).where("q is not null")
     frames = sq.where(F.col("frame") >= first).groupBy("sim", "frame").agg(F.sqrt(F.avg("q")).alias("a"))
     return frames.groupBy("sim").agg(F.greatest(F.percentile("a", F.lit(0.5)), F.lit(1e-9)).alias("floor"))
 
 
-def plan_blowups(sims: DataFrame, floors: DataFrame, steps: DataFrame, t_max: int = 350, growth: float = 1.3, cap: float = 100.0, hold: int = 5, onset: int = 40) -> DataFrame:
+def plan_blowups(sims: DataFrame, floors: DataFrame, steps: DataFrame, t_max: int | DataFrame = 350, growth: float = 1.3, cap: float = 100.0, hold: int = 5, onset: int = 40) -> DataFrame:
     """(sim, kind, seed, start, n_grow, t0, top): a blow-up from the run's acceleration floor to cap times its step, at a
     growing rate, held for some frames; the onset is drawn so that it ends within the run."""
     top = F.col("step") * cap
-    both = sims.select("sim").join(floors, "sim").join(steps, "sim").withColumn("top", top)
-    n = F.least(F.ceil(F.log(F.col("top") / F.col("floor")) / F.log(F.lit(growth))) + 1, F.lit(t_max - 50)).cast("int")
+    both = _ending(sims.select("sim"), t_max).join(floors, "sim").join(steps, "sim").withColumn("top", top)
+    n = F.least(F.ceil(F.log(F.col("top") / F.col("floor")) / F.log(F.lit(growth))) + 1, F.col("t_max") - 50).cast("int")
     grown = both.withColumn("n_grow", F.greatest(n, F.lit(1))).withColumn("start", F.col("top") / F.pow(F.lit(growth), (F.col("n_grow") - 1).cast("double")))
-    room = F.greatest(F.lit(t_max - hold - onset) - F.col("n_grow"), F.lit(1))
+    room = F.greatest(F.col("t_max") - (hold + onset) - F.col("n_grow"), F.lit(1))
     return grown.select("sim", F.lit("blowup").alias("type"), F.lit(3).alias("sev"), (F.col("sim") * 100 + 99).alias("seed"), "start", "n_grow", "top", (onset + F.pmod(draw(F.col("sim") * 100 + 99, "t0"), room)).cast("int").alias("t0"))
 
 

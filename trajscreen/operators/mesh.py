@@ -32,6 +32,11 @@ def one_hot(nodes: DataFrame, classes: int = 4) -> DataFrame:
     return nodes.withColumns({f"type_{k}": (F.col("node_type") == k).cast("double") for k in range(classes)})
 
 
+def run_lengths(positions: DataFrame) -> DataFrame:
+    """(sim, t_max): one more than the last frame of each run."""
+    return positions.groupBy("sim").agg((F.max("frame") + 1).alias("t_max"))
+
+
 def mesh_edges(cells: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Each undirected edge of the tets in both directions: keys, src, dst."""
     pairs = [F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")) for i, a in enumerate(VERTICES) for b in VERTICES[i + 1 :]]

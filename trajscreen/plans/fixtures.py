@@ -6,17 +6,15 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-FRAMES = 58
-
 VIEWS = {
     "rest": """SELECT CAST(n AS INT) AS node, CAST(t AS INT) AS node_type, CAST(a AS DOUBLE) AS rx, CAST(b AS DOUBLE) AS ry, CAST(c AS DOUBLE) AS rz
 FROM (VALUES (0,0,0e0,0e0,0e0),(1,0,20e0,0e0,0e0),(2,0,0e0,20e0,0e0),(3,0,0e0,0e0,20e0),(4,0,20e0,20e0,20e0),(5,1,0e0,0e0,-4e-1),(6,1,20e0,0e0,-20e0),(7,1,0e0,20e0,-20e0),(8,1,6e0,6e0,-40e0)) AS r(n,t,a,b,c)""",
     "cells": "SELECT CAST(c AS INT) AS cell, CAST(a AS INT) AS v0, CAST(b AS INT) AS v1, CAST(d AS INT) AS v2, CAST(e AS INT) AS v3 FROM (VALUES (0,0,1,2,3),(1,1,2,3,4),(2,6,5,7,8)) AS q(c,a,b,d,e)",
-    "positions": f"""SELECT q.sim, q.frame, q.node,
+    "positions": """SELECT q.sim, q.frame, q.node,
   rx + q.frame*5e-2*(q.node%3-1) + (CAST(q.l_quantity AS DOUBLE)-255e-1)*4e-4 AS x, ry + q.frame*3e-2*(q.node%2) + (CAST(q.l_discount AS DOUBLE)-5e-2)*2e-1 AS y, rz + q.frame*2e-2 + (CAST(q.l_tax AS DOUBLE)-4e-2)*25e-2 AS z
 FROM (SELECT sim, CAST(FLOOR(r/9e0) AS INT) AS frame, CAST(r%9 AS INT) AS node, l_quantity, l_discount, l_tax
-  FROM (SELECT l_suppkey AS sim, l_quantity, l_discount, l_tax, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) - 1 AS r FROM lineitem) w
-  WHERE r < {9 * FRAMES}) q JOIN rest ON rest.node = q.node""",
+  FROM (SELECT l_suppkey AS sim, l_quantity, l_discount, l_tax, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) - 1 AS r, count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem) w
+  WHERE r < n - n % 9) q JOIN rest ON rest.node = q.node""",
     "records": """SELECT sim, frame, type, sev, k, k >= 50 AS label, CASE WHEN k >= 75 THEN 'onset' WHEN k >= 50 THEN 'sustained' ELSE 'clean' END AS phase, value + k*5e-1 AS score_a, value AS score_b
 FROM (SELECT user_id AS sim, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INT) AS frame, CAST(1 + event_id % 3 AS INT) AS sev, CAST(value AS DOUBLE) AS value,
   CASE event_type WHEN 'signup' THEN 'hourglass' WHEN 'error' THEN 'penetration' WHEN 'click' THEN 'inversion' WHEN 'view' THEN 'instability' ELSE 'frozen' END AS type,

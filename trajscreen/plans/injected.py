@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trajscreen.functions.columns import norm3
 from trajscreen.operators import alarms, answers, detect, inject, mesh, metrics
-from trajscreen.plans.fixtures import FRAMES, oracle, view
+from trajscreen.plans.fixtures import oracle, view
 from trajscreen.plans.screening import _E, COPY, GAP, MATRIX, PX, PY, changed, registered, rounded
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,8 +74,9 @@ def i6(spark, d):
 @query("i8_blowup")
 def i8(spark, d):
     p, r, _, edges, _ = _base(spark, d)
-    plan = inject.plan_blowups(p.select("sim").distinct(), inject.acceleration_floor(p, r, FRAMES), detect.step_scale(p, r), FRAMES, cap=2.0, onset=12)
-    return inject.inject_blowup(inject.patch(plan, inject.moving_centres(plan, p, r), edges, r, 1), p).where(F.col("frame") < FRAMES)
+    lengths = mesh.run_lengths(p)
+    plan = inject.plan_blowups(p.select("sim").distinct(), inject.acceleration_floor(p, r, lengths), detect.step_scale(p, r), lengths, cap=2.0, onset=12)
+    return inject.inject_blowup(inject.patch(plan, inject.moving_centres(plan, p, r), edges, r, 1), p)
 
 
 @query("i11_counterfactual_pairs")
@@ -88,8 +89,9 @@ def i11(spark, d):
 
 @query("i12_pick_frames")
 def i12(spark, d):
-    ev = view(spark, d, "positions").select("sim").distinct().select("sim", F.explode(F.sequence(F.expr("cast(20 + sim % 7 as int)"), F.expr("cast(29 + sim % 11 as int)"))).alias("frame"))
-    return inject.pick_frames(inject.choose_frames(ev, t_max=FRAMES, keys=("sim",)), keys=("sim",))
+    p = view(spark, d, "positions")
+    ev = p.select("sim").distinct().select("sim", F.explode(F.sequence(F.expr("cast(20 + sim % 7 as int)"), F.expr("cast(29 + sim % 11 as int)"))).alias("frame"))
+    return inject.pick_frames(inject.choose_frames(ev, t_max=mesh.run_lengths(p), keys=("sim",)), keys=("sim",))
 
 
 @query("j3_contact_pairs", oracle(" SELECT sim, plate, actuator, round(d, 6) AS distance FROM (SELECT a.node AS plate, b.node AS actuator, sqrt((a.rx-b.rx)*(a.rx-b.rx)+(a.ry-b.ry)*(a.ry-b.ry)+(a.rz-b.rz)*(a.rz-b.rz)) AS d, row_number() OVER (PARTITION BY a.node ORDER BY sqrt((a.rx-b.rx)*(a.rx-b.rx)+(a.ry-b.ry)*(a.ry-b.ry)+(a.rz-b.rz)*(a.rz-b.rz)), b.node) AS r FROM rest a, rest b WHERE a.node <= 4 AND b.node >= 5) q, (SELECT DISTINCT sim FROM positions) s WHERE d <= 305e-1 AND r <= 2", "positions"))

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from trajscreen.functions.columns import norm3
 from trajscreen.operators import alarms, detect, inject, mesh, metrics
-from trajscreen.plans.fixtures import FRAMES, oracle, view
+from trajscreen.plans.fixtures import oracle, view
 
-CALIB = tuple(range(5, FRAMES, 10))
+CALIB = range(5, 2**31 - 1, 10)  # every tenth frame of a run, however long
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -89,9 +89,10 @@ def p7(spark, d):
 
 
 @query("p9_crop_box", oracle(f"""SELECT sim, round((a+b)/2 - greatest(b-a, e-c)/2*1.08e0 - 4, 5) AS "left", round((c+e)/2 - greatest(b-a, e-c)/2*1.08e0 - 4, 5) AS top, round(greatest(b-a, e-c)*1.08e0 + 8, 5) AS side FROM (
-  SELECT sim, min(px) AS a, max(px) AS b, min(py) AS c, max(py) AS e FROM (SELECT sim, {PX.format(m=_E)} AS px, {PY.format(m=_E)} AS py FROM positions WHERE frame IN (0, 57) AND node <= 4) q GROUP BY sim) w""", "positions"))
+  SELECT sim, min(px) AS a, max(px) AS b, min(py) AS c, max(py) AS e FROM (SELECT sim, {PX.format(m=_E)} AS px, {PY.format(m=_E)} AS py FROM (SELECT *, max(frame) OVER (PARTITION BY sim) AS last FROM positions) p WHERE (frame = 0 OR frame = last) AND node <= 4) q GROUP BY sim) w""", "positions"))
 def p9(spark, d):
-    px = mesh.project(view(spark, d, "positions").where("frame in (0, 57) and node <= 4"), MATRIX)
+    p = view(spark, d, "positions")
+    px = mesh.project(p.join(mesh.run_lengths(p), "sim").where("(frame = 0 or frame = t_max - 1) and node <= 4"), MATRIX)
     box = px.groupBy("sim").agg(F.min("px").alias("a"), F.max("px").alias("b"), F.min("py").alias("c"), F.max("py").alias("e"))
     half = F.greatest(F.col("b") - F.col("a"), F.col("e") - F.col("c")) / 2 * 1.08 + 4
     return rounded(box.select("sim", ((F.col("a") + F.col("b")) / 2 - half).alias("left"), ((F.col("c") + F.col("e")) / 2 - half).alias("top"), (2 * half).alias("side")), "left", "top", "side", digits=5)
@@ -230,7 +231,7 @@ def _global_oracle(kind: str, v: float) -> str:
         return oracle(f"SELECT p.sim, p.frame, p.node, {body} FROM positions p JOIN rest ON p.node = rest.node JOIN positions q ON q.sim = p.sim AND q.node = p.node AND q.frame = greatest(p.frame - {int(v)}, 0)", "positions")
     body = ", ".join(f"round(CASE WHEN node_type = 0 THEN r{c} + (1-w)*(a.{c}-r{c}) + w*(b.{c}-r{c}) ELSE p.{c} END, 6) AS {c}" for c in "xyz")
     t = f"p.frame*{v:e}"
-    return oracle(f"SELECT p.sim, p.frame, p.node, {body} FROM (SELECT p.*, node_type, rx, ry, rz, least(CAST(floor({t}) AS INT), 57) AS lo, least(CAST(floor({t}) AS INT) + 1, 57) AS hi, {t} - floor({t}) AS w FROM positions p JOIN rest ON p.node = rest.node) p JOIN positions a ON a.sim = p.sim AND a.node = p.node AND a.frame = lo JOIN positions b ON b.sim = p.sim AND b.node = p.node AND b.frame = hi", "positions")
+    return oracle(f"SELECT p.sim, p.frame, p.node, {body} FROM (SELECT p.*, node_type, rx, ry, rz, least(CAST(floor({t}) AS INT), last) AS lo, least(CAST(floor({t}) AS INT) + 1, last) AS hi, {t} - floor({t}) AS w FROM (SELECT *, max(frame) OVER (PARTITION BY sim) AS last FROM positions) p JOIN rest ON p.node = rest.node) p JOIN positions a ON a.sim = p.sim AND a.node = p.node AND a.frame = lo JOIN positions b ON b.sim = p.sim AND b.node = p.node AND b.frame = hi", "positions")
 
 
 for _kind, _value in (("scale", 0.1), ("lag", 10), ("timescale", 0.95)):
@@ -249,11 +250,12 @@ def _events(p: DataFrame) -> DataFrame:
 EVENTS = ", ev AS (SELECT sim, unnest(range(20 + sim % 7, 30 + sim % 11)) AS frame FROM (SELECT DISTINCT sim FROM positions))"
 
 
-@query("i10_choose_frames", oracle(EVENTS + f""", b AS (SELECT sim, min(frame) AS a, max(frame) AS b, count(*) AS n FROM ev GROUP BY sim), c AS (SELECT sim, a, b, n, unnest(range(greatest(a - 40, 2), least(b + 40, 57) + 1)) AS frame FROM b),
+@query("i10_choose_frames", oracle(EVENTS + f""", b AS (SELECT sim, min(frame) AS a, max(frame) AS b, count(*) AS n FROM ev GROUP BY sim), c AS (SELECT sim, a, b, n, unnest(range(greatest(a - 40, 2), least(b + 40, last) + 1)) AS frame FROM b JOIN (SELECT sim, max(frame) AS last FROM positions GROUP BY sim) e USING (sim)),
 k AS (SELECT *, row_number() OVER (PARTITION BY sim ORDER BY {DRAW.format("CAST(sim AS VARCHAR) || '|clean|' || CAST(frame AS VARCHAR)")}, frame) AS r FROM c WHERE frame < greatest(a - 3, 0) OR frame > b + 3)
 SELECT ev.sim, CAST(ev.frame AS INT) AS frame, true AS label, CASE WHEN ev.frame = a THEN 'onset' ELSE 'sustained' END AS phase FROM ev JOIN b ON ev.sim = b.sim UNION ALL SELECT sim, CAST(frame AS INT), false, 'clean' FROM k WHERE r <= greatest(4, n)""", "positions"))
 def i10(spark, d):
-    return inject.choose_frames(_events(view(spark, d, "positions")), t_max=FRAMES, keys=("sim",)).withColumn("frame", F.col("frame").cast("int"))
+    p = view(spark, d, "positions")
+    return inject.choose_frames(_events(p), t_max=mesh.run_lengths(p), keys=("sim",)).withColumn("frame", F.col("frame").cast("int"))
 
 
 @query("d1_constvel_scores", oracle(CONSTVEL + " SELECT sim, frame, node, round(score, 6) AS score FROM cv", "positions"))
@@ -325,7 +327,7 @@ def d13(spark, d):
     return rounded(detect.bundle_features(p, r, mesh.mesh_edges(c), c), "value", digits=5)
 
 
-CAL = CONSTVEL + ", lv AS (SELECT sim, node, quantile_cont(score, 0.5) AS c FROM cv WHERE frame IN (5,15,25,35,45,55) GROUP BY sim, node), pl AS (SELECT sim, quantile_cont(c, 0.5) AS plate FROM lv WHERE node <= 4 GROUP BY sim)"
+CAL = CONSTVEL + ", lv AS (SELECT sim, node, quantile_cont(score, 0.5) AS c FROM cv WHERE frame % 10 = 5 GROUP BY sim, node), pl AS (SELECT sim, quantile_cont(c, 0.5) AS plate FROM lv WHERE node <= 4 GROUP BY sim)"
 
 
 @query("c1_calibrated", oracle(CAL + " SELECT cv.sim, frame, cv.node, round(score / (c + plate + 1e-12), 5) AS score FROM cv JOIN lv ON cv.sim = lv.sim AND cv.node = lv.node JOIN pl ON cv.sim = pl.sim", "positions"))
@@ -334,8 +336,8 @@ def c1(spark, d):
     return rounded(detect.calibrated(detect.constvel_scores(p), r, CALIB), "score", digits=5)
 
 
-@query("c2_calibrated_causal", oracle(CONSTVEL + """, k AS (SELECT sim, node, score, row_number() OVER (PARTITION BY sim, node ORDER BY frame) AS n FROM cv WHERE frame IN (5,15,25,35,45,55)), lv AS (SELECT a.sim, a.node, a.n, quantile_cont(b.score, 0.5) AS c FROM k a JOIN k b ON a.sim = b.sim AND a.node = b.node AND b.n <= a.n GROUP BY ALL), pl AS (SELECT sim, n, quantile_cont(c, 0.5) AS plate FROM lv WHERE node <= 4 GROUP BY sim, n)
-SELECT s.sim, s.frame, s.node, round(score / (c + plate + 1e-12), 5) AS score FROM (SELECT *, greatest(3, (frame-3 > 5)::INT + (frame-3 > 15)::INT + (frame-3 > 25)::INT + (frame-3 > 35)::INT + (frame-3 > 45)::INT + (frame-3 > 55)::INT) AS n FROM cv) s JOIN lv ON s.sim = lv.sim AND s.node = lv.node AND s.n = lv.n JOIN pl ON s.sim = pl.sim AND s.n = pl.n""", "positions"))
+@query("c2_calibrated_causal", oracle(CONSTVEL + """, k AS (SELECT sim, node, score, row_number() OVER (PARTITION BY sim, node ORDER BY frame) AS n FROM cv WHERE frame % 10 = 5), lv AS (SELECT a.sim, a.node, a.n, quantile_cont(b.score, 0.5) AS c FROM k a JOIN k b ON a.sim = b.sim AND a.node = b.node AND b.n <= a.n GROUP BY ALL), pl AS (SELECT sim, n, quantile_cont(c, 0.5) AS plate FROM lv WHERE node <= 4 GROUP BY sim, n)
+SELECT s.sim, s.frame, s.node, round(score / (c + plate + 1e-12), 5) AS score FROM (SELECT *, greatest(3, CAST(floor((frame + 1)/10e0) AS INT)) AS n FROM cv) s JOIN lv ON s.sim = lv.sim AND s.node = lv.node AND s.n = lv.n JOIN pl ON s.sim = pl.sim AND s.n = pl.n""", "positions"))
 def c2(spark, d):
     p, r = _views(spark, d, "positions", "rest")
     return rounded(detect.calibrated_causal(detect.constvel_scores(p), r, CALIB), "score", digits=5)
