@@ -40,6 +40,18 @@ def test_join_repeats_nulls_and_empty_tables(spark):
     assert sorted(r.doc_id for r in ngram_join.deduplicated(df).collect()) == [1, 2]
 
 
+def test_survivors_of_repeated_and_null_keys(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    near = a.replace("a29", "z")
+    rows = [(None, a), (None, b), (None, b), (None, near), (None, c), (4, c), (5, d), (5, "one two"), (5, c), (5, d), (7, None), (7, ""), (None, None), (None, " ")]
+    df = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, n int")
+    got = ngram_join.deduplicated(df.repartition(3)).select("doc_id", "text").collect()
+    left = sorted(map(repr, (tuple(r) for r in got if r.text not in (a, near))))
+    assert left == sorted(map(repr, [(None, b), (4, c), (5, d), (5, "one two"), (7, None), (7, ""), (None, None), (None, " ")]))
+    assert sum(r.text in (a, near) for r in got) == 1
+    assert sorted(ngram_join.deduplicated(df.where("doc_id is null")).columns) == ["doc_id", "n", "text"]
+
+
 def test_frequency_table_counts_every_document(spark, rows):
     texts = spark.createDataFrame([(t,) for _, t in rows], "text string").select(F.col("text").cast("binary").alias("text"))
     assert ngram_join.frequency_classes(texts, 5).max() > 0

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 from pyspark.sql.window import Window
 
 from .common import LOWER_TABLE, SPACES, carried, chunks, mix, saved, shingle_hashes, word_hashes
@@ -280,15 +281,8 @@ def components(edges: DataFrame) -> DataFrame:
         now = saved(hung.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
 
 
-def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of docs: key, n_shingles, component_id (the smallest key reachable by links of similarity
-    percent / 100 or more, its own included).
-
-    Texts are lower-cased (A-Z), words lie between ASCII spaces; a text of fewer than `words` words has one shingle, a
-    null text or one without words none and no links. Rows of equal sets are linked. Null keys count as rows; a
-    component of null keys alone has the id null. Repeated rows give repeated rows. Long texts are processed whole. An
-    empty table gives no rows. Columns other than key and text aren't read.
-    """
+def _labelled(docs: DataFrame, key: str, text: str, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(key, cls, n) of each row of docs, and (cls, component, component_id) of each class."""
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(F.col(key)).alias("kh"), F.col(text).cast("binary").alias("text"))
@@ -349,18 +343,54 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     of_set = saved(of_set, "set-components")
     slim = described.select("key", "cls", "n")
     named = slim.where("cls is not null").groupBy("cls").agg(F.min("key").alias("k")).join(of_set, "cls").groupBy("component").agg(F.min("k").alias("component_id"))
-    ids = saved(of_set.join(named, "component").select("cls", "component_id"), "set-ids")
-    return slim.join(ids, "cls", "left").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("key")).otherwise(F.col("component_id")).alias("component_id"))
+    ids = saved(of_set.join(named, "component").select("cls", "component", "component_id"), "set-ids")
+    return slim, ids
+
+
+def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """One row per row of docs: key, n_shingles, component_id (the smallest key reachable by links of similarity
+    percent / 100 or more, its own included).
+
+    Texts are lower-cased (A-Z), words lie between ASCII spaces; a text of fewer than `words` words has one shingle, a
+    null text or one without words none and no links. Rows of equal sets are linked. Null keys count as rows; a
+    component of null keys alone has the id null. Repeated rows give repeated rows. Long texts are processed whole. An
+    empty table gives no rows. Columns other than key and text aren't read.
+    """
+    slim, ids = _labelled(docs, key, text, words, percent)
+    return slim.join(ids.select("cls", "component_id"), "cls", "left").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("key")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def _with_class(docs: DataFrame, text: str, n: int) -> DataFrame:
+    """docs with __cls: the class of each row's text, null without shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cls = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in token_sets(batch.column("__cls"), n)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(cls, pa.binary())], batch.schema.names)
+
+    rows = docs.withColumn("__cls", F.col(text).cast("binary"))
+    return rows.mapInArrow(run, StructType([*docs.schema.fields, StructField("__cls", BinaryType())]))
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one row of each component: that of the smallest key; rows without shingles all stay. Of repeated rows
-    with that key one stays."""
-    found = similar(docs, key, text, words, percent)
-    again = saved(docs.groupBy(key).count().where("count > 1").select(F.col(key).alias("__again")), "repeated")
-    firsts = found.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("__key")).distinct()
-    kept = docs.join(firsts, F.col(key).eqNullSafe(F.col("__key")), "left_semi")
+    """docs with one row of each component: that of the smallest key, and among different texts of that key of the smallest
+    class; null keys come last. Rows without shingles all stay, whatever their keys."""
+    slim, ids = _labelled(docs, key, text, words, percent)
+    found = slim.join(ids, "cls", "left")
+    again = saved(docs.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(F.col(key).alias("__again")), "repeated")
+    firsts = found.where(F.col("cls").isNull() | F.col("key").eqNullSafe(F.col("component_id"))).select(F.col("key").alias("__key")).distinct()
+    kept = docs.join(firsts, F.col(key) == F.col("__key"), "left_semi")
+    unnamed, repeated = docs.where(F.col(key).isNull()), docs.join(again, F.col(key) == F.col("__again"), "left_semi")
     if again.isEmpty():
-        return kept
-    repeated = kept.join(again, F.col(key).eqNullSafe(F.col("__again")), "left_semi").dropDuplicates([key])
-    return kept.join(again, F.col(key).eqNullSafe(F.col("__again")), "left_anti").unionByName(repeated)
+        if unnamed.isEmpty():
+            return kept
+        repeated = unnamed
+    else:
+        kept, repeated = kept.join(again, F.col(key) == F.col("__again"), "left_anti"), repeated.unionByName(unnamed)
+    # a key of several rows, or none, doesn't tell which of them is meant: their own classes do
+    repeated = saved(_with_class(repeated, text, words), "repeated-classes")
+    least = found.where(F.col("cls").isNotNull() & F.col("key").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min(F.struct("cls", "component_id")).alias("m"))
+    least = least.select(F.col("m.cls").alias("__first"), F.col("m.component_id").alias("__key"))
+    own = repeated.where("__cls is not null").dropDuplicates([key, "__cls"])
+    own = own.join(least, (F.col("__cls") == F.col("__first")) & F.col(key).eqNullSafe(F.col("__key")), "left_semi")
+    return kept.unionByName(own.drop("__cls")).unionByName(repeated.where("__cls is null").drop("__cls"))
