@@ -33,6 +33,19 @@ def test_sharding_law_and_slots(spark):
     assert sharding.assign_shards(spark.createDataFrame([], DOCS), [1.0]).count() == 0
 
 
+@pytest.mark.parametrize("before,after,changed", [([1.0, 1.0, 1.0], [1.0, 1.0, 1.0, 2.0], 3), ([1.0, 1.0, 1.0], [1.0, 1.0, 1.5], 2), ([0.1, 0.1, 0.1], [0.1, 0.1, 0.1, 0.10000000000000002], 3)])
+def test_only_the_changed_shard_takes_records(spark, before, after, changed):
+    df = spark.range(3000).select(sharding.shard_of(F.col("id"), before).alias("a"), sharding.shard_of(F.col("id"), after).alias("b"))
+    moved = df.where("a <> b").groupBy("b").count().collect()
+    assert [r.b for r in moved] == [changed] and 0 < moved[0]["count"] < 1500
+
+
+def test_growth_by_float_weights(spark):
+    rows = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    got = sharding.assign_shards(rows, [0.1, 0.1, 0.1]).where("grown_shard <> shard").select("grown_shard").distinct().collect()
+    assert [r.grown_shard for r in got] == [3]
+
+
 def test_weighted_shards(spark):
     df = spark.range(4000).withColumnRenamed("id", "doc_id")
     counts = Counter(r[0] for r in df.select(sharding.shard_of(F.col("doc_id"), [1.0, 3.0, 0.0])).collect())

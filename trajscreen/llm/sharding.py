@@ -1,7 +1,8 @@
 """Sharding by weighted rendezvous hashing of stable record keys (DataFrame functions only).
 
 Each shard draws an exponential of rate `weight` from a hash of (key, shard); the smallest draw takes the record. The
-draw of a shard doesn't depend on the other shards, so one more shard takes records only into itself.
+draw of a shard doesn't depend on the other shards, so one more shard takes records only into itself. Draws grow with the
+hash; equal weights need the hash alone, which orders the shards alike.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ def shard_of(key: Column, weights: Sequence[float]) -> Column:
         if weight > 0:
             bits = hashed_52(key, F.lit(shard))
             even = len({w for w in weights if w > 0}) == 1
-            draw = bits if even else -F.log((bits + F.lit(1)) / F.lit(math.ldexp(1, 52) + 1)) / F.lit(float(weight))
+            draw = bits if even else -F.log1p(-bits / F.lit(math.ldexp(1, 52))) / F.lit(float(weight))
             draws.append(F.struct(draw.alias("draw"), F.lit(shard).alias("shard")))
     return (F.least(*draws) if len(draws) > 1 else draws[0])["shard"]
 
