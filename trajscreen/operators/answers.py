@@ -17,6 +17,8 @@ from pyspark.sql.window import Window
 from trajscreen.functions.columns import dot, draw, log1p_abs, unit_vector
 
 ANSWER = "anomaly_type string, location string, confidence double, explanation string"
+BLOCK = 20_000  # rows of a block of queries or of a shard of the bank
+STEP = 256  # queries of a block that are held against a shard at once
 
 
 def parse_answer(raw: Column, labels: Sequence[str]) -> Column:
@@ -49,13 +51,22 @@ def zero_shot_scores(embeddings: DataFrame, texts: DataFrame, temperature: float
     return cos.select("item", "vec_id", (1 / (1 + F.exp((F.col("normal") - F.col("odd")) / temperature))).alias("score"), (F.col("odd") - F.col("normal")).alias("difference"))
 
 
-def nearest_in_bank(queries: DataFrame, bank: DataFrame, k: int, cosine: bool, shards: int = 8) -> DataFrame:
-    """(vec_id, distances): ascending distances of each query to its k nearest bank rows. Queries and bank are cut into
-    blocks; each task compares one block of queries with one shard of the bank by a matrix product, and the shards' best
-    are merged. queries, bank: vec_id, embedding."""
+def in_blocks(queries: DataFrame, bank: DataFrame, rows: int = BLOCK, least: int = 8) -> tuple[DataFrame, DataFrame]:
+    """queries and bank (vec_id, embedding) as (vec_id, v, part, shard), every block of queries beside every shard of the
+    bank. By hash a block has about `rows` rows, or fewer where there would be under `least` blocks."""
+    parts, shards = (max(least, -(-df.count() // rows)) for df in (queries, bank))
+
+    def numbered(df: DataFrame, name: str, n: int, other: str, m: int) -> DataFrame:
+        place = F.pmod(F.xxhash64("vec_id", "v"), F.lit(n)).cast("int")
+        return df.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).withColumn(name, place).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+
+    return numbered(queries, "part", parts, "shard", shards), numbered(bank, "shard", shards, "part", parts)
 
-    def numbered(df: DataFrame, name: str, n: int) -> DataFrame:
-        return df.select("vec_id", F.col("embedding").cast("array<double>").alias("v"), F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias(name))
+
+def nearest_in_bank(queries: DataFrame, bank: DataFrame, k: int, cosine: bool, rows: int = BLOCK) -> DataFrame:
+    """(vec_id, distances): ascending distances of each query to its k nearest bank rows. Queries and bank are cut into
+    blocks, as many as their rows ask for; each task compares one block of queries with one shard of the bank by a matrix
+    product, and the shards' best are merged. queries, bank: vec_id, embedding."""
 
     def block(left, right: pa.Table) -> pa.Table:
         q, b = np.stack(left.column("v").to_numpy()), np.stack(right.column("v").to_numpy()) if right.num_rows else np.zeros((0, 1))
@@ -64,19 +75,18 @@ def nearest_in_bank(queries: DataFrame, bank: DataFrame, k: int, cosine: bool, s
         if cosine:
             q, b = q / np.linalg.norm(q, axis=1, keepdims=True), b / np.linalg.norm(b, axis=1, keepdims=True)
         ids, ds = [], []
-        for at in range(0, len(q), 1024):
-            part = q[at : at + 1024]
+        for at in range(0, len(q), STEP):
+            part = q[at : at + STEP]
             d = 1 - part @ b.T if cosine else np.sqrt(np.maximum((part * part).sum(1)[:, None] + (b * b).sum(1) - 2 * part @ b.T, 0))
             best = np.sort(np.partition(d, min(k, len(b)) - 1, axis=1)[:, :k], axis=1)
-            ids.append(np.repeat(left.column("vec_id").to_numpy()[at : at + 1024], best.shape[1]))
+            ids.append(np.repeat(left.column("vec_id").to_numpy()[at : at + STEP], best.shape[1]))
             ds.append(best.ravel())
         return pa.table({"vec_id": np.concatenate(ids), "d": np.concatenate(ds)})
 
     def pairs(left: pa.Table, right: pa.Table) -> pa.Table:
         return block(left, right) if left.num_rows else pa.table({"vec_id": pa.array([], pa.int64()), "d": pa.array([], pa.float64())})
 
-    q = numbered(queries, "part", shards).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    b = numbered(bank, "shard", shards).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    q, b = in_blocks(queries, bank, rows)
     found = q.groupBy("part", "shard").cogroup(b.groupBy("part", "shard")).applyInArrow(pairs, "vec_id bigint, d double")
     return found.groupBy("vec_id").agg(F.slice(F.array_sort(F.collect_list("d")), 1, k).alias("distances"))
 
