@@ -39,6 +39,22 @@ def test_monitor_equals_batch(spark, landed):
         assert all(abs(got[k] - v) < 1e-6 * max(1, abs(v)) for k, v in batch.items())
 
 
+def test_split_frames_equal_batch(spark, landed, tmp_path):
+    p = landed[0].where("frame < 30")
+    for i in range(6):  # each file has the last three nodes of one frame, whole frames, and two nodes of the next
+        lo, hi = 5 * i, 5 * i + 5
+        part = p.where((F.col("frame") > lo) & (F.col("frame") < hi) | (F.col("frame") == lo) & ((F.col("node") >= 2) | F.lit(i == 0)) | (F.col("frame") == hi) & (F.col("node") < 2))
+        part.coalesce(1).write.parquet(str(tmp_path / f"{i}"))
+    stream = source(spark, str(tmp_path / "*"))
+    got = {(r.sim, r.frame, r.detector): r.score for r in drained(monitor.monitor(stream), spark, "split").collect()}
+    rest = view(spark, SF, "rest")
+    want = {}
+    for name, scores, first in (("constvel", detect.constvel_scores(p), 2), ("velocity_causal", detect.velocity_causal_scores(p), 9)):
+        want |= {(r.sim, r.frame, name): r.score for r in detect.frame_scores(scores, rest).where(F.col("frame") >= first).collect()}
+    assert set(got) == set(want)
+    assert all(abs(got[k] - v) < 1e-6 * max(1, abs(v)) for k, v in want.items())
+
+
 def test_late_frames_are_reported(spark, landed, tmp_path):
     p, _ = landed
     path = str(tmp_path)

@@ -11,34 +11,46 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUT = "sim bigint, frame int, detector string, score double, late boolean"
-STATE = "nodes array<int>, last array<double>, before array<double>, frame int, speeds array<array<double>>, frames array<int>, late bigint"
+STATE = "nodes array<int>, last array<double>, before array<double>, frame int, speeds array<array<double>>, frames array<int>, late bigint, open int, open_nodes array<int>, open_at array<double>"
 MAD = 1.4826
 
 
 def monitor(stream: DataFrame, t_max: int = 350, gap: int = 4, least: int = 5, k: int = 5) -> DataFrame:
     """Frame scores of detectors constvel and velocity_causal from a stream (sim, frame, node, x, y, z, ts) of plate nodes.
 
-    State of a run: its last two frames and the speeds of its past frames (t_max at most). A frame is scored once it is
-    complete, that is when a later one of the run has come; a frame at or before the last scored one is late: counted,
-    reported without scores and dropped. Equal to the batch scores for frames whose past has no look-ahead, t >= least + gap.
+    State of a run: its last two frames, the rows of the newest one, and the speeds of its past frames (t_max at most). A
+    frame is scored once it is complete: when it has all nodes of the frame before it (a mesh keeps its nodes), or when a
+    later one of the run has come. Till then its rows wait, so it may be split over batches. A frame at or before the last
+    scored one is late: counted, reported without scores and dropped. Frames of other nodes aren't compared. Equal to the batch scores for frames whose past has no look-ahead, t >= least + gap.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         new = pd.concat(list(batches))
         if state.exists:
-            nodes, last, before, frame, speeds, frames, late = state.get
+            nodes, last, before, frame, speeds, frames, late, waits, waiting, places = state.get
         else:
-            nodes, last, before, frame, speeds, frames, late = [], [], [], -1, [], [], 0
+            nodes, last, before, frame, speeds, frames, late, waits, waiting, places = [], [], [], -1, [], [], 0, -1, [], []
+        nodes = [int(n) for n in nodes]
         last, before = (np.array(a, float).reshape(-1, 3) for a in (last, before))
+        new = new[["frame", "node", "x", "y", "z"]]
+        if len(waiting):
+            held = pd.DataFrame(np.array(places, float).reshape(-1, 3), columns=["x", "y", "z"]).assign(frame=waits, node=waiting)
+            new = pd.concat([held[new.columns], new])
+        newest, waits, waiting, places = new["frame"].max(), -1, [], []
         rows = []
         for f, part in new.groupby("frame"):
             if f <= frame:
                 late += len(part)
                 rows.append((key[0], int(f), "late", None, True))
                 continue
-            now = part.sort_values("node")[["x", "y", "z"]].to_numpy(float)
-            nodes = [int(n) for n in np.sort(part["node"].to_numpy())]
-            if len(last) and len(last) == len(now) and f == frame + 1:
+            part = part.drop_duplicates("node").sort_values("node")
+            now, own = part[["x", "y", "z"]].to_numpy(float), [int(n) for n in part["node"]]
+            same = nodes == own
+            if f == newest and not same:
+                waits, waiting, places = int(f), own, now.ravel().tolist()
+                continue
+            nodes = own
+            if same and f == frame + 1:
                 speed = np.linalg.norm(now - last, axis=1)
                 speeds, frames = [*speeds, speed.tolist()][-t_max:], [*frames, int(f)][-t_max:]
                 top = lambda s: float(np.mean(np.sort(s)[::-1][:k]))
@@ -53,7 +65,7 @@ def monitor(stream: DataFrame, t_max: int = 350, gap: int = 4, least: int = 5, k
             else:
                 before = np.zeros((0, 3))
             last, frame = now, int(f)
-        state.update((nodes, last.ravel().tolist(), before.ravel().tolist(), frame, [list(s) for s in speeds], frames, late))
+        state.update((nodes, last.ravel().tolist(), before.ravel().tolist(), frame, [list(s) for s in speeds], frames, late, waits, waiting, places))
         yield pd.DataFrame(rows, columns=["sim", "frame", "detector", "score", "late"])
 
     return stream.groupBy("sim").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
