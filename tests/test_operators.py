@@ -258,3 +258,12 @@ def test_runs_are_whole(spark):
     got = {r["sim"]: r for r in view(spark, SF, "positions").groupBy("sim").agg(F.count(F.lit(1)).alias("n"), F.max("frame").alias("last")).collect()}
     assert {r["l_suppkey"]: (r["count"] // 9 * 9, r["count"] // 9 - 1) for r in rows} == {k: (v["n"], v["last"]) for k, v in got.items()}
     assert max(v["last"] for v in got.values()) > 57
+
+
+def test_replicates_let_holm_reject():
+    from trajscreen.plans import evaluation
+
+    types = 5
+    assert 1 / (evaluation.GATE_REPS + 1) < 0.05 / types and 0.025 * evaluation.REPS > 10
+    assert evaluation.PERMUTATIONS == evaluation.MEDIAN_REPS == 1000
+    assert all(f"range({n})" in evaluation.ORACLE_SQL[q] for q, n in (("b1_bootstrap_ci", 500), ("b5_holm", 2000), ("b6_run_auroc", 2000), ("b7_median_ci", 1000), ("b8_permutation_p", 1000)))

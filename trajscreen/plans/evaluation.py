@@ -14,7 +14,9 @@ from trajscreen.plans.fixtures import oracle, view
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
-REPS = 40
+REPS = 500  # of cells
+GATE_REPS = 2000  # of gates and run-level statistics
+MEDIAN_REPS = PERMUTATIONS = 1000
 LABELS = tuple(f"type{i}" for i in range(6))
 STEMS = ("the", "tion", "and", "here", "ing", "ent", "on", "er", "of", "re")
 
@@ -164,7 +166,7 @@ def j11(spark, d):
 
 WEIGHTS = f", cl AS (SELECT sim, row_number() OVER (ORDER BY sim) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT sim FROM tall)), dr AS (SELECT rep, ('0x' || substr(md5('0|' || CAST(rep AS VARCHAR) || '|' || CAST(i AS VARCHAR)), 1, 8))::BIGINT % n AS j FROM cl, (SELECT unnest(range({REPS})) AS rep) r), wt AS (SELECT rep, sim, count(*) AS weight FROM dr JOIN cl ON j = i GROUP BY rep, sim)"
 BOOT = WEIGHTS + ", ag AS (SELECT type, detector, rep, score, sum(CASE WHEN label THEN weight ELSE 0 END) AS p, sum(CASE WHEN label THEN 0 ELSE weight END) AS n FROM tall JOIN wt ON tall.sim = wt.sim GROUP BY ALL), un AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY type, detector, rep ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS u FROM ag), ba AS (SELECT type, detector, rep, sum(p*(u + n/2e0)) / (sum(p)*1e0*sum(n)) AS auroc FROM un GROUP BY ALL HAVING sum(p) > 0 AND sum(n) > 0)"
-DELTAS = BOOT + ", de AS (SELECT a.type, a.rep, a.auroc - b.auroc AS delta FROM ba a JOIN ba b ON a.type = b.type AND a.rep = b.rep WHERE a.detector = 'a' AND b.detector = 'b')"
+DELTAS = BOOT.replace(f"range({REPS})", f"range({GATE_REPS})") + ", de AS (SELECT a.type, a.rep, a.auroc - b.auroc AS delta FROM ba a JOIN ba b ON a.type = b.type AND a.rep = b.rep WHERE a.detector = 'a' AND b.detector = 'b')"
 
 
 @query("b1_bootstrap_ci", oracle(BOOT + " SELECT ba.type, detector, c.clusters, round(quantile_cont(auroc, 0.025), 6) AS lo, round(quantile_cont(auroc, 0.975), 6) AS hi FROM ba JOIN (SELECT type, count(DISTINCT sim) AS clusters FROM tall GROUP BY type) c ON c.type = ba.type GROUP BY ALL", "tall"))
@@ -174,12 +176,12 @@ def b1(spark, d):
 
 @query("b2_paired_bootstrap", oracle(DELTAS + " SELECT type, rep, round(delta, 6) AS delta FROM de", "tall"))
 def b2(spark, d):
-    return rounded(resample.paired_bootstrap(view(spark, d, "tall"), "a", "b", ["type"], REPS), "delta")
+    return rounded(resample.paired_bootstrap(view(spark, d, "tall"), "a", "b", ["type"], GATE_REPS), "delta")
 
 
 @query("b3_gate_mean_diff", oracle(DELTAS + " SELECT round(avg(m), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi, quantile_cont(m, 0.025) > 0 AS passed FROM (SELECT rep, avg(delta) AS m FROM de GROUP BY rep) q", "tall"))
 def b3(spark, d):
-    return rounded(resample.gate_mean_diff(resample.paired_bootstrap(view(spark, d, "tall"), "a", "b", ["type"], REPS)), "mean", "lo", "hi")
+    return rounded(resample.gate_mean_diff(resample.paired_bootstrap(view(spark, d, "tall"), "a", "b", ["type"], GATE_REPS)), "mean", "lo", "hi")
 
 
 PVALUES = DELTAS + ", pv AS (SELECT type, (count(CASE WHEN delta - 33e-2 <= 0 THEN 1 END) + 1e0) / (count(*) + 1) AS p FROM de GROUP BY type)"
@@ -187,26 +189,26 @@ PVALUES = DELTAS + ", pv AS (SELECT type, (count(CASE WHEN delta - 33e-2 <= 0 TH
 
 @query("b4_one_sided_p", oracle(PVALUES + " SELECT type, round(p, 6) AS p FROM pv", "tall"))
 def b4(spark, d):
-    deltas = resample.paired_bootstrap(view(spark, d, "tall"), "a", "b", ["type"], REPS).withColumn("delta", F.col("delta") - 0.33)
+    deltas = resample.paired_bootstrap(view(spark, d, "tall"), "a", "b", ["type"], GATE_REPS).withColumn("delta", F.col("delta") - 0.33)
     return rounded(resample.one_sided_p(deltas, ["type"]), "p")
 
 
 @query("b5_holm", oracle(PVALUES + " SELECT type, round(p, 6) AS p, min(ok) OVER (ORDER BY p, type ROWS UNBOUNDED PRECEDING) = 1 AS rejected FROM (SELECT type, p, CASE WHEN p <= 5e-2 / (count(*) OVER () - row_number() OVER (ORDER BY p, type) + 1) THEN 1 ELSE 0 END AS ok FROM pv) q", "tall"))
 def b5(spark, d):
-    deltas = resample.paired_bootstrap(view(spark, d, "tall"), "a", "b", ["type"], REPS).withColumn("delta", F.col("delta") - 0.33)
+    deltas = resample.paired_bootstrap(view(spark, d, "tall"), "a", "b", ["type"], GATE_REPS).withColumn("delta", F.col("delta") - 0.33)
     return rounded(resample.holm(resample.one_sided_p(deltas, ["type"]), ["type"]), "p")
 
 
-@query("b6_run_auroc", oracle(WEIGHTS.replace("tall", "rr") .replace(", cl AS", ", rr AS (SELECT sim, label, max(score_a) AS score FROM records GROUP BY sim, label), cl AS", 1) + ", ag AS (SELECT rep, score, sum(CASE WHEN label THEN weight ELSE 0 END) AS p, sum(CASE WHEN label THEN 0 ELSE weight END) AS n FROM rr JOIN wt ON rr.sim = wt.sim GROUP BY ALL), un AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY rep ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS u FROM ag) SELECT rep, round(sum(p*(u + n/2e0)) / (sum(p)*1e0*sum(n)), 6) AS auroc FROM un GROUP BY rep", "records"))
+@query("b6_run_auroc", oracle(WEIGHTS.replace(f"range({REPS})", f"range({GATE_REPS})").replace("tall", "rr") .replace(", cl AS", ", rr AS (SELECT sim, label, max(score_a) AS score FROM records GROUP BY sim, label), cl AS", 1) + ", ag AS (SELECT rep, score, sum(CASE WHEN label THEN weight ELSE 0 END) AS p, sum(CASE WHEN label THEN 0 ELSE weight END) AS n FROM rr JOIN wt ON rr.sim = wt.sim GROUP BY ALL), un AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY rep ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS u FROM ag) SELECT rep, round(sum(p*(u + n/2e0)) / (sum(p)*1e0*sum(n)), 6) AS auroc FROM un GROUP BY rep", "records"))
 def b6(spark, d):
     runs = view(spark, d, "records").groupBy("sim", "label").agg(F.max("score_a").alias("score"))
-    return rounded(resample.weighted_auroc(runs, resample.bootstrap_weights(runs, REPS), []), "auroc")
+    return rounded(resample.weighted_auroc(runs, resample.bootstrap_weights(runs, GATE_REPS), []), "auroc")
 
 
-@query("b7_median_ci", oracle(WEIGHTS + ", mm AS (SELECT rep, quantile_cont(v, 0.5) AS m FROM (SELECT rep, unnest(list_transform(range(weight), lambda x: v)) AS v FROM wt JOIN (SELECT sim, max(score) AS v FROM tall GROUP BY sim) s ON wt.sim = s.sim) q GROUP BY rep) SELECT round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM mm", "tall"))
+@query("b7_median_ci", oracle(WEIGHTS.replace(f"range({REPS})", f"range({MEDIAN_REPS})") + ", mm AS (SELECT rep, quantile_cont(v, 0.5) AS m FROM (SELECT rep, unnest(list_transform(range(weight), lambda x: v)) AS v FROM wt JOIN (SELECT sim, max(score) AS v FROM tall GROUP BY sim) s ON wt.sim = s.sim) q GROUP BY rep) SELECT round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM mm", "tall"))
 def b7(spark, d):
     runs = view(spark, d, "tall").groupBy("sim").agg(F.max("score").alias("v"))
-    return rounded(resample.median_ci(runs, "v", "sim", REPS), "lo", "hi")
+    return rounded(resample.median_ci(runs, "v", "sim", MEDIAN_REPS), "lo", "hi")
 
 
 TERMS = ", tm AS (SELECT doc_id, list_filter([" + ", ".join(f"'{s}'" for s in STEMS) + "], lambda s: contains(lower(coalesce(text, '')), s)) AS t FROM documents), tp AS (SELECT a.doc_id AS item, a.t AS a, b.t AS b FROM tm a JOIN tm b ON b.doc_id = a.doc_id + 1)"
@@ -228,9 +230,9 @@ def x3(spark, d):
     return rounded(_term_pairs(spark, d).select("item", jaccard(F.col("a"), F.col("b")).alias("similarity")), "similarity")
 
 
-@query("b8_permutation_p", "WITH x AS (SELECT 1)" + TERMS + f", nu AS (SELECT *, row_number() OVER (ORDER BY ('0x' || substr(md5('0|order|' || CAST(item AS VARCHAR)), 1, 8))::BIGINT, item) AS i FROM tp), re AS (SELECT nu.*, rep FROM nu, (SELECT unnest(range(20)) AS rep) r), sh AS (SELECT rep, b, row_number() OVER (PARTITION BY rep ORDER BY ('0x' || substr(md5('0|' || CAST(rep AS VARCHAR) || '|' || CAST(item AS VARCHAR)), 1, 8))::BIGINT, item) AS i FROM re), me AS (SELECT re.rep, avg({JACC.format('re.a', 'sh.b')}) AS m FROM re JOIN sh ON re.rep = sh.rep AND re.i = sh.i GROUP BY re.rep), ob AS (SELECT avg({JACC.format('a', 'b')}) AS observed FROM nu) SELECT round(observed, 6) AS observed, round((count(CASE WHEN m >= observed THEN 1 END) + 1e0)/(count(*) + 1), 6) AS p FROM me, ob GROUP BY observed")
+@query("b8_permutation_p", "WITH x AS (SELECT 1)" + TERMS + f", nu AS (SELECT *, row_number() OVER (ORDER BY ('0x' || substr(md5('0|order|' || CAST(item AS VARCHAR)), 1, 8))::BIGINT, item) AS i FROM tp), re AS (SELECT nu.*, rep FROM nu, (SELECT unnest(range({PERMUTATIONS})) AS rep) r), sh AS (SELECT rep, b, row_number() OVER (PARTITION BY rep ORDER BY ('0x' || substr(md5('0|' || CAST(rep AS VARCHAR) || '|' || CAST(item AS VARCHAR)), 1, 8))::BIGINT, item) AS i FROM re), me AS (SELECT re.rep, avg({JACC.format('re.a', 'sh.b')}) AS m FROM re JOIN sh ON re.rep = sh.rep AND re.i = sh.i GROUP BY re.rep), ob AS (SELECT avg({JACC.format('a', 'b')}) AS observed FROM nu) SELECT round(observed, 6) AS observed, round((count(CASE WHEN m >= observed THEN 1 END) + 1e0)/(count(*) + 1), 6) AS p FROM me, ob GROUP BY observed")
 def b8(spark, d):
-    return rounded(resample.permutation_p(_term_pairs(spark, d), jaccard, 20), "observed", "p")
+    return rounded(resample.permutation_p(_term_pairs(spark, d), jaccard, PERMUTATIONS), "observed", "p")
 
 
 @query("l1_conformal_threshold", oracle(", mx AS (SELECT sim, detector, max(score) AS run_max FROM tall WHERE frame >= 10 GROUP BY sim, detector) SELECT detector, round(max(CASE WHEN r = ceil((n+1)*9e-1) THEN run_max END), 6) AS threshold FROM (SELECT *, row_number() OVER (PARTITION BY detector ORDER BY run_max, sim) AS r, count(*) OVER (PARTITION BY detector) AS n FROM mx) q GROUP BY detector", "tall"))
