@@ -267,3 +267,9 @@ def test_replicates_let_holm_reject():
     assert 1 / (evaluation.GATE_REPS + 1) < 0.05 / types and 0.025 * evaluation.REPS > 10
     assert evaluation.PERMUTATIONS == evaluation.MEDIAN_REPS == 1000
     assert all(f"range({n})" in evaluation.ORACLE_SQL[q] for q, n in (("b1_bootstrap_ci", 500), ("b5_holm", 2000), ("b6_run_auroc", 2000), ("b7_median_ci", 1000), ("b8_permutation_p", 1000)))
+
+
+def test_answers_hold_whole_texts(spark):
+    texts = spark.read.parquet(f"{SF}/conversations.parquet").agg(F.sum(F.length("text")).alias("n")).first()["n"]
+    a = view(spark, SF, "answers").where("length(raw) > 0")
+    assert a.agg(F.sum(F.locate(' {"anomaly_type"', F.col("raw")) - 1).alias("n")).first()["n"] == texts

@@ -24,7 +24,7 @@ FROM (SELECT user_id AS sim, CAST(row_number() OVER (PARTITION BY user_id ORDER
     "und": """SELECT DISTINCT CASE WHEN p < q THEN p ELSE q END AS a, CASE WHEN p < q THEN q ELSE p END AS b FROM (SELECT v0 AS p, v1 AS q FROM cells UNION ALL SELECT v0, v2 FROM cells UNION ALL SELECT v0, v3 FROM cells UNION ALL SELECT v1, v2 FROM cells UNION ALL SELECT v1, v3 FROM cells UNION ALL SELECT v2, v3 FROM cells) e""",
     "confidence": "SELECT d.doc_id AS item, (d.n_chars % 1000)/1e3 AS conf, CASE WHEN l.quality = 1 THEN 1 ELSE 0 END AS correct FROM documents d JOIN labels l ON d.doc_id = l.doc_id",
     "answers": """SELECT conv_id, turn, role AS arm, CAST(conv_id % 6 AS INT) AS truth_id, CAST((conv_id*7+turn) % 6 AS INT) AS type_id, CAST((conv_id*7+turn) % 9 AS INT) AS cell_id, CAST((conv_id + turn) % 9 AS INT) AS truth_cell,
-  concat(substr(coalesce(text, ''), 1, 20), ' {"anomaly_type": "', CASE WHEN (conv_id*5+turn) % 13 = 0 THEN 'unknown' ELSE concat('type', CAST((conv_id*7+turn) % 6 AS STRING)) END, '", "location": "c', CAST((conv_id*7+turn) % 9 AS STRING), '", "confidence": ', CAST((conv_id % 10) AS STRING), CASE WHEN (conv_id*3+turn) % 11 = 0 THEN '' ELSE '}' END) AS raw FROM conversations""",
+  concat(coalesce(text, ''), ' {"anomaly_type": "', CASE WHEN (conv_id*5+turn) % 13 = 0 THEN 'unknown' ELSE concat('type', CAST((conv_id*7+turn) % 6 AS STRING)) END, '", "location": "c', CAST((conv_id*7+turn) % 9 AS STRING), '", "confidence": ', CAST((conv_id % 10) AS STRING), CASE WHEN (conv_id*3+turn) % 11 = 0 THEN '' ELSE '}' END) AS raw FROM conversations""",
     "unit": "SELECT vec_id, label, CAST(FLOOR(vec_id/4e0) AS BIGINT) AS item, embedding FROM embeddings",
 }
 NEEDS = {"positions": ("rest", "lineitem"), "records": ("events",), "tall": ("records",), "und": ("cells",), "edges": ("und",), "confidence": ("documents", "labels"), "answers": ("conversations",), "unit": ("embeddings",)}
