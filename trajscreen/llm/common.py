@@ -5,7 +5,9 @@ from __future__ import annotations
 import sys
 import tempfile
 import uuid
+import zlib
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +48,66 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what saved() wrote, once no frame that is still wanted reads it."""
+    for df in frames:
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.saved_at)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
+    """Arrow batches of so many rows for the jobs that run inside; the session's own setting comes back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or with underscores before it until no column of df (in any case) is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+FAN_IN = 256  # tables that one task adds up at most
+
+
+def summed_table(partials: DataFrame, slices: int, dtype: type) -> DataFrame:
+    """partials (slice, part): each task's tables of numbers, cut into slices and compressed -> (slice, part): their sums,
+    in the wider type of dtype. With many tasks the sums are taken in a tree, FAN_IN tables a task, so no task reads all."""
+    wide = np.uint64 if np.issubdtype(dtype, np.integer) else np.float64
+
+    def add(kind: type) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    part = np.frombuffer(zlib.decompress(raw), kind)
+                    if i in sums:
+                        sums[i] += part
+                    else:
+                        sums[i] = part.astype(wide)
+            for i, total in sums.items():
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["slice", "part"])
+
+        return run
+
+    groups, kind = -(-partials.rdd.getNumPartitions() // FAN_IN), dtype
+    while groups > 1:
+        partials = partials.repartition(slices * groups, "slice", F.pmod(F.spark_partition_id(), F.lit(groups))).mapInArrow(add(kind), "slice int, part binary")
+        groups, kind = -(-groups // FAN_IN), wide
+    return partials.repartition(slices, "slice").mapInArrow(add(kind), "slice int, part binary")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -61,12 +122,18 @@ def ascii_lower(text: Column) -> Column:
 
 def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
     """Join on keys where null equals null; the right side's keys are dropped."""
-    right = right.select(*[F.col(c).alias(f"__{c}" if c in keys else c) for c in right.columns])
+    names = {}
+    for k in keys:
+        name = f"right_{k}"
+        while name in left.columns or name in right.columns or name in names.values():
+            name = f"_{name}"
+        names[k] = name
+    right = right.select(*[F.col(c).alias(names.get(c, c)) for c in right.columns])
     on = None
     for k in keys:
-        same = F.col(k).eqNullSafe(F.col(f"__{k}"))
+        same = F.col(k).eqNullSafe(F.col(names[k]))
         on = same if on is None else on & same
-    return left.join(right, on, how).drop(*[f"__{k}" for k in keys])
+    return left.join(right, on, how).drop(*names.values())
 
 
 # --- word hashing of Arrow string columns, a few hundred thousand bytes at a time -----------------------------------
