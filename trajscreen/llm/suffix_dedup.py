@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, INVERSE, carried, chunks, mix, powers, saved, shared_dir
+from .common import BASE, INVERSE, carried, chunks, discard, mix, powers, saved, shared_dir, small_batches
 
 carried(__name__)
 
@@ -27,8 +27,10 @@ SPAN = 200
 GRAM = 40
 BEFORE = SPAN - GRAM  # bytes before an anchor that a string holding it can reach
 SHALLOW = 32  # bytes beyond the common gram that quicksort looks at
-#: Anchors with more surroundings than this go the exact way by string hashes, spread over all tasks.
-CROWDED = 100_000
+#: A gram with more surroundings than the first number is sorted in pieces: strings that begin o bytes before the anchor, o
+#: from a to b, share its a bytes before and its SPAN - b bytes from there on, so anchors meet by these. Each step up the list
+#: makes the ranges of o narrower, to single values.
+CROWDS = ((0, BEFORE + 1), (20_000, 21), (1_000_000, 1))
 SPREAD = 256  # parts over which the settled anchors of a gram are dealt
 BATCH = 20_000  # surroundings that are sorted at once
 
@@ -190,19 +192,40 @@ class BlindTrie:
         return out
 
 
-def deep_shallow(strings: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """Order of the rows of strings (bytes) by (group, string): multikey quicksort by 8-byte keys to SHALLOW bytes, all
-    groups side by side, then a blind trie for each run of rows that are still equal."""
-    width = strings.shape[1]
+def multikey_quicksort(strings: np.ndarray, group: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the rows of strings (bytes) by (group, first `depth` bytes), and the segment of each place: rows of a group
+    that agree in those bytes. In every round each open segment is split in three about the 8-byte key of its middle row;
+    the part that equals it goes on with the next key, the others stay at theirs. All segments are split side by side."""
     order, segment = np.argsort(group, kind="stable"), np.sort(group)
-    for depth in range(0, min(SHALLOW, width), 8):
-        key = np.zeros((len(order), 8), np.uint8)
-        part = strings[order, depth : depth + 8]
-        key[:, : part.shape[1]] = part
-        key = key.view(">u8").ravel().astype(np.uint64)
-        step = np.lexsort((key, segment))
-        order, key, segment = order[step], key[step], segment[step]
-        segment = np.cumsum(np.r_[False, (segment[1:] != segment[:-1]) | (key[1:] != key[:-1])])
+    segment = np.cumsum(np.r_[False, segment[1:] != segment[:-1]])
+    keys = -(-min(depth, strings.shape[1]) // 8)
+    padded = np.zeros((len(strings), 8 * keys), np.uint8)
+    padded[:, : min(depth, strings.shape[1])] = strings[:, : 8 * keys][:, : min(depth, strings.shape[1])]
+    key = padded.view(">u8").astype(np.uint64)
+    level = np.zeros(len(order), np.int64)  # keys in which a segment agrees
+    while True:
+        starts = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]])
+        size = np.diff(np.r_[starts, len(order)])
+        open_ = np.flatnonzero(np.repeat((size > 1) & (level[starts] < keys), size))
+        if not len(open_):
+            return order, segment
+        pivot = np.repeat(starts + size // 2, size)[open_]
+        own, middle = key[order[open_], level[open_]], key[order[pivot], level[open_]]
+        part = (own >= middle).astype(np.int64) + (own > middle)
+        step = np.argsort(3 * segment[open_] + part, kind="stable")
+        order[open_] = order[open_][step]
+        part = part[step]
+        level[open_] += part == 1
+        parts = np.zeros(len(order), np.int64)
+        parts[open_] = part
+        both = 3 * segment + parts
+        segment = np.cumsum(np.r_[False, both[1:] != both[:-1]])
+
+
+def deep_shallow(strings: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Order of the rows of strings (bytes) by (group, string): multikey quicksort to SHALLOW bytes, then a blind trie for
+    each run of rows that are still equal."""
+    order, segment = multikey_quicksort(strings, group, SHALLOW)
     starts = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1], True])
     for a, b in zip(starts[:-1], starts[1:], strict=True):
         if b - a > 1:
@@ -223,9 +246,10 @@ def common_prefixes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(differs.any(1), differs.argmax(1), a.shape[1])
 
 
-def outermost(group: np.ndarray, left: np.ndarray, right: np.ndarray, before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each anchor (rows; group: its gram) the least and greatest o such that the string from o bytes before it also
-    surrounds another anchor of its group; (1, 0) if none does. left: the bytes before it, nearest first; right: from it on."""
+def outermost(group: np.ndarray, left: np.ndarray, right: np.ndarray, before: np.ndarray, after: np.ndarray, lowest: np.ndarray, highest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each anchor (rows; group: its gram, or piece of one) the least and greatest o from lowest to highest (equal within
+    a group) such that the string from o bytes before it also surrounds another anchor of its group; (1, 0) if none does.
+    left: the bytes before it, nearest first; right: from it on."""
     n = len(group)
     low, high = np.ones(n, np.int64), np.zeros(n, np.int64)
     sides = []
@@ -242,7 +266,7 @@ def outermost(group: np.ndarray, left: np.ndarray, right: np.ndarray, before: np
         sides.append((order, lcp))
     (by_left, lcp_left), (by_right, lcp_right) = sides
     found = np.zeros(n, bool)
-    for o in range(BEFORE + 1):
+    for o in range(int(lowest.min(initial=0)), int(highest.max(initial=-1)) + 1):
         c = np.empty(n, np.int64)
         c[by_left] = np.cumsum(lcp_left < o)
         e = np.empty(n, np.int64)
@@ -252,15 +276,37 @@ def outermost(group: np.ndarray, left: np.ndarray, right: np.ndarray, before: np
         equal = both[step][1:] == both[step][:-1]
         twice = np.zeros(n, bool)
         twice[step[1:][equal]] = twice[step[:-1][equal]] = True
-        twice &= (before >= o) & (after >= SPAN - o)
+        twice &= (before >= o) & (after >= SPAN - o) & (lowest <= o) & (o <= highest)
         low[twice & ~found] = o
         high[twice] = o
         found |= twice
     return low, high
 
 
+PIECE = ["gram", "lo", "hi", "shared"]  # what anchors that meet agree in
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Surroundings with their gram's range width -> one row for each range [lo, hi] of o that they reach, with a hash of the
+    bytes that all strings of the range share."""
+    for batch in batches:
+        raw = np.frombuffer(b"".join(batch.column("bytes").to_pylist()), np.uint8).reshape(-1, BEFORE + SPAN)
+        width, at, n = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("width", "at", "n"))
+        for w in np.unique(width):
+            for lo in range(0, BEFORE + 1, w):
+                hi = min(lo + w - 1, BEFORE)
+                rows = np.flatnonzero((width == w) & (at >= lo) & (n - at >= SPAN - hi))
+                if not len(rows):
+                    continue
+                common = np.ascontiguousarray(raw[rows, BEFORE - lo : BEFORE + SPAN - hi])
+                shared = [int.from_bytes(hashlib.blake2b(x.tobytes(), digest_size=8).digest(), "big", signed=True) for x in common] if w <= BEFORE else [0] * len(rows)
+                out = batch.drop_columns(["width"]).take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([*out.columns, pa.array([lo] * len(rows), pa.int32()), pa.array([hi] * len(rows), pa.int32()), pa.array(shared, pa.int64())], [*out.schema.names, "lo", "hi", "shared"])
+
+
 def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Surroundings sorted by gram: the stretches (d1, d2, first, last) that strings around the wanted ones cover."""
+    """Surroundings sorted by PIECE: the stretches (d1, d2, first, last) that strings around the wanted ones cover. A piece of
+    one o only holds equal strings, so it may be cut anywhere, one row staying for the next part."""
     held: list[pa.RecordBatch] = []
     size = 0
 
@@ -268,11 +314,12 @@ def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not table.num_rows:
             return
         get = lambda c: table.column(c).to_numpy()
-        at, n, wanted = get("at"), get("n"), get("wanted")
+        at, n, wanted, lo, hi = (get(c) for c in ("at", "n", "wanted", "lo", "hi"))
         raw = np.frombuffer(b"".join(table.column("bytes").to_pylist()), np.uint8).reshape(-1, BEFORE + SPAN)
         before, after = np.minimum(at, BEFORE), np.minimum(n - at, SPAN)
-        group = np.cumsum(np.r_[False, get("gram")[1:] != get("gram")[:-1]])
-        low, high = outermost(group, np.ascontiguousarray(raw[:, :BEFORE][:, ::-1]), raw[:, BEFORE:], before.astype(np.int64), after.astype(np.int64))
+        keys = np.stack([get(c).astype(np.int64) for c in PIECE], axis=1)
+        group = np.cumsum(np.r_[False, (keys[1:] != keys[:-1]).any(1)])
+        low, high = outermost(group, np.ascontiguousarray(raw[:, :BEFORE][:, ::-1]), raw[:, BEFORE:], before.astype(np.int64), after.astype(np.int64), lo, hi)
         hit = wanted & (low <= high)
         if hit.any():
             yield pa.RecordBatch.from_arrays([pa.array(get("d1")[hit]), pa.array(get("d2")[hit]), pa.array((at[hit] - high[hit]).astype(np.int32)), pa.array((at[hit] - low[hit] + SPAN).astype(np.int32))], ["d1", "d2", "first", "last"])
@@ -282,9 +329,15 @@ def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size += batch.num_rows
         if size >= BATCH:
             table = pa.Table.from_batches(held)
-            gram = table.column("gram").to_numpy()
-            cut = int(np.searchsorted(gram, gram[-1]))  # the last gram may go on
-            if cut:
+            last = [table.column(c)[-1].as_py() for c in PIECE]
+            same = np.ones(table.num_rows, bool)
+            for c, v in zip(PIECE, last, strict=True):
+                same &= table.column(c).to_numpy() == v
+            cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0  # the last piece may go on
+            if table.num_rows - cut >= BATCH and last[1] == last[2]:
+                yield from solve(table)
+                held, size = table.slice(table.num_rows - 1).combine_chunks().to_batches(), 1
+            elif cut:
                 yield from solve(table.slice(0, cut))
                 held = table.slice(cut).combine_chunks().to_batches()
                 size = table.num_rows - cut
@@ -293,30 +346,20 @@ def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _with_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(d1, d2, text, asked: list of (gram, at, wanted)) -> a row with the padded surroundings for each of asked. 255 never
-    occurs in UTF-8."""
-    schema = pa.schema([("gram", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("wanted", pa.bool_()), ("bytes", pa.binary())])
+    """(d1, d2, text, asked: list of (gram, at, wanted, width)) -> a row with the padded surroundings for each of asked. 255
+    never occurs in UTF-8."""
+    schema = pa.schema([("gram", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("wanted", pa.bool_()), ("bytes", pa.binary()), ("width", pa.int32())])
     for batch in batches:
         for d1, d2, text, asked in zip(*(batch.column(c) for c in ("d1", "d2", "text", "asked")), strict=True):
             s = text.as_py()
             padded = b"\xff" * BEFORE + s + b"\xff" * SPAN
             rows = asked.as_py()
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r["gram"] for r in rows], pa.int64()), pa.array([d1.as_py()] * len(rows), pa.int64()), pa.array([d2.as_py()] * len(rows), pa.int64()), pa.array([r["at"] for r in rows], pa.int32()), pa.array([len(s)] * len(rows), pa.int32()), pa.array([r["wanted"] for r in rows], pa.bool_()), pa.array([padded[r["at"] : r["at"] + BEFORE + SPAN] for r in rows], pa.binary())],
+                [pa.array([r["gram"] for r in rows], pa.int64()), pa.array([d1.as_py()] * len(rows), pa.int64()), pa.array([d2.as_py()] * len(rows), pa.int64()), pa.array([r["at"] for r in rows], pa.int32()), pa.array([len(s)] * len(rows), pa.int32()), pa.array([r["wanted"] for r in rows], pa.bool_()), pa.array([padded[r["at"] : r["at"] + BEFORE + SPAN] for r in rows], pa.binary()), pa.array([r["width"] for r in rows], pa.int32())],
                 schema=schema,
             )
 
 
-def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each surroundings: a digest of every 200-byte string in it."""
-    for batch in batches:
-        for gram, d1, d2, at, n, wanted, raw in zip(*(batch.column(c).to_pylist() for c in ("gram", "d1", "d2", "at", "n", "wanted", "bytes")), strict=True):
-            os = [o for o in range(BEFORE + 1) if o <= at and SPAN - o <= n - at]
-            hs = [int.from_bytes(hashlib.blake2b(raw[BEFORE - o : BEFORE - o + SPAN], digest_size=8).digest(), "big", signed=True) for o in os]
-            m = len(os)
-            yield pa.RecordBatch.from_arrays([pa.array([gram] * m, pa.int64()), pa.array(os, pa.int32()), pa.array(hs, pa.int64()), pa.array([d1] * m, pa.int64()), pa.array([d2] * m, pa.int64()), pa.array([at] * m, pa.int32()), pa.array([wanted] * m, pa.bool_())], ["gram", "o", "h", "d1", "d2", "at", "wanted"])
-
-
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(d1, d2, text, spans: list of (first, last)) -> removed bytes, runs, digest and bytes of the rest."""
     for batch in batches:
@@ -344,54 +387,57 @@ def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(mask, pa.bool_()))
 
 
-def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", crowded: int = CROWDED, with_kept: bool = False) -> DataFrame:
+def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", with_kept: bool = False, crowds=CROWDS) -> DataFrame:
     """One row per row of docs: key, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the remaining bytes).
 
     Every byte that lies in a 200-byte string that also starts elsewhere, in the same text or another, is removed. Null
     texts count as empty; texts of fewer than 200 bytes lose nothing. Rows of equal text, if it has 200 bytes, lose all of
-    it. Null keys are keys. An empty table gives no rows. Other columns aren't read.
+    it. Very long texts are read whole. Null keys are keys. An empty table gives no rows. Other columns aren't read.
     """
+    with small_batches(docs.sparkSession):
+        return _removals(docs, key, text, with_kept, crowds)
+
+
+def _removals(docs: DataFrame, key: str, text: str, with_kept: bool, crowds) -> DataFrame:
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     body = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
     half = lambda i: F.conv(F.substring("m", i, 16), 16, -10).cast("bigint")
-    named = docs.select(F.col(key), body.alias("text")).withColumn("m", F.md5("text"))
-    named = named.select(key, "text", half(1).alias("d1"), half(17).alias("d2"), F.length("text").cast("long").alias("n_bytes"))
-    rows = saved(named.select(key, "d1", "d2", "n_bytes", F.sha2("text", 256).alias("whole")), "texts")
+    named = docs.select(F.col(key).alias("key"), body.alias("text")).withColumn("m", F.md5("text"))
+    named = named.select("key", "text", half(1).alias("d1"), half(17).alias("d2"), F.length("text").cast("long").alias("n_bytes"))
+    rows = saved(named.select("key", "d1", "d2", "n_bytes", F.sha2("text", 256).alias("whole")), "texts")
     long = named.where(F.col("n_bytes") >= SPAN).select("d1", "d2", "text")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kept_texts = long.mapInArrow(_once, long.schema).repartition(parts, "d1", "d2").mapInArrow(_once, long.schema)
     name = f"texts_{uuid.uuid4().hex}"
     kept_texts.write.bucketBy(parts, "d1", "d2").option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd").saveAsTable(name)
     texts = spark.table(name)
+    texts.saved_at = f"{shared_dir(spark)}/{name}"
 
     schema = "gram bigint, around bigint, d1 bigint, d2 bigint, at int, n int, spread int"
     found = texts.mapInArrow(_anchor_rows, schema).repartition("gram", "spread").sortWithinPartitions("gram", "around")
     repeated = saved(found.mapInArrow(_sorted_out, "gram bigint, around bigint, d1 bigint, d2 bigint, at bigint, n bigint, covered boolean, asked boolean"), "anchors")
     whole = repeated.where("covered").select("d1", "d2", F.greatest(F.col("at") - BEFORE, F.lit(0)).cast("int").alias("first"), F.least(F.col("at") + SPAN, "n").cast("int").alias("last"))
 
-    asked = repeated.where("asked").select("d1", "d2", F.struct("gram", F.col("at").cast("int").alias("at"), (~F.col("covered")).alias("wanted")).alias("a")).groupBy("d1", "d2").agg(F.collect_list("a").alias("asked"))
-    surroundings = texts.join(asked, ["d1", "d2"]).mapInArrow(_with_bytes, "gram bigint, d1 bigint, d2 bigint, at int, n int, wanted boolean, bytes binary")
-    crowds = saved(repeated.where("asked").groupBy("gram").count().where(F.col("count") > crowded).select("gram"), "crowded")
-    if crowds.isEmpty():
-        usual, spread = surroundings, None
-    else:
-        surroundings = saved(surroundings, "surroundings")
-        usual, spread = surroundings.join(crowds, "gram", "left_anti"), surroundings.join(crowds, "gram", "left_semi")
-    covers = usual.repartition("gram").sortWithinPartitions("gram").mapInArrow(_covered, "d1 bigint, d2 bigint, first int, last int")
-    if spread is not None:
-        strings = saved(spread.mapInArrow(_strings, "gram bigint, o int, h bigint, d1 bigint, d2 bigint, at int, wanted boolean"), "strings")
-        twice = strings.groupBy("gram", "o", "h").count().where("count > 1").select("gram", "o", "h")
-        covers = covers.unionByName(strings.where("wanted").join(twice, ["gram", "o", "h"]).select("d1", "d2", (F.col("at") - F.col("o")).alias("first"), (F.col("at") - F.col("o") + SPAN).alias("last")))
+    asked = repeated.where("asked").select("gram", "d1", "d2", F.col("at").cast("int").alias("at"), (~F.col("covered")).alias("wanted"))
+    width = F.lit(None).cast("int")
+    for least, w in crowds:
+        width = F.when(F.col("count") > least, F.lit(w)).otherwise(width)
+    crowded = saved(asked.groupBy("gram").count().where(F.col("count") > crowds[1][0]).select("gram", width.alias("width")), "crowded")
+    asked = asked.join(crowded, "gram", "left").select("d1", "d2", F.struct("gram", "at", "wanted", F.coalesce("width", F.lit(crowds[0][1])).alias("width")).alias("a"))
+    asked = asked.groupBy("d1", "d2").agg(F.collect_list("a").alias("asked"))
+    fields = "gram bigint, d1 bigint, d2 bigint, at int, n int, wanted boolean, bytes binary"
+    surroundings = texts.join(asked, ["d1", "d2"]).mapInArrow(_with_bytes, f"{fields}, width int").mapInArrow(_pieces, f"{fields}, lo int, hi int, shared bigint")
+    covers = surroundings.repartition(*PIECE).sortWithinPartitions(*PIECE).mapInArrow(_covered, "d1 bigint, d2 bigint, first int, last int")
     spans = whole.unionByName(covers).groupBy("d1", "d2").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     cut = texts.join(spans, ["d1", "d2"]).mapInArrow(_kept, "d1 bigint, d2 bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
     cut = saved(cut if with_kept else cut.drop("kept"), "cut")
+    spark.sql(f"DROP TABLE {name}")
+    discard(texts, repeated, crowded)
 
     copies = saved(rows.where(F.col("n_bytes") >= SPAN).groupBy("d1", "d2").agg((F.count(F.lit(1)) > 1).alias("copied")).where("copied"), "copies")
     joined = rows.join(cut, ["d1", "d2"], "left").join(copies, ["d1", "d2"], "left")
     gone = F.coalesce("copied", F.lit(False))
-    out = joined.select(
-        key, "n_bytes", F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"), F.when(gone, 1).otherwise(F.coalesce("n_spans", F.lit(0))).alias("n_spans"),
+    return joined.select(
+        F.col("key").alias(key), "n_bytes", F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"), F.when(gone, 1).otherwise(F.coalesce("n_spans", F.lit(0))).alias("n_spans"),
         F.when(gone, F.sha2(F.lit(b""), 256)).otherwise(F.coalesce("kept_sha256", "whole")).alias("kept_sha256"), *([F.when(gone, F.lit(b"")).otherwise(F.col("kept")).alias("kept")] if with_kept else []),
     )
-    return out
