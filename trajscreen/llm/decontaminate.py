@@ -1,7 +1,7 @@
 """Benchmark decontamination by winnowing (DataFrame functions only).
 
 Texts are lower-cased (A-Z) word lists. The smallest k-gram hash of each run of w k-grams is a fingerprint; with
-k + w - 1 = 13 every shared run of 13 words shares one. A fixed-size bit table of the benchmark's fingerprints drops
+k + w - 1 = 13 every shared run of 13 words shares one. A bit table of the benchmark's fingerprints, sized by their number, drops
 nearly all fingerprints of the documents before the shuffle; the rest are joined, and each hit is extended word by word
 on both sides. Benchmark texts of fewer than 13 words are one window of their own length.
 """
@@ -11,14 +11,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, let, null_safe, saved
+from .common import ascii_lower, free_name, let, null_safe, saved
 
 SPAN = 13  # words of a window
 GRAM = 7  # words of a k-gram
 WINDOW = SPAN - GRAM + 1  # k-grams of which the smallest is kept
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The bit table has this many 64-bit cells (512 KB); when a larger benchmark fills it, more rows reach the exact join.
-CELLS = 1 << 16
+#: Bounds of the binary logarithm of the bit table's 64-bit cells, about one a fingerprint (8 KB to 8 MB). A benchmark of more
+#: than a million fingerprints fills it more, and more rows reach the exact join.
+CELL_BITS = (10, 20)
 
 HIT = "array<struct<fp:bigint,pos:int,gram:array<string>,before:array<string>,after:array<string>>>"
 
@@ -38,7 +39,7 @@ def _entry(words: Column, fp: Column, pos: Column, length: int, reach: int) -> C
 
 
 def _held(bits: Column, h: Column) -> Column:
-    cell = F.element_at(bits, (F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(CELLS - 1)) + 1).cast("int"))
+    cell = F.element_at(bits, (F.shiftrightunsigned(h, 6).bitwiseAND((F.size(bits) - 1).cast("bigint")) + 1).cast("int"))
     return F.getbit(cell, h.bitwiseAND(F.lit(63)).cast("int")) == 1
 
 
@@ -88,10 +89,11 @@ def benchmark_index(benchmark: DataFrame, item: str, text: str) -> DataFrame:
 
 
 def bit_table(index: DataFrame) -> DataFrame:
-    """One row, one column: CELLS longs in which the bit of each fingerprint is set."""
+    """One row, one column: a power of two of longs in which the bit of each fingerprint is set."""
     spark = index.sparkSession
-    cells = index.select(F.shiftrightunsigned("fp", 6).bitwiseAND(F.lit(CELLS - 1)).alias("id"), F.expr("shiftleft(1L, cast(fp & 63 as int))").alias("b")).groupBy("id").agg(F.bit_or("b").alias("b"))
-    dense = spark.range(0, CELLS, 1, 1).join(cells, "id", "left").select("id", F.coalesce("b", F.lit(0)).alias("b"))
+    n = 1 << min(max((index.count() - 1).bit_length(), CELL_BITS[0]), CELL_BITS[1])
+    cells = index.select(F.shiftrightunsigned("fp", 6).bitwiseAND(F.lit(n - 1)).alias("id"), F.expr("shiftleft(1L, cast(fp & 63 as int))").alias("b")).groupBy("id").agg(F.bit_or("b").alias("b"))
+    dense = spark.range(0, n, 1, 1).join(cells, "id", "left").select("id", F.coalesce("b", F.lit(0)).alias("b"))
     return dense.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "b"))), lambda x: x["b"]).alias("bits"))
 
 
@@ -106,7 +108,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
 
     A word is hit if it lies in an occurrence of a benchmark window; a row is contaminated if it has a hit and
     share * n_hit >= n_words. Null texts and texts without words have no words and aren't contaminated. Null keys are
-    keys. Repeated rows get equal results each; rows that share a key but not the text are judged apart. Repeated items
+    keys. Very long texts are judged whole. Repeated rows get equal results each; rows that share a key but not the text are judged apart. Repeated items
     count once per item id. Empty tables, either one, are fine. Only the named columns are read.
     """
     index = saved(benchmark_index(benchmark, item, item_text), "windows")
@@ -116,31 +118,31 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     def found(w: Column) -> Column:
         return let(F.col("__bits"), lambda b: F.concat(_winnowed(w, b), *[_short(w, n, b) for n in sorted(lengths)]))
 
-    judged = let(words_of(F.col(text)), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), found(w).alias("hits")))
-    rows = docs.select(F.col(key), F.col(text)).withColumn("__bits", bits.scalar()).select(F.col(key), F.xxhash64(F.col(text)).alias("text_hash"), judged.alias("j")).select(key, "text_hash", "j.n_words", "j.hits")
+    own = ["doc", "text_hash"]
+    rows = docs.select(F.col(key).alias("doc"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("text")).withColumn("__bits", bits.scalar())
+    rows = rows.select(*own, let(words_of(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), found(w).alias("hits"))).alias("j")).select(*own, "j.n_words", "j.hits")
     rows = saved(rows, "doc-fingerprints")
 
-    hits = rows.select(key, "text_hash", F.inline("hits")).distinct().alias("d")
+    hits = rows.select(*own, F.inline("hits")).distinct().alias("d")
     on = (F.col("d.fp") == F.col("i.fp")) & (F.col("d.gram") == F.col("i.gram"))
     left, right = _agreeing(F.col("d.before"), F.col("i.before")), _agreeing(F.col("d.after"), F.col("i.after"))
-    spans = hits.join(index.alias("i"), on).select(F.col(f"d.{key}").alias(key), "text_hash", "item_id", "need", "pos", F.size("d.gram").alias("n"), left.alias("l"), right.alias("r"))
-    spans = saved(spans.where(F.col("l") + F.col("r") + F.col("n") >= F.col("need")).select(key, "text_hash", "item_id", (F.col("pos") - F.col("l")).alias("first"), (F.col("pos") + F.col("n") - 1 + F.col("r")).alias("last")), "spans")
-    hit = spans.select(key, "text_hash", "first", "last").distinct().select(key, "text_hash", F.explode(F.sequence("first", "last")).alias("p")).distinct().groupBy(key, "text_hash").agg(F.count(F.lit(1)).alias("n_hit"))
-    items = spans.select(key, "text_hash", "item_id").distinct().groupBy(key, "text_hash").agg(F.sort_array(F.collect_list("item_id")).alias("items"))
-    both = null_safe(null_safe(rows.drop("hits"), hit, [key, "text_hash"], "left"), items, [key, "text_hash"], "left")
+    spans = hits.join(index.alias("i"), on).select(*own, "item_id", "need", "pos", F.size("d.gram").alias("n"), left.alias("l"), right.alias("r"))
+    spans = saved(spans.where(F.col("l") + F.col("r") + F.col("n") >= F.col("need")).select(*own, "item_id", (F.col("pos") - F.col("l")).alias("first"), (F.col("pos") + F.col("n") - 1 + F.col("r")).alias("last")), "spans")
+    hit = spans.select(*own, "first", "last").distinct().select(*own, F.explode(F.sequence("first", "last")).alias("p")).distinct().groupBy(*own).agg(F.count(F.lit(1)).alias("n_hit"))
+    items = spans.select(*own, "item_id").distinct().groupBy(*own).agg(F.sort_array(F.collect_list("item_id")).alias("items"))
+    both = null_safe(null_safe(rows.drop("hits"), hit, own, "left"), items, own, "left")
     n_hit = F.coalesce("n_hit", F.lit(0))
     return both.select(
-        key, "text_hash", "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
+        F.col("doc").alias(key), "text_hash", "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")).cast("binary"), 256).alias("items_sha256"), ((n_hit > 0) & (n_hit * share >= F.col("n_words"))).alias("contaminated"),
     )
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that aren't contaminated, all columns."""
-    bad = saved(contamination(docs, benchmark, key, text).where("contaminated").select(key, "text_hash").distinct(), "contaminated")
-    marked = docs.withColumn("__hash", F.xxhash64(F.col(text)))
-    on = marked[key].eqNullSafe(bad[key]) & (marked["__hash"] == bad["text_hash"])
-    return marked.join(bad, on, "left_anti").drop("__hash")
+    """The rows of docs that aren't contaminated, all columns, whatever their names."""
+    own, hashed = free_name(docs, "bad_key"), free_name(docs, "bad_hash")
+    bad = saved(contamination(docs, benchmark, key, text).where("contaminated").select(F.col(key).alias(own), F.col("text_hash").alias(hashed)).distinct(), "contaminated")
+    return docs.join(bad, F.col(key).eqNullSafe(F.col(own)) & (F.xxhash64(F.col(text)) == F.col(hashed)), "left_anti")
 
 
 ORACLE_SQL = r"""

@@ -73,4 +73,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op3_mixing": mixing.ORACLE_SQL,
     "op5_decontamination": decontaminate.ORACLE_SQL,
+    "op10_sharding": sharding.oracle_sql(SHARDS),
 }

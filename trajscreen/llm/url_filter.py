@@ -24,7 +24,6 @@ SAMPLE = 20_000
 FOLDS = 5  # of the labelled rows, for the blocked shares
 TREES = {"maxIter": 12, "maxDepth": 4, "maxBins": 32, "stepSize": 0.3, "seed": 7}
 
-SYMBOLS = "abcdefghijklmnopqrstuvwxyz0123456789-_./"
 FEATURES = ("length", "host_length", "path_length", "host_depth", "path_depth", "digit_ratio", "host_digits", "hyphens", "entropy", "parameters", "fragment", "secure", "last_number", "suffix_share", "suffix_blocked", "section_share", "section_blocked")
 
 
@@ -55,11 +54,8 @@ def lexical(rows: DataFrame) -> DataFrame:
     url = F.coalesce(F.col("url"), F.lit(""))
     low = ascii_lower(url)
     n = F.greatest(F.length(url), F.lit(1)).cast("double")
-    entropy = None
-    for c in SYMBOLS:
-        share = _count(low, c) / n
-        term = F.when(share > 0, -share * F.log2(share)).otherwise(0.0)
-        entropy = term if entropy is None else entropy + term
+    shares = F.transform(F.array_distinct(F.split(low, "")), lambda c: (F.length(low) - F.length(F.replace(low, c, F.lit("")))) / n)
+    entropy = F.aggregate(F.filter(shares, lambda s: s > 0), F.lit(0.0), lambda t, s: t - s * F.log2(s))
     query = F.regexp_extract(url, r"\?([^#]*)", 1)
     added = {
         "length": n, "host_length": F.length("host").cast("double"), "path_length": F.length("path").cast("double"), "host_depth": _count(F.col("host"), "."), "path_depth": _count(F.col("path"), "/"),
@@ -104,7 +100,7 @@ def judged(pages: DataFrame, key: str = "page_id", url: str = "url", rules: Sequ
     """One row per row of pages: key, host, path, rule, verdict, score (probability of block; null where a rule fits).
 
     The rule's verdict holds where one fits; else block if the trees' probability is over one half. Null and odd URLs
-    have an empty host and path and are judged like others. Without labelled rows of both verdicts all the rest are
+    have an empty host and path and are judged like others, very long ones whole. Without labelled rows of both verdicts all the rest are
     allowed (score 0). Repeated rows get equal results. An empty table gives no rows. Other columns aren't read.
     """
     rows = pages.select(F.col(key), F.col(url).alias("url")).withColumn("__p", parts(F.col("url"))).select(key, "url", "__p.host", "__p.path")
