@@ -146,6 +146,75 @@ def test_lead_times_and_censoring(spark):
     assert got == {1: (115, 12), 2: (None, None)}
 
 
+def test_alarms_after_the_end_do_not_count(spark):
+    scores = spark.createDataFrame([(s, f, "d", 9.0 if f == late else 2.0 if f == 87 else 0.0) for s, late in ((1, 120), (2, 105)) for f in range(80, 130)], "sim int, frame int, detector string, score double")
+    events = spark.createDataFrame([(s, "frozen", 100, 110, 85) for s in (1, 2)], "sim int, kind string, t0 int, end int, start int")
+    thresholds = spark.createDataFrame([("d", 1.0)], "detector string, threshold double")
+    assert {r.sim: r.lead for r in alarms.lead_times(scores, events, thresholds).collect()} == {1: None, 2: 5}
+    r = alarms.lead_summary(scores, events, thresholds, 20).first()
+    assert (r.n, r.detected, r.median_lead, r.lo, r.hi) == (2, 0.5, 5, 5, 5) and r.false_alarm_rate == pytest.approx(1 / 12)  # frames 85 to 96
+
+
+def test_event_bounds_and_scored_window(spark):
+    rows = [(1, "blowup", f, 0.0 if f < 20 else float(min(f - 19, 5))) for f in range(40)] + [(2, "frozen", f, float(10 <= f < 15)) for f in range(40)]
+    got = {r.sim: (r.t0, r.end, r.start) for r in alarms.event_bounds(spark.createDataFrame(rows, "sim int, kind string, frame int, deviation double")).collect()}
+    assert got == {1: (20, 24, 5), 2: (10, 14, 2)}
+
+
+def test_weighted_auroc_counts_pairs(spark):
+    rng = np.random.default_rng(1)
+    rows = [(int(s), "ab"[k % 2], bool(rng.random() < 0.5), float(rng.integers(0, 6))) for s in range(8) for k in range(9)]
+    df = spark.createDataFrame(rows, "sim int, type string, label boolean, score double").repartition(5)
+    weights = resample.bootstrap_weights(df, 7)
+    w = {(r.rep, r.sim): r.weight for r in weights.collect()}
+    got = {(r.type, r.rep): r.auroc for r in resample.weighted_auroc(df, weights, ["type"], 7).collect()}
+    for t in "ab":
+        for rep in range(7):
+            own = [(y, x, w.get((rep, s), 0)) for s, k, y, x in rows if k == t]
+            pairs = [(a * b, (x > z) + (x == z) / 2) for y, x, a in own if y for v, z, b in own if not v]
+            total = sum(a for a, _ in pairs)
+            assert got.get((t, rep)) == (pytest.approx(sum(a * b for a, b in pairs) / total) if total else None)
+
+
+def test_gate_needs_a_better_surrogate(spark):
+    rng = np.random.default_rng(2)
+    rows = []
+    for s in range(40):
+        for kind, shift in (("clean", 0.0), ("scale", 3.0)):
+            rows += [(s, kind, 0.1, "good", float(rng.normal() + shift)), (s, kind, 0.1, "bad", float(rng.normal())), (s, kind, 0.1, "rule", float(rng.normal() + shift / 6))]
+    got = {r.stat: r for r in alarms.gate_runs(spark.createDataFrame(rows, "sim int, kind string, parameter double, detector string, z double"), ("good", "bad"), ("rule",), 100).collect()}
+    assert got["good"].better and got["good"].passed and got["good"].lo > 0 and got["good"].rule == "rule"
+    assert not got["bad"].better and got["bad"].delta < 0.2
+
+
+def test_penetration_goes_in_and_inversion_moves_the_centre(toy, copies):
+    p, r, c = toy
+    plan, centres = copies
+    lifted = p.withColumn("z", F.when(F.col("node") == 0, F.col("z") - 3.0).otherwise(F.col("z")))  # node 0 lies inside the actuator
+    own = plan.where("type = 'penetration' and sev = 1")
+    deltas = inject.inject_penetration(own, lifted, r, c, detect.step_scale(lifted, r).withColumn("step", F.lit(0.5)))
+    after = mesh.signed_distance(mesh.apply_deltas(lifted, deltas.select("sim", "frame", "node", "x", "y", "z")), r, c)
+    depth = after.join(deltas.select("sim", "frame", "node"), ["sim", "frame", "node"])
+    assert depth.count() and depth.where("abs(distance + 0.5) > 0.1").count() == 0  # as deep as the size, wherever it was before
+    turned = inject.inject_inversion(plan.where("type = 'inversion'"), centres, p, r, c).select("sim", "type", "sev", "node").distinct()
+    assert turned.join(centres, ["sim", "type", "sev", "node"]).count() == turned.count() > 0
+
+
+def test_penetration_starts_at_contact(spark):
+    plan = spark.createDataFrame([(1, "penetration", 1, 5, 0), (2, "penetration", 1, 6, 0)], "sim int, type string, sev int, seed int, t0 int")
+    gaps = spark.createDataFrame([(1, f, 0.001 if f in (50, 60) else 1.0) for f in range(100)] + [(2, f, 1.0 + abs(f - 70)) for f in range(100)], "sim int, frame int, gap double")
+    got = {x.sim: x.t0 for x in inject.contact_onsets(plan, gaps, (40, 90)).collect()}
+    assert got[1] in (50, 60) and got[2] == 70
+
+
+def test_tau_and_multiclass_measures(spark):
+    df = spark.createDataFrame([(i, c / 10, int(c > 4)) for i, c in enumerate(range(10))], "item int, conf double, correct int")
+    assert metrics.fit_tau(df, 1.0) == 0.5 and metrics.abstain_rate(df, 0.5).first()[0] == 0.5
+    rows = spark.createDataFrame([("a", "a", [0.8, 0.2], 0), ("b", "a", [0.6, 0.4], 1)], "truth string, pred string, probs array<double>, truth_index int")
+    assert metrics.brier_multiclass(rows).first()[0] == pytest.approx((0.04 + 0.04 + 0.36 + 0.36) / 2)
+    assert metrics.macro_f1(rows, ["a", "b"]).first()[0] == pytest.approx((2 / 3 + 0) / 2)
+
+
 def test_conformal_guarantee(spark):
     draws = np.random.default_rng(0).gumbel(size=(400, 31))
     rows = [(i, str(t), float(x)) for t, row in enumerate(draws) for i, x in enumerate(row[:30])]

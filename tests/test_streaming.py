@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,8 +15,8 @@ SCHEMA = "sim bigint, frame int, node int, x double, y double, z double, ts time
 def landed(spark, tmp_path_factory):
     """Plate nodes of a few runs, one file for each stretch of frames."""
     path = str(tmp_path_factory.mktemp("stream"))
-    p = view(spark, SF, "positions").where("node <= 4 and sim <= 3").withColumn("ts", F.timestamp_seconds(F.col("frame")))
-    for start in range(0, 58, 20):
+    p = view(spark, SF, "positions").where("node <= 4 and sim <= 3 and frame < 60").withColumn("ts", F.timestamp_seconds(F.col("frame")))
+    for start in range(0, 60, 20):
         p.where((F.col("frame") >= start) & (F.col("frame") < start + 20)).coalesce(1).write.mode("append").parquet(path)
     return p, path
 
@@ -33,7 +35,7 @@ def test_monitor_equals_batch(spark, landed):
     p, path = landed
     got = {(r.sim, r.frame, r.detector): r.score for r in drained(monitor.monitor(source(spark, path)), spark, "scores").where("not late").collect()}
     rest = view(spark, SF, "rest")
-    for name, scores, first in (("constvel", detect.constvel_scores(p), 2), ("velocity_causal", detect.velocity_causal_scores(p), 9)):
+    for name, scores, first in (("constvel", detect.constvel_scores(p), 2), ("velocity_causal", detect.velocity_causal_scores(p), 5)):
         batch = {(r.sim, r.frame, name): r.score for r in detect.frame_scores(scores, rest).where(F.col("frame") >= first).collect()}
         assert {k for k in got if k[2] == name} == set(batch)
         assert all(abs(got[k] - v) < 1e-6 * max(1, abs(v)) for k, v in batch.items())
@@ -49,7 +51,7 @@ def test_split_frames_equal_batch(spark, landed, tmp_path):
     got = {(r.sim, r.frame, r.detector): r.score for r in drained(monitor.monitor(stream), spark, "split").collect()}
     rest = view(spark, SF, "rest")
     want = {}
-    for name, scores, first in (("constvel", detect.constvel_scores(p), 2), ("velocity_causal", detect.velocity_causal_scores(p), 9)):
+    for name, scores, first in (("constvel", detect.constvel_scores(p), 2), ("velocity_causal", detect.velocity_causal_scores(p), 5)):
         want |= {(r.sim, r.frame, name): r.score for r in detect.frame_scores(scores, rest).where(F.col("frame") >= first).collect()}
     assert set(got) == set(want)
     assert all(abs(got[k] - v) < 1e-6 * max(1, abs(v)) for k, v in want.items())
@@ -58,13 +60,27 @@ def test_split_frames_equal_batch(spark, landed, tmp_path):
 def test_late_frames_are_reported(spark, landed, tmp_path):
     p, _ = landed
     path = str(tmp_path)
-    p.where("frame between 10 and 20").coalesce(1).write.mode("append").parquet(path)
-    p.where("frame between 5 and 9").coalesce(1).write.mode("append").parquet(path)
-    out = drained(monitor.monitor(source(spark, path)), spark, "late")
-    assert out.where("late").count() in (0, 5 * p.select("sim").distinct().count())  # files may be read in one batch or in either order
+    for i, frames in enumerate(("frame between 10 and 20", "frame between 5 and 9")):
+        p.where(frames).coalesce(1).write.parquet(f"{path}/{i}")
+        for f in os.listdir(f"{path}/{i}"):
+            os.utime(f"{path}/{i}/{f}", (1_000_000 + i * 100, 1_000_000 + i * 100))  # files are read in the order of their times
+    out = drained(monitor.monitor(source(spark, f"{path}/*")), spark, "late")
+    assert out.where("late").count() == 5 * p.select("sim").distinct().count()
     assert out.where("not late and score is null").count() == 0
 
 
+def test_alarms_come_once_for_good(spark, tmp_path):
+    rows = [(1, f, "d", float(f % 7)) for f in range(40)]
+    df = spark.createDataFrame(rows, "sim long, frame int, detector string, score double").withColumn("ts", F.timestamp_seconds(F.col("frame") * 3600))
+    for i in range(4):  # an hour a frame: far beyond any watermark's delay
+        df.where(F.col("frame") % 4 == i).coalesce(1).write.parquet(f"{tmp_path}/{i}")
+        for f in os.listdir(f"{tmp_path}/{i}"):
+            os.utime(f"{tmp_path}/{i}/{f}", (1_000_000 + i * 100, 1_000_000 + i * 100))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/*")
+    got = drained(monitor.first_alarms(stream, spark.createDataFrame([("d", 4.5)], "detector string, threshold double")), spark, "once").collect()
+    assert [r.frame for r in got] == [12]
+
+
 def test_alarms_and_maxima(spark, landed):
     p, path = landed
     frames = source(spark, path).select("sim", "frame", "ts", F.lit("z").alias("detector"), F.col("z").alias("score"))

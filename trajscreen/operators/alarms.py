@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trajscreen.functions.columns import median
+from trajscreen.operators.resample import bootstrap_weights, grouped_median_ci, holm, one_sided_p, weighted_auroc
+from trajscreen.operators.metrics import auroc
 
 MAD = 1.4826
 
@@ -42,26 +44,40 @@ def frame_threshold(scores: DataFrame, events: DataFrame, q: float = 0.95, gap:
     return before.groupBy("detector").agg(F.percentile("score", F.lit(q)).alias("threshold"))
 
 
-def event_bounds(deviations: DataFrame, share: float = 0.999) -> DataFrame:
-    """(sim, kind, t0, end) from (sim, kind, frame, deviation): t0 is the first deviating frame; end the first frame at
-    `share` of the largest deviation for a blow-up, the last deviating frame otherwise."""
+def event_bounds(deviations: DataFrame, share: float = 0.999, before: int = 15, least: int = 2) -> DataFrame:
+    """(sim, kind, t0, end, start) from (sim, kind, frame, deviation): t0 is the first deviating frame; end the first frame at
+    `share` of the largest deviation for a blow-up, the last deviating frame otherwise; frames from start (`before` frames
+    before t0, but `least` at least) to end are scored."""
     off = deviations.where("deviation > 0").withColumn("most", F.max("deviation").over(Window.partitionBy("sim", "kind")))
     reached = F.min(F.when(F.col("deviation") >= share * F.col("most"), F.col("frame")))
-    return off.groupBy("sim", "kind").agg(F.min("frame").alias("t0"), reached.alias("top"), F.max("frame").alias("last")).select("sim", "kind", "t0", F.when(F.col("kind") == "blowup", F.col("top")).otherwise(F.col("last")).alias("end"))
+    found = off.groupBy("sim", "kind").agg(F.min("frame").alias("t0"), reached.alias("top"), F.max("frame").alias("last"))
+    return found.select("sim", "kind", "t0", F.when(F.col("kind") == "blowup", F.col("top")).otherwise(F.col("last")).alias("end"), F.greatest(F.col("t0") - before, F.lit(least)).alias("start"))
+
+
+def scored_window(scores: DataFrame, events: DataFrame) -> DataFrame:
+    """Scores of the frames from start to end of their run's event, with the event's columns."""
+    return scores.join(events, "sim").where((F.col("frame") >= F.col("start")) & (F.col("frame") <= F.col("end")))
 
 
 def lead_times(scores: DataFrame, events: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """(sim, kind, detector, first, lead): the first alarm from t0 on; lead = end - first for a blow-up, first - t0 (a
-    latency) otherwise; null where there is no alarm."""
+    """(sim, kind, detector, first, lead): the first alarm from t0 to end; lead = end - first for a blow-up, first - t0 (a
+    latency) otherwise; null where there is no alarm in time."""
     detectors = thresholds.select("detector", "threshold")
-    after = scores.join(events, "sim").where(F.col("frame") >= F.col("t0")).join(detectors, "detector")
-    first = after.groupBy("sim", "kind", "t0", "end", "detector").agg(F.min(F.when(F.col("score") > F.col("threshold"), F.col("frame"))).alias("first"))
+    within = scores.join(events, "sim").where((F.col("frame") >= F.col("t0")) & (F.col("frame") <= F.col("end"))).join(detectors, "detector")
+    first = within.groupBy("sim", "kind", "t0", "end", "detector").agg(F.min(F.when(F.col("score") > F.col("threshold"), F.col("frame"))).alias("first"))
     return first.select("sim", "kind", "detector", "first", F.when(F.col("kind") == "blowup", F.col("end") - F.col("first")).otherwise(F.col("first") - F.col("t0")).alias("lead"))
 
 
-def lead_summary(leads: DataFrame) -> DataFrame:
-    """(kind, detector, n, detected, median_lead)."""
-    return leads.groupBy("kind", "detector").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("first").isNotNull().cast("double")).alias("detected"), median(F.col("lead")).alias("median_lead"))
+def lead_summary(scores: DataFrame, events: DataFrame, thresholds: DataFrame, reps: int = 1000, gap: int = 3) -> DataFrame:
+    """(kind, detector, n, detected, median_lead, lo, hi, false_alarm_rate): the median and its bootstrap interval are over
+    events with an alarm; false alarms are those of the scored frames before t0 - gap."""
+    keys = ["kind", "detector"]
+    leads = lead_times(scores, events, thresholds)
+    out = leads.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("first").isNotNull().cast("double")).alias("detected"), median(F.col("lead")).alias("median_lead"))
+    ci = grouped_median_ci(leads.where("lead is not null"), keys, "lead", "sim", reps)
+    early = scored_window(scores, events).where(F.col("frame") < F.col("t0") - gap).join(thresholds, "detector")
+    false = early.groupBy(*keys).agg(F.avg((F.col("score") > F.col("threshold")).cast("double")).alias("false_alarm_rate"))
+    return out.join(ci, keys, "left").join(false, keys, "left").fillna(0.0, ["false_alarm_rate"])
 
 
 def run_stats(frames: DataFrame, steps: DataFrame, undivided: Sequence[str] = ("velocity",)) -> DataFrame:
@@ -100,3 +116,28 @@ def spread_table(clean: DataFrame, corrupted: DataFrame) -> DataFrame:
     pairs = corrupted.select("sim", "detector", F.col("value").alias("other")).join(clean, ["sim", "detector"])
     shift = pairs.groupBy("detector").agg(median(F.abs(F.col("other") - F.col("value"))).alias("s"))
     return mad.join(shift, "detector").select("detector", "clean_cv", (F.col("s") / (MAD * F.col("mad") + 1e-12)).alias("median_shift"))
+
+
+def gate_runs(runs: DataFrame, surrogates: Sequence[str], rules: Sequence[str], reps: int = 2000, alpha: float = 0.05) -> DataFrame:
+    """(kind, parameter, stat, rule, delta, lo, p, rejected, better, passed): each admitted surrogate statistic against the best
+    rule statistic of its cell, by AUROC of z. runs: (sim, kind, parameter, detector, z), kind 'clean' for the clean run of a
+    sim, which is compared with each corrupted one; a sim's runs are resampled together. delta is the difference of the
+    points, lo its 2.5 % bound, p one-sided; better: rejected by Holm's procedure over all tests and delta above 0. passed:
+    whether any test is better. Equal rules: the first in the given order."""
+    cell = ["kind", "parameter"]
+    own = runs.where(F.col("detector").isin([*surrogates, *rules]))
+    clean = own.where("kind = 'clean'").select("sim", "detector", F.col("z").alias("score"))
+    marked = own.where("kind <> 'clean'").select("sim", *cell, "detector", F.col("z").alias("score"), F.lit(True).alias("label"))
+    both = marked.unionByName(marked.select("sim", *cell, "detector").join(clean, ["sim", "detector"]).select("sim", *cell, "detector", "score", F.lit(False).alias("label"))).persist()
+    points = auroc(both, [*cell, "detector"]).where("auroc is not null").persist()
+    boots = weighted_auroc(both, bootstrap_weights(both, reps), [*cell, "detector"], reps).persist()  # joined twice
+    order = F.array_position(F.array(*[F.lit(r) for r in rules]), F.col("detector"))
+    rank = F.row_number().over(Window.partitionBy(*cell).orderBy(F.desc("auroc"), order))
+    best = points.where(F.col("detector").isin(list(rules))).withColumn("r", rank).where("r = 1").select(*cell, F.col("detector").alias("rule"), F.col("auroc").alias("rule_auroc"))
+    tests = points.where(F.col("detector").isin(list(surrogates))).withColumnRenamed("detector", "stat").join(best, cell)
+    of_rule = boots.withColumnsRenamed({"detector": "rule", "auroc": "rule_boot"})
+    deltas = tests.select(*cell, "stat", "rule").join(boots.withColumnRenamed("detector", "stat"), [*cell, "stat"]).join(of_rule, [*cell, "rule", "rep"]).withColumn("delta", F.col("auroc") - F.col("rule_boot"))
+    bounds = deltas.groupBy(*cell, "stat").agg(F.percentile("delta", F.lit(0.025)).alias("lo"))
+    out = tests.select(*cell, "stat", "rule", (F.col("auroc") - F.col("rule_auroc")).alias("delta")).join(bounds, [*cell, "stat"]).join(one_sided_p(deltas, [*cell, "stat"]), [*cell, "stat"])
+    judged = holm(out, [*cell, "stat"], alpha).withColumn("better", F.col("rejected") & (F.col("delta") > 0))
+    return judged.withColumn("passed", F.max("better").over(Window.partitionBy()))  # one row a test

@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from trajscreen.functions.columns import dot, draw, log1p_abs, unit_vector
+from trajscreen.functions.columns import dot, draw, log1p_abs, softmax, unit_vector
+from trajscreen.operators.metrics import brier_multiclass, ece, macro_f1, selective
 
 ANSWER = "anomaly_type string, location string, confidence double, explanation string"
 BLOCK = 20_000  # rows of a block of queries or of a shard of the bank
@@ -35,9 +36,25 @@ def pair_metrics(pairs: DataFrame, none: str = "none", target: str = "hourglass"
     return pairs.groupBy("arm").agg(share(a == none).alias("none_a"), share(b == target).alias("target_b"), share((a == none) & ~b.isin(none, "invalid")).alias("separated"), F.avg("similarity").alias("similarity"))
 
 
-def render_prompt(df: DataFrame, template: str, columns: Sequence[str]) -> DataFrame:
-    """df with prompt: the template filled in; a null value leaves 'n/a'."""
-    return df.withColumn("prompt", F.format_string(template, *[F.coalesce(F.col(c).cast("string"), F.lit("n/a")) for c in columns]))
+def pilot_report(rows: DataFrame, pairs: DataFrame, base: str, none: str = "none", gain: int = 5, apart: int = 3) -> DataFrame:
+    """By arm, counts of answers (arm, truth, pred, truth_location, location; pred null where invalid) and of pairs (arm, pred_a,
+    pred_b), and the decision: scale_up if the arm has `gain` more right types than the arm `base` on anomalous rows, or tells
+    `apart` pairs apart."""
+    count = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("int"))
+    odd, called = F.col("truth") != none, F.col("pred") == none
+    sums = {"type_right": odd & (F.col("pred") == F.col("truth")), "n_anomalous": odd, "none_on_anomalous": odd & called, "clean_called_none": ~odd & called, "n_clean": ~odd, "location_right": odd & F.col("pred").isNotNull() & (F.col("location") == F.col("truth_location")), "n_located": odd & F.col("pred").isNotNull(), "invalid": F.col("pred").isNull()}
+    rates = rows.groupBy("arm").agg(*[count(c).alias(n) for n, c in sums.items()], F.count(F.lit(1)).alias("n"))
+    told = pairs.groupBy("arm").agg(count((F.col("pred_a") == none) & (F.col("pred_b") != none)).alias("separated"), F.count(F.lit(1)).alias("n_pairs"))
+    reached = rates.where(F.col("arm") == base).agg(F.max("type_right").alias("b")).scalar()
+    both = rates.join(told, "arm", "left").fillna(0, ["separated", "n_pairs"]).withColumn("base", reached)
+    return both.withColumn("scale_up", (F.col("type_right") - F.col("base") >= gain) | (F.col("separated") >= apart)).drop("base")
+
+
+def render_prompt(df: DataFrame, template: str, columns: Sequence[str], optional: str = r"[^.:;]*n/a[^.:;]*[.:;] ?") -> DataFrame:
+    """df with prompt: the template filled in; a fragment with a missing value (null or NaN) is taken out by the pattern
+    `optional`, as it has n/a there."""
+    shown = [F.when(F.col(c).isNull() | (F.lower(F.col(c).cast("string")) == "nan"), F.lit("n/a")).otherwise(F.col(c).cast("string")) for c in columns]
+    return df.withColumn("prompt", F.regexp_replace(F.format_string(template, *shown), optional, ""))
 
 
 def zero_shot_scores(embeddings: DataFrame, texts: DataFrame, temperature: float = 0.01) -> DataFrame:
@@ -119,19 +136,52 @@ def assert_no_leakage(columns: Sequence[str]) -> None:
         raise ValueError(f"leaking features: {bad}")
 
 
-def fit_triage(train: DataFrame, features: Sequence[str], trees: int = 40, depth: int = 6, seed: int = 0):
-    """A forest over the features that predicts kind."""
-    assert_no_leakage(features)
-    stages = [StringIndexer(inputCol="kind", outputCol="y", stringOrderType="alphabetAsc", handleInvalid="keep"), VectorAssembler(inputCols=list(features), outputCol="x"), RandomForestClassifier(featuresCol="x", labelCol="y", numTrees=trees, maxDepth=depth, seed=seed)]
-    return Pipeline(stages=stages).fit(train)
+@dataclass
+class Triage:
+    """Boosted trees for each label against the rest."""
 
+    labels: list[str]
+    features: list[str]
+    models: list[GBTClassificationModel]
 
-def predict_triage(model, df: DataFrame) -> DataFrame:
-    """df with probs (array, by label), pred and conf."""
-    labels = model.stages[0].labels
-    out = model.transform(df).withColumn("probs", F.slice(vector_to_array("probability"), 1, len(labels)))
-    names = F.array(*[F.lit(x) for x in labels])
-    return out.withColumn("conf", F.array_max("probs")).withColumn("pred", F.element_at(names, F.array_position("probs", F.array_max("probs")).cast("int"))).drop("x", "rawPrediction", "probability", "prediction", "y")
+
+def fit_triage(train: DataFrame, features: Sequence[str], rounds: int = 5, depth: int = 3, seed: int = 0, rate: float = 0.3) -> Triage:
+    """Boosted trees over the features that predict kind, one model a label; labels in alphabetical order."""
+    assert_no_leakage(features)
+    labels = sorted(r[0] for r in train.select("kind").distinct().collect())  # kinds of failure
+    ready = VectorAssembler(inputCols=list(features), outputCol="x").transform(train).select("kind", "x").cache()
+    models = [GBTClassifier(featuresCol="x", labelCol="y", maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed).fit(ready.select("x", (F.col("kind") == label).cast("double").alias("y"))) for label in labels]
+    ready.unpersist()
+    return Triage(labels, list(features), models)
+
+
+def predict_triage(model: Triage, df: DataFrame, temperature: float = 1.0) -> DataFrame:
+    """df with probs (array by label: the models' probabilities scaled to 1, then tempered), pred (the first of equals) and
+    conf."""
+    out = VectorAssembler(inputCols=model.features, outputCol="__x").transform(df)
+    for i, m in enumerate(model.models):
+        own = m.copy().setFeaturesCol("__x").setProbabilityCol(f"__p{i}").setRawPredictionCol(f"__r{i}").setPredictionCol(f"__y{i}")
+        out = own.transform(out).withColumn(f"__p{i}", F.log(F.greatest(vector_to_array(F.col(f"__p{i}"))[1], F.lit(1e-12)))).drop(f"__r{i}", f"__y{i}")
+    logs = F.array(*[f"__p{i}" for i in range(len(model.models))])  # bound once, or a tree would be run for each use
+    out = out.withColumn("probs", F.get(F.transform(F.array(logs), lambda v: softmax(v, temperature)), F.lit(0)))
+    names = F.array(*[F.lit(x) for x in model.labels])
+    return out.withColumn("conf", F.array_max("probs")).withColumn("pred", F.element_at(names, F.array_position("probs", F.array_max("probs")).cast("int"))).drop("__x", *[f"__p{i}" for i in range(len(model.models))])
+
+
+def truth_index(model: Triage, kind: Column) -> Column:
+    """Place of a kind among the model's labels, from 0; null if it isn't one."""
+    return F.nullif(F.array_position(F.array(*[F.lit(x) for x in model.labels]), kind), F.lit(0)).cast("int") - 1
+
+
+def evaluate_triage(predicted: DataFrame, model: Triage, coverage: float = 0.8, target: float = 0.95) -> DataFrame:
+    """One row from (item, kind, pred, conf, probs): n, accuracy, macro_f1, ece, brier over all classes, acc_at_coverage,
+    coverage and tau."""
+    rows = predicted.select("item", F.col("kind").alias("truth"), "pred", "conf", "probs", (F.col("pred") == F.col("kind")).cast("int").alias("correct"), truth_index(model, F.col("kind")).alias("truth_index")).persist()  # each measure reads them
+    out = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("correct").alias("accuracy"))
+    for part in (macro_f1(rows, model.labels), ece(rows), brier_multiclass(rows)):
+        out = out.withColumn(part.columns[0], part.scalar())
+    best = selective(rows, coverage, target)
+    return out.withColumn("s", best.select(F.struct(*best.columns).alias("s")).scalar()).select("*", "s.*").drop("s")
 
 
 def fit_temperature(probs: DataFrame, low: float = 0.05, high: float = 20.0, steps: int = 40) -> float:
@@ -152,8 +202,8 @@ def fit_temperature(probs: DataFrame, low: float = 0.05, high: float = 20.0, ste
     return grid[best]
 
 
-def diagnostic_tree_cv(df: DataFrame, features: Sequence[str], label: str = "kind", folds: int = 5, depth: int = 4, key: str = "item") -> DataFrame:
-    """(key, label, pred): predictions of a shallow tree for each row by a model of the other folds; folds are dealt by
+def diagnostic_tree_cv(df: DataFrame, features: Sequence[str], label: str = "kind", folds: int = 5, depth: int = 4, key: str = "item", carry: Sequence[str] = ()) -> DataFrame:
+    """(key, label, carried columns, pred): predictions of a shallow tree for each row by a model of the other folds; folds are dealt by
     hash within each label."""
     rank = F.row_number().over(Window.partitionBy(label).orderBy(draw("fold", F.col(key)), key))
     folded = df.withColumn("fold", rank % folds)
@@ -163,7 +213,7 @@ def diagnostic_tree_cv(df: DataFrame, features: Sequence[str], label: str = "kin
     out = None
     for k in range(folds):
         model = DecisionTreeClassifier(featuresCol="x", labelCol="y", maxDepth=depth, seed=0).fit(ready.where(F.col("fold") != k))
-        part = model.transform(ready.where(F.col("fold") == k)).select(key, label, F.element_at(names, F.col("prediction").cast("int") + 1).alias("pred"))
+        part = model.transform(ready.where(F.col("fold") == k)).select(key, label, *carry, F.element_at(names, F.col("prediction").cast("int") + 1).alias("pred"))
         out = part if out is None else out.unionByName(part)
     return out
 

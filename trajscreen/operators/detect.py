@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trajscreen.functions.columns import median, norm3
-from trajscreen.operators.mesh import NORMAL, displacement, neighbour_mean, signed_distance, tet_volumes
+from trajscreen.operators.mesh import NORMAL, OBSTACLE, displacement, grid_cell, neighbour_mean, signed_distance, tet_volumes
 
 KEYS = ("sim", "frame", "node")
 MAD = 1.4826
@@ -48,17 +48,22 @@ def velocity_scores(positions: DataFrame) -> DataFrame:
     return centred.select(*KEYS, (F.col("dev") / (MAD * median(F.col("dev")).over(node) + 1e-9)).alias("score"))
 
 
+def _middle(ordered: Column) -> Column:
+    """Median of a sorted array."""
+    n = F.size(ordered)
+    return (F.get(ordered, F.floor((n - 1) / 2).cast("int")) + F.get(ordered, F.floor(n / 2).cast("int"))) / 2
+
+
 def velocity_causal_scores(positions: DataFrame, min_past: int = 5) -> DataFrame:
-    """As velocity_scores, by medians over frames up to max(t - 4, min_past) only. The join is on (sim, node): pairs of
-    frames of one node, so at most the square of a run's length for each."""
-    s = speeds(positions)
+    """As velocity_scores, by medians over frames up to max(t - 4, min_past) only. A node's speeds come together in one
+    array (as long as its run), from which each frame takes its past in place: one shuffle by (sim, node)."""
+    tracks = speeds(positions).groupBy("sim", "node").agg(F.collect_list(F.struct("frame", "speed")).alias("track"))
+    rows = tracks.select("sim", "node", "track", F.explode("track").alias("now")).select("sim", "node", "now.frame", "now.speed", "track")
     bound = F.greatest(F.col("frame") - 4, F.lit(min_past))
-    now, past = s.withColumn("bound", bound).alias("n"), s.alias("p")
-    pairs = now.join(past, (F.col("n.sim") == F.col("p.sim")) & (F.col("n.node") == F.col("p.node")) & (F.col("p.frame") <= F.col("bound")))
-    whole = pairs.select(*[F.col(f"n.{k}").alias(k) for k in KEYS], F.col("n.speed").alias("speed"), F.col("p.speed").alias("past"))
-    centre = whole.groupBy(*KEYS, "speed").agg(median(F.col("past")).alias("centre"), F.collect_list("past").alias("all"))
-    spread = centre.select(*KEYS, "speed", "centre", F.explode("all").alias("past")).groupBy(*KEYS, "speed", "centre").agg(median(F.abs(F.col("past") - F.col("centre"))).alias("mad"))
-    return spread.select(*KEYS, (F.abs(F.col("speed") - F.col("centre")) / (MAD * F.col("mad") + 1e-9)).alias("score"))
+    past = F.array_sort(F.transform(F.filter("track", lambda p: p["frame"] <= bound), lambda p: p["speed"]))
+    centred = rows.select(*KEYS, "speed", past.alias("past")).where(F.size("past") > 0).withColumn("centre", _middle(F.col("past")))
+    spread = centred.select(*KEYS, "speed", "centre", F.array_sort(F.transform("past", lambda x: F.abs(x - F.col("centre")))).alias("off"))
+    return spread.select(*KEYS, (F.abs(F.col("speed") - F.col("centre")) / (MAD * _middle(F.col("off")) + 1e-9)).alias("score"))
 
 
 def _off_neighbours(values: DataFrame, edges: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -153,7 +158,8 @@ def clean_level(scores: DataFrame, q: float = 0.95, keys: Sequence[str] = ()) ->
 
 def bundle_features(positions: DataFrame, nodes: DataFrame, edges: DataFrame, cells: DataFrame) -> DataFrame:
     """(sim, frame, name, value): log1p of the 50, 90, 99 and 100 % points over plate nodes of speed, acceleration,
-    laplacian and velocity laplacian by step, and the number of inverted tets; frames from the third on."""
+    laplacian and velocity laplacian by step, the number of inverted tets, and the greatest contact depth by step (18 in all);
+    frames from the third on."""
     step = step_scale(positions, nodes)
     kinds = {"speed": speeds(positions).withColumnRenamed("speed", "score"), "acceleration": constvel_scores(positions), "laplacian": laplacian_scores(positions, nodes, edges), "vlap": velocity_laplacian_scores(positions, edges)}
     all_of = None
@@ -164,7 +170,9 @@ def bundle_features(positions: DataFrame, nodes: DataFrame, edges: DataFrame, ce
     points = own.groupBy("sim", "frame", "kind").agg(F.percentile("v", F.array(*[F.lit(p) for p in (0.5, 0.9, 0.99, 1.0)])).alias("p"))
     tall = points.select("sim", "frame", "kind", F.posexplode("p").alias("i", "v")).select("sim", "frame", F.concat_ws("_", "kind", F.element_at(F.array(*[F.lit(x) for x in ("50", "90", "99", "100")]), F.col("i") + 1)).alias("name"), F.log1p("v").alias("value"))
     inverted = jacobian_frame_scores(jacobian_scores(positions, nodes, cells), nodes).select("sim", "frame", F.lit("inverted").alias("name"), F.log1p("score").alias("value"))
-    return tall.unionByName(inverted).where(F.col("frame") >= 2)
+    deepest = contact_scores(positions, nodes, cells).groupBy("sim", "frame").agg(F.max("score").alias("d")).join(step, "sim")
+    depth = deepest.select("sim", "frame", F.lit("depth").alias("name"), F.log1p(F.col("d") / (F.col("step") + 1e-12)).alias("value"))
+    return tall.unionByName(inverted).unionByName(depth).where(F.col("frame") >= 2)
 
 
 def plate_nodes(nodes: DataFrame) -> DataFrame:
@@ -177,8 +185,14 @@ def stride(df: DataFrame, start: int, stop: int, step: int) -> DataFrame:
 
 
 def contact_scores(positions: DataFrame, nodes: DataFrame, cells: DataFrame) -> DataFrame:
-    """Depth of plate nodes inside the actuator, 0 elsewhere."""
-    depth = signed_distance(positions, nodes, cells).select(*KEYS, F.greatest(-F.col("distance"), F.lit(0.0)).alias("d"))
+    """Depth of plate nodes inside the actuator, 0 elsewhere (and for all other nodes). Only nodes within the actuator's box at
+    their frame are held against its surface."""
+    typed = positions.join(nodes.select("node", "node_type"), "node")
+    box = typed.where(F.col("node_type") == OBSTACLE).groupBy("sim", "frame").agg(*[f(c).alias(f"{n}{c}") for c in "xyz" for n, f in (("lo", F.min), ("hi", F.max))])
+    inside = typed.where(F.col("node_type") == NORMAL).join(box, ["sim", "frame"])
+    for c in "xyz":
+        inside = inside.where((F.col(c) >= F.col(f"lo{c}")) & (F.col(c) <= F.col(f"hi{c}")))
+    depth = signed_distance(positions, nodes, cells, points=inside.select(*KEYS)).select(*KEYS, F.greatest(-F.col("distance"), F.lit(0.0)).alias("d"))
     return positions.select(*KEYS).join(depth, list(KEYS), "left").select(*KEYS, F.coalesce("d", F.lit(0.0)).alias("score"))
 
 
@@ -188,17 +202,27 @@ def hotspot_nodes(scores: DataFrame, nodes: DataFrame, k: int = 10) -> DataFrame
     return own.withColumn("rank", F.row_number().over(Window.partitionBy("sim", "frame").orderBy(F.desc("score"), "node"))).where(F.col("rank") <= k)
 
 
-def diagnostics(positions: DataFrame, nodes: DataFrame, cells: DataFrame, gaps: DataFrame) -> DataFrame:
-    """(sim, frame, ratio, n_high, n_inverted, gap, speed_ratio): of each frame from the third on, the highest plate residual
-    by the median one, plate nodes over five times the median, inverted tets, the hot spot's distance to the actuator, and
-    its speed by the plate's median. gaps: (sim, frame, node, gap), a plate node's distance to the nearest actuator node."""
-    residuals = constvel_scores(positions).join(plate_nodes(nodes), "node").withColumn("m", median(F.col("score")).over(Window.partitionBy("sim", "frame")))
-    pace = speeds(positions).join(plate_nodes(nodes), "node").withColumn("pm", median(F.col("speed")).over(Window.partitionBy("sim", "frame")))
-    both = residuals.join(pace, list(KEYS)).join(gaps, list(KEYS))
-    hot = F.max(F.struct(F.col("score"), (-F.col("node")).alias("i"), F.col("gap"), (F.col("speed") / (F.col("pm") + 1e-12)).alias("r")))
-    out = both.groupBy("sim", "frame").agg(hot.alias("h"), F.max("m").alias("m"), F.sum((F.col("score") > 5 * F.col("m")).cast("int")).alias("n_high"))
-    bad = inverted_cells(positions, nodes, cells).groupBy("sim", "frame").agg(F.count(F.lit(1)).alias("n"))
-    return out.join(bad, ["sim", "frame"], "left").select("sim", "frame", (F.col("h.score") / (F.col("m") + 1e-12)).alias("ratio"), "n_high", F.coalesce("n", F.lit(0)).alias("n_inverted"), F.col("h.gap").alias("gap"), F.col("h.r").alias("speed_ratio"))
+def diagnostics(positions: DataFrame, nodes: DataFrame, cells: DataFrame, pixels: DataFrame, levels: DataFrame, k: int = 10, size: float = 448.0) -> DataFrame:
+    """(sim, frame, ratio, n_high, n_inverted, gap, speed_ratio, row, col) of each frame from the third on: the frame's residual
+    by its run's typical level, plate nodes over five times the median residual, inverted tets, and of the hot spot (the k
+    plate nodes of highest residual) the least distance to an actuator node, the mean speed by the plate's median, and the
+    cell of the 3 x 3 image grid. levels: (sim, level). pixels: (sim, frame, node, px, py)."""
+    every = constvel_scores(positions)
+    plate = plate_nodes(nodes)
+    frames = frame_scores(every, nodes).join(levels, "sim").select("sim", "frame", (F.col("score") / (F.col("level") + 1e-12)).alias("ratio"))
+    high = every.join(plate, "node").withColumn("m", median(F.col("score")).over(Window.partitionBy("sim", "frame"))).groupBy("sim", "frame").agg(F.sum((F.col("score") > 5 * F.col("m")).cast("int")).alias("n_high"))
+    hot = hotspot_nodes(every, nodes, k).select(*KEYS)
+    pace = speeds(positions)
+    middle = pace.join(plate, "node").groupBy("sim", "frame").agg(median(F.col("speed")).alias("pm"))
+    speed = hot.join(pace, list(KEYS)).groupBy("sim", "frame").agg(F.avg("speed").alias("s")).join(middle, ["sim", "frame"]).select("sim", "frame", (F.col("s") / (F.col("pm") + 1e-12)).alias("speed_ratio"))
+    tools = positions.join(nodes.where(F.col("node_type") == OBSTACLE).select("node"), "node").select("sim", "frame", *[F.col(c).alias(f"b{c}") for c in "xyz"])
+    gap = hot.join(positions, list(KEYS)).join(tools, ["sim", "frame"]).groupBy("sim", "frame").agg(F.min(norm3(*[F.col(c) - F.col(f"b{c}") for c in "xyz"])).alias("gap"))
+    bad = inverted_cells(positions, nodes, cells).groupBy("sim", "frame").agg(F.count(F.lit(1)).alias("n_inverted"))
+    place = grid_cell(hot.join(pixels, list(KEYS)), ("sim", "frame"), 3, size)
+    out = frames
+    for part in (high, gap, speed, place):
+        out = out.join(part, ["sim", "frame"])
+    return out.join(bad, ["sim", "frame"], "left").fillna(0, ["n_inverted"]).select("sim", "frame", "ratio", "n_high", "n_inverted", "gap", "speed_ratio", "row", "col")
 
 
 def color_limits(residuals: DataFrame, frames: Sequence[int], q: float = 0.995, factor: float = 3.0) -> DataFrame:

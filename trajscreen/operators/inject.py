@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trajscreen.functions.columns import draw
-from trajscreen.operators.mesh import NORMAL, hops, point_triangle, surface_triangles
+from trajscreen.operators.mesh import NORMAL, OBSTACLE, contact_frames, hops, point_triangle, surface_triangles
 
 TYPES = ("hourglass", "penetration", "inversion", "instability", "frozen")
 SEVERITIES = {1: 1.0, 2: 10.0, 3: 100.0}
@@ -136,9 +136,18 @@ def pick_frames(plan: DataFrame, keys: Sequence[str] = ("sim", "type", "sev"), s
     return spaced.where(F.col("r") == first).drop("n", "r", "m")
 
 
+def contact_onsets(copies: DataFrame, gaps: DataFrame, onset: tuple[int, int] = (40, 300), touching: float = 2e-3) -> DataFrame:
+    """copies with t0 at a frame of onset's range in which the actuator touches the plate, drawn from the seed; where it never
+    does, at the frame of least gap. gaps: (sim, frame, gap)."""
+    within = contact_frames(gaps.where((F.col("frame") >= onset[0]) & (F.col("frame") < onset[1])), touching).withColumnRenamed("frame", "contact")
+    rank = F.row_number().over(Window.partitionBy("sim", "type", "sev").orderBy(draw(F.col("seed"), "contact", F.col("contact")), "contact"))
+    drawn = copies.join(within, "sim").withColumn("r", rank).where("r = 1")
+    return drawn.select(*[F.col("contact").cast("int").alias("t0") if c == "t0" else c for c in copies.columns])
+
+
 def inject_penetration(copies: DataFrame, positions: DataFrame, nodes: DataFrame, cells: DataFrame, steps: DataFrame, frames: int = 5, most: int = 10, touching: float = 1e-3) -> DataFrame:
     """Deltas: the plate nodes nearest to the actuator at t0 (within `touching`, or the nearest one; `most` at most) are moved
-    to the closest point of its surface and on by the size, away from where they were."""
+    to the closest point of its surface and on by the size along that face's inward normal."""
     keys = ["sim", "type", "sev"]
     hull = surface_triangles(cells, nodes)
     corner = lambda n: positions.select("sim", "frame", F.col("node").alias(n), *[F.col(c).alias(f"{n}{c}") for c in "xyz"])
@@ -147,27 +156,33 @@ def inject_penetration(copies: DataFrame, positions: DataFrame, nodes: DataFrame
     faces = window.select("sim", "frame").distinct().join(corner("a"), ["sim", "frame"]).join(hull, "a").join(corner("b"), ["sim", "frame", "b"]).join(corner("c"), ["sim", "frame", "c"])
     at = lambda n: [F.col(f"{n}{c}") for c in "xyz"]
     foot, d = point_triangle(at("p"), at("a"), at("b"), at("c"))
-    near = plate.join(faces, ["sim", "frame"]).groupBy("sim", "frame", "node").agg(F.min(F.struct(d.alias("d"), *[f.alias(f"f{c}") for f, c in zip(foot, "xyz", strict=True)])).alias("m"), *[F.first(f"p{c}").alias(f"p{c}") for c in "xyz"])
-    near = near.select("sim", "frame", "node", "m.d", "m.fx", "m.fy", "m.fz", "px", "py", "pz")
+    centre = positions.join(nodes.where(F.col("node_type") == OBSTACLE).select("node"), "node").groupBy("sim", "frame").agg(*[F.avg(c).alias(f"m{c}") for c in "xyz"])
+    faces = faces.join(centre, ["sim", "frame"])
+    u, v = ([F.col(f"{n}{c}") - F.col(f"a{c}") for c in "xyz"] for n in "bc")
+    normal = [u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]]
+    outward = F.signum(sum(((F.col(f"a{c}") - F.col(f"m{c}")) * k for c, k in zip("xyz", normal, strict=True)), F.lit(0.0)))
+    length = F.greatest(F.sqrt(normal[0] * normal[0] + normal[1] * normal[1] + normal[2] * normal[2]), F.lit(1e-30))
+    inward = [(-outward * k / length).alias(f"i{c}") for c, k in zip("xyz", normal, strict=True)]
+    near = plate.join(faces, ["sim", "frame"]).groupBy("sim", "frame", "node").agg(F.min(F.struct(d.alias("d"), *[f.alias(f"f{c}") for f, c in zip(foot, "xyz", strict=True)], *inward)).alias("m"))
+    near = near.select("sim", "frame", "node", "m.*")
     rank = Window.partitionBy(*keys).orderBy("d", "node")
     chosen = copies.join(near.withColumnRenamed("frame", "t0"), ["sim", "t0"]).withColumn("r", F.row_number().over(rank)).withColumn("least", F.min("d").over(Window.partitionBy(*keys)))
     chosen = chosen.where((F.col("r") <= most) & (F.col("d") <= F.greatest(F.lit(touching), F.col("least")))).select(*keys, "node")
     size = F.element_at(F.create_map(*[F.lit(x) for kv in SEVERITIES.items() for x in kv]), F.col("sev")) * F.col("step")
-    length = F.greatest(F.col("d"), F.lit(1e-12))
     moved = window.join(chosen, keys).join(near, ["sim", "frame", "node"])
-    return moved.select(*keys, "frame", "node", *[(F.col(f"f{c}") + size * (F.col(f"f{c}") - F.col(f"p{c}")) / length).alias(c) for c in "xyz"])
+    return moved.select(*keys, "frame", "node", *[(F.col(f"f{c}") + size * F.col(f"i{c}")).alias(c) for c in "xyz"])
 
 
 def inject_inversion(copies: DataFrame, centres: DataFrame, positions: DataFrame, nodes: DataFrame, cells: DataFrame, frames: int = 5, shares: dict[int, float] | None = None) -> DataFrame:
-    """Deltas: one corner of a drawn plate tet at the centre is reflected through the opposite face, by twice a share of
-    its distance."""
+    """Deltas: the centre node is reflected through the opposite face of a drawn plate tet that has it as a corner, by twice a
+    share of its distance."""
     shares = shares or {1: 0.3, 2: 0.6, 3: 1.5}
     keys = ["sim", "type", "sev"]
     corners = cells.select("cell", F.explode(F.array("v0", "v1", "v2", "v3")).alias("node"), F.array("v0", "v1", "v2", "v3").alias("vs")).join(nodes.select("node", "node_type"), "node")
     own = corners.groupBy("cell", "vs").agg(F.max(F.abs(F.col("node_type") - NORMAL)).alias("off")).where("off = 0").select("cell", "vs", F.explode("vs").alias("node"))
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(draw(F.col("seed"), "cell", F.col("cell")), "cell"))
     tet = copies.join(centres, keys).join(own, "node").withColumn("r", rank).where("r = 1").drop("r")
-    turned = tet.withColumn("i", F.pmod(draw(F.col("seed"), "corner"), F.lit(4)).cast("int")).withColumn("top", F.get("vs", F.col("i"))).withColumn("face", F.filter("vs", lambda v, i: i != F.col("i")))
+    turned = tet.withColumn("top", F.col("node")).withColumn("face", F.filter("vs", lambda v: v != F.col("top")))
     spread = turned.select(*keys, "top", *[F.get("face", F.lit(j)).alias(f"q{j}") for j in range(3)], F.explode(F.sequence("t0", F.col("t0") + (frames - 1))).alias("frame"))
     for name in ("top", "q0", "q1", "q2"):
         spread = spread.join(positions.select("sim", "frame", F.col("node").alias(name), *[F.col(c).alias(f"{name}{c}") for c in "xyz"]), ["sim", "frame", name])

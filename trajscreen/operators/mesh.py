@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from trajscreen.functions.columns import norm3
+from trajscreen.functions.columns import draw, norm3
 
 NORMAL, OBSTACLE, HANDLE = 0, 1, 3
 VERTICES = ("v0", "v1", "v2", "v3")
@@ -113,8 +115,6 @@ def contact_pairs(nodes: DataFrame, radius: float, k: int = 8, keys: Sequence[st
     """(keys, plate, actuator, distance): up to k nearest actuator nodes within radius of each plate node at rest."""
     at = nodes.select(*keys, "node", "node_type", *[F.col(f"r{c}").alias(c) for c in "xyz"])
     pairs = within_radius(at.where(F.col("node_type") == NORMAL), at.where(F.col("node_type") == OBSTACLE), radius, keys)
-    from pyspark.sql.window import Window
-
     rank = F.row_number().over(Window.partitionBy(*keys, "a_node").orderBy("distance", "b_node"))
     return pairs.withColumn("r", rank).where(F.col("r") <= k).select(*keys, F.col("a_node").alias("plate"), F.col("b_node").alias("actuator"), "distance")
 
@@ -180,10 +180,13 @@ def point_triangle(p: list, a: list, b: list, c: list) -> tuple[list, object]:
     return [best[k] for k in "xyz"], best["d"]
 
 
-def signed_distance(positions: DataFrame, nodes: DataFrame, cells: DataFrame, on: Sequence[str] = ("node",)) -> DataFrame:
+def signed_distance(positions: DataFrame, nodes: DataFrame, cells: DataFrame, on: Sequence[str] = ("node",), points: DataFrame | None = None) -> DataFrame:
     """(sim, frame, node, distance) of plate nodes to the actuator's surface, negative inside one of its tets. Surface and
-    tets are found once; each frame joins its own plate nodes with its own triangles."""
+    tets are found once; each frame joins its own plate nodes with its own triangles. points: (sim, frame, node) of those to
+    measure only."""
     typed = positions.join(nodes.select(*on, "node_type"), list(on))
+    if points is not None:
+        typed = typed.join(points, ["sim", "frame", "node"], "left_semi")
     points = typed.where(F.col("node_type") == NORMAL).select("sim", "frame", "node", *[F.col(c).alias(f"p{c}") for c in "xyz"])
     hull = surface_triangles(cells, nodes)
     corner = lambda name: positions.select("sim", "frame", F.col("node").alias(name), *[F.col(c).alias(f"{name}{c}") for c in "xyz"])
@@ -206,3 +209,74 @@ def signed_distance(positions: DataFrame, nodes: DataFrame, cells: DataFrame, on
     within = (whole != 0) & (parts[0] == whole) & (parts[1] == whole) & (parts[2] == whole) & (parts[3] == whole)
     inside = points.join(tets, ["sim", "frame"]).where(within).select("sim", "frame", "node").distinct().withColumn("in", F.lit(True))
     return distance.join(inside, ["sim", "frame", "node"], "left").select("sim", "frame", "node", F.when(F.col("in"), -F.col("d")).otherwise(F.col("d")).alias("distance"))
+
+
+def _offset(left: str, right: str, out: str) -> list[Column]:
+    """Offset columns of two sides' points, and their length."""
+    d = [F.col(f"{left}{c}") - F.col(f"{right}{c}") for c in "xyz"]
+    return [*[x.alias(f"{out}{c}") for x, c in zip(d, "xyz", strict=True)], norm3(*d).alias(f"{out}_length")]
+
+
+def step_edge_features(positions: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(sim, frame, src, dst, rest_x, rest_y, rest_z, rest_length, now_x, now_y, now_z, now_length) of the mesh edges."""
+    at = positions.join(nodes, "node")
+    side = lambda n, s: at.select("sim", "frame", F.col("node").alias(n), *[F.col(c).alias(f"{s}_{c}") for c in "xyz"], *[F.col(f"r{c}").alias(f"{s}_r{c}") for c in "xyz"])
+    both = edges.join(side("src", "a"), "src").join(side("dst", "b"), ["sim", "frame", "dst"])
+    return both.select("sim", "frame", "src", "dst", *_offset("a_r", "b_r", "rest_")[:3], _offset("a_r", "b_r", "rest")[3], *_offset("a_", "b_", "now_")[:3], _offset("a_", "b_", "now")[3])
+
+
+def contact_edge_features(positions: DataFrame, nodes: DataFrame, radius: float) -> DataFrame:
+    """(sim, frame, src, dst, now_x, now_y, now_z, now_length) of the contact edges within radius, both directions."""
+    pairs = world_edges(positions, nodes, radius).select("sim", "frame", "src", "dst")
+    side = lambda n, s: positions.select("sim", "frame", F.col("node").alias(n), *[F.col(c).alias(f"{s}_{c}") for c in "xyz"])
+    both = pairs.join(side("src", "a"), ["sim", "frame", "src"]).join(side("dst", "b"), ["sim", "frame", "dst"])
+    return both.select("sim", "frame", "src", "dst", *_offset("a_", "b_", "now_")[:3], _offset("a_", "b_", "now")[3])
+
+
+def load_features(positions: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(sim, frame, node, own_u*, mean_u*, r*, off_*, type_*): the actuator's own displacement (0 for other nodes), its mean
+    displacement, the rest position, the offset from the actuator's rest centroid, and the node's type."""
+    u = displacement(positions, nodes)
+    mean = u.where(F.col("node_type") == OBSTACLE).groupBy("sim", "frame").agg(*[F.avg(f"u{c}").alias(f"mean_u{c}") for c in "xyz"])
+    centre = actuator(nodes).agg(*[F.avg(f"r{c}").alias(f"c{c}") for c in "xyz"]).agg(F.first(F.struct("cx", "cy", "cz"))).scalar()
+    fixed = one_hot(nodes).withColumn("centre", centre).select("node", "rx", "ry", "rz", *[(F.col(f"r{c}") - F.col(f"centre.c{c}")).alias(f"off_{c}") for c in "xyz"], *[f"type_{k}" for k in range(4)])
+    own = [F.when(F.col("node_type") == OBSTACLE, F.col(f"u{c}")).otherwise(0.0).alias(f"own_u{c}") for c in "xyz"]
+    return u.select("sim", "frame", "node", *own).join(mean, ["sim", "frame"]).join(fixed, "node")
+
+
+def load_edge_features(positions: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(sim, frame, src, dst, x, y, z, length) of contact pairs (plate, actuator): from the plate node's rest position to the
+    actuator node, and mirrored with the sign turned."""
+    rest = nodes.select(F.col("node").alias("plate"), *[F.col(f"r{c}").alias(f"p_{c}") for c in "xyz"])
+    tool = positions.select("sim", "frame", F.col("node").alias("actuator"), *[F.col(c).alias(f"a_{c}") for c in "xyz"])
+    both = tool.join(pairs.select("plate", "actuator"), "actuator").join(rest, "plate")
+    one = both.select("sim", "frame", F.col("actuator").alias("src"), F.col("plate").alias("dst"), *_offset("a_", "p_", "")[:3], _offset("a_", "p_", "")[3].alias("length"))
+    return one.unionByName(one.select("sim", "frame", F.col("dst").alias("src"), F.col("src").alias("dst"), *[(-F.col(c)).alias(c) for c in "xyz"], "length"))
+
+
+def rest_edge_features(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(src, dst, x, y, z, length) of the mesh edges at rest."""
+    side = lambda n, s: nodes.select(F.col("node").alias(n), *[F.col(f"r{c}").alias(f"{s}_{c}") for c in "xyz"])
+    both = edges.join(side("src", "a"), "src").join(side("dst", "b"), "dst")
+    return both.select("src", "dst", *_offset("a_", "b_", "")[:3], _offset("a_", "b_", "")[3].alias("length"))
+
+
+def crop_box(pixels: DataFrame, keys: Sequence[str] = ("sim",), margin: float = 1.08, pad: float = 4.0) -> DataFrame:
+    """(keys, left, top, side) of the square about the pixels' bounding box, widened by margin and pad."""
+    box = pixels.groupBy(*keys).agg(F.min("px").alias("a"), F.max("px").alias("b"), F.min("py").alias("c"), F.max("py").alias("e"))
+    half = F.greatest(F.col("b") - F.col("a"), F.col("e") - F.col("c")) / 2 * margin + pad
+    return box.select(*keys, ((F.col("a") + F.col("b")) / 2 - half).alias("left"), ((F.col("c") + F.col("e")) / 2 - half).alias("top"), (2 * half).alias("side"))
+
+
+def training_pairs(positions: DataFrame, nodes: DataFrame, sigma: float, seed: int, t_max: int) -> DataFrame:
+    """(sim, frame, node, tx, ty, tz): next - 2 * now + previous for frames 1 to t_max - 1, with normal noise of deviation sigma,
+    drawn from (seed, sim, frame, node), on a plate node's position now."""
+    order = Window.partitionBy("sim", "node").orderBy("frame")
+
+    def noise(c: str) -> Column:
+        u, v = ((draw(F.lit(seed), F.col("sim"), F.col("frame"), F.col("node"), F.lit(c + k)) + 1) / float(1 << 32) for k in "uv")
+        return F.when(F.col("node_type") == NORMAL, sigma * F.sqrt(-2 * F.log(u)) * F.cos(2 * math.pi * v)).otherwise(0.0)
+
+    typed = positions.join(nodes.select("node", "node_type"), "node")
+    target = [(F.lead(c).over(order) - 2 * (F.col(c) + noise(c)) + F.lag(c).over(order)).alias(f"t{c}") for c in "xyz"]
+    return typed.select("sim", "frame", "node", *target).where(F.col("tx").isNotNull() & (F.col("frame") >= 1) & (F.col("frame") < t_max))

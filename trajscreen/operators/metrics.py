@@ -102,6 +102,21 @@ def ece(df: DataFrame, bins: int = 15, keys: Sequence[str] = ()) -> DataFrame:
     return parts.groupBy(*keys).agg((F.sum(F.abs(F.col("acc") - F.col("mean_conf")) * F.col("n")) / F.sum("n")).alias("ece"))
 
 
+def brier_multiclass(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, brier): mean over rows of the squared distance of probs (array) from the truth (truth_index, from 0; null if
+    it isn't among the classes)."""
+    square = F.aggregate(F.transform("probs", lambda p, i: (p - (i == F.coalesce(F.col("truth_index"), F.lit(-1))).cast("double")) * (p - (i == F.coalesce(F.col("truth_index"), F.lit(-1))).cast("double"))), F.lit(0.0), lambda t, x: t + x)
+    return df.groupBy(*keys).agg(F.avg(square).alias("brier"))
+
+
+def macro_f1(df: DataFrame, labels: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, macro_f1): mean over labels of F1 from truth and pred, 0 where undefined."""
+    count = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("int"))
+    sums = [(count((F.col("truth") == x) & (F.col("pred") == x)), count(F.col("truth") == x) + count(F.col("pred") == x)) for x in labels]
+    parts = [F.coalesce(F.try_divide(2.0 * hit, both.cast("double")), F.lit(0.0)) for hit, both in sums]
+    return df.groupBy(*keys).agg((sum(parts[1:], parts[0]) / len(labels)).alias("macro_f1"))
+
+
 def brier(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """(keys, brier): mean squared difference of conf and correct."""
     d = F.col("conf") - F.col("correct")
@@ -131,6 +146,11 @@ def selective(df: DataFrame, coverage: float = 0.8, target: float = 0.95) -> Dat
     return own.groupBy("n").agg(F.max(F.when(F.col("k") == F.floor(F.col("n") * coverage), F.col("cum"))).alias("acc_at_coverage"), best.alias("b")).select("acc_at_coverage", F.coalesce(F.col("b.k") / F.col("n"), F.lit(0.0)).alias("coverage"), F.coalesce(F.col("b.conf"), F.lit(1.0)).alias("tau"))
 
 
+def fit_tau(df: DataFrame, target: float = 0.95) -> float:
+    """The confidence at the last row, by falling confidence, at which cumulative accuracy reaches the target; 1 if none does."""
+    return selective(df, target=target).first()["tau"]
+
+
 def abstain_rate(df: DataFrame, tau: float) -> DataFrame:
     return df.agg(F.avg((F.col("conf") < tau).cast("double")).alias("abstain_rate"))
 

@@ -138,6 +138,14 @@ def a13(spark, d):
     return rounded(answers.pair_metrics(pairs, "type0", "type1"), "none_a", "target_b", "separated", "similarity")
 
 
+PILOT = PAIRS + ", rt AS (SELECT arm, sum(CASE WHEN truth <> 'type0' AND pred = truth THEN 1 ELSE 0 END) AS type_right, count(CASE WHEN truth <> 'type0' THEN 1 END) AS n_anomalous, sum(CASE WHEN truth <> 'type0' AND pred = 'type0' THEN 1 ELSE 0 END) AS none_on_anomalous, sum(CASE WHEN truth = 'type0' AND pred = 'type0' THEN 1 ELSE 0 END) AS clean_called_none, count(CASE WHEN truth = 'type0' THEN 1 END) AS n_clean, sum(CASE WHEN truth <> 'type0' AND pred IS NOT NULL AND location = truth_location THEN 1 ELSE 0 END) AS location_right, count(CASE WHEN truth <> 'type0' AND pred IS NOT NULL THEN 1 END) AS n_located, sum(CASE WHEN pred IS NULL THEN 1 ELSE 0 END) AS invalid, count(*) AS n FROM an GROUP BY arm), sp AS (SELECT arm, sum(CASE WHEN pred_a = 'type0' AND pred_b IS NOT NULL AND pred_b <> 'type0' THEN 1 ELSE 0 END) AS separated, count(*) AS n_pairs FROM pr GROUP BY arm), bs AS (SELECT max(type_right) AS base FROM rt WHERE arm = 'assistant')"
+
+
+@query("a13_pilot_decision", oracle(PILOT + " SELECT rt.*, coalesce(separated, 0) AS separated, coalesce(n_pairs, 0) AS n_pairs, type_right - base >= 5 OR coalesce(separated, 0) >= 3 AS scale_up FROM bs, rt LEFT JOIN sp ON rt.arm = sp.arm", "answers"))
+def a13b(spark, d):
+    return answers.pilot_report(_answers(spark, d), _answer_pairs(spark, d), "assistant", "type0")
+
+
 @query("a14_gate_mean", oracle(CELLM + " SELECT detector, round(avg(auroc), 6) AS mean_auroc, avg(auroc) >= 8e-1 AS passed FROM cm WHERE sev = 3 GROUP BY detector", "tall"))
 def a14(spark, d):
     return rounded(metrics.gate_mean(metrics.cell_metrics(view(spark, d, "tall"))), "mean_auroc")
@@ -148,9 +156,14 @@ def w2(spark, d):
     return rounded(metrics.selective(view(spark, d, "confidence"), target=0.9), "acc_at_coverage", "coverage", "tau")
 
 
-@query("w3_abstain_rate", oracle(" SELECT round(avg(CASE WHEN conf < 4e-1 THEN 1e0 ELSE 0e0 END), 6) AS abstain_rate FROM confidence", "confidence"))
+HALVES = ", s AS (SELECT conf, sum(correct) OVER w * 1e0 / row_number() OVER w AS cum, row_number() OVER w AS k FROM confidence WHERE item % 2 = 0 WINDOW w AS (ORDER BY conf DESC, item ROWS UNBOUNDED PRECEDING)), ta AS (SELECT coalesce(arg_max(conf, k) FILTER (WHERE cum >= 6e-1), 1) AS tau FROM s)"
+
+
+@query("w3_abstain_rate", oracle(HALVES + " SELECT round(tau, 6) AS tau, round(avg(CASE WHEN conf < tau THEN 1e0 ELSE 0e0 END), 6) AS abstain_rate FROM confidence, ta WHERE item % 2 = 1 GROUP BY tau", "confidence"))
 def w3(spark, d):
-    return rounded(metrics.abstain_rate(view(spark, d, "confidence"), 0.4), "abstain_rate")
+    c = view(spark, d, "confidence")
+    tau = metrics.fit_tau(c.where("item % 2 = 0"), 0.6)
+    return rounded(metrics.abstain_rate(c.where("item % 2 = 1"), tau).select(F.lit(tau).alias("tau"), "abstain_rate"), "tau", "abstain_rate")
 
 
 @query("w5_stratified_sample", oracle(" SELECT sim, frame, type, sev FROM (SELECT *, row_number() OVER (PARTITION BY type, label ORDER BY ('0x' || substr(md5('s|' || CAST(sim AS VARCHAR) || '|' || CAST(frame AS VARCHAR)), 1, 8))::BIGINT, sim, frame) AS r FROM records) q WHERE r <= 20", "records"))
@@ -169,7 +182,7 @@ BOOT = WEIGHTS + ", ag AS (SELECT type, detector, rep, score, sum(CASE WHEN labe
 DELTAS = BOOT.replace(f"range({REPS})", f"range({GATE_REPS})") + ", de AS (SELECT a.type, a.rep, a.auroc - b.auroc AS delta FROM ba a JOIN ba b ON a.type = b.type AND a.rep = b.rep WHERE a.detector = 'a' AND b.detector = 'b')"
 
 
-@query("b1_bootstrap_ci", oracle(BOOT + " SELECT ba.type, detector, c.clusters, round(quantile_cont(auroc, 0.025), 6) AS lo, round(quantile_cont(auroc, 0.975), 6) AS hi FROM ba JOIN (SELECT type, count(DISTINCT sim) AS clusters FROM tall GROUP BY type) c ON c.type = ba.type GROUP BY ALL", "tall"))
+@query("b1_bootstrap_ci", oracle(BOOT + " SELECT c.type, c.detector, c.clusters, CASE WHEN max(clusters) >= 20 THEN round(quantile_cont(auroc, 0.025), 6) END AS lo, CASE WHEN max(clusters) >= 20 THEN round(quantile_cont(auroc, 0.975), 6) END AS hi FROM (SELECT type, detector, count(DISTINCT sim) AS clusters FROM tall GROUP BY type, detector) c LEFT JOIN ba ON c.type = ba.type AND c.detector = ba.detector GROUP BY ALL", "tall"))
 def b1(spark, d):
     return rounded(resample.bootstrap_ci(view(spark, d, "tall"), ["type", "detector"], REPS), "lo", "hi")
 
@@ -199,10 +212,20 @@ def b5(spark, d):
     return rounded(resample.holm(resample.one_sided_p(deltas, ["type"]), ["type"]), "p")
 
 
-@query("b6_run_auroc", oracle(WEIGHTS.replace(f"range({REPS})", f"range({GATE_REPS})").replace("tall", "rr") .replace(", cl AS", ", rr AS (SELECT sim, label, max(score_a) AS score FROM records GROUP BY sim, label), cl AS", 1) + ", ag AS (SELECT rep, score, sum(CASE WHEN label THEN weight ELSE 0 END) AS p, sum(CASE WHEN label THEN 0 ELSE weight END) AS n FROM rr JOIN wt ON rr.sim = wt.sim GROUP BY ALL), un AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY rep ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS u FROM ag) SELECT rep, round(sum(p*(u + n/2e0)) / (sum(p)*1e0*sum(n)), 6) AS auroc FROM un GROUP BY rep", "records"))
+RUNBOOT = WEIGHTS.replace(f"range({REPS})", f"range({GATE_REPS})").replace("tall", "rr").replace(", cl AS", ", rr AS (SELECT sim, label, max(score_a) AS score FROM records GROUP BY sim, label), rq AS (SELECT 1 AS one, * FROM rr), cl AS", 1) + ", ag AS (SELECT rep, score, sum(CASE WHEN label THEN weight ELSE 0 END) AS p, sum(CASE WHEN label THEN 0 ELSE weight END) AS n FROM rr JOIN wt ON rr.sim = wt.sim GROUP BY ALL), un AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY rep ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS u FROM ag)"
+RUNREPS = "SELECT rep, sum(p*(u + n/2e0)) / (sum(p)*1e0*sum(n)) AS auroc FROM un GROUP BY rep"
+
+
+@query("b6_run_auroc", oracle(RUNBOOT + f" SELECT rep, round(auroc, 6) AS auroc FROM ({RUNREPS}) q", "records"))
 def b6(spark, d):
     runs = view(spark, d, "records").groupBy("sim", "label").agg(F.max("score_a").alias("score"))
-    return rounded(resample.weighted_auroc(runs, resample.bootstrap_weights(runs, GATE_REPS), []), "auroc")
+    return rounded(resample.weighted_auroc(runs, resample.bootstrap_weights(runs, GATE_REPS), [], GATE_REPS), "auroc")
+
+
+@query("b6_run_auroc_ci", oracle(RUNBOOT + f", ba AS ({RUNREPS}) SELECT (SELECT round(auroc, 6) FROM ({ranked('rq', 'one')}) z) AS auroc, round(quantile_cont(auroc, 0.025), 6) AS lo, round(quantile_cont(auroc, 0.975), 6) AS hi FROM ba", "records"))
+def b6b(spark, d):
+    runs = view(spark, d, "records").groupBy("sim", "label").agg(F.max("score_a").alias("score"))
+    return rounded(resample.run_auroc(runs, [], GATE_REPS), "auroc", "lo", "hi")
 
 
 @query("b7_median_ci", oracle(WEIGHTS.replace(f"range({REPS})", f"range({MEDIAN_REPS})") + ", mm AS (SELECT rep, quantile_cont(v, 0.5) AS m FROM (SELECT rep, unnest(list_transform(range(weight), lambda x: v)) AS v FROM wt JOIN (SELECT sim, max(score) AS v FROM tall GROUP BY sim) s ON wt.sim = s.sim) q GROUP BY rep) SELECT round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM mm", "tall"))

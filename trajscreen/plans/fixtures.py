@@ -57,5 +57,5 @@ def oracle(select: str, *names: str) -> str:
 
     for n in names:
         add(n)
-    head = "WITH " + ",\n".join(f"{n} AS ({VIEWS[n]})" for n in order)
+    head = "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({VIEWS[n]})" for n in order)
     return head + (select if select.lstrip().startswith(",") else "\n" + select)

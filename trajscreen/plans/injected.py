@@ -7,10 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajscreen.functions.columns import norm3
-from trajscreen.operators import alarms, answers, detect, inject, mesh, metrics
+from trajscreen.operators import alarms, answers, detect, inject, mesh, metrics, runs
 from trajscreen.plans.fixtures import oracle, view
-from trajscreen.plans.screening import _E, COPY, GAP, MATRIX, PX, PY, changed, registered, rounded
+from trajscreen.plans.screening import _E, COPY, DEPTH, GAP, MATRIX, PX, PY, changed, registered, rounded
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -49,7 +48,8 @@ def i2(spark, d):
 @query("i3_penetration")
 def i3(spark, d):
     p, r, c, _, copies = _base(spark, d)
-    return inject.inject_penetration(copies.where("type = 'penetration'"), p, r, c, detect.step_scale(p, r))
+    own = inject.contact_onsets(copies.where("type = 'penetration'"), mesh.min_gap(p, r), ONSET)
+    return inject.inject_penetration(own, p, r, c, detect.step_scale(p, r))
 
 
 @query("i4_inversion")
@@ -107,7 +107,10 @@ def j8(spark, d):
     return rounded(mesh.signed_distance(p, r, c), "distance")
 
 
-@query("d7_contact_scores")
+SUNK = ", sk AS (SELECT sim, frame, node, x, y, CASE WHEN node = 0 AND frame % 10 = 0 THEN z - 3e0 ELSE z END AS z FROM positions)"
+
+
+@query("d7_contact_scores", oracle(SUNK + DEPTH.replace("positions", "sk") + " SELECT s.sim, s.frame, s.node, round(coalesce(depth, 0), 6) AS score FROM sk s LEFT JOIN dp ON s.sim = dp.sim AND s.frame = dp.frame AND s.node = dp.node", "positions"))
 def d7(spark, d):
     p, r, c = (view(spark, d, n) for n in ("positions", "rest", "cells"))
     sunk = p.withColumn("z", F.when((F.col("node") == 0) & (F.col("frame") % 10 == 0), F.col("z") - 3.0).otherwise(F.col("z")))
@@ -115,15 +118,8 @@ def d7(spark, d):
 
 
 def _scored_runs(spark, d) -> DataFrame:
-    p, r = (view(spark, d, n) for n in ("positions", "rest"))
-    grid = [("clean", 0.0), *(("scale", e) for e in (0.05, 0.1, 0.2)), *(("lag", k) for k in (2, 5, 10)), *(("timescale", c) for c in (0.95, 0.9, 0.8))]
-    out = None
-    for kind, v in grid:
-        run = p if kind == "clean" else inject.inject_global(p, r, kind, v)
-        frames = detect.frame_scores(detect.constvel_scores(run), r).withColumn("detector", F.lit("constvel"))
-        part = alarms.run_stats(frames, detect.step_scale(run, r)).select("sim", F.lit(kind).alias("kind"), F.lit(float(v)).alias("parameter"), "detector", "value")
-        out = part if out is None else out.unionByName(part)
-    return out
+    p, r, c = (view(spark, d, n) for n in ("positions", "rest", "cells"))
+    return runs.score_runs(p, r, c, mesh.mesh_edges(c), (10, 2**31 - 1, 2))
 
 
 @query("r5_score_runs")
@@ -133,61 +129,102 @@ def r5(spark, d):
 
 @query("r6_gate_runs")
 def r6(spark, d):
-    runs = _scored_runs(spark, d)
-    clean = runs.where("kind = 'clean'").select("detector", F.col("value").alias("score"), F.lit(False).alias("label"))
-    cells = runs.where("kind <> 'clean'").select("kind", "parameter", "detector", F.col("value").alias("score"), F.lit(True).alias("label"))
-    both = cells.unionByName(cells.select("kind", "parameter", "detector").distinct().join(clean, "detector").select("kind", "parameter", "detector", "score", "label"))
-    return rounded(metrics.auroc(both, ["kind", "parameter", "detector"]), "auroc")
+    every = _scored_runs(spark, d).persist()
+    clean = every.where("kind = 'clean'").select("detector", "value")
+    z = alarms.robust_z(every, clean).select("sim", "kind", "parameter", "detector", "z").persist()
+    return rounded(alarms.gate_runs(z, ("vlap", "contact_gap", "contact_depth"), ("constvel", "laplacian", "velocity")), "delta", "lo", "p")
 
 
 @query("r4_spread_table")
 def r4b(spark, d):
-    runs = _scored_runs(spark, d)
+    runs = _scored_runs(spark, d).persist()
     return rounded(alarms.spread_table(runs.where("kind = 'clean'").select("sim", "detector", "value"), runs.where("kind = 'lag' and parameter = 10").select("sim", "detector", "value")), "clean_cv", "median_shift")
 
 
+def _triage(spark, d) -> DataFrame:
+    return answers.triage_features(view(spark, d, "tall"), ["a", "b"]).withColumn("item", F.concat_ws("-", "sim", "frame", "kind", "sev"))
+
+
+def _tempered(model: answers.Triage, calibration: DataFrame) -> float:
+    probs = answers.predict_triage(model, calibration).select("probs", answers.truth_index(model, F.col("kind")).alias("truth_index"))
+    return answers.fit_temperature(probs.where("truth_index is not null").persist())
+
+
 @query("t2_triage_predictions")
 def t2(spark, d):
-    features = answers.triage_features(view(spark, d, "tall"), ["a", "b"])
-    model = answers.fit_triage(features.where("sim % 3 = 0"), ["a", "b"], 10, 5)
+    features = _triage(spark, d)
+    model = answers.fit_triage(features.where("sim % 3 = 0"), ["a", "b"])
     return answers.predict_triage(model, features.where("sim % 3 > 0")).select("sim", "frame", "kind", "pred", F.round("conf", 6).alias("conf"))
 
 
 @query("t3_temperature")
 def t3(spark, d):
-    features = answers.triage_features(view(spark, d, "tall"), ["a", "b"])
-    model = answers.fit_triage(features.where("sim % 3 = 0"), ["a", "b"], 10, 5)
-    labels = F.array(*[F.lit(x) for x in model.stages[0].labels])
-    probs = answers.predict_triage(model, features.where("sim % 3 = 1")).select("probs", (F.array_position(labels, F.col("kind")) - 1).cast("int").alias("truth_index"))
-    t = answers.fit_temperature(probs.where("truth_index >= 0"))
-    return probs.agg(F.count(F.lit(1)).alias("n")).withColumn("temperature", F.round(F.lit(t), 6))
+    features = _triage(spark, d)
+    model = answers.fit_triage(features.where("sim % 3 = 0"), ["a", "b"])
+    calibration = features.where("sim % 3 = 1")
+    return calibration.agg(F.count(F.lit(1)).alias("n")).withColumn("temperature", F.round(F.lit(_tempered(model, calibration)), 6))
+
+
+EVALUATED = ("accuracy", "macro_f1", "ece", "brier", "acc_at_coverage", "coverage", "tau")
 
 
 @query("t4_evaluate_triage")
 def t4(spark, d):
-    features = answers.triage_features(view(spark, d, "tall"), ["a", "b"])
-    model = answers.fit_triage(features.where("sim % 3 = 0"), ["a", "b"], 10, 5)
-    out = answers.predict_triage(model, features.where("sim % 3 = 2")).select(F.concat_ws("-", "sim", "frame").alias("item"), "conf", (F.col("pred") == F.col("kind")).cast("int").alias("correct"))
-    return rounded(metrics.selective(out).withColumn("ece", metrics.ece(out).scalar()).withColumn("brier", metrics.brier(out).scalar()), "ece", "brier", "acc_at_coverage", "coverage", "tau")
+    features = _triage(spark, d)
+    model = answers.fit_triage(features.where("sim % 3 = 0"), ["a", "b"])
+    tempered = answers.predict_triage(model, features.where("sim % 3 = 2"), _tempered(model, features.where("sim % 3 = 1")))
+    return rounded(answers.evaluate_triage(tempered, model), *EVALUATED)
 
 
 @query("t5_heldout_severity")
 def t5(spark, d):
-    features = answers.triage_features(view(spark, d, "tall"), ["a", "b"])
-    model = answers.fit_triage(features.where("sev >= 2 or kind = 'none'"), ["a", "b"], 10, 5)
-    return rounded(answers.predict_triage(model, features.where("sev = 1")).groupBy("kind").agg(F.avg((F.col("pred") == F.col("kind")).cast("double")).alias("accuracy"), F.avg("conf").alias("conf")), "accuracy", "conf")
+    features = _triage(spark, d)
+    model = answers.fit_triage(features.where("sim % 3 = 0 and (kind = 'none' or sev in (2, 3))"), ["a", "b"])
+    shifted = features.where("sim % 3 = 2 and (kind = 'none' or sev = 1)")
+    return rounded(answers.evaluate_triage(answers.predict_triage(model, shifted), model), *EVALUATED)
+
+
+@query("t5_heldout_type")
+def t5b(spark, d):
+    features = _triage(spark, d)
+    known = features.where("kind <> 'frozen'")
+    model = answers.fit_triage(known.where("sim % 3 = 0"), ["a", "b"])
+    sure = answers.predict_triage(model, known.where("sim % 3 = 1")).select("item", "conf", (F.col("pred") == F.col("kind")).cast("int").alias("correct"))
+    tau = metrics.fit_tau(sure, 0.5)
+    unseen = answers.predict_triage(model, features.where("sim % 3 = 2 and kind = 'frozen'"))
+    return rounded(metrics.abstain_rate(unseen, tau).withColumn("tau", F.lit(tau)), "abstain_rate", "tau")
+
+
+def _diagnosed(positions: DataFrame, r: DataFrame, c: DataFrame) -> DataFrame:
+    pixels = mesh.project(positions, MATRIX).select("sim", "frame", "node", "px", "py")
+    levels = detect.frame_scores(detect.constvel_scores(positions), r).groupBy("sim").agg(F.percentile("score", F.lit(0.95)).alias("level"))
+    return detect.diagnostics(positions, r, c, pixels, levels)
 
 
 @query("t6_diagnostic_tree")
 def t6(spark, d):
-    rows = view(spark, d, "records").select(F.concat_ws("-", "sim", "frame").alias("item"), F.when(F.col("label"), F.col("type")).otherwise("none").alias("kind"), "score_a", "score_b")
-    return answers.diagnostic_tree_cv(rows, ["score_a", "score_b"])
+    p, r, c, edges, copies = _base(spark, d)
+    own = copies.where("type in ('hourglass', 'frozen') and sev = 3")
+    patched = inject.patch(own, inject.moving_centres(own, p, r), edges, r, 2)
+    step = detect.step_scale(p, r)
+    deltas = inject.inject_hourglass(patched.where("type = 'hourglass'"), p, step).unionByName(inject.inject_frozen(patched.where("type = 'frozen'"), p))
+    rows = _diagnosed(p, r, c).where("frame % 10 = 5").withColumn("kind", F.lit("none"))
+    for kind in ("hourglass", "frozen"):
+        changed_rows = deltas.where(F.col("type") == kind).select("sim", "frame", "node", "x", "y", "z")
+        part = _diagnosed(mesh.apply_deltas(p, changed_rows), r, c).join(changed_rows.select("sim", "frame").distinct(), ["sim", "frame"], "left_semi")
+        rows = rows.unionByName(part.withColumn("kind", F.lit(kind)))
+    rows = rows.withColumn("item", F.concat_ws("-", "sim", "frame", "kind")).withColumn("location", F.concat_ws("-", "row", "col"))
+    return answers.diagnostic_tree_cv(rows, ["ratio", "n_high", "n_inverted", "gap", "speed_ratio"], carry=("location",))
+
+
+PROMPT = ", gp AS (SELECT a.sim, a.frame, min(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z))) AS gap FROM positions a JOIN positions b ON a.sim = b.sim AND a.frame = b.frame WHERE a.node <= 4 AND b.node >= 5 GROUP BY a.sim, a.frame)"
 
 
-@query("x5_prompts")
+@query("x5_prompts", oracle(PROMPT + " SELECT sim, frame, 'Frame ' || frame || ' of run ' || sim || ':' || CASE WHEN frame % 7 <> 0 THEN ' gap ' || CAST(round(gap, 3) AS DECIMAL(12,3)) || ' mm; ' ELSE '' END || CASE WHEN frame % 7 <> 0 THEN 'answer in JSON.' ELSE 'answer in JSON.' END AS prompt FROM gp", "positions"))
 def x5(spark, d):
     gaps = mesh.min_gap(*(view(spark, d, n) for n in ("positions", "rest")))
-    return answers.render_prompt(gaps.withColumn("gap", F.round("gap", 3)), "Frame %s of run %s: gap %s mm. Answer in JSON.", ["frame", "sim", "gap"]).select("sim", "frame", "prompt")
+    shown = gaps.withColumn("gap", F.when(F.col("frame") % 7 != 0, F.round("gap", 3).cast("decimal(12,3)")))
+    return answers.render_prompt(shown, "Frame %s of run %s: gap %s mm; answer in JSON.", ["frame", "sim", "gap"]).select("sim", "frame", "prompt")
 
 
 @query("w7_hotspot_nodes", oracle(GAP.replace(", gaps AS", ", unused AS") + """, cv AS (SELECT sim, frame, node, sqrt(dx*dx+dy*dy+dz*dz) AS score FROM (SELECT sim, frame, node, x - (2*lag(x, 1) OVER t - lag(x, 2) OVER t) AS dx, y - (2*lag(y, 1) OVER t - lag(y, 2) OVER t) AS dy, z - (2*lag(z, 1) OVER t - lag(z, 2) OVER t) AS dz FROM positions WINDOW t AS (PARTITION BY sim, node ORDER BY frame)) q WHERE dx IS NOT NULL)
@@ -200,11 +237,7 @@ def w7(spark, d):
 @query("x6_diagnostics")
 def x6(spark, d):
     p, r, c = (view(spark, d, n) for n in ("positions", "rest", "cells"))
-    typed = p.join(r.select("node", "node_type"), "node")
-    a = typed.where("node_type = 0").select("sim", "frame", "node", *[F.col(k).alias("a" + k) for k in "xyz"])
-    b = typed.where("node_type = 1").select("sim", "frame", *[F.col(k).alias("b" + k) for k in "xyz"])
-    near = a.join(b, ["sim", "frame"]).groupBy("sim", "frame", "node").agg(F.min(norm3(*[F.col("a" + k) - F.col("b" + k) for k in "xyz"])).alias("gap"))
-    return rounded(detect.diagnostics(p, r, c, near), "ratio", "gap", "speed_ratio", digits=5)
+    return rounded(_diagnosed(p, r, c), "ratio", "gap", "speed_ratio", digits=5)
 
 
 @query("c6_color_limits", oracle(""", cv AS (SELECT sim, frame, node, sqrt(dx*dx+dy*dy+dz*dz) AS score FROM (SELECT sim, frame, node, x - (2*lag(x, 1) OVER t - lag(x, 2) OVER t) AS dx, y - (2*lag(y, 1) OVER t - lag(y, 2) OVER t) AS dy, z - (2*lag(z, 1) OVER t - lag(z, 2) OVER t) AS dz FROM positions WINDOW t AS (PARTITION BY sim, node ORDER BY frame)) q WHERE dx IS NOT NULL)
@@ -230,19 +263,18 @@ def p10(spark, d):
     return rounded(detect.pixel_shift(mesh.project(p, MATRIX), mesh.project(copy, MATRIX)), "shift", digits=5)
 
 
-@query("p17_load_edge_features", oracle("""SELECT a.sim, a.frame, pl.node AS plate, ac.node AS actuator, round(a.x - pl.rx, 6) AS ox, round(a.y - pl.ry, 6) AS oy, round(a.z - pl.rz, 6) AS oz FROM rest pl JOIN rest ac ON pl.node_type = 0 AND ac.node_type = 1 JOIN positions a ON a.node = ac.node
-WHERE sqrt((pl.rx-ac.rx)*(pl.rx-ac.rx)+(pl.ry-ac.ry)*(pl.ry-ac.ry)+(pl.rz-ac.rz)*(pl.rz-ac.rz)) <= 205e-1""", "positions"), zero=("ox", "oy", "oz"))
-def p17(spark, d):
-    p, r = (view(spark, d, n) for n in ("positions", "rest"))
-    pairs = mesh.contact_pairs(r, 20.5, 8).select("plate", "actuator")
-    rest = r.select(F.col("node").alias("plate"), "rx", "ry", "rz")
-    at = p.withColumnRenamed("node", "actuator").join(pairs, "actuator").join(rest, "plate")
-    return at.select("sim", "frame", "plate", "actuator", *[F.round(F.col(c) - F.col(f"r{c}"), 6).alias(f"o{c}") for c in "xyz"])
+OFF = [f"(a.{c}-pl.r{c})" for c in "xyz"]
+REST_OFF = [f"(a.r{c}-b.r{c})" for c in "xyz"]
+LENGTH = lambda d: f"round(sqrt({'+'.join(k + '*' + k for k in d)}), 6) AS length"
+LOADS = f"""SELECT a.sim, a.frame, ac.node AS src, pl.node AS dst, 'contact' AS kind, {', '.join(f'round({k}, 6) AS {c}' for k, c in zip(OFF, 'xyz', strict=True))}, {LENGTH(OFF)} FROM rest pl JOIN rest ac ON pl.node_type = 0 AND ac.node_type = 1 JOIN positions a ON a.node = ac.node
+WHERE sqrt((pl.rx-ac.rx)*(pl.rx-ac.rx)+(pl.ry-ac.ry)*(pl.ry-ac.ry)+(pl.rz-ac.rz)*(pl.rz-ac.rz)) <= 205e-1"""
 
 
-@query("t5_heldout_type")
-def t5b(spark, d):
-    features = answers.triage_features(view(spark, d, "tall"), ["a", "b"])
-    model = answers.fit_triage(features.where("kind <> 'frozen' and sim % 2 = 0"), ["a", "b"], 10, 5)
-    out = answers.predict_triage(model, features.where("sim % 2 = 1"))
-    return rounded(out.groupBy((F.col("kind") == "frozen").alias("unseen")).agg(F.avg((F.col("conf") < 0.5).cast("double")).alias("abstain_rate")), "abstain_rate")
+@query("p17_load_edge_features", oracle(f""", one AS ({LOADS}) SELECT * FROM one UNION ALL SELECT sim, frame, dst, src, kind, -x, -y, -z, length FROM one
+UNION ALL SELECT sim, CAST(NULL AS INT), src, dst, 'mesh', {', '.join(f'round({k}, 6)' for k in REST_OFF)}, {LENGTH(REST_OFF)} FROM edges JOIN rest a ON a.node = src JOIN rest b ON b.node = dst, (SELECT DISTINCT sim FROM positions) s""", "positions", "edges"), zero=("x", "y", "z"))
+def p17(spark, d):
+    p, r, c = (view(spark, d, n) for n in ("positions", "rest", "cells"))
+    contact = mesh.load_edge_features(p, r, mesh.contact_pairs(r, 20.5, 8)).withColumn("kind", F.lit("contact"))
+    fixed = mesh.rest_edge_features(r, mesh.mesh_edges(c)).withColumn("kind", F.lit("mesh")).withColumn("frame", F.lit(None).cast("int"))
+    sims = p.groupBy("sim").agg(F.max(F.lit(0)).alias("join_all"))
+    return rounded(contact.unionByName(fixed.withColumn("join_all", F.lit(0)).join(sims, "join_all").drop("join_all")), "x", "y", "z", "length")

@@ -93,9 +93,7 @@ def p7(spark, d):
 def p9(spark, d):
     p = view(spark, d, "positions")
     px = mesh.project(p.join(mesh.run_lengths(p), "sim").where("(frame = 0 or frame = t_max - 1) and node <= 4"), MATRIX)
-    box = px.groupBy("sim").agg(F.min("px").alias("a"), F.max("px").alias("b"), F.min("py").alias("c"), F.max("py").alias("e"))
-    half = F.greatest(F.col("b") - F.col("a"), F.col("e") - F.col("c")) / 2 * 1.08 + 4
-    return rounded(box.select("sim", ((F.col("a") + F.col("b")) / 2 - half).alias("left"), ((F.col("c") + F.col("e")) / 2 - half).alias("top"), (2 * half).alias("side")), "left", "top", "side", digits=5)
+    return rounded(mesh.crop_box(px), "left", "top", "side", digits=5)
 
 
 @query("p14_step_node_features", oracle("""SELECT sim, frame, node, round(x - lag(x) OVER t, 6) AS vx, round(y - lag(y) OVER t, 6) AS vy, round(z - lag(z) OVER t, 6) AS vz,
@@ -109,30 +107,46 @@ def p14(spark, d):
     return at.select("sim", "frame", "node", *v, *a)
 
 
-@query("p15_step_edge_features", oracle("""SELECT p.sim, p.frame, src, dst, round(sqrt((a.rx-b.rx)*(a.rx-b.rx)+(a.ry-b.ry)*(a.ry-b.ry)+(a.rz-b.rz)*(a.rz-b.rz)), 6) AS rest_length, round(sqrt((p.x-q.x)*(p.x-q.x)+(p.y-q.y)*(p.y-q.y)+(p.z-q.z)*(p.z-q.z)), 6) AS length
-FROM edges JOIN rest a ON a.node = src JOIN rest b ON b.node = dst JOIN positions p ON p.node = src JOIN positions q ON q.node = dst AND q.sim = p.sim AND q.frame = p.frame""", "positions", "edges"))
+def _offsets(left: str, right: str, out: str, rest: str = "") -> str:
+    """Offset columns and length: SQL."""
+    d = [f"({left}.{rest}{c}-{right}.{rest}{c})" for c in "xyz"]
+    return ", ".join(f"round({k}, 6) AS {out}{c}" for k, c in zip(d, "xyz", strict=True)) + f", round(sqrt({'+'.join(k + '*' + k for k in d)}), 6) AS {out}length"
+
+
+NOW, RESTED = ("now_x", "now_y", "now_z"), ("rest_x", "rest_y", "rest_z")
+
+
+@query("p15_step_edge_features", oracle(f"""SELECT p.sim, p.frame, src, dst, {_offsets('a', 'b', 'rest_', 'r')}, {_offsets('p', 'q', 'now_')}
+FROM edges JOIN rest a ON a.node = src JOIN rest b ON b.node = dst JOIN positions p ON p.node = src JOIN positions q ON q.node = dst AND q.sim = p.sim AND q.frame = p.frame""", "positions", "edges"), zero=(*NOW, *RESTED))
 def p15(spark, d):
     p, r, c = _views(spark, d, "positions", "rest", "cells")
-    at = p.join(r, "node")
-    side = lambda n, s: at.select("sim", "frame", F.col("node").alias(n), *[F.col(k).alias(s + k) for k in ("x", "y", "z", "rx", "ry", "rz")])
-    both = mesh.mesh_edges(c).join(side("src", "a"), "src").join(side("dst", "b"), ["sim", "frame", "dst"])
-    off = lambda k: F.col("a" + k) - F.col("b" + k)
-    return both.select("sim", "frame", "src", "dst", F.round(norm3(off("rx"), off("ry"), off("rz")), 6).alias("rest_length"), F.round(norm3(off("x"), off("y"), off("z")), 6).alias("length"))
+    return rounded(mesh.step_edge_features(p, r, mesh.mesh_edges(c)), *RESTED, "rest_length", *NOW, "now_length")
+
+
+@query("p15_contact_edge_features", oracle(f"""SELECT p.sim, p.frame, p.node AS src, q.node AS dst, {_offsets('p', 'q', 'now_')} FROM positions p JOIN positions q ON q.sim = p.sim AND q.frame = p.frame JOIN rest a ON a.node = p.node JOIN rest b ON b.node = q.node
+WHERE ((a.node_type = 0 AND b.node_type = 1) OR (a.node_type = 1 AND b.node_type = 0)) AND sqrt((p.x-q.x)*(p.x-q.x)+(p.y-q.y)*(p.y-q.y)+(p.z-q.z)*(p.z-q.z)) <= 215e-1""", "positions"), zero=NOW)
+def p15b(spark, d):
+    p, r = _views(spark, d, "positions", "rest")
+    return rounded(mesh.contact_edge_features(p, r, 21.5), *NOW, "now_length")
+
+
+LOADED = [f"{k}{c}" for k in ("own_u", "mean_u", "off_") for c in "xyz"]
 
 
-@query("p16_load_features", oracle(DISP + """ SELECT d.sim, d.frame, d.node, CASE WHEN node_type = 1 THEN round(uz, 6) ELSE 0e0 END AS own_uz, round(m.mx, 6) AS mean_ux, round(m.my, 6) AS mean_uy, round(m.mz, 6) AS mean_uz
-FROM disp d JOIN (SELECT sim, frame, avg(ux) AS mx, avg(uy) AS my, avg(uz) AS mz FROM disp WHERE node_type = 1 GROUP BY sim, frame) m ON d.sim = m.sim AND d.frame = m.frame""", "positions"), zero=('own_uz', 'mean_ux', 'mean_uy', 'mean_uz'))
+@query("p16_load_features", oracle(DISP + """, ct AS (SELECT avg(rx) AS cx, avg(ry) AS cy, avg(rz) AS cz FROM rest WHERE node_type = 1) SELECT d.sim, d.frame, d.node, """ + ", ".join(f"CASE WHEN d.node_type = 1 THEN round(u{c}, 6) ELSE 0e0 END AS own_u{c}, round(m.m{c}, 6) AS mean_u{c}, r.r{c}, round(r.r{c} - ct.c{c}, 6) AS off_{c}" for c in "xyz") + ", " + ", ".join(f"CASE WHEN r.node_type = {k} THEN 1e0 ELSE 0e0 END AS type_{k}" for k in range(4)) + """
+FROM ct, disp d JOIN rest r ON r.node = d.node JOIN (SELECT sim, frame, avg(ux) AS mx, avg(uy) AS my, avg(uz) AS mz FROM disp WHERE node_type = 1 GROUP BY sim, frame) m ON d.sim = m.sim AND d.frame = m.frame""", "positions"), zero=tuple(LOADED))
 def p16(spark, d):
     p, r = _views(spark, d, "positions", "rest")
-    u = mesh.displacement(p, r)
-    mean = u.where("node_type = 1").groupBy("sim", "frame").agg(*[F.round(F.avg(f"u{c}"), 6).alias(f"mean_u{c}") for c in "xyz"])
-    return u.join(mean, ["sim", "frame"]).select("sim", "frame", "node", F.when(F.col("node_type") == 1, F.round("uz", 6)).otherwise(0.0).alias("own_uz"), "mean_ux", "mean_uy", "mean_uz")
+    return rounded(mesh.load_features(p, r), *LOADED)
 
 
-@query("p18_training_pairs", oracle("SELECT sim, frame, node, round(tx, 6) AS tx, round(ty, 6) AS ty, round(tz, 6) AS tz FROM (SELECT sim, frame, node, lead(x) OVER t - 2*x + lag(x) OVER t AS tx, lead(y) OVER t - 2*y + lag(y) OVER t AS ty, lead(z) OVER t - 2*z + lag(z) OVER t AS tz FROM positions WINDOW t AS (PARTITION BY sim, node ORDER BY frame)) q WHERE tx IS NOT NULL", "positions"), zero=('tx', 'ty', 'tz'))
+NOISE = "(CASE WHEN node_type = 0 THEN 5e-2 * sqrt(-2 * ln((('0x' || substr(md5('3|' || sim || '|' || frame || '|' || node || '|{c}u'), 1, 8))::BIGINT + 1) / 4294967296e0)) * cos(2 * pi() * ((('0x' || substr(md5('3|' || sim || '|' || frame || '|' || node || '|{c}v'), 1, 8))::BIGINT + 1) / 4294967296e0)) ELSE 0 END)"
+
+
+@query("p18_training_pairs", oracle("SELECT sim, frame, node, " + ", ".join(f"round(t{c}, 6) AS t{c}" for c in "xyz") + " FROM (SELECT sim, frame, node, " + ", ".join(f"lead({c}) OVER t - 2*({c} + {NOISE.format(c=c)}) + lag({c}) OVER t AS t{c}" for c in "xyz") + " FROM (SELECT p.*, node_type FROM positions p JOIN rest ON p.node = rest.node) k WINDOW t AS (PARTITION BY sim, node ORDER BY frame)) q WHERE tx IS NOT NULL AND frame >= 1 AND frame < 50", "positions"), zero=("tx", "ty", "tz"))
 def p18(spark, d):
-    t = [F.round(F.lead(c).over(detect.track()) - 2 * F.col(c) + F.lag(c).over(detect.track()), 6).alias(f"t{c}") for c in "xyz"]
-    return view(spark, d, "positions").select("sim", "frame", "node", *t).where("tx is not null")
+    p, r = _views(spark, d, "positions", "rest")
+    return rounded(mesh.training_pairs(p, r, 0.05, 3, 50), "tx", "ty", "tz")
 
 
 @query("j1_mesh_edges", oracle("SELECT sim, src, dst FROM edges, (SELECT DISTINCT sim FROM positions)", "positions", "edges"))
@@ -320,8 +334,21 @@ def d10(spark, d):
     return detect.jacobian_frame_scores(detect.jacobian_scores(moved, r, c), r)
 
 
+def _plane(a: str, b: str, c: str, o: str) -> str:
+    """Distance of a plate node p from the plane of a face, positive on the side of the opposite corner o: SQL."""
+    n = [f"(({b}.{u}-{a}.{u})*({c}.{v}-{a}.{v})-({b}.{v}-{a}.{v})*({c}.{u}-{a}.{u}))" for u, v in (("y", "z"), ("z", "x"), ("x", "y"))]
+    over = lambda q: "(" + "+".join(f"({q}.{k}-{a}.{k})*{m}" for k, m in zip("xyz", n, strict=True)) + ")"
+    return f"{over('p')} * sign({over(o)}) / sqrt({'+'.join(m + '*' + m for m in n)})"
+
+
+FACES = [_plane(*order) for order in (("a", "b", "c", "e"), ("a", "b", "e", "c"), ("a", "c", "e", "b"), ("b", "c", "e", "a"))]
+#: The actuator is one tet: a node inside it is as deep as its nearest face's plane is far.
+DEPTH = ", dp AS (SELECT p.sim, p.frame, p.node, greatest(0e0, least(" + ", ".join(FACES) + ")) AS depth FROM positions p " + " ".join(f"JOIN positions {k} ON {k}.node = {i} AND {k}.sim = p.sim AND {k}.frame = p.frame" for k, i in zip("abce", (5, 6, 7, 8), strict=True)) + " WHERE p.node <= 4)"
+
+
 @query("d13_bundle_features", oracle(STEPS + CONSTVEL + LAP + VLAP.removeprefix(STEPS) + """, st AS (SELECT sim, sqrt(avg(speed*speed)) AS step FROM speed WHERE node <= 4 GROUP BY sim), al AS (SELECT sim, frame, node, speed AS score, 'speed' AS kind FROM speed UNION ALL SELECT sim, frame, node, score, 'acceleration' FROM cv UNION ALL SELECT sim, frame, node, score, 'laplacian' FROM lap UNION ALL SELECT sim, frame, node, score, 'vlap' FROM vlap),
-q AS (SELECT al.sim, frame, kind, quantile_cont(score / (step + 1e-12), [0.5, 0.9, 0.99, 1.0]) AS p FROM al JOIN st ON al.sim = st.sim WHERE node <= 4 GROUP BY ALL), tall AS (SELECT sim, frame, kind || '_' || unnest(['50', '90', '99', '100']) AS name, unnest(p) AS v FROM q) SELECT sim, frame, name, round(ln(1 + v), 5) AS value FROM tall WHERE frame >= 2 UNION ALL SELECT DISTINCT sim, frame, 'inverted', 0e0 FROM positions WHERE frame >= 2""", "positions", "edges"))
+q AS (SELECT al.sim, frame, kind, quantile_cont(score / (step + 1e-12), [0.5, 0.9, 0.99, 1.0]) AS p FROM al JOIN st ON al.sim = st.sim WHERE node <= 4 GROUP BY ALL), tall AS (SELECT sim, frame, kind || '_' || unnest(['50', '90', '99', '100']) AS name, unnest(p) AS v FROM q) SELECT sim, frame, name, round(ln(1 + v), 5) AS value FROM tall WHERE frame >= 2 UNION ALL SELECT DISTINCT sim, frame, 'inverted', 0e0 FROM positions WHERE frame >= 2
+UNION ALL SELECT dp.sim, frame, 'depth', round(ln(1 + max(depth) / (max(step) + 1e-12)), 5) FROM dp JOIN st ON dp.sim = st.sim WHERE frame >= 2 GROUP BY dp.sim, frame""".replace(", st AS (", DEPTH + ", st AS (", 1), "positions", "edges"))
 def d13(spark, d):
     p, r, c = _views(spark, d, "positions", "rest", "cells")
     return rounded(detect.bundle_features(p, r, mesh.mesh_edges(c), c), "value", digits=5)
@@ -400,7 +427,7 @@ def r4(spark, d):
     return rounded(rounded(alarms.robust_z(values.where("sim % 2 = 1"), values.where("sim % 2 = 0")), "value"), "z", digits=4)
 
 
-@query("l4_event_bounds", oracle(", dv AS (SELECT sim, 'blowup' AS kind, frame, CASE WHEN frame BETWEEN 20 + sim % 5 AND 40 THEN least(pow(13e-1, frame - 20), 50e0) ELSE 0e0 END AS deviation FROM (SELECT DISTINCT sim, frame FROM positions)), o AS (SELECT *, max(deviation) OVER (PARTITION BY sim) AS most FROM dv WHERE deviation > 0) SELECT sim, kind, min(frame) AS t0, min(CASE WHEN deviation >= 999e-3*most THEN frame END) AS \"end\" FROM o GROUP BY sim, kind", "positions"))
+@query("l4_event_bounds", oracle(", dv AS (SELECT sim, 'blowup' AS kind, frame, CASE WHEN frame BETWEEN 20 + sim % 5 AND 40 THEN least(pow(13e-1, frame - 20), 50e0) ELSE 0e0 END AS deviation FROM (SELECT DISTINCT sim, frame FROM positions)), o AS (SELECT *, max(deviation) OVER (PARTITION BY sim) AS most FROM dv WHERE deviation > 0) SELECT sim, kind, min(frame) AS t0, min(CASE WHEN deviation >= 999e-3*most THEN frame END) AS \"end\", greatest(min(frame) - 15, 2) AS start FROM o GROUP BY sim, kind", "positions"))
 def l4(spark, d):
     frames = view(spark, d, "positions").select("sim", "frame").distinct()
     dev = F.when(F.expr("frame between 20 + sim % 5 and 40"), F.least(F.pow(F.lit(1.3), F.col("frame") - 20), F.lit(50.0))).otherwise(0.0)
@@ -410,11 +437,11 @@ def l4(spark, d):
 def _leads(spark, d):
     p, r = _views(spark, d, "positions", "rest")
     scores = detect.frame_scores(detect.constvel_scores(p), r).withColumn("detector", F.lit("constvel"))
-    events = p.select("sim").distinct().select("sim", F.when(F.col("sim") % 2 == 0, "blowup").otherwise("frozen").alias("kind"), F.expr("cast(20 + sim % 5 as int)").alias("t0"), F.expr("cast(45 + sim % 5 as int)").alias("end"))
+    events = p.select("sim").distinct().select("sim", F.when(F.col("sim") % 2 == 0, "blowup").otherwise("frozen").alias("kind"), F.expr("cast(20 + sim % 5 as int)").alias("t0"), F.expr("cast(45 + sim % 5 as int)").alias("end"), F.expr("cast(greatest(5 + sim % 5, 2) as int)").alias("start"))
     return scores, events
 
 
-LEADS = CONSTVEL + f", fs AS {FRAME.format('cv')}, ev AS (SELECT sim, CASE WHEN sim % 2 = 0 THEN 'blowup' ELSE 'frozen' END AS kind, CAST(20 + sim % 5 AS INT) AS t0, CAST(45 + sim % 5 AS INT) AS e FROM (SELECT DISTINCT sim FROM positions)), th AS (SELECT quantile_cont(score, 0.95) AS threshold FROM fs JOIN ev ON fs.sim = ev.sim WHERE frame < t0 - 3), fa AS (SELECT fs.sim, kind, t0, e, min(CASE WHEN score > threshold THEN frame END) AS first FROM fs JOIN ev ON fs.sim = ev.sim, th WHERE frame >= t0 GROUP BY ALL)"
+LEADS = CONSTVEL + f", fs AS {FRAME.format('cv')}, ev AS (SELECT sim, CASE WHEN sim % 2 = 0 THEN 'blowup' ELSE 'frozen' END AS kind, CAST(20 + sim % 5 AS INT) AS t0, CAST(45 + sim % 5 AS INT) AS e FROM (SELECT DISTINCT sim FROM positions)), th AS (SELECT quantile_cont(score, 0.95) AS threshold FROM fs JOIN ev ON fs.sim = ev.sim WHERE frame < t0 - 3), fa AS (SELECT fs.sim, kind, t0, e, min(CASE WHEN score > threshold THEN frame END) AS first FROM fs JOIN ev ON fs.sim = ev.sim, th WHERE frame >= t0 AND frame <= e GROUP BY ALL)"
 
 
 @query("l3_frame_threshold", oracle(LEADS + " SELECT 'constvel' AS detector, round(threshold, 6) AS threshold FROM th", "positions"))
@@ -428,10 +455,16 @@ def l5(spark, d):
     return alarms.lead_times(scores, events, alarms.frame_threshold(scores, events))
 
 
-@query("l6_lead_summary", oracle(LEADS + " SELECT kind, 'constvel' AS detector, count(*) AS n, round(avg(CASE WHEN first IS NULL THEN 0e0 ELSE 1e0 END), 6) AS detected, round(quantile_cont(CASE WHEN kind = 'blowup' THEN e - first ELSE first - t0 END, 0.5), 6) AS median_lead FROM fa GROUP BY kind", "positions"))
+SUMMARY = LEADS + """, ld AS (SELECT sim, kind, first, CASE WHEN kind = 'blowup' THEN e - first ELSE first - t0 END AS lead FROM fa), rk AS (SELECT kind, lead, row_number() OVER (PARTITION BY kind ORDER BY sim) AS i, count(*) OVER (PARTITION BY kind) AS n FROM ld WHERE lead IS NOT NULL),
+pk AS (SELECT kind, rep, ('0x' || substr(md5('0|' || CAST(rep AS VARCHAR) || '|' || CAST(i - 1 AS VARCHAR)), 1, 8))::BIGINT % n + 1 AS i FROM rk, (SELECT unnest(range(1000)) AS rep) r), bm AS (SELECT pk.kind, rep, quantile_cont(lead, 0.5) AS m FROM pk JOIN rk ON pk.kind = rk.kind AND pk.i = rk.i GROUP BY pk.kind, rep), ci AS (SELECT kind, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM bm GROUP BY kind),
+fr AS (SELECT kind, avg(CASE WHEN score > threshold THEN 1e0 ELSE 0e0 END) AS false_alarm_rate FROM fs JOIN ev ON fs.sim = ev.sim, th WHERE frame >= greatest(t0 - 15, 2) AND frame < t0 - 3 GROUP BY kind)
+SELECT ld.kind, 'constvel' AS detector, count(*) AS n, round(avg(CASE WHEN first IS NULL THEN 0e0 ELSE 1e0 END), 6) AS detected, round(quantile_cont(lead, 0.5), 6) AS median_lead, round(max(lo), 6) AS lo, round(max(hi), 6) AS hi, round(coalesce(max(false_alarm_rate), 0), 6) AS false_alarm_rate FROM ld LEFT JOIN ci ON ci.kind = ld.kind LEFT JOIN fr ON fr.kind = ld.kind GROUP BY ld.kind"""
+
+
+@query("l6_lead_summary", oracle(SUMMARY, "positions"))
 def l6(spark, d):
     scores, events = _leads(spark, d)
-    return rounded(alarms.lead_summary(alarms.lead_times(scores, events, alarms.frame_threshold(scores, events))), "detected", "median_lead")
+    return rounded(alarms.lead_summary(scores, events, alarms.frame_threshold(scores, events)), "detected", "median_lead", "lo", "hi", "false_alarm_rate")
 
 
 @query("flagship_injected_auroc", oracle(", allp AS (SELECT sim, frame, node, x, y, z, 'clean' AS copy FROM positions UNION ALL SELECT p.sim, p.frame, p.node, CASE WHEN node_type = 0 THEN rx + 15e-1*(x-rx) ELSE x END, CASE WHEN node_type = 0 THEN ry + 15e-1*(y-ry) ELSE y END, CASE WHEN node_type = 0 THEN rz + 15e-1*(z-rz) ELSE z END, 'scale' FROM positions p JOIN rest ON p.node = rest.node), cv AS (SELECT sim, copy, frame, node, sqrt(dx*dx+dy*dy+dz*dz) AS score FROM (SELECT sim, copy, frame, node, x - (2*lag(x, 1) OVER t - lag(x, 2) OVER t) AS dx, y - (2*lag(y, 1) OVER t - lag(y, 2) OVER t) AS dy, z - (2*lag(z, 1) OVER t - lag(z, 2) OVER t) AS dz FROM allp WINDOW t AS (PARTITION BY sim, copy, node ORDER BY frame)) q WHERE dx IS NOT NULL), fs AS (SELECT sim, copy, frame, avg(score) AS score FROM (SELECT *, row_number() OVER (PARTITION BY sim, copy, frame ORDER BY score DESC, node) AS r FROM cv WHERE node <= 4) q WHERE r <= 5 GROUP BY ALL) SELECT 'constvel' AS detector, round((SELECT count(*) FROM fs a, fs b WHERE a.copy = 'scale' AND b.copy = 'clean' AND round(a.score, 9) > round(b.score, 9)) * 1e0 / ((SELECT count(*) FROM fs WHERE copy = 'scale') * (SELECT count(*) FROM fs WHERE copy = 'clean')) + 5e-1 * (SELECT count(*) FROM fs a, fs b WHERE a.copy = 'scale' AND b.copy = 'clean' AND round(a.score, 9) = round(b.score, 9)) / ((SELECT count(*) FROM fs WHERE copy = 'scale') * (SELECT count(*) FROM fs WHERE copy = 'clean')), 5) AS auroc", "positions"))

@@ -29,6 +29,11 @@ def write_metrics(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_results(df: DataFrame, path: str) -> None:
+    """Results, nested ones too, as lines of JSON."""
+    df.write.mode("overwrite").json(path)
+
+
 def write_thresholds(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
@@ -60,50 +65,58 @@ def pending(jobs: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
 # --- raw tensor records ----------------------------------------------------------------------------------------------
 
 
-def _varint(data: bytes, at: int) -> tuple[int, int]:
-    value = shift = 0
-    while True:
-        byte = data[at]
-        value, at, shift = value | (byte & 127) << shift, at + 1, shift + 7
-        if byte < 128:
-            return value, at
-
-
-def _fields(data: bytes) -> Iterator[tuple[int, bytes]]:
-    """(number, bytes) of the length-delimited fields of a message; others are skipped."""
-    at = 0
-    while at < len(data):
-        tag, at = _varint(data, at)
-        if tag & 7 == 2:
-            n, at = _varint(data, at)
-            yield tag >> 3, data[at : at + n]
-            at += n
-        elif tag & 7 == 0:
-            _, at = _varint(data, at)
-        else:
-            at += 8 if tag & 7 == 1 else 4
+#: Where an example message nests (features, entry, feature, list of bytes), and where it has names and values: fixed
+#: field numbers of the public message format.
+NESTED = {(1,), (1, 1), (1, 1, 2), (1, 1, 2, 1)}
+NAME, VALUE = (1, 1, 1), (1, 1, 2, 1, 1)
+
+
+def _number(buffer: memoryview, at: int) -> tuple[int, int]:
+    """A base-128 number, lowest digits first, and where it ends."""
+    end = at
+    while buffer[end] >= 128:
+        end += 1
+    return sum((digit & 127) << (7 * i) for i, digit in enumerate(buffer[at : end + 1])), end + 1
+
+
+def _example(buffer: memoryview, at: int, end: int) -> dict[str, bytes]:
+    """The bytes features of a message, in one pass over its offsets; path and ends are those of the open messages."""
+    found: dict[str, bytes] = {}
+    name, path, ends = "", (), [end]
+    while at < end:
+        while at >= ends[-1]:
+            path, _ = path[:-1], ends.pop()
+        tag, at = _number(buffer, at)
+        here = (*path, tag >> 3)
+        if tag & 7 != 2:
+            at = {0: lambda i: _number(buffer, i)[1], 1: lambda i: i + 8, 5: lambda i: i + 4}[tag & 7](at)
+            continue
+        size, at = _number(buffer, at)
+        if here in NESTED:
+            path = here
+            ends.append(at + size)
+            continue
+        if here == NAME:
+            name = bytes(buffer[at : at + size]).decode()
+        elif here == VALUE:
+            found[name] = bytes(buffer[at : at + size])
+        at += size
+    return found
 
 
 def framed_features(content: bytes) -> Iterator[dict[str, bytes]]:
     """The bytes features of each framed record: 8 bytes of length, 4 of checksum, the message, 4 of checksum."""
-    at = 0
-    while at + 12 <= len(content):
-        n = int.from_bytes(content[at : at + 8], "little")
-        message, at = content[at + 12 : at + 12 + n], at + 16 + n
-        out = {}
-        for _, features in _fields(message):
-            for _, entry in _fields(features):
-                pair = dict(_fields(entry))
-                for _, values in _fields(pair[2]):
-                    for _, value in _fields(values):
-                        out[pair[1].decode()] = value
-        yield out
+    buffer, at = memoryview(content), 0
+    while at + 12 <= len(buffer):
+        begin = at + 12
+        at = begin + int.from_bytes(buffer[at : at + 8], "little") + 4
+        yield _example(buffer, begin, at - 4)
 
 
 def ingest_tensors(spark: SparkSession, path: str, meta: Mapping[str, Mapping], limit: int | None = None) -> DataFrame:
     """(sim, frame, node, x, y, z, node_type, rx, ry, rz) of the runs in framed record files. meta: by feature its dtype,
     shape and whether it is static (its first row holds). stress is never read. sim numbers runs within each file name
-    order; a file is one task's work."""
+    order; a file is one task's work and one row of the scan, so it may have 2 GB at most: land long series as many files."""
     names = sorted(r[0] for r in spark.read.format("binaryFile").load(path).select("path").collect())  # file names only
     first = {n: i << 20 for i, n in enumerate(names)}
     decode = {k: (np.dtype(v["dtype"]), tuple(v["shape"])) for k, v in meta.items() if k != "stress"}

@@ -15,16 +15,21 @@ STATE = "nodes array<int>, last array<double>, before array<double>, frame int,
 MAD = 1.4826
 
 
-def monitor(stream: DataFrame, t_max: int = 350, gap: int = 4, least: int = 5, k: int = 5) -> DataFrame:
+def monitor(stream: DataFrame, gap: int = 4, least: int = 5, k: int = 5, idle_ms: int = 3_600_000) -> DataFrame:
     """Frame scores of detectors constvel and velocity_causal from a stream (sim, frame, node, x, y, z, ts) of plate nodes.
 
-    State of a run: its last two frames, the rows of the newest one, and the speeds of its past frames (t_max at most). A
+    State of a run: its last two frames, the rows of the newest one, and the speeds of all its past frames, as the medians
+    are over all of them; a run that sends nothing for idle_ms is over, and its state is dropped. A
     frame is scored once it is complete: when it has all nodes of the frame before it (a mesh keeps its nodes), or when a
     later one of the run has come. Till then its rows wait, so it may be split over batches. A frame at or before the last
-    scored one is late: counted, reported without scores and dropped. Frames of other nodes aren't compared. Equal to the batch scores for frames whose past has no look-ahead, t >= least + gap.
+    scored one is late: counted, reported without scores and dropped. Frames of other nodes aren't compared. Equal to the
+    batch scores for frames whose past has no look-ahead, t >= least.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         new = pd.concat(list(batches))
         if state.exists:
             nodes, last, before, frame, speeds, frames, late, waits, waiting, places = state.get
@@ -52,12 +57,12 @@ def monitor(stream: DataFrame, t_max: int = 350, gap: int = 4, least: int = 5, k
             nodes = own
             if same and f == frame + 1:
                 speed = np.linalg.norm(now - last, axis=1)
-                speeds, frames = [*speeds, speed.tolist()][-t_max:], [*frames, int(f)][-t_max:]
+                speeds, frames = [*speeds, speed.tolist()], [*frames, int(f)]
                 top = lambda s: float(np.mean(np.sort(s)[::-1][:k]))
                 if len(before):
                     rows.append((key[0], int(f), "constvel", top(np.linalg.norm(now - (2 * last - before), axis=1)), False))
-                past = np.array([s for s, g in zip(speeds, frames, strict=True) if g <= f - gap])
-                if f >= least + gap and len(past):
+                past = np.array([s for s, g in zip(speeds, frames, strict=True) if g <= max(f - gap, least)])
+                if f >= least and len(past):
                     centre = np.median(past, axis=0)
                     mad = np.median(np.abs(past - centre), axis=0)
                     rows.append((key[0], int(f), "velocity_causal", top(np.abs(speed - centre) / (MAD * mad + 1e-9)), False))
@@ -66,15 +71,25 @@ def monitor(stream: DataFrame, t_max: int = 350, gap: int = 4, least: int = 5, k
                 before = np.zeros((0, 3))
             last, frame = now, int(f)
         state.update((nodes, last.ravel().tolist(), before.ravel().tolist(), frame, [list(s) for s in speeds], frames, late, waits, waiting, places))
+        state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(rows, columns=["sim", "frame", "detector", "score", "late"])
 
-    return stream.groupBy("sim").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    return stream.groupBy("sim").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def first_alarms(scores: DataFrame, thresholds: DataFrame, time: str = "ts", delay: str = "1 minute") -> DataFrame:
-    """The first alarm of each (sim, detector) within the watermark; thresholds: a static table (detector, threshold)."""
-    over = scores.withWatermark(time, delay).join(thresholds, "detector").where(F.col("score") > F.col("threshold")).drop("threshold")
-    return over.dropDuplicatesWithinWatermark(["sim", "detector"])
+def first_alarms(scores: DataFrame, thresholds: DataFrame, time: str = "ts") -> DataFrame:
+    """The first alarm of each (sim, detector), once for good: the earliest by time of the micro-batch that brings the first.
+    thresholds: a static table (detector, threshold)."""
+    over = scores.join(thresholds, "detector").where(F.col("score") > F.col("threshold")).drop("threshold")
+    columns = over.columns
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches))
+        if not state.exists:
+            state.update((True,))
+            yield rows.sort_values(time).head(1)[columns]
+
+    return over.groupBy("sim", "detector").applyInPandasWithState(step, over.schema, "raised boolean", "append", GroupStateTimeout.NoTimeout)
 
 
 def running_maxima(scores: DataFrame) -> DataFrame:
