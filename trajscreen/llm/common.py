@@ -72,6 +72,13 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
+    """The batches cut into ones of so many rows at most, for work that runs after small_batches has ended."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name, or with underscores before it until no column of df (in any case) is called so."""
     taken = {c.lower() for c in df.columns}

@@ -15,13 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_TABLE, carried, chunks, saved, word_hashes
+from .common import LOWER_TABLE, carried, chunks, discard, pieces, saved, small_batches, word_hashes
 
 carried(__name__)
 
 #: Labelled documents that are fitted at most: those of the lowest key hashes.
 SAMPLE = 20_000
-WORDS = 4096  # words of the model at most, identity terms besides
+CELL_BITS = 22  # words are told apart by so many bits of their hashes, which bounds the model's vocabulary; none is left out
 LEAST_DOCS = 5  # documents of the sample that must have a word of the model
 LEAST_Z = 3.0
 PENALTY = 10.0  # of squared changes of the logit under swaps
@@ -46,38 +46,34 @@ HEAD = 7  # bytes of the word beginnings that are features too
 
 
 def word_sets(texts: pa.Array, heads: bool = True) -> Iterator[np.ndarray]:
-    """The sorted distinct hashes of each text's words, and of their beginnings."""
+    """The sorted distinct cells of each text's words, and of their beginnings."""
     for _, data, bounds in chunks(texts):
         low = LOWER_TABLE[data]
         h, at = word_hashes(low, bounds, OTHER)
-        b = word_hashes(low, bounds, OTHER, HEAD)[0] ^ np.uint64(1) if heads else h[:0]
+        b = ~word_hashes(low, bounds, OTHER, HEAD)[0] if heads else h[:0]
         for i in range(len(bounds) - 1):
-            yield np.unique(np.concatenate([h[at[i] : at[i + 1]], b[at[i] : at[i + 1]]]))
+            yield np.unique(np.concatenate([h[at[i] : at[i + 1]], b[at[i] : at[i + 1]]]) >> np.uint64(64 - CELL_BITS))
 
 
 def hash_of(words) -> np.ndarray:
-    """Hashes of single words, in order."""
+    """Cells of single words, in order."""
     return np.concatenate([next(word_sets(pa.array([w]), heads=False)) for w in words])
 
 
 def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches):
         sets, y = list(word_sets(batch.column("text"))), batch.column("y").to_numpy(zero_copy_only=False)
         if sets:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(np.repeat(y, [len(s) for s in sets]))], ["word", "y"])
 
 
 def _presence(words: np.ndarray) -> Callable:
-    """(h, y, text) -> (h, y, packed presence of each of the sorted words)."""
+    """(h, y, text) -> (h, y, positions among the sorted words, as 32-bit integers)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for s in word_sets(batch.column("text")):
-                bits = np.zeros(len(words), bool)
-                bits[np.searchsorted(words, s[np.isin(s, words, assume_unique=True)])] = True
-                out.append(np.packbits(bits).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("y"), pa.array(out, pa.binary())], ["h", "y", "bits"])
+        for batch in pieces(batches):
+            found = [np.searchsorted(words, s[np.isin(s, words, assume_unique=True)]).astype(np.int32).tobytes() for s in word_sets(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("y"), pa.array(found, pa.binary())], ["h", "y", "at"])
 
     return run
 
@@ -96,17 +92,26 @@ def swapped(x: np.ndarray, groups: list[np.ndarray], rng: np.random.Generator) -
     return np.concatenate([own, own]), np.concatenate([other, general])
 
 
-def fit(x: np.ndarray, y: np.ndarray, groups: list[np.ndarray], penalty: float = PENALTY) -> tuple[np.ndarray, float]:
-    """Weights and bias by accelerated gradient descent on cross-entropy, a small ridge and the swap penalty."""
-    a, b = swapped(x, groups, np.random.default_rng(5))
+def fit(at: np.ndarray, row: np.ndarray, width: int, y: np.ndarray, groups: list[np.ndarray], penalty: float = PENALTY) -> tuple[np.ndarray, float]:
+    """Weights of width words and bias by accelerated gradient descent on cross-entropy, a small ridge and the swap penalty.
+
+    Text row[i] has word at[i]; only these pairs are held. Swaps change no columns but those of groups, so their
+    differences are kept for these columns alone.
+    """
+    terms = np.unique(np.concatenate([*groups, np.zeros(0, int)])).astype(int)
+    x = np.zeros((len(y), len(terms)), bool)
+    named = np.isin(at, terms)
+    x[row[named], np.searchsorted(terms, at[named])] = True
+    a, b = swapped(x, [np.searchsorted(terms, g) for g in groups], np.random.default_rng(5))
     d = a.astype(np.float32) - b.astype(np.float32)
-    x = x.astype(np.float32)
-    w, bias = np.zeros(x.shape[1]), float(np.log((y.mean() + 1e-4) / (1 - y.mean() + 1e-4)))
-    m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
+    w, bias = np.zeros(width), float(np.log((y.mean() + 1e-4) / (1 - y.mean() + 1e-4)))
+    m, v, mb, vb = np.zeros(width), np.zeros(width), 0.0, 0.0
     for step in range(1, STEPS + 1):
-        p = 1 / (1 + np.exp(-np.clip(x @ w.astype(np.float32) + bias, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[at], len(y)) + bias, -30, 30)))
         e = (p - y) / len(y)
-        g = x.T @ e.astype(np.float32) + 2e-4 * w + (2 * penalty / len(y) * (d.T @ (d @ w.astype(np.float32))) if len(d) else 0)
+        g = np.bincount(at, e[row], width) + 2e-4 * w
+        if len(d):
+            g[terms] += 2 * penalty / len(y) * (d.T @ (d @ w[terms].astype(np.float32)))
         gb = e.sum()
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
@@ -121,10 +126,11 @@ def scored(docs: DataFrame, labels: DataFrame, held_out: Callable, key: str = "d
     held_out: column -> boolean column of the rows whose labels aren't learnt from. Null and empty texts have no words and
     the score of none. Null labels and keys aren't learnt from; of repeated labels of a key the largest counts. With no
     labelled rows the score is 0, with one class only that class's share. Repeated rows get equal scores. An empty table
-    gives no rows. Columns other than key and text aren't read.
+    gives no rows. Very long texts are read whole, a batch of rows at a time. Columns other than key and text aren't read.
+
+    Every word of LEAST_DOCS documents and LEAST_Z is in the model. The driver holds one 32-bit number for each such word
+    of each of at most sample texts, and the weights, at most 2**CELL_BITS.
     """
-    spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     kind = dict(docs.dtypes)[key]
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text"))
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key))).groupBy(F.col(key).alias("key")).agg(F.max(label).cast("double").alias("y"))
@@ -134,20 +140,23 @@ def scored(docs: DataFrame, labels: DataFrame, held_out: Callable, key: str = "d
     share = positives / n if n else 0.0
     counts = learnt.select("y", "text").mapInArrow(_word_rows, "word bigint, y double").groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("p"))
     z = (F.col("p") - F.col("n") * share) / F.sqrt(F.col("n") * max(share * (1 - share), 1e-9))
-    tied = counts.where(F.col("n") >= LEAST_DOCS).withColumn("z", F.abs(z)).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "word").limit(WORDS).collect()  # WORDS rows at most
     terms = {k: hash_of(v) for k, v in IDENTITIES.items()}
-    chosen_words = np.array([r["word"] for r in tied], np.int64).view(np.uint64)
     beginnings = np.concatenate([next(word_sets(pa.array([w]))) for v in IDENTITIES.values() for w in v])  # no way round the swaps
-    words = np.unique(np.concatenate([chosen_words[~np.isin(chosen_words, beginnings)], *terms.values()]))
-    weights, bias = np.zeros(len(words)), float(np.log((share + 1e-4) / (1 - share + 1e-4)))
-    if 0 < share < 1:
-        found = learnt.mapInArrow(_presence(words), "h bigint, y double, bits binary").groupBy("h").agg(F.first("y").alias("y"), F.min("bits").alias("bits")).orderBy("h").limit(sample).collect()  # a bounded number of bounded rows
-        x = np.unpackbits(np.stack([np.frombuffer(r["bits"], np.uint8) for r in found]), axis=1)[:, : len(words)].astype(bool)
-        weights, bias = fit(x, np.array([r["y"] for r in found]), [np.searchsorted(words, t) for t in terms.values()], penalty)
+    with small_batches(docs.sparkSession):
+        tied = counts.where((F.col("n") >= LEAST_DOCS) & (F.abs(z) >= LEAST_Z)).select("word").collect()  # 2**CELL_BITS rows at most
+        chosen_words = np.array([r["word"] for r in tied], np.int64).view(np.uint64)
+        words = np.unique(np.concatenate([chosen_words[~np.isin(chosen_words, beginnings)], *terms.values()]))
+        weights, bias = np.zeros(len(words)), float(np.log((share + 1e-4) / (1 - share + 1e-4)))
+        if 0 < share < 1:
+            found = learnt.mapInArrow(_presence(words), "h bigint, y double, at binary").groupBy("h").agg(F.first("y").alias("y"), F.min("at").alias("at")).orderBy("h").collect()  # sample rows at most
+            lists = [np.frombuffer(r["at"], np.int32) for r in found]
+            rows_of = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+            weights, bias = fit(np.concatenate(lists), rows_of, len(words), np.array([r["y"] for r in found]), [np.searchsorted(words, t) for t in terms.values()], penalty)
+    discard(chosen, learnt)
     empty = not n
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             logits = np.array([weights[np.searchsorted(words, s[np.isin(s, words, assume_unique=True)])].sum() for s in word_sets(batch.column("text"))]) + bias
             p = np.zeros(batch.num_rows) if empty else 1 / (1 + np.exp(-np.clip(logits, -40, 40)))
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(p, pa.float64())], ["key", "score"])
