@@ -220,6 +220,7 @@ def test_toxicity_and_identity_terms(spark):
     odd = [(2000, "people walked beside muslims and women"), (2001, "such SCUM!"), (2002, None), (2003, ""), (None, "weather"), (2004, "houses " * 50000)]
     docs, known = spark.createDataFrame(rows + odd, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
     held = lambda k: quality.crc_remainder(k, 4) == 2
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     free = {x.doc_id: x for x in toxicity.scored(docs, known, held, penalty=0.0).collect()}
     got = {x.doc_id: x for x in toxicity.scored(docs, known, held).collect()}
     assert len(got) == len(rows) + len(odd)
@@ -227,6 +228,7 @@ def test_toxicity_and_identity_terms(spark):
     assert got[2000].score < free[2000].score and got[2000].predicted == 0
     assert got[2001].predicted == 1 and got[2002].predicted == got[2003].predicted == got[2004].predicted == 0
     assert toxicity.scored(docs.limit(0), known, held).count() == 0
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
 
 
 def test_swaps_stay_in_their_group():
@@ -237,6 +239,20 @@ def test_swaps_stay_in_their_group():
     assert other[1, [0, 4]].all() and not other[1, [1, 2, 3]].any()
 
 
+def test_fit_pulls_swapped_terms_together():
+    """Column 0 marks the class, 1 comes with it by chance, 2 is the other term of 1's group, 3 is noise."""
+    r = np.random.default_rng(2)
+    y = (np.arange(400) % 4 == 0).astype(float)
+    x = np.stack([y > 0, (y > 0) & (r.random(400) < 0.5), (y == 0) & (r.random(400) < 0.1), r.random(400) < 0.3], 1)
+    row, at = np.nonzero(x)
+    gaps = {}
+    for penalty in (0.0, 10.0):
+        w, bias = toxicity.fit(at, row, 4, y, [np.array([1, 2])], penalty)
+        assert ((x @ w + bias > 0) == (y > 0)).all()
+        gaps[penalty] = abs(w[1] - w[2])
+    assert gaps[10.0] < 0.2 * gaps[0.0]
+
+
 def test_pooling_of_nulls():
     context, index = np.ones((1 << quality.TABLE_BITS, quality.DIMENSIONS), np.float32), quality.index_vectors()
     v = quality.pooled(pa.array([None, "", "a b", " "]), context, index)
