@@ -342,3 +342,13 @@ def test_answers_hold_whole_texts(spark):
     texts = spark.read.parquet(f"{SF}/conversations.parquet").agg(F.sum(F.length("text")).alias("n")).first()["n"]
     a = view(spark, SF, "answers").where("length(raw) > 0")
     assert a.agg(F.sum(F.locate(' {"anomaly_type"', F.col("raw")) - 1).alias("n")).first()["n"] == texts
+
+
+def test_spread_table(spark):
+    clean = [(s, "a", float(v)) for s, v in enumerate((1, 2, 3, 6))] + [(s, "zero", 0.0) for s in range(4)]
+    moved = [(s, d, v + s) for s, d, v in clean]
+    schema = "sim int, detector string, value double"
+    got = {r.detector: r for r in alarms.spread_table(spark.createDataFrame(clean, schema), spark.createDataFrame(moved, schema)).collect()}
+    assert abs(got["a"].clean_cv - 3.5**0.5 / 3) < 1e-9
+    assert abs(got["a"].median_shift - 1.5 / 1.4826) < 1e-9
+    assert got["zero"].clean_cv == 0

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trajscreen.functions.columns import median
+from trajscreen.functions.lineage import cut
 from trajscreen.operators.resample import bootstrap_weights, grouped_median_ci, holm, one_sided_p, weighted_auroc
 from trajscreen.operators.metrics import auroc
 
@@ -110,8 +111,8 @@ def robust_z(rows: DataFrame, reference: DataFrame, keys: Sequence[str] = ("dete
 
 def spread_table(clean: DataFrame, corrupted: DataFrame) -> DataFrame:
     """(detector, clean_cv, median_shift): variation over clean runs, and median over runs of how far a corrupted run lies
-    from its own clean run, in MADs of the clean runs."""
-    base = clean.groupBy("detector").agg((F.stddev_pop("value") / F.abs(F.avg("value"))).alias("clean_cv"), median(F.col("value")).alias("med"))
+    from its own clean run, in MADs of the clean runs. clean_cv is 0 where the clean values are all 0."""
+    base = clean.groupBy("detector").agg((F.stddev_pop("value") / (F.abs(F.avg("value")) + 1e-12)).alias("clean_cv"), median(F.col("value")).alias("med"))
     mad = clean.join(base, "detector").groupBy("detector", "clean_cv").agg(median(F.abs(F.col("value") - F.col("med"))).alias("mad"))
     pairs = corrupted.select("sim", "detector", F.col("value").alias("other")).join(clean, ["sim", "detector"])
     shift = pairs.groupBy("detector").agg(median(F.abs(F.col("other") - F.col("value"))).alias("s"))
@@ -128,9 +129,9 @@ def gate_runs(runs: DataFrame, surrogates: Sequence[str], rules: Sequence[str],
     own = runs.where(F.col("detector").isin([*surrogates, *rules]))
     clean = own.where("kind = 'clean'").select("sim", "detector", F.col("z").alias("score"))
     marked = own.where("kind <> 'clean'").select("sim", *cell, "detector", F.col("z").alias("score"), F.lit(True).alias("label"))
-    both = marked.unionByName(marked.select("sim", *cell, "detector").join(clean, ["sim", "detector"]).select("sim", *cell, "detector", "score", F.lit(False).alias("label"))).persist()
-    points = auroc(both, [*cell, "detector"]).where("auroc is not null").persist()
-    boots = weighted_auroc(both, bootstrap_weights(both, reps), [*cell, "detector"], reps).persist()  # joined twice
+    both = cut(marked.unionByName(marked.select("sim", *cell, "detector").join(clean, ["sim", "detector"]).select("sim", *cell, "detector", "score", F.lit(False).alias("label"))))
+    points = cut(auroc(both, [*cell, "detector"]).where("auroc is not null"))
+    boots = cut(weighted_auroc(both, bootstrap_weights(both, reps), [*cell, "detector"], reps))  # joined twice
     order = F.array_position(F.array(*[F.lit(r) for r in rules]), F.col("detector"))
     rank = F.row_number().over(Window.partitionBy(*cell).orderBy(F.desc("auroc"), order))
     best = points.where(F.col("detector").isin(list(rules))).withColumn("r", rank).where("r = 1").select(*cell, F.col("detector").alias("rule"), F.col("auroc").alias("rule_auroc"))

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trajscreen.functions.lineage import cut
 from trajscreen.operators import alarms, detect, inject, mesh
 
 #: Parameters of the global errors, by kind.
@@ -33,13 +34,14 @@ def run_statistics(positions: DataFrame, nodes: DataFrame, cells: DataFrame, edg
 def score_runs(positions: DataFrame, nodes: DataFrame, cells: DataFrame, edges: DataFrame, frames: Sequence[int], grid: Mapping[str, Sequence[float]] = GRID) -> DataFrame:
     """(sim, kind, parameter, detector, value): the statistics of each run as it is (kind clean, parameter 0) and under each error
     of the grid. The copies are keyed side by side, so all are scored in one pass. They are dealt by run
-    and persisted, as every statistic reads them."""
+    and checkpointed, as every statistic reads them; so are the statistics, so that what follows is planned without the copies."""
+    positions = cut(positions)
     copies = [("clean", 0.0, positions), *((kind, float(v), inject.inject_global(positions, nodes, kind, v)) for kind, values in grid.items() for v in values)]
     every = None
     for i, (_, _, df) in enumerate(copies):
         part = df.select(F.struct(F.col("sim").alias("run"), F.lit(i).alias("copy")).alias("sim"), "frame", "node", "x", "y", "z")
         every = part if every is None else every.unionByName(part)
-    every = every.repartition("sim").persist()
+    every = cut(every.repartition("sim"))
     names = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(v).alias("parameter")) for k, v, _ in copies])
     stats = run_statistics(every, nodes, cells, edges, frames).withColumn("c", F.get(names, F.col("sim.copy")))
-    return stats.select(F.col("sim.run").alias("sim"), "c.kind", "c.parameter", "detector", "value")
+    return cut(stats.select(F.col("sim.run").alias("sim"), "c.kind", "c.parameter", "detector", "value"))

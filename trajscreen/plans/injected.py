@@ -129,15 +129,15 @@ def r5(spark, d):
 
 @query("r6_gate_runs")
 def r6(spark, d):
-    every = _scored_runs(spark, d).persist()
+    every = _scored_runs(spark, d)
     clean = every.where("kind = 'clean'").select("detector", "value")
-    z = alarms.robust_z(every, clean).select("sim", "kind", "parameter", "detector", "z").persist()
+    z = alarms.robust_z(every, clean).select("sim", "kind", "parameter", "detector", "z")
     return rounded(alarms.gate_runs(z, ("vlap", "contact_gap", "contact_depth"), ("constvel", "laplacian", "velocity")), "delta", "lo", "p")
 
 
 @query("r4_spread_table")
 def r4b(spark, d):
-    runs = _scored_runs(spark, d).persist()
+    runs = _scored_runs(spark, d)
     return rounded(alarms.spread_table(runs.where("kind = 'clean'").select("sim", "detector", "value"), runs.where("kind = 'lag' and parameter = 10").select("sim", "detector", "value")), "clean_cv", "median_shift")
 
 
