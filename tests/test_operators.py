@@ -113,8 +113,7 @@ def test_point_triangle_distance(spark):
     pts = rng.normal(size=(40, 4, 3))
     names = [f"{n}{c}" for n in "pabc" for c in "xyz"]
     df = spark.createDataFrame([tuple(map(float, x.ravel())) for x in pts], names)
-    at = lambda n: [F.col(n + c) for c in "xyz"]
-    got = df.select(mesh.point_triangle(at("p"), at("a"), at("b"), at("c"))[1].alias("d"), "px").collect()
+    got = mesh.closest_on_triangles(df, "p", "a", "b", "c").select("near.d", "px").collect()
     want = {float(x[0, 0]): closest(*x) for x in pts}
     assert all(abs(r.d - want[r.px]) < 0.02 for r in got)
 
@@ -190,9 +189,11 @@ def test_gate_needs_a_better_surrogate(spark):
 def test_penetration_goes_in_and_inversion_moves_the_centre(toy, copies):
     p, r, c = toy
     plan, centres = copies
-    lifted = p.withColumn("z", F.when(F.col("node") == 0, F.col("z") - 3.0).otherwise(F.col("z")))  # node 0 lies inside the actuator
+    centre = p.where("node >= 5").groupBy("sim", "frame").agg(*[F.avg(k).alias("m" + k) for k in "xyz"])  # node 0 is put inside the actuator
+    lifted = p.join(centre, ["sim", "frame"]).select("sim", "frame", "node", *[F.when(F.col("node") == 0, F.col("m" + k)).otherwise(F.col(k)).alias(k) for k in "xyz"]).cache()
     own = plan.where("type = 'penetration' and sev = 1")
     deltas = inject.inject_penetration(own, lifted, r, c, detect.step_scale(lifted, r).withColumn("step", F.lit(0.5)))
+    assert mesh.signed_distance(lifted, r, c).where("node = 0").agg(F.max("distance")).first()[0] < 0
     after = mesh.signed_distance(mesh.apply_deltas(lifted, deltas.select("sim", "frame", "node", "x", "y", "z")), r, c)
     depth = after.join(deltas.select("sim", "frame", "node"), ["sim", "frame", "node"])
     assert depth.count() and depth.where("abs(distance + 0.5) > 0.1").count() == 0  # as deep as the size, wherever it was before

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trajscreen.functions.columns import draw
-from trajscreen.operators.mesh import NORMAL, OBSTACLE, contact_frames, hops, point_triangle, surface_triangles
+from trajscreen.operators.mesh import NORMAL, OBSTACLE, closest_on_triangles, contact_frames, hops, surface_triangles
 
 TYPES = ("hourglass", "penetration", "inversion", "instability", "frozen")
 SEVERITIES = {1: 1.0, 2: 10.0, 3: 100.0}
@@ -154,16 +154,18 @@ def inject_penetration(copies: DataFrame, positions: DataFrame, nodes: DataFrame
     plate = positions.join(nodes.where(F.col("node_type") == NORMAL).select("node"), "node").select("sim", "frame", "node", *[F.col(c).alias(f"p{c}") for c in "xyz"])
     window = copies.join(steps, "sim").withColumn("frame", F.explode(F.sequence("t0", F.col("t0") + (frames - 1))))
     faces = window.select("sim", "frame").distinct().join(corner("a"), ["sim", "frame"]).join(hull, "a").join(corner("b"), ["sim", "frame", "b"]).join(corner("c"), ["sim", "frame", "c"])
-    at = lambda n: [F.col(f"{n}{c}") for c in "xyz"]
-    foot, d = point_triangle(at("p"), at("a"), at("b"), at("c"))
     centre = positions.join(nodes.where(F.col("node_type") == OBSTACLE).select("node"), "node").groupBy("sim", "frame").agg(*[F.avg(c).alias(f"m{c}") for c in "xyz"])
     faces = faces.join(centre, ["sim", "frame"])
     u, v = ([F.col(f"{n}{c}") - F.col(f"a{c}") for c in "xyz"] for n in "bc")
     normal = [u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]]
-    outward = F.signum(sum(((F.col(f"a{c}") - F.col(f"m{c}")) * k for c, k in zip("xyz", normal, strict=True)), F.lit(0.0)))
-    length = F.greatest(F.sqrt(normal[0] * normal[0] + normal[1] * normal[1] + normal[2] * normal[2]), F.lit(1e-30))
-    inward = [(-outward * k / length).alias(f"i{c}") for c, k in zip("xyz", normal, strict=True)]
-    near = plate.join(faces, ["sim", "frame"]).groupBy("sim", "frame", "node").agg(F.min(F.struct(d.alias("d"), *[f.alias(f"f{c}") for f, c in zip(foot, "xyz", strict=True)], *inward)).alias("m"))
+    faces = faces.withColumns({f"n{c}": k for c, k in zip("xyz", normal, strict=True)})
+    own = [F.col(f"n{c}") for c in "xyz"]
+    outward = F.signum(sum(((F.col(f"a{c}") - F.col(f"m{c}")) * F.col(f"n{c}") for c in "xyz"), F.lit(0.0)))
+    length = F.greatest(F.sqrt(own[0] * own[0] + own[1] * own[1] + own[2] * own[2]), F.lit(1e-30))
+    faces = faces.withColumn("turned", -outward / length)
+    pairs = closest_on_triangles(plate.join(faces, ["sim", "frame"]), "p", "a", "b", "c")
+    inward = [(F.col("turned") * F.col(f"n{c}")).alias(f"i{c}") for c in "xyz"]
+    near = pairs.groupBy("sim", "frame", "node").agg(F.min(F.struct("near.d", *[F.col(f"near.{c}").alias(f"f{c}") for c in "xyz"], *inward)).alias("m"))
     near = near.select("sim", "frame", "node", "m.*")
     rank = Window.partitionBy(*keys).orderBy("d", "node")
     chosen = copies.join(near.withColumnRenamed("frame", "t0"), ["sim", "t0"]).withColumn("r", F.row_number().over(rank)).withColumn("least", F.min("d").over(Window.partitionBy(*keys)))

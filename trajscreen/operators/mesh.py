@@ -157,27 +157,32 @@ def project(points: DataFrame, matrix: Sequence[Sequence[float]], size: float =
     return points.withColumns({"px": (row(matrix[0]) / w + 1) / 2 * size, "py": (1 - row(matrix[1]) / w) / 2 * size})
 
 
-def point_triangle(p: list, a: list, b: list, c: list) -> tuple[list, object]:
-    """Closest point of a triangle (a, b, c: lists of three columns) to p, and its distance, in column algebra: the
-    nearest of the plane's foot, if it lies inside, and the three edges' closest points."""
+def closest_on_triangles(pairs: DataFrame, p: str, a: str, b: str, c: str) -> DataFrame:
+    """pairs with column near (d, x, y, z): the closest point of the triangle a, b, c to p, and its distance: the nearest of the
+    plane's foot, if it lies inside, and the three edges' closest points. A point's name stands before x, y and z in the
+    names of its columns. Each step is a column of its own, so that no expression is evaluated or planned twice."""
+    at = lambda n: [F.col(f"{n}{k}") for k in "xyz"]
     sub = lambda u, v: [x - y for x, y in zip(u, v, strict=True)]
     dot = lambda u, v: u[0] * v[0] + u[1] * v[1] + u[2] * v[2]
     cross = lambda u, v: [u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]]
+    tiny, q = F.lit(1e-30), at(p)
+    edges = [(at(u), at(v)) for u, v in ((a, b), (b, c), (c, a))]
+    n, foot = at("__normal_"), at("__foot_")
 
-    def on_edge(u: list, v: list) -> list:
+    def share(u: list, v: list) -> Column:
         along = sub(v, u)
-        t = F.least(F.greatest(dot(sub(p, u), along) / F.greatest(dot(along, along), F.lit(1e-30)), F.lit(0.0)), F.lit(1.0))
-        return [x + t * y for x, y in zip(u, along, strict=True)]
+        return F.least(F.greatest(dot(sub(q, u), along) / F.greatest(dot(along, along), tiny), F.lit(0.0)), F.lit(1.0))
 
-    n = cross(sub(b, a), sub(c, a))
-    nn = F.greatest(dot(n, n), F.lit(1e-30))
-    h = dot(sub(p, a), n) / nn
-    foot = [x - h * y for x, y in zip(p, n, strict=True)]
-    inside = (dot(cross(sub(b, a), sub(foot, a)), n) >= 0) & (dot(cross(sub(c, b), sub(foot, b)), n) >= 0) & (dot(cross(sub(a, c), sub(foot, c)), n) >= 0)
-    options = [foot, on_edge(a, b), on_edge(b, c), on_edge(c, a)]
-    rows = [F.struct(norm3(*sub(p, q)).alias("d"), *[x.alias(k) for x, k in zip(q, "xyz", strict=True)]) for q in options]
-    best = F.when(inside, F.least(*rows)).otherwise(F.least(*rows[1:]))
-    return [best[k] for k in "xyz"], best["d"]
+    def option(point: list) -> Column:
+        return F.struct(norm3(*sub(q, point)).alias("d"), *[x.alias(k) for x, k in zip(point, "xyz", strict=True)])
+
+    steps = pairs.withColumns({f"__normal_{k}": x for k, x in zip("xyz", cross(sub(at(b), at(a)), sub(at(c), at(a))), strict=True)})
+    steps = steps.withColumns({"__height": dot(sub(q, at(a)), n) / F.greatest(dot(n, n), tiny)} | {f"__share_{i}": share(u, v) for i, (u, v) in enumerate(edges)})
+    steps = steps.withColumns({f"__foot_{k}": x - F.col("__height") * y for k, x, y in zip("xyz", q, n, strict=True)})
+    inside = [dot(cross(sub(v, u), sub(foot, u)), n) >= 0 for u, v in edges]
+    options = [option([x + F.col(f"__share_{i}") * y for x, y in zip(u, sub(v, u), strict=True)]) for i, (u, v) in enumerate(edges)]
+    steps = steps.withColumn("near", F.least(*options)).withColumn("near", F.when(inside[0] & inside[1] & inside[2], F.least(option(foot), "near")).otherwise(F.col("near")))
+    return steps.drop(*[c for c in steps.columns if c.startswith(("__normal_", "__foot_", "__share_")) or c == "__height"])
 
 
 def signed_distance(positions: DataFrame, nodes: DataFrame, cells: DataFrame, on: Sequence[str] = ("node",), points: DataFrame | None = None) -> DataFrame:
@@ -193,7 +198,7 @@ def signed_distance(positions: DataFrame, nodes: DataFrame, cells: DataFrame, on
     faces = hull.join(corner("a"), "a").join(corner("b"), ["sim", "frame", "b"]).join(corner("c"), ["sim", "frame", "c"])
     at = lambda n: [F.col(f"{n}{c}") for c in "xyz"]
     pairs = points.join(faces, ["sim", "frame"])
-    distance = pairs.select("sim", "frame", "node", point_triangle(at("p"), at("a"), at("b"), at("c"))[1].alias("d")).groupBy("sim", "frame", "node").agg(F.min("d").alias("d"))
+    distance = closest_on_triangles(pairs, "p", "a", "b", "c").select("sim", "frame", "node", "near.d").groupBy("sim", "frame", "node").agg(F.min("d").alias("d"))
     own = cells.select("cell", F.explode(F.array(*VERTICES)).alias("node"), *VERTICES).join(nodes.select("node", "node_type"), "node").groupBy("cell", *VERTICES).agg(F.min((F.col("node_type") == OBSTACLE).cast("int")).alias("all")).where("all = 1").drop("all")
     tets = own
     for v in VERTICES:
