@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_TABLE, carried, chunks, mix, saved, word_hashes
+from .common import LOWER_TABLE, carried, chunks, discard, mix, pieces, saved, small_batches, summed_table, word_hashes
 
 carried(__name__)
 
@@ -89,7 +89,7 @@ def cells(hashes: np.ndarray) -> np.ndarray:
 
 def context_table(docs: DataFrame) -> np.ndarray:
     """Context vectors (rows x DIMENSIONS) summed over all documents; each scaled to unit length. Tasks sum into a table of
-    fixed size; the tables' slices are added as they stream by."""
+    fixed size; the tables are added up in a tree, so no task reads more than a bounded number of them."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = index_vectors()
@@ -100,7 +100,7 @@ def context_table(docs: DataFrame) -> np.ndarray:
         for i, p in enumerate(places):
             at[i, : len(p)], sign[i, : len(p)] = p, index[i, p]
         table = np.zeros(len(index) * DIMENSIONS)
-        for batch in batches:
+        for batch in pieces(batches):
             for hashes, bounds, _ in tokens_of(batch.column(0)):
                 c = cells(hashes)
                 inner = np.ones(len(c), bool)
@@ -117,21 +117,12 @@ def context_table(docs: DataFrame) -> np.ndarray:
                     for j in range(width):
                         table += np.bincount(a * DIMENSIONS + at[b, j], weights=sign[b, j] * counts, minlength=len(table))
         for i, part in enumerate(np.split(table.astype(np.float32), SLICES)):
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], ["slice", "sums"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                part = np.frombuffer(zlib.decompress(raw), np.float32).astype(np.float64)
-                sums[i] = sums[i] + part if i in sums else part
-        for i, total in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["slice", "sums"])
-
-    parts = docs.mapInArrow(gather, "slice int, sums binary").repartition(SLICES, "slice").mapInArrow(add, "slice int, sums binary").collect()
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], ["slice", "part"])
+
+    parts = summed_table(docs.mapInArrow(gather, "slice int, part binary"), SLICES, np.float32).collect()
     table = np.zeros((SLICES, (DIMENSIONS << TABLE_BITS) // SLICES))
     for r in parts:  # SLICES rows of a fixed size
-        table[r["slice"]] = np.frombuffer(zlib.decompress(r["sums"]))
+        table[r["slice"]] = np.frombuffer(zlib.decompress(r["part"]))
     table = table.reshape(1 << TABLE_BITS, DIMENSIONS)
     return (table / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
@@ -163,7 +154,7 @@ def vectors(rows: DataFrame, context, others: str, names: list[str]) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = index_vectors()
-        for batch in batches:
+        for batch in pieces(batches):
             v = pooled(batch.column("text"), context.value, index)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array([x.tobytes() for x in v], pa.binary())], [*names, "v"])
 
@@ -202,8 +193,12 @@ def logit(model: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
 
 def fitted(docs: DataFrame, labels: DataFrame, held_out: Callable, key: str, text: str, label: str, sample: int) -> Callable[[pa.Array], np.ndarray]:
     """Learns from docs and labels; the returned function gives the scores of texts and runs on executors."""
+    with small_batches(docs.sparkSession):
+        return _fitted(docs, labels, held_out, key, text, label, sample)
+
+
+def _fitted(docs: DataFrame, labels: DataFrame, held_out: Callable, key: str, text: str, label: str, sample: int) -> Callable[[pa.Array], np.ndarray]:
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     kind = dict(docs.dtypes)[key]
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text"))
     context = spark.sparkContext.broadcast(context_table(rows.select("text")))
@@ -212,6 +207,7 @@ def fitted(docs: DataFrame, labels: DataFrame, held_out: Callable, key: str, tex
     labelled = rows.join(chosen.select("key", "y", "h"), "key").select("h", "key", "y", "text")
     # at most `sample` rows of a fixed size, but for repeated keys, of which one each is taken
     found = vectors(labelled, context, f"h bigint, key {kind}, y double", ["h", "key", "y"]).groupBy("h", "key", "y").agg(F.min("v").alias("v")).orderBy("h", "key").limit(sample).collect()
+    discard(chosen)
     y = np.array([r["y"] for r in found])
     model = None
     if len(y) and 0 < y.mean() < 1:
@@ -239,7 +235,7 @@ def scored(docs: DataFrame, labels: DataFrame, held_out: Callable, key: str = "d
     kind = dict(docs.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(score(batch.column("text")), pa.float64())], ["key", "score"])
 
     out = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text")).mapInArrow(run, f"key {kind}, score double")
@@ -251,7 +247,7 @@ def accepted(docs: DataFrame, labels: DataFrame, held_out: Callable, key: str =
     score = fitted(docs, labels, held_out, key, text, label, sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             yield batch.filter(pa.array(score(batch.column(text)) >= cut))
 
     return docs.mapInArrow(run, docs.schema)
