@@ -254,6 +254,6 @@ def test_fit_pulls_swapped_terms_together():
 
 
 def test_pooling_of_nulls():
-    context, index = np.ones((1 << quality.TABLE_BITS, quality.DIMENSIONS), np.float32), quality.index_vectors()
-    v = quality.pooled(pa.array([None, "", "a b", " "]), context, index)
+    context = np.ones((1 << quality.TABLE_BITS, quality.DIMENSIONS), np.float32)
+    v = quality.pooled(pa.array([None, "", "a b", " "]), context)
     assert v.shape == (4, quality.WIDTH) and list(v[:, -1]) == [1, 1, 0, 1]

@@ -2,8 +2,8 @@
 
 Texts are cut into tokens: runs of letters, of digits, and of other signs, plus each word's shape and its repetition. Every
 token hashes to a sparse random index vector; a token's context vector sums the index vectors of its neighbours over all
-documents and is held in a table of fixed size, indexed by token hash. A document is the mean of its tokens' context and
-index vectors. The network is fitted on the driver from a bounded sample of labelled documents' vectors; its temperature
+documents and is held in a table of fixed size, indexed by token hash. A document is the mean of its tokens' context
+vectors. The network is fitted on the driver from a bounded sample of labelled documents' vectors; its temperature
 on the sample's last part.
 """
 
@@ -127,11 +127,11 @@ def context_table(docs: DataFrame) -> np.ndarray:
     return (table / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
-WIDTH = 2 * DIMENSIONS + 2
+WIDTH = DIMENSIONS + 2
 
 
-def pooled(texts: pa.Array, context: np.ndarray, index: np.ndarray) -> np.ndarray:
-    """A row for each text: mean context vector, mean index vector of its shapes, log length, whether it has no words."""
+def pooled(texts: pa.Array, context: np.ndarray) -> np.ndarray:
+    """A row for each text: mean context vector of its tokens, log length, whether it has no words."""
     out = []
     for hashes, bounds, _ in tokens_of(texts):
         n = np.diff(bounds)
@@ -141,8 +141,6 @@ def pooled(texts: pa.Array, context: np.ndarray, index: np.ndarray) -> np.ndarra
             c = cells(hashes)
             starts = bounds[:-1][full]
             m[full, :DIMENSIONS] = np.add.reduceat(context[c], starts, axis=0) / n[full, None]
-            counts = np.add.reduceat(index[c * (np.arange(len(c)) % 2)].astype(np.float32) * (np.arange(len(c)) % 2)[:, None], starts, axis=0)
-            m[full, DIMENSIONS : 2 * DIMENSIONS] = counts * 2 / n[full, None]
         m[:, -2] = np.log1p(n) / 10
         m[:, -1] = n == 0
         out.append(m)
@@ -153,9 +151,8 @@ def vectors(rows: DataFrame, context, others: str, names: list[str]) -> DataFram
     """rows (others.., text binary) -> others.., v binary (float32)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = index_vectors()
         for batch in pieces(batches):
-            v = pooled(batch.column("text"), context.value, index)
+            v = pooled(batch.column("text"), context.value)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array([x.tobytes() for x in v], pa.binary())], [*names, "v"])
 
     return rows.mapInArrow(run, f"{others}, v binary")
@@ -212,12 +209,10 @@ def _fitted(docs: DataFrame, labels: DataFrame, held_out: Callable, key: str, te
     model = None
     if len(y) and 0 < y.mean() < 1:
         model = fit_network(np.stack([np.frombuffer(r["v"], np.float32) for r in found]).astype(np.float64), y)
-    share, cache = float(y.mean()) if len(y) else 0.5, {}
+    share = float(y.mean()) if len(y) else 0.5
 
     def score(texts: pa.Array) -> np.ndarray:
-        if "index" not in cache:
-            cache["index"] = index_vectors()
-        x = pooled(texts, context.value, cache["index"]).astype(np.float64)
+        x = pooled(texts, context.value).astype(np.float64)
         return 1 / (1 + np.exp(-np.clip(logit(model, x), -40, 40))) if model else np.full(len(x), share)
 
     return score
