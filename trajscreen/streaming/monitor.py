@@ -15,12 +15,13 @@ STATE = "nodes array<int>, last array<double>, before array<double>, frame int,
 MAD = 1.4826
 
 
-def monitor(stream: DataFrame, gap: int = 4, least: int = 5, k: int = 5, idle_ms: int = 3_600_000) -> DataFrame:
+def monitor(stream: DataFrame, gap: int = 4, least: int = 5, k: int = 5, idle_ms: int | None = None) -> DataFrame:
     """Frame scores of detectors constvel and velocity_causal from a stream (sim, frame, node, x, y, z, ts) of plate nodes.
 
     State of a run: its last two frames, the rows of the newest one, and the speeds of all its past frames, as the medians
-    are over all of them; a run that sends nothing for idle_ms is over, and its state is dropped. A
-    frame is scored once it is complete: when it has all nodes of the frame before it (a mesh keeps its nodes), or when a
+    are over all of them; with idle_ms, a run that sends nothing for so long is over, and its
+    state is dropped. Spark looks for idle runs in batches without data, so with idle_ms an availableNow trigger never ends
+    (unless spark.sql.streaming.noDataMicroBatches.enabled is false): set it for streams that go on. A frame is scored once it is complete: when it has all nodes of the frame before it (a mesh keeps its nodes), or when a
     later one of the run has come. Till then its rows wait, so it may be split over batches. A frame at or before the last
     scored one is late: counted, reported without scores and dropped. Frames of other nodes aren't compared. Equal to the
     batch scores for frames whose past has no look-ahead, t >= least.
@@ -71,10 +72,11 @@ def monitor(stream: DataFrame, gap: int = 4, least: int = 5, k: int = 5, idle_ms
                 before = np.zeros((0, 3))
             last, frame = now, int(f)
         state.update((nodes, last.ravel().tolist(), before.ravel().tolist(), frame, [list(s) for s in speeds], frames, late, waits, waiting, places))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(rows, columns=["sim", "frame", "detector", "score", "late"])
 
-    return stream.groupBy("sim").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return stream.groupBy("sim").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def first_alarms(scores: DataFrame, thresholds: DataFrame, time: str = "ts") -> DataFrame:
