@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, ngram_join, pii, quality, sharding, sketch, suffix_dedup, toxicity, url_filter
+from . import decontaminate, fill_middle, mixing, ngram_join, pii, quality, sharding, sketch, suffix_dedup, toxicity, url_filter
 
 SHARDS = 24
 
@@ -57,6 +57,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_table(spark, sf_dir, "documents"), [1.0] * SHARDS)
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fill_middle.transformed(_table(spark, sf_dir, "documents"))
+    undone = fill_middle.restored(F.col("output"), F.col("form"))
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(undone, 256).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_quality": op2_quality,
@@ -68,10 +74,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_sharding": op10_sharding,
+    "op11_fill_middle": op11_fill_middle,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_mixing": mixing.ORACLE_SQL,
     "op5_decontamination": decontaminate.ORACLE_SQL,
     "op10_sharding": sharding.oracle_sql(SHARDS),
+    "op11_fill_middle": fill_middle.ORACLE_SQL,
 }
