@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fill_middle, mixing, ngram_join, pii, quality, sharding, sketch, suffix_dedup, toxicity, url_filter
+from . import decontaminate, fill_middle, hard_negatives, mixing, ngram_join, pii, quality, sharding, sketch, suffix_dedup, toxicity, url_filter
 
 SHARDS = 24
 
@@ -63,6 +63,12 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(undone, 256).alias("restored_sha256"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    turned = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mined(rows.withColumn("label", turned), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_quality": op2_quality,
@@ -75,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_sharding": op10_sharding,
     "op11_fill_middle": op11_fill_middle,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -82,4 +89,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_decontamination": decontaminate.ORACLE_SQL,
     "op10_sharding": sharding.oracle_sql(SHARDS),
     "op11_fill_middle": fill_middle.ORACLE_SQL,
+    "op12_hard_negatives": hard_negatives.ORACLE_SQL,
 }
