@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fill_middle, hard_negatives, mixing, ngram_join, pii, quality, sharding, sketch, suffix_dedup, toxicity, url_filter
+from . import decontaminate, fill_middle, hard_negatives, lm_score, mixing, ngram_join, pii, quality, sharding, sketch, suffix_dedup, toxicity, url_filter
 
 SHARDS = 24
 
@@ -69,6 +69,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mined(rows.withColumn("label", turned), F.col("vec_id") % 100 == 0)
 
 
+def op13_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.scored(_table(spark, sf_dir, "documents"), lambda k: quality.crc_remainder(k, 5) == 1)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_quality": op2_quality,
@@ -82,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sharding": op10_sharding,
     "op11_fill_middle": op11_fill_middle,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_lm_score": op13_lm_score,
 }
 
 ORACLE_SQL: dict[str, str] = {
