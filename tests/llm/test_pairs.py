@@ -59,7 +59,7 @@ def test_survivors_of_repeated_and_null_keys(spark):
 
 def test_frequency_table_counts_every_document(spark, rows):
     texts = spark.createDataFrame([(t,) for _, t in rows], "text string").select(F.col("text").cast("binary").alias("text"))
-    classes = ngram_join.frequency_classes(texts, 5)
+    classes = ngram_join.Classes(*ngram_join.frequency_classes(texts, 5))
     tokens = [s for t in rows for s in ngram_join.token_sets(pa.array([t[1]]), 5)]
     count = Counter(x for s in tokens for x in s.tolist())
     often, once = max(count, key=count.get), min(count, key=count.get)

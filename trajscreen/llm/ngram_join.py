@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 from pyspark.sql.window import Window
 
-from .common import LOWER_TABLE, SPACES, carried, chunks, discard, free_name, mix, saved, shingle_hashes, small_batches, summed_table, word_hashes
+from .common import FAN_IN, LOWER_TABLE, SPACES, carried, chunks, discard, free_name, mix, saved, shingle_hashes, small_batches, summed_table, word_hashes
 
 carried(__name__)
 
@@ -47,6 +47,7 @@ AHEAD = 8  # members of a bucket that each is held against in the second round
 PIECE = 500  # members of a bucket that one task holds against each other
 KEPT = 3  # and those of them, by all its buckets, that it is verified against
 BLOOM_BITS = 23
+LARGEST_BLOOM = 28  # 32 MB; a fuller table lets more sets through to the exact join
 
 
 def token_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -83,8 +84,8 @@ def prefix(tokens: np.ndarray, classes: np.ndarray, order: int, percent: int) ->
     return tokens[rank <= np.partition(rank, p - 1)[p - 1]]
 
 
-def frequency_classes(docs: DataFrame, n: int) -> Classes:
-    """Classes (0 rare to 15 common) of the cells of the table of token counts over all documents, parted at SHARES of all
+def frequency_classes(docs: DataFrame, n: int) -> tuple[np.ndarray, int]:
+    """What Classes is made of: classes (0 rare to 15 common) of the cells of the table of token counts over all documents, parted at SHARES of all
     counts. Tasks count into a table of fixed size; slices of the tables are summed in a tree, and only classes of half a
     byte a cell reach the driver."""
     size = docs.agg(F.sum(F.octet_length(docs.columns[0]))).first()[0] or 0
@@ -125,7 +126,7 @@ def frequency_classes(docs: DataFrame, n: int) -> Classes:
         part = np.frombuffer(zlib.decompress(r["part"]), np.uint8)
         packed[r["slice"] * len(part) : (r["slice"] + 1) * len(part)] = part
     discard(counts)
-    return Classes(packed, bits)
+    return packed, bits
 
 
 def parity_bitmap(tokens: np.ndarray, longs: int) -> np.ndarray:
@@ -140,6 +141,7 @@ def _described(n: int, percent: int, classes) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
+        known = Classes(*classes.value)
         for batch in batches:
             cls, size, maps, wides, others, prefixes = [], [], [], [], [], []
             for s in token_sets(batch.column("text"), n):
@@ -155,7 +157,7 @@ def _described(n: int, percent: int, classes) -> Callable:
                 seen.add(digest)
                 maps.append(parity_bitmap(s, LONGS))
                 wides.append(parity_bitmap(s, [w for least, w in WIDER if len(s) >= least][-1]) if len(s) >= WIDER[0][0] else None)
-                rare = classes.value.of(s)
+                rare = known.of(s)
                 others.append([np.unique(prefix(s, rare, k, percent).astype(np.uint16)).view(np.int16) for k in range(1, ORDERS)])
                 prefixes.append(prefix(s, rare, 0, percent).view(np.int64))
             longs = pa.list_(pa.int64())
@@ -221,24 +223,36 @@ def _shared_in_all(a: str, b: str) -> Column:
     return F.forall(F.arrays_zip(F.col(f"{a}.others").alias("p"), F.col(f"{b}.others").alias("q")), lambda z: F.arrays_overlap(z["p"], z["q"]))
 
 
-def _wanted(hashes: DataFrame) -> np.ndarray:
-    """Bit table of fixed size (1 MB) that holds the given key hashes."""
+def _wanted(hashes: DataFrame) -> tuple[np.ndarray, int]:
+    """Bit table that holds the given key hashes, sixteen bits for each as far as LARGEST_BLOOM goes, and the logarithm of its size.
+    The tasks' tables are put together in a tree, FAN_IN of them a task."""
+    bits = min(max(BLOOM_BITS, int(hashes.count() * 16 - 1).bit_length()), LARGEST_BLOOM)
+
+    def row(table: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([zlib.compress(table.tobytes(), 1)], pa.binary())], ["bits"])
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << BLOOM_BITS, bool)
+        held = np.zeros(1 << bits, bool)
         for batch in batches:
-            bits[mix(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)) >> np.uint64(64 - BLOOM_BITS)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([zlib.compress(np.packbits(bits).tobytes(), 1)], pa.binary())], ["i", "bits"])
+            held[mix(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)) >> np.uint64(64 - bits)] = True
+        yield row(np.packbits(held))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << BLOOM_BITS >> 3, np.uint8)
+        held = np.zeros(1 << bits >> 3, np.uint8)
         for batch in batches:
-            for raw in batch.column(1).to_pylist():
-                bits |= np.frombuffer(zlib.decompress(raw), np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([zlib.compress(bits.tobytes(), 1)], pa.binary())], ["i", "bits"])
+            for raw in batch.column(0).to_pylist():
+                held |= np.frombuffer(zlib.decompress(raw), np.uint8)
+        yield row(held)
 
-    merged = hashes.mapInArrow(fill, "i int, bits binary").repartition(1).mapInArrow(merge, "i int, bits binary").collect()
-    return np.frombuffer(zlib.decompress(merged[0]["bits"]), np.uint8) if merged else np.zeros(1 << BLOOM_BITS >> 3, np.uint8)
+    tables = hashes.mapInArrow(fill, "bits binary")
+    count = tables.rdd.getNumPartitions()
+    while count > 1:
+        count = -(-count // FAN_IN)
+        tables = tables.repartition(count, F.pmod(F.spark_partition_id(), F.lit(count))).mapInArrow(merge, "bits binary")
+    found = np.zeros(1 << bits >> 3, np.uint8)
+    for r in tables.collect():  # one row
+        found |= np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
+    return found, bits
 
 
 def _sets(docs: DataFrame, n: int, wanted) -> DataFrame:
@@ -246,9 +260,10 @@ def _sets(docs: DataFrame, n: int, wanted) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
+        table, bits = wanted.value
         for batch in batches:
-            h = mix(batch.column("kh").to_numpy(zero_copy_only=False).view(np.uint64)) >> np.uint64(64 - BLOOM_BITS)
-            held = (wanted.value[(h >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (h & np.uint64(7)).astype(np.uint8))) & 1
+            h = mix(batch.column("kh").to_numpy(zero_copy_only=False).view(np.uint64)) >> np.uint64(64 - bits)
+            held = (table[(h >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (h & np.uint64(7)).astype(np.uint8))) & 1
             cls, sets = [], []
             for s in token_sets(batch.column("text").filter(pa.array(held.astype(bool))), n):
                 digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
