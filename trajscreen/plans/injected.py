@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajscreen.operators import alarms, answers, detect, inject, mesh, metrics, runs
+from trajscreen.functions.lineage import cut
+from trajscreen.operators import alarms, answers, copies, detect, inject, mesh, metrics, runs
 from trajscreen.plans.fixtures import oracle, view
-from trajscreen.plans.screening import _E, COPY, DEPTH, GAP, MATRIX, PX, PY, changed, registered, rounded
+from trajscreen.plans.screening import _E, CONSTVEL, COPY, DEPTH, GAP, LAP, MATRIX, PX, PY, STEPS, VLAP, changed, registered, rounded
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -87,6 +88,57 @@ def i11(spark, d):
     return inject.counterfactual_pairs(p, mesh.apply_deltas(p, deltas), 40)
 
 
+LOCAL = ("constvel", "laplacian", "vlap", "velocity")
+#: Three copies of each run under the number 10 * sim + sev, each with deltas of its own.
+THREE = """, dl AS (SELECT sim*10 + sev AS sim, frame, node, x + sev*5e-1 AS x, y, z - 25e-2 AS z FROM positions, (VALUES (1), (2), (3)) AS s(sev) WHERE (sim*7 + frame*3 + node*sev) % 101 = sev AND node <= 4),
+cs AS (SELECT p.sim*10 + sev AS sim, p.frame, p.node, coalesce(d.x, p.x) AS x, coalesce(d.y, p.y) AS y, coalesce(d.z, p.z) AS z FROM positions p CROSS JOIN (VALUES (1), (2), (3)) AS s(sev) LEFT JOIN dl d ON d.sim = p.sim*10 + sev AND d.frame = p.frame AND d.node = p.node)"""
+NEAR = """, w1 AS (SELECT DISTINCT sim, frame + k AS frame, node FROM dl, (VALUES (0), (1), (2)) AS o(k)), w2 AS (SELECT DISTINCT sim, frame, node FROM dl UNION SELECT sim, frame, dst FROM dl JOIN edges ON node = src),
+w3 AS (SELECT sim, frame + k AS frame, node FROM w2, (VALUES (0), (1)) AS o(k) GROUP BY ALL), w4 AS (SELECT DISTINCT sim, node FROM dl)"""
+SPARSE = (THREE + CONSTVEL + LAP + VLAP).replace("positions", "cs").replace(THREE.replace("positions", "cs"), THREE) + NEAR
+SPARSE += ", vl AS (SELECT sim, frame, node, dev / (14826e-4*quantile_cont(dev, 0.5) OVER (PARTITION BY sim, node) + 1e-9) AS score FROM (SELECT *, abs(speed - quantile_cont(speed, 0.5) OVER (PARTITION BY sim, node)) AS dev FROM speed) m)"
+SPARSE += """ SELECT CAST(FLOOR(sim/10e0) AS BIGINT) AS sim, CAST(sim % 10 AS INT) AS sev, detector, frame, node, round(score, 5) AS score FROM (
+  SELECT cv.sim, 'constvel' AS detector, cv.frame, cv.node, score FROM cv JOIN w1 USING (sim, frame, node) UNION ALL SELECT lap.sim, 'laplacian', lap.frame, lap.node, score FROM lap JOIN w2 USING (sim, frame, node)
+  UNION ALL SELECT vlap.sim, 'vlap', vlap.frame, vlap.node, score FROM vlap JOIN w3 USING (sim, frame, node) UNION ALL SELECT vl.sim, 'velocity', vl.frame, vl.node, score FROM vl JOIN w4 USING (sim, node)) q"""
+
+
+@query("i13_sparse_copy_scores", oracle(SPARSE, "positions", "edges"))
+def i13(spark, d):
+    p, r, c = (view(spark, d, n) for n in ("positions", "rest", "cells"))
+    three = p.withColumn("sev", F.explode(F.array(*[F.lit(s) for s in (1, 2, 3)]))).where("(sim*7 + frame*3 + node*sev) % 101 = sev and node <= 4")
+    deltas = three.select("sim", F.lit("shift").alias("type"), "sev", "frame", "node", (F.col("x") + F.col("sev") * 0.5).alias("x"), "y", (F.col("z") - 0.25).alias("z"))
+    return rounded(copies.changed_scores(p, deltas, r, mesh.mesh_edges(c), detectors=LOCAL).drop("type"), "score", digits=5)
+
+
+def benchmark_deltas(p: DataFrame, r: DataFrame, c: DataFrame, edges: DataFrame, plan: DataFrame) -> DataFrame:
+    """Sparse rows of all planned copies of the five kinds."""
+    step, centres = cut(detect.step_scale(p, r)), cut(inject.moving_centres(plan, p, r))
+    of = lambda kind, steps: inject.patch(plan.where(F.col("type") == kind), centres, edges, r, steps)
+    pressed = inject.contact_onsets(plan.where("type = 'penetration'"), mesh.min_gap(p, r), ONSET)
+    parts = [inject.inject_hourglass(of("hourglass", 2), p, step), inject.inject_instability(of("instability", 1), p, step), inject.inject_frozen(of("frozen", 2), p), inject.inject_inversion(plan.where("type = 'inversion'"), centres, p, r, c), inject.inject_penetration(pressed, p, r, c, step)]
+    out = cut(parts[0])
+    for part in parts[1:]:
+        out = out.unionByName(cut(part))
+    return out
+
+
+def benchmark_records(spark: SparkSession, d: str) -> DataFrame:
+    """(sim, type, sev, frame, label, phase, detector, score): the frame-level benchmark. Every run's 15 copies are planned and
+    injected as sparse rows, event frames and clean ones near them chosen, only what the deltas can change scored anew, scores
+    calibrated by node, and the planned frames scored."""
+    p, r, c, edges, plan = _base(spark, d)
+    p, edges, plan = cut(p), cut(edges), cut(plan)
+    deltas = benchmark_deltas(p, r, c, edges, plan)
+    frames = cut(inject.choose_frames(deltas.select("sim", "type", "sev", "frame").distinct(), t_max=mesh.run_lengths(p)))
+    clean = cut(copies.clean_scores(p, r, edges, LOCAL))
+    new = cut(copies.changed_scores(p, deltas, r, edges, detectors=LOCAL))
+    return cut(copies.calibrated_records(frames, clean, new, r, range(5, 2**31 - 1, 10)))
+
+
+@query("e1_frame_benchmark")
+def e1(spark, d):
+    return rounded(metrics.cell_metrics(benchmark_records(spark, d)), "auroc", "tpr")
+
+
 @query("i12_pick_frames")
 def i12(spark, d):
     p = view(spark, d, "positions")
