@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from trajscreen.functions.columns import median
 from trajscreen.functions.lineage import cut
 from trajscreen.operators.resample import bootstrap_weights, grouped_median_ci, holm, one_sided_p, weighted_auroc
-from trajscreen.operators.metrics import auroc
+from trajscreen.operators.metrics import auroc, quantile
 
 MAD = 1.4826
 
@@ -42,7 +42,7 @@ def run_fpr(maxima: DataFrame, thresholds: DataFrame) -> DataFrame:
 def frame_threshold(scores: DataFrame, events: DataFrame, q: float = 0.95, gap: int = 3) -> DataFrame:
     """(detector, threshold): quantile of the scores of frames before t0 - gap."""
     before = scores.join(events.select("sim", "t0"), "sim").where(F.col("frame") < F.col("t0") - gap)
-    return before.groupBy("detector").agg(F.percentile("score", F.lit(q)).alias("threshold"))
+    return quantile(before, ["detector"], "score", q, "threshold")
 
 
 def event_bounds(deviations: DataFrame, share: float = 0.999, before: int = 15, least: int = 2) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trajscreen.functions.columns import median, norm3
+from trajscreen.operators.metrics import quantile
 from trajscreen.operators.mesh import NORMAL, OBSTACLE, displacement, grid_cell, neighbour_mean, signed_distance, tet_volumes
 
 KEYS = ("sim", "frame", "node")
@@ -153,7 +154,7 @@ def fit_standardizer(values: DataFrame, column: str, keys: Sequence[str], floor:
 
 def clean_level(scores: DataFrame, q: float = 0.95, keys: Sequence[str] = ()) -> DataFrame:
     """(keys, level): quantile of clean scores."""
-    return scores.groupBy(*keys).agg(F.percentile("score", F.lit(q)).alias("level"))
+    return quantile(scores, keys, "score", q, "level")
 
 
 def bundle_features(positions: DataFrame, nodes: DataFrame, edges: DataFrame, cells: DataFrame) -> DataFrame:

@@ -9,17 +9,67 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trajscreen.functions.columns import median
+from trajscreen.functions.lineage import cut
 
 
 def auroc(df: DataFrame, keys: Sequence[str], label: str = "label", score: str = "score") -> DataFrame:
-    """(keys, auroc): area under the ROC curve, ties counted half; null where a class is missing. Rows are first counted
-    by score, so only distinct scores are ordered within a group."""
+    """(keys, auroc): area under the ROC curve, ties counted half; null where a class is missing. Rows are first counted by score.
+    Distinct scores of all groups together are dealt over ranges of (keys, score), however many one group has; a range adds up
+    its own pairs, and the pairs between ranges follow from the negatives of the group's ranges before it."""
     counts = df.groupBy(*keys, score).agg(F.sum(F.col(label).cast("int")).alias("pos"), F.sum((~F.col(label)).cast("int")).alias("neg"))
-    below = Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.withColumn("under", F.coalesce(F.sum("neg").over(below), F.lit(0)))
-    won = F.sum(F.col("pos") * (F.col("under") + F.col("neg") / 2))
+    ranged = counts.repartitionByRange(*keys, score).withColumn("__range", F.spark_partition_id())
+    below = Window.partitionBy(*keys, "__range").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = ranged.withColumn("under", F.coalesce(F.sum("neg").over(below), F.lit(0)))
+    parts = ranked.groupBy(*keys, "__range").agg(F.sum(F.col("pos") * (F.col("under") + F.col("neg") / 2)).alias("won"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    before = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    carried = parts.withColumn("before", F.coalesce(F.sum("neg").over(before), F.lit(0)))
     pairs = F.sum("pos").cast("double") * F.sum("neg").cast("double")
-    return ranked.groupBy(*keys).agg(F.when(pairs > 0, won / pairs).alias("auroc"))
+    won = F.sum(F.col("won") + F.col("pos").cast("double") * F.col("before"))
+    return carried.groupBy(*keys).agg(F.when(pairs > 0, won / pairs).alias("auroc"))
+
+
+GRID = 512  # points of a group's sketch
+
+
+def quantile(df: DataFrame, keys: Sequence[str], value: str, q: float, name: str = "quantile") -> DataFrame:
+    """(keys, name): exact quantile, interpolated, of the values that aren't null, for groups of any size.
+
+    A sketch of GRID points a group, ten times as exact as its points are apart, brackets the two values between which the
+    quantile lies. One more pass counts what lies below the bracket and collects the values within it, about 3 in GRID of the
+    group; these are dealt over ranges of (keys, value), numbered within their range after the counts of the ranges before,
+    and the two of the wanted numbers picked. No task reads a whole group, and no group's values are held in a buffer."""
+    by = [*keys, "__all"]
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"), F.lit(0).alias("__all"))
+    points = F.array(*[F.lit(i / GRID) for i in range(1, GRID + 1)])
+    sketch = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), F.percentile_approx("__v", points, 10 * GRID).alias("__grid"))
+    place = (F.col("__n") - 1) * F.lit(q)
+    low = F.floor(place)
+    high = F.ceil(place)
+    point = lambda i: F.when((i >= 1) & (i <= GRID), F.get("__grid", (i - 1).cast("int")))
+    first, last = F.floor(low / F.col("__n") * GRID) - 1, F.ceil((high + 1) / F.col("__n") * GRID) + 1
+    wanted = cut(sketch.select(*by, place.alias("__place"), low.alias("__low"), high.alias("__high"), point(first).alias("__from"), point(last).alias("__to")))
+    near = null_free(rows, wanted, by).where(F.col("__to").isNull() | (F.col("__v") <= F.col("__to")))
+    within = F.when(F.col("__from").isNull() | (F.col("__v") >= F.col("__from")), F.col("__v"))
+    counts = near.groupBy(*by, within.alias("__v")).agg(F.count(F.lit(1)).alias("__m"))
+    ranged = cut(counts.repartitionByRange(*by, "__v").withColumn("__range", F.spark_partition_id()))
+    before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    starts = ranged.groupBy(*by, "__range").agg(F.sum("__m").alias("__s")).select(*by, "__range", F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__start"))
+    own = F.sum("__m").over(Window.partitionBy(*by, "__range").orderBy(F.asc_nulls_first("__v")).rowsBetween(Window.unboundedPreceding, 0))
+    placed = null_free(null_free(ranged.withColumn("__own", own), starts, [*by, "__range"]), wanted, by).withColumn("__end", F.col("__start") + F.col("__own"))
+    at = lambda k: F.max(F.when((F.col(k) < F.col("__end")) & (F.col(k) >= F.col("__end") - F.col("__m")), F.col("__v")))
+    found = placed.groupBy(*by, "__place", "__low", "__high").agg(at("__low").alias("__a"), at("__high").alias("__b"))
+    between = (F.col("__low") + 1 - F.col("__place")) * F.col("__a") + (F.col("__place") - F.col("__low")) * F.col("__b")
+    return found.select(*keys, F.when(F.col("__a").isNull() | F.col("__b").isNull(), F.raise_error(F.lit("the sketch missed its bracket")).cast("double")).when(F.col("__low") == F.col("__high"), F.col("__a")).otherwise(between).alias(name))
+
+
+def null_free(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Join on keys where null equals null."""
+    named = right.select(*[F.col(c).alias(f"__right_{c}") if c in on else F.col(c) for c in right.columns])
+    same = None
+    for c in on:
+        one = F.col(c).eqNullSafe(F.col(f"__right_{c}"))
+        same = one if same is None else same & one
+    return left.join(named, same).drop(*[f"__right_{c}" for c in on])
 
 
 def node_auroc(scores: DataFrame, masks: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -30,7 +80,7 @@ def node_auroc(scores: DataFrame, masks: DataFrame, keys: Sequence[str]) -> Data
 
 def tpr_at_fpr(df: DataFrame, keys: Sequence[str], fpr: float = 0.05) -> DataFrame:
     """(keys, tpr): share of positives strictly above the negatives' 1 - fpr quantile."""
-    threshold = df.where("not label").groupBy(*keys).agg(F.percentile("score", F.lit(1 - fpr)).alias("threshold"))
+    threshold = quantile(df.where("not label"), keys, "score", 1 - fpr, "threshold")
     return df.where("label").join(threshold, list(keys)).groupBy(*keys).agg(F.avg((F.col("score") > F.col("threshold")).cast("double")).alias("tpr"))
 
 
