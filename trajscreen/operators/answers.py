@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trajscreen.functions.columns import dot, draw, log1p_abs, softmax, unit_vector
-from trajscreen.operators.metrics import brier_multiclass, ece, macro_f1, selective
+from trajscreen.functions.lineage import cut
+from trajscreen.operators.metrics import abstain_rate, brier_multiclass, ece, fit_tau, macro_f1, selective
 
 ANSWER = "anomaly_type string, location string, confidence double, explanation string"
 BLOCK = 20_000  # rows of a block of queries or of a shard of the bank
@@ -202,6 +203,50 @@ def fit_temperature(probs: DataFrame, low: float = 0.05, high: float = 20.0, ste
     return grid[best]
 
 
+@dataclass
+class Calibrated:
+    """Boosted trees with the temperature and the confidence below which they abstain, both from rows they weren't fitted on."""
+
+    model: Triage
+    temperature: float
+    tau: float
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        return predict_triage(self.model, df, self.temperature)
+
+    def evaluate(self, df: DataFrame) -> DataFrame:
+        """evaluate_triage's row, with this model's temperature and tau."""
+        found = evaluate_triage(self.predict(df), self.model)
+        return found.withColumns({"temperature": F.lit(self.temperature), "tau": F.lit(self.tau)})
+
+
+def fit_calibrated(train: DataFrame, calibration: DataFrame, features: Sequence[str], target: float = 0.95, **parameters) -> Calibrated:
+    """Trees fitted on train; temperature and tau (the last confidence at which cumulative accuracy is target) on calibration
+    (with a column item). Calibration rows of a kind that train doesn't have tell nothing about the temperature."""
+    model = fit_triage(train, features, **parameters)
+    raw = cut(predict_triage(model, calibration).select("item", "kind", "probs", truth_index(model, F.col("kind")).alias("truth_index")))
+    temperature = fit_temperature(raw.where("truth_index is not null").select("probs", "truth_index"))
+    logs = F.transform("probs", lambda p: F.log(F.greatest(p, F.lit(1e-12))))
+    tempered = raw.withColumn("probs", softmax(logs, temperature)).withColumn("conf", F.array_max("probs"))
+    right = F.coalesce(F.array_position("probs", F.col("conf")) - 1 == F.col("truth_index"), F.lit(False))
+    return Calibrated(model, temperature, fit_tau(tempered.select("item", "conf", right.cast("int").alias("correct")), target))
+
+
+def heldout_severity(train: DataFrame, calibration: DataFrame, test: DataFrame, features: Sequence[str], severity: int = 1, **parameters) -> DataFrame:
+    """One row: how a model that never saw failures of one severity does on those and on clean frames."""
+    seen = (F.col("kind") == "none") | (F.col("sev") != severity)
+    model = fit_calibrated(train.where(seen), calibration.where(seen), features, **parameters)
+    return model.evaluate(test.where((F.col("kind") == "none") | (F.col("sev") == severity)))
+
+
+def heldout_type(train: DataFrame, calibration: DataFrame, test: DataFrame, features: Sequence[str], kind: str, **parameters) -> DataFrame:
+    """One row: the share of frames of a kind that the model never saw on which it abstains, and its measures on the rest."""
+    seen = F.col("kind") != kind
+    model = fit_calibrated(train.where(seen), calibration.where(seen), features, **parameters)
+    away = abstain_rate(model.predict(test.where(~seen)), model.tau).scalar()
+    return model.evaluate(test.where(seen)).select(F.lit(kind).alias("heldout"), away.alias("abstain_rate"), "*")
+
+
 def diagnostic_tree_cv(df: DataFrame, features: Sequence[str], label: str = "kind", folds: int = 5, depth: int = 4, key: str = "item", carry: Sequence[str] = ()) -> DataFrame:
     """(key, label, carried columns, pred): predictions of a shallow tree for each row by a model of the other folds; folds are dealt by
     hash within each label."""
@@ -209,6 +254,7 @@ def diagnostic_tree_cv(df: DataFrame, features: Sequence[str], label: str = "kin
     folded = df.withColumn("fold", rank % folds)
     index = StringIndexer(inputCol=label, outputCol="y", stringOrderType="alphabetAsc").fit(df)
     ready = VectorAssembler(inputCols=list(features), outputCol="x").transform(index.transform(folded))
+    ready = cut(ready.select(key, label, *carry, "fold", "x", "y"))  # each fold reads all rows twice
     names = F.array(*[F.lit(x) for x in index.labels])
     out = None
     for k in range(folds):

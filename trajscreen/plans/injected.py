@@ -228,45 +228,50 @@ def t4(spark, d):
     return rounded(answers.evaluate_triage(tempered, model), *EVALUATED)
 
 
+SHIFTED = ("accuracy", "macro_f1", "ece", "brier", "acc_at_coverage", "coverage", "temperature", "tau")
+
+
+def _parts(spark, d) -> list[DataFrame]:
+    """Triage rows to fit, to calibrate and to test on, by disjoint runs."""
+    features = cut(_triage(spark, d))
+    return [features.where(F.col("sim") % 3 == i) for i in range(3)]
+
+
 @query("t5_heldout_severity")
 def t5(spark, d):
-    features = _triage(spark, d)
-    model = answers.fit_triage(features.where("sim % 3 = 0 and (kind = 'none' or sev in (2, 3))"), ["a", "b"])
-    shifted = features.where("sim % 3 = 2 and (kind = 'none' or sev = 1)")
-    return rounded(answers.evaluate_triage(answers.predict_triage(model, shifted), model), *EVALUATED)
+    return rounded(answers.heldout_severity(*_parts(spark, d), ["a", "b"]), *SHIFTED)
 
 
 @query("t5_heldout_type")
 def t5b(spark, d):
-    features = _triage(spark, d)
-    known = features.where("kind <> 'frozen'")
-    model = answers.fit_triage(known.where("sim % 3 = 0"), ["a", "b"])
-    sure = answers.predict_triage(model, known.where("sim % 3 = 1")).select("item", "conf", (F.col("pred") == F.col("kind")).cast("int").alias("correct"))
-    tau = metrics.fit_tau(sure, 0.5)
-    unseen = answers.predict_triage(model, features.where("sim % 3 = 2 and kind = 'frozen'"))
-    return rounded(metrics.abstain_rate(unseen, tau).withColumn("tau", F.lit(tau)), "abstain_rate", "tau")
+    parts = _parts(spark, d)
+    both = [answers.heldout_type(*parts, ["a", "b"], kind) for kind in ("frozen", "penetration")]
+    return rounded(both[0].unionByName(both[1]), "abstain_rate", *SHIFTED)
 
 
-def _diagnosed(positions: DataFrame, r: DataFrame, c: DataFrame) -> DataFrame:
+def _diagnosed(positions: DataFrame, r: DataFrame, c: DataFrame, levels: DataFrame | None = None) -> DataFrame:
     pixels = mesh.project(positions, MATRIX).select("sim", "frame", "node", "px", "py")
-    levels = detect.frame_scores(detect.constvel_scores(positions), r).groupBy("sim").agg(F.percentile("score", F.lit(0.95)).alias("level"))
+    if levels is None:
+        levels = detect.frame_scores(detect.constvel_scores(positions), r).groupBy("sim").agg(F.percentile("score", F.lit(0.95)).alias("level"))
     return detect.diagnostics(positions, r, c, pixels, levels)
 
 
 @query("t6_diagnostic_tree")
 def t6(spark, d):
-    p, r, c, edges, copies = _base(spark, d)
-    own = copies.where("type in ('hourglass', 'frozen') and sev = 3")
-    patched = inject.patch(own, inject.moving_centres(own, p, r), edges, r, 2)
-    step = detect.step_scale(p, r)
-    deltas = inject.inject_hourglass(patched.where("type = 'hourglass'"), p, step).unionByName(inject.inject_frozen(patched.where("type = 'frozen'"), p))
-    rows = _diagnosed(p, r, c).where("frame % 10 = 5").withColumn("kind", F.lit("none"))
-    for kind in ("hourglass", "frozen"):
-        changed_rows = deltas.where(F.col("type") == kind).select("sim", "frame", "node", "x", "y", "z")
-        part = _diagnosed(mesh.apply_deltas(p, changed_rows), r, c).join(changed_rows.select("sim", "frame").distinct(), ["sim", "frame"], "left_semi")
-        rows = rows.unionByName(part.withColumn("kind", F.lit(kind)))
-    rows = rows.withColumn("item", F.concat_ws("-", "sim", "frame", "kind")).withColumn("location", F.concat_ws("-", "row", "col"))
-    return answers.diagnostic_tree_cv(rows, ["ratio", "n_high", "n_inverted", "gap", "speed_ratio"], carry=("location",))
+    """Every planned frame of the 15 copies of each run, event and clean ones, diagnosed from its own frame and the two before."""
+    p, r, c, edges, plan = _base(spark, d)
+    p, edges, plan = cut(p), cut(edges), cut(plan)
+    deltas = benchmark_deltas(p, r, c, edges, plan)
+    frames = cut(inject.choose_frames(deltas.select("sim", "type", "sev", "frame").distinct(), t_max=mesh.run_lengths(p)))
+    states = frames.select(F.struct(F.col("sim").alias("run"), "type", "sev").alias("sim"), "frame", "label")
+    needed = states.select("sim", F.explode(F.sequence(F.col("frame") - 2, F.col("frame"))).alias("frame")).distinct()
+    rows = needed.withColumn("run", F.col("sim.run")).join(p.select(F.col("sim").alias("run"), "frame", "node"), ["run", "frame"]).select("sim", "frame", "node")
+    local = cut(copies.overlaid(p, copies.keyed(deltas), rows))
+    levels = detect.frame_scores(detect.constvel_scores(p), r).groupBy("sim").agg(F.percentile("score", F.lit(0.95)).alias("level"))
+    of_copies = states.select("sim").distinct().join(levels.withColumnRenamed("sim", "run"), F.col("sim.run") == F.col("run")).select("sim", "level")
+    found = copies.unkeyed(_diagnosed(local, r, c, of_copies).join(states, ["sim", "frame"]))
+    found = found.withColumn("kind", F.when(F.col("label"), F.col("type")).otherwise("none")).withColumn("item", F.concat_ws("-", "sim", "type", "sev", "frame"))
+    return answers.diagnostic_tree_cv(found.withColumn("location", F.concat_ws("-", "row", "col")), ["ratio", "n_high", "n_inverted", "gap", "speed_ratio"], carry=("location",))
 
 
 PROMPT = ", gp AS (SELECT a.sim, a.frame, min(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z))) AS gap FROM positions a JOIN positions b ON a.sim = b.sim AND a.frame = b.frame WHERE a.node <= 4 AND b.node >= 5 GROUP BY a.sim, a.frame)"
