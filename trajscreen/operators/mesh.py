@@ -119,13 +119,60 @@ def contact_pairs(nodes: DataFrame, radius: float, k: int = 8, keys: Sequence[st
     return pairs.withColumn("r", rank).where(F.col("r") <= k).select(*keys, F.col("a_node").alias("plate"), F.col("b_node").alias("actuator"), "distance")
 
 
+BLOCKS = 4  # a side of the grid over a mesh state's faces, so 64 blocks at most whatever the mesh
+
+
+def blocked(items: DataFrame, keys: Sequence[str], low: Sequence[Column], high: Sequence[Column], point: Sequence[Column]) -> tuple[DataFrame, DataFrame]:
+    """items with their block, by the centre of their boxes (low, high) in a grid over those of their mesh state (keys); and (keys,
+    blocks): of each block its number, the box about its items' boxes and one point of one of them."""
+    state = Window.partitionBy(*keys)
+    boxes = items.select("*", *[x.alias(f"__low_{c}") for c, x in zip("xyz", low, strict=True)], *[x.alias(f"__high_{c}") for c, x in zip("xyz", high, strict=True)], F.struct(*[x.alias(c) for c, x in zip("xyz", point, strict=True)]).alias("__point"))
+    boxes = boxes.withColumns({f"__mid_{c}": (F.col(f"__low_{c}") + F.col(f"__high_{c}")) / 2 for c in "xyz"})
+    place = {}
+    for c in "xyz":
+        first, last = F.min(f"__mid_{c}").over(state), F.max(f"__mid_{c}").over(state)
+        share = F.when(last > first, (F.col(f"__mid_{c}") - first) / (last - first)).otherwise(0.0)
+        place[f"__at_{c}"] = F.least(F.floor(share * BLOCKS), F.lit(BLOCKS - 1)).cast("int")
+    placed = boxes.withColumns(place).withColumn("block", (F.col("__at_x") * BLOCKS + F.col("__at_y")) * BLOCKS + F.col("__at_z"))
+    edges = [f(f"__{n}_{c}").alias(f"{n}_{c}") for n, f in (("low", F.min), ("high", F.max)) for c in "xyz"]
+    found = placed.groupBy(*keys, "block").agg(*edges, F.min("__point").alias("point"))
+    whole = found.groupBy(*keys).agg(F.collect_list(F.struct("block", *[f"{n}_{c}" for n in ("low", "high") for c in "xyz"], "point")).alias("blocks"))
+    return placed.select(*items.columns, "block"), whole
+
+
+def _least(p: Sequence[Column], b: Column) -> Column:
+    """How near to a point anything within a block can be."""
+    off = [F.greatest(b[f"low_{c}"] - x, x - b[f"high_{c}"], F.lit(0.0)) for c, x in zip("xyz", p, strict=True)]
+    return norm3(*off)
+
+
+def _reached(p: Sequence[Column], b: Column) -> Column:
+    """How far from a point the block's own point is."""
+    return norm3(*[b["point"][c] - x for c, x in zip("xyz", p, strict=True)])
+
+
+def near_blocks(points: DataFrame, blocks: DataFrame, keys: Sequence[str], p: Sequence[Column]) -> DataFrame:
+    """points once for each block that can hold what is nearest to them: those no farther than the nearest of the blocks' own
+    points. A point meets the blocks of its state (64 at most), not their items."""
+    both = points.join(blocks, list(keys)).withColumn("__most", F.array_min(F.transform("blocks", lambda b: _reached(p, b))))
+    fit = F.filter("blocks", lambda b: _least(p, b) <= F.col("__most") * (1 + 1e-9))
+    return both.withColumn("block", F.explode(F.transform(fit, lambda b: b["block"]))).drop("blocks", "__most")
+
+
 def min_gap(positions: DataFrame, nodes: DataFrame, keys: Sequence[str] = ("sim", "frame"), on: Sequence[str] = ("node",)) -> DataFrame:
-    """(keys, gap): smallest plate-actuator node distance. The join is on keys, within one mesh state."""
+    """(keys, gap): smallest plate-actuator node distance of each mesh state. Actuator nodes lie in blocks; only those blocks are
+    opened, for only those plate nodes, that can be nearer than the state's nearest block point."""
     typed = positions.join(nodes.select(*on, "node_type"), list(on))
-    a = typed.where(F.col("node_type") == NORMAL).select(*keys, *[F.col(c).alias(f"a{c}") for c in "xyz"])
-    b = typed.where(F.col("node_type") == OBSTACLE).select(*keys, *[F.col(c).alias(f"b{c}") for c in "xyz"])
-    d = norm3(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by"), F.col("az") - F.col("bz"))
-    return a.join(b, list(keys)).groupBy(*keys).agg(F.min(d).alias("gap"))
+    at = [F.col(c) for c in "xyz"]
+    tools, blocks = blocked(typed.where(F.col("node_type") == OBSTACLE).select(*keys, *"xyz"), keys, at, at, at)
+    plates = typed.where(F.col("node_type") == NORMAL).select(*keys, *[F.col(c).alias(f"p{c}") for c in "xyz"])
+    p = [F.col(f"p{c}") for c in "xyz"]
+    held = plates.join(blocks, list(keys))
+    most = held.groupBy(*keys).agg(F.min(F.array_min(F.transform("blocks", lambda b: _reached(p, b)))).alias("__most"))
+    fit = F.filter("blocks", lambda b: _least(p, b) <= F.col("__most") * (1 + 1e-9))
+    open_ = held.join(most, list(keys)).withColumn("block", F.explode(F.transform(fit, lambda b: b["block"]))).drop("blocks", "__most")
+    d = norm3(*[F.col(f"p{c}") - F.col(c) for c in "xyz"])
+    return open_.join(tools, [*keys, "block"]).groupBy(*keys).agg(F.min(d).alias("gap"))
 
 
 def contact_frames(gaps: DataFrame, touching: float = 2e-3) -> DataFrame:
@@ -187,17 +234,20 @@ def closest_on_triangles(pairs: DataFrame, p: str, a: str, b: str, c: str) -> Da
 
 def signed_distance(positions: DataFrame, nodes: DataFrame, cells: DataFrame, on: Sequence[str] = ("node",), points: DataFrame | None = None) -> DataFrame:
     """(sim, frame, node, distance) of plate nodes to the actuator's surface, negative inside one of its tets. Surface and
-    tets are found once; each frame joins its own plate nodes with its own triangles. points: (sim, frame, node) of those to
-    measure only."""
+    tets are found once. The triangles of a frame lie in blocks of a grid; a node is held against those of the blocks that can be
+    nearer than the nearest block's own point, and against the tets of the blocks that it lies in. points: (sim, frame, node)
+    of those to measure only."""
     typed = positions.join(nodes.select(*on, "node_type"), list(on))
     if points is not None:
         typed = typed.join(points, ["sim", "frame", "node"], "left_semi")
     points = typed.where(F.col("node_type") == NORMAL).select("sim", "frame", "node", *[F.col(c).alias(f"p{c}") for c in "xyz"])
-    hull = surface_triangles(cells, nodes)
+    hull, state = surface_triangles(cells, nodes), ["sim", "frame"]
     corner = lambda name: positions.select("sim", "frame", F.col("node").alias(name), *[F.col(c).alias(f"{name}{c}") for c in "xyz"])
-    faces = hull.join(corner("a"), "a").join(corner("b"), ["sim", "frame", "b"]).join(corner("c"), ["sim", "frame", "c"])
     at = lambda n: [F.col(f"{n}{c}") for c in "xyz"]
-    pairs = points.join(faces, ["sim", "frame"])
+    box = lambda f, names: [f(*[F.col(f"{n}{c}") for n in names]) for c in "xyz"]
+    faces = hull.join(corner("a"), "a").join(corner("b"), [*state, "b"]).join(corner("c"), [*state, "c"])
+    faces, blocks = blocked(faces, state, box(F.least, "abc"), box(F.greatest, "abc"), at("a"))
+    pairs = near_blocks(points, blocks, state, at("p")).join(faces, [*state, "block"])
     distance = closest_on_triangles(pairs, "p", "a", "b", "c").select("sim", "frame", "node", "near.d").groupBy("sim", "frame", "node").agg(F.min("d").alias("d"))
     own = cells.select("cell", F.explode(F.array(*VERTICES)).alias("node"), *VERTICES).join(nodes.select("node", "node_type"), "node").groupBy("cell", *VERTICES).agg(F.min((F.col("node_type") == OBSTACLE).cast("int")).alias("all")).where("all = 1").drop("all")
     tets = own
@@ -212,7 +262,10 @@ def signed_distance(positions: DataFrame, nodes: DataFrame, cells: DataFrame, on
     whole = F.signum(volume(*q))
     parts = [F.signum(volume(*[p if j == i else x for j, x in enumerate(q)])) for i in range(4)]
     within = (whole != 0) & (parts[0] == whole) & (parts[1] == whole) & (parts[2] == whole) & (parts[3] == whole)
-    inside = points.join(tets, ["sim", "frame"]).where(within).select("sim", "frame", "node").distinct().withColumn("in", F.lit(True))
+    tets, blocks = blocked(tets, state, box(F.least, VERTICES), box(F.greatest, VERTICES), at("v0"))
+    holding = F.filter("blocks", lambda b: _least(p, b) == 0)
+    open_ = points.join(blocks, state).withColumn("block", F.explode(F.transform(holding, lambda b: b["block"]))).drop("blocks")
+    inside = open_.join(tets, [*state, "block"]).where(within).select("sim", "frame", "node").distinct().withColumn("in", F.lit(True))
     return distance.join(inside, ["sim", "frame", "node"], "left").select("sim", "frame", "node", F.when(F.col("in"), -F.col("d")).otherwise(F.col("d")).alias("distance"))
 
 

@@ -153,20 +153,57 @@ def j3(spark, d):
     return rounded(mesh.contact_pairs(nodes, 30.5, 2, ("sim",)), "distance")
 
 
-@query("j8_signed_distance")
+SUNK = ", sk AS (SELECT sim, frame, node, x, y, CASE WHEN node = 0 AND frame % 10 = 0 THEN z - 3e0 ELSE z END AS z FROM positions)"
+
+
+def sunk(p: DataFrame) -> DataFrame:
+    """Positions with node 0 pushed into the actuator on every tenth frame."""
+    return p.withColumn("z", F.when((F.col("node") == 0) & (F.col("frame") % 10 == 0), F.col("z") - 3.0).otherwise(F.col("z")))
+
+
+def _of(*names: str) -> list[str]:
+    return [f"{n}{c}" for n in names for c in "xyz"]
+
+
+def _dot(u: list[str], v: list[str]) -> str:
+    return "(" + " + ".join(f"({x})*({y})" for x, y in zip(u, v, strict=True)) + ")"
+
+
+def _less(u: str, v: str) -> list[str]:
+    return [f"({u}{c}-{v}{c})" for c in "xyz"]
+
+
+def _crossed(u: list[str], v: list[str]) -> list[str]:
+    return [f"({u[1]}*{v[2]}-{u[2]}*{v[1]})", f"({u[2]}*{v[0]}-{u[0]}*{v[2]})", f"({u[0]}*{v[1]}-{u[1]}*{v[0]})"]
+
+
+FACE = ("qa", "qb", "qc")
+SIDES = (("qa", "qb"), ("qb", "qc"), ("qc", "qa"))
+#: Signed distances of plate nodes to the actuator's one tet in SQL: the closest of its four faces, inside where the depth is above 0.
+SIGNED = DEPTH + """, fc AS (SELECT * FROM (VALUES (5,6,7),(5,6,8),(5,7,8),(6,7,8)) AS f(fa,fb,fd)),
+t0 AS (SELECT p.sim, p.frame, p.node, p.x AS px, p.y AS py, p.z AS pz, """ + ", ".join(f"{n}.{c} AS {n}{c}" for n in FACE for c in "xyz") + " FROM positions p CROSS JOIN fc " + " ".join(f"JOIN positions {n} ON {n}.node = {f} AND {n}.sim = p.sim AND {n}.frame = p.frame" for n, f in zip(FACE, ("fa", "fb", "fd"), strict=True)) + """ WHERE p.node <= 4),
+t1 AS (SELECT *, """ + ", ".join(f"{x} AS n{c}" for x, c in zip(_crossed(_less("qb", "qa"), _less("qc", "qa")), "xyz", strict=True)) + " FROM t0), t2 AS (SELECT *, " + f"{_dot(_less('p', 'qa'), _of('n'))} / {_dot(_of('n'), _of('n'))} AS height, " + ", ".join(f"least(greatest({_dot(_less('p', u), _less(v, u))} / {_dot(_less(v, u), _less(v, u))}, 0e0), 1e0) AS s{i}" for i, (u, v) in enumerate(SIDES)) + " FROM t1), t3 AS (SELECT *, " + ", ".join(f"p{c} - height*n{c} AS f{c}" for c in "xyz") + ", " + ", ".join("sqrt(" + " + ".join(f"power(p{c} - ({u}{c} + s{i}*({v}{c}-{u}{c})), 2)" for c in "xyz") + f") AS d{i}" for i, (u, v) in enumerate(SIDES)) + " FROM t2), t4 AS (SELECT sim, frame, node, CASE WHEN " + " AND ".join(f"{_dot(_crossed(_less(v, u), _less('f', u)), _of('n'))} >= 0" for u, v in SIDES) + f" THEN least(d0, d1, d2, sqrt({_dot(_less('p', 'f'), _less('p', 'f'))})) ELSE least(d0, d1, d2) END AS d FROM t3)" + """,
+sd AS (SELECT t4.sim, t4.frame, t4.node, CASE WHEN max(depth) > 0 THEN -min(d) ELSE min(d) END AS distance FROM t4 JOIN dp ON t4.sim = dp.sim AND t4.frame = dp.frame AND t4.node = dp.node GROUP BY t4.sim, t4.frame, t4.node)"""
+
+
+@query("j8_signed_distance", oracle(SUNK + SIGNED.replace("positions", "sk") + " SELECT sim, frame, node, round(distance, 6) AS distance FROM sd", "positions"))
 def j8(spark, d):
     p, r, c = (view(spark, d, n) for n in ("positions", "rest", "cells"))
-    return rounded(mesh.signed_distance(p, r, c), "distance")
+    return rounded(mesh.signed_distance(sunk(p), r, c), "distance")
 
 
-SUNK = ", sk AS (SELECT sim, frame, node, x, y, CASE WHEN node = 0 AND frame % 10 = 0 THEN z - 3e0 ELSE z END AS z FROM positions)"
+@query("r2_contact_run_stats", oracle(SUNK + (SIGNED + STEPS).replace("positions", "sk") + """, st AS (SELECT sim, sqrt(avg(speed*speed)) AS step FROM speed WHERE node >= 5 GROUP BY sim), g AS (SELECT sim, frame, min(distance) AS gap FROM sd GROUP BY sim, frame)
+SELECT g.sim, round(quantile_cont(gap, 0.5) / step, 5) AS contact_gap, round(max(greatest(0e0, -gap)) / step, 5) AS contact_depth FROM g JOIN st ON g.sim = st.sim GROUP BY g.sim, step""", "positions"))
+def r2(spark, d):
+    p, r, c = (view(spark, d, n) for n in ("positions", "rest", "cells"))
+    gaps = mesh.signed_distance(sunk(p), r, c).groupBy("sim", "frame").agg(F.min("distance").alias("gap"))
+    return rounded(alarms.contact_run_stats(gaps, detect.step_scale(p, r, mesh.OBSTACLE)), "contact_gap", "contact_depth", digits=5)
 
 
 @query("d7_contact_scores", oracle(SUNK + DEPTH.replace("positions", "sk") + " SELECT s.sim, s.frame, s.node, round(coalesce(depth, 0), 6) AS score FROM sk s LEFT JOIN dp ON s.sim = dp.sim AND s.frame = dp.frame AND s.node = dp.node", "positions"))
 def d7(spark, d):
     p, r, c = (view(spark, d, n) for n in ("positions", "rest", "cells"))
-    sunk = p.withColumn("z", F.when((F.col("node") == 0) & (F.col("frame") % 10 == 0), F.col("z") - 3.0).otherwise(F.col("z")))
-    return rounded(detect.contact_scores(sunk, r, c), "score")
+    return rounded(detect.contact_scores(sunk(p), r, c), "score")
 
 
 def _scored_runs(spark, d) -> DataFrame:

@@ -407,12 +407,6 @@ def r1(spark, d):
     return rounded(_run_values(spark, d), "value")
 
 
-@query("r2_contact_run_stats", oracle(GAP + STEPS + ", st AS (SELECT sim, sqrt(avg(speed*speed)) AS step FROM speed WHERE node >= 5 GROUP BY sim) SELECT g.sim, round(quantile_cont(gap, 0.5) / step, 5) AS contact_gap, round(max(greatest(0e0, -gap)) / step, 5) AS contact_depth FROM gaps g JOIN st ON g.sim = st.sim GROUP BY g.sim, step", "positions"))
-def r2(spark, d):
-    p, r = _views(spark, d, "positions", "rest")
-    return rounded(alarms.contact_run_stats(mesh.min_gap(p, r), detect.step_scale(p, r, mesh.OBSTACLE)), "contact_gap", "contact_depth", digits=5)
-
-
 @query("r3_shape_run_stats", oracle(DISP + " SELECT sim, round(ln(greatest(sum(ux*(ux*9e-1+1e-2)+uy*uy*9e-1+uz*uz*9e-1) / sum((ux*9e-1+1e-2)*(ux*9e-1+1e-2)+uy*9e-1*uy*9e-1+uz*9e-1*uz*9e-1), 1e-6)), 5) AS shape_scale, round(sqrt(sum((ux-(ux*9e-1+1e-2))*(ux-(ux*9e-1+1e-2))+(uy-uy*9e-1)*(uy-uy*9e-1)+(uz-uz*9e-1)*(uz-uz*9e-1)) / sum((ux*9e-1+1e-2)*(ux*9e-1+1e-2)+uy*9e-1*uy*9e-1+uz*9e-1*uz*9e-1)), 5) AS shape_resid FROM disp WHERE node <= 4 GROUP BY sim", "positions"))
 def r3(spark, d):
     p, r = _views(spark, d, "positions", "rest")
