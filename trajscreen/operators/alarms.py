@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from trajscreen.functions.columns import median
 from trajscreen.functions.lineage import cut
 from trajscreen.operators.resample import bootstrap_weights, grouped_median_ci, holm, one_sided_p, weighted_auroc
-from trajscreen.operators.metrics import auroc, quantile
+from trajscreen.operators.metrics import auroc, quantile, rmse_vs_baseline
 
 MAD = 1.4826
 
@@ -119,6 +119,13 @@ def spread_table(clean: DataFrame, corrupted: DataFrame) -> DataFrame:
     return mad.join(shift, "detector").select("detector", "clean_cv", (F.col("s") / (MAD * F.col("mad") + 1e-12)).alias("median_shift"))
 
 
+def admitted(errors: DataFrame, statistics: Mapping[str, Sequence[str]]) -> list[str]:
+    """The statistics of the surrogates that enter the gate: those whose root mean square error is at most half of that of predicting
+    0. errors: (surrogate, prediction, target, mask), one row a predicted number; statistics: those that rest on each surrogate."""
+    found = rmse_vs_baseline(errors, "prediction", "target", "mask", ["surrogate"]).where("admitted").select("surrogate").collect()  # one row a surrogate
+    return [s for name in sorted(r["surrogate"] for r in found) for s in statistics.get(name, ())]
+
+
 def gate_runs(runs: DataFrame, surrogates: Sequence[str], rules: Sequence[str], reps: int = 2000, alpha: float = 0.05) -> DataFrame:
     """(kind, parameter, stat, rule, delta, lo, p, rejected, better, passed): each admitted surrogate statistic against the best
     rule statistic of its cell, by AUROC of z. runs: (sim, kind, parameter, detector, z), kind 'clean' for the clean run of a

@@ -126,9 +126,12 @@ def confusion(df: DataFrame, labels: Sequence[str]) -> DataFrame:
 
 
 def score_answers(df: DataFrame, labels: Sequence[str]) -> DataFrame:
-    """By arm: accuracy, macro-F1 over the labels (0 where undefined), share of valid answers, location accuracy."""
+    """By arm: accuracy, macro-F1 over the labels (0 where undefined), share of valid answers, location accuracy; where df has a
+    column flagged also flagged_accuracy, that of the rows it marks (null without any), and n_flagged."""
     right = (F.col("pred") == F.col("truth")) & F.col("pred").isNotNull()
-    base = df.groupBy("arm").agg(F.avg(F.coalesce(right, F.lit(False)).cast("double")).alias("accuracy"), F.avg(F.col("pred").isNotNull().cast("double")).alias("valid_rate"), F.avg(F.coalesce(F.col("location") == F.col("truth_location"), F.lit(False)).cast("double")).alias("location_accuracy"))
+    hit = F.coalesce(right, F.lit(False)).cast("double")
+    marked = [F.avg(F.when(F.col("flagged"), hit)).alias("flagged_accuracy"), F.count_if("flagged").alias("n_flagged")] if "flagged" in df.columns else []
+    base = df.groupBy("arm").agg(F.avg(F.coalesce(right, F.lit(False)).cast("double")).alias("accuracy"), F.avg(F.col("pred").isNotNull().cast("double")).alias("valid_rate"), F.avg(F.coalesce(F.col("location") == F.col("truth_location"), F.lit(False)).cast("double")).alias("location_accuracy"), *marked)
     spread = df.select("arm", "truth", F.coalesce("pred", F.lit("invalid")).alias("pred"), F.explode(F.array(*[F.lit(x) for x in labels])).alias("label"))
     count = lambda c: F.sum(c.cast("int"))
     is_truth, is_pred = F.col("truth") == F.col("label"), F.col("pred") == F.col("label")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,11 +14,19 @@ from trajscreen.operators import alarms, detect, inject, mesh
 GRID: Mapping[str, Sequence[float]] = {"scale": (0.05, 0.1, 0.2), "lag": (2, 5, 10), "timescale": (0.95, 0.9, 0.8)}
 
 
-def run_statistics(positions: DataFrame, nodes: DataFrame, cells: DataFrame, edges: DataFrame, frames: Sequence[int]) -> DataFrame:
+#: A surrogate model: positions (sim, frame, node, x, y, z), whatever the type of sim, to its predictions for their rows.
+Surrogate = Callable[[DataFrame], DataFrame]
+
+
+def run_statistics(positions: DataFrame, nodes: DataFrame, cells: DataFrame, edges: DataFrame, frames: Sequence[int], residual: Surrogate | None = None, shape: Surrogate | None = None) -> DataFrame:
     """(sim, detector, value) of whole runs: the median frame score of constvel, laplacian, vlap (by the plate's step) and
-    velocity on the given frames (start, stop, step), and contact_gap and contact_depth by the actuator's step."""
+    velocity on the given frames (start, stop, step), and contact_gap and contact_depth by the actuator's step. With surrogates
+    also the residual of a one-step prediction (sim, frame, node, ax, ay, az), by the plate's step, and shape_scale and
+    shape_resid against predicted displacements (sim, frame, node, ux, uy, uz) of plate nodes."""
     own = lambda df: detect.stride(df, *frames)
     kinds = {"constvel": detect.constvel_scores(positions), "laplacian": detect.laplacian_scores(positions, nodes, edges), "vlap": detect.velocity_laplacian_scores(positions, edges), "velocity": detect.velocity_scores(positions)}
+    if residual is not None:
+        kinds["residual"] = detect.residual_scores(positions, residual(positions))
     scores = None
     for name, df in kinds.items():
         part = own(df).select("sim", "frame", "node", "score", F.lit(name).alias("detector"))
@@ -28,10 +36,16 @@ def run_statistics(positions: DataFrame, nodes: DataFrame, cells: DataFrame, edg
     gaps = mesh.signed_distance(own(positions), nodes, cells).groupBy("sim", "frame").agg(F.min("distance").alias("gap"))
     contact = alarms.contact_run_stats(gaps, detect.step_scale(positions, nodes, mesh.OBSTACLE, floor=1e-12))
     named = F.explode(F.create_map(F.lit("contact_gap"), "contact_gap", F.lit("contact_depth"), "contact_depth")).alias("detector", "value")
-    return stats.unionByName(contact.select("sim", named))
+    stats = stats.unionByName(contact.select("sim", named))
+    if shape is not None:
+        observed = mesh.displacement(own(positions), nodes).where(F.col("node_type") == mesh.NORMAL).select("sim", "frame", "node", "ux", "uy", "uz")
+        both = alarms.shape_run_stats(observed, shape(own(positions)), ("sim", "frame", "node"))
+        of_shape = F.explode(F.create_map(F.lit("shape_scale"), "shape_scale", F.lit("shape_resid"), "shape_resid")).alias("detector", "value")
+        stats = stats.unionByName(both.select("sim", of_shape))
+    return stats
 
 
-def score_runs(positions: DataFrame, nodes: DataFrame, cells: DataFrame, edges: DataFrame, frames: Sequence[int], grid: Mapping[str, Sequence[float]] = GRID) -> DataFrame:
+def score_runs(positions: DataFrame, nodes: DataFrame, cells: DataFrame, edges: DataFrame, frames: Sequence[int], grid: Mapping[str, Sequence[float]] = GRID, residual: Surrogate | None = None, shape: Surrogate | None = None) -> DataFrame:
     """(sim, kind, parameter, detector, value): the statistics of each run as it is (kind clean, parameter 0) and under each error
     of the grid. The copies are keyed side by side, so all are scored in one pass. They are dealt by run
     and checkpointed, as every statistic reads them; so are the statistics, so that what follows is planned without the copies."""
@@ -43,5 +57,5 @@ def score_runs(positions: DataFrame, nodes: DataFrame, cells: DataFrame, edges:
         every = part if every is None else every.unionByName(part)
     every = cut(every.repartition("sim"))
     names = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(v).alias("parameter")) for k, v, _ in copies])
-    stats = run_statistics(every, nodes, cells, edges, frames).withColumn("c", F.get(names, F.col("sim.copy")))
+    stats = run_statistics(every, nodes, cells, edges, frames, residual, shape).withColumn("c", F.get(names, F.col("sim.copy")))
     return cut(stats.select(F.col("sim.run").alias("sim"), "c.kind", "c.parameter", "detector", "value"))

@@ -103,9 +103,10 @@ def a9(spark, d):
     return metrics.confusion(_answers(spark, d), LABELS)
 
 
-@query("a10_score_answers", oracle(ANS + ", base AS (SELECT arm, avg(CASE WHEN pred = truth THEN 1e0 ELSE 0e0 END) AS accuracy, avg(CASE WHEN pred IS NULL THEN 0e0 ELSE 1e0 END) AS valid_rate, avg(CASE WHEN location = truth_location THEN 1e0 ELSE 0e0 END) AS location_accuracy FROM an GROUP BY arm), pl AS (SELECT arm, l, count(CASE WHEN truth = l AND pred = l THEN 1 END) AS tp, count(CASE WHEN truth = l THEN 1 END) AS t, count(CASE WHEN pred = l THEN 1 END) AS p FROM an, (SELECT unnest(['type0','type1','type2','type3','type4','type5']) AS l) x GROUP BY arm, l) SELECT base.arm, round(accuracy, 6) AS accuracy, round(valid_rate, 6) AS valid_rate, round(location_accuracy, 6) AS location_accuracy, round(avg(CASE WHEN t + p > 0 THEN 2e0*tp/(t+p) ELSE 0e0 END), 6) AS macro_f1 FROM base JOIN pl ON base.arm = pl.arm GROUP BY ALL", "answers"))
+@query("a10_score_answers", oracle(ANS + ", base AS (SELECT arm, avg(CASE WHEN pred = truth THEN 1e0 ELSE 0e0 END) AS accuracy, avg(CASE WHEN pred IS NULL THEN 0e0 ELSE 1e0 END) AS valid_rate, avg(CASE WHEN location = truth_location THEN 1e0 ELSE 0e0 END) AS location_accuracy, avg(CASE WHEN (conv_id + 2*turn) % 3 = 0 THEN CASE WHEN pred = truth THEN 1e0 ELSE 0e0 END END) AS flagged_accuracy, count(CASE WHEN (conv_id + 2*turn) % 3 = 0 THEN 1 END) AS n_flagged FROM an GROUP BY arm), pl AS (SELECT arm, l, count(CASE WHEN truth = l AND pred = l THEN 1 END) AS tp, count(CASE WHEN truth = l THEN 1 END) AS t, count(CASE WHEN pred = l THEN 1 END) AS p FROM an, (SELECT unnest(['type0','type1','type2','type3','type4','type5']) AS l) x GROUP BY arm, l) SELECT base.arm, round(accuracy, 6) AS accuracy, round(valid_rate, 6) AS valid_rate, round(location_accuracy, 6) AS location_accuracy, round(flagged_accuracy, 6) AS flagged_accuracy, n_flagged, round(avg(CASE WHEN t + p > 0 THEN 2e0*tp/(t+p) ELSE 0e0 END), 6) AS macro_f1 FROM base JOIN pl ON base.arm = pl.arm GROUP BY ALL", "answers"))
 def a10(spark, d):
-    return rounded(metrics.score_answers(_answers(spark, d), LABELS), "accuracy", "valid_rate", "location_accuracy", "macro_f1")
+    flagged = _answers(spark, d).withColumn("flagged", F.expr("(conv_id + 2*turn) % 3 = 0"))
+    return rounded(metrics.score_answers(flagged, LABELS), "accuracy", "valid_rate", "location_accuracy", "flagged_accuracy", "macro_f1")
 
 
 @query("a11_majority_baseline", oracle(ANS + " SELECT arm, value, round(share, 6) AS share FROM (SELECT arm, truth AS value, count(*)*1e0/sum(count(*)) OVER (PARTITION BY arm) AS share, row_number() OVER (PARTITION BY arm ORDER BY count(*) DESC, truth) AS r FROM an GROUP BY arm, truth) q WHERE r = 1", "answers"))
@@ -197,6 +198,22 @@ def b3(spark, d):
     return rounded(resample.gate_mean_diff(resample.paired_bootstrap(view(spark, d, "tall"), "a", "b", ["type"], GATE_REPS)), "mean", "lo", "hi")
 
 
+#: Three kinds by three severities; each cell's baseline is chosen on the even runs, the gate is held on the odd ones.
+FAMILY = ", t3 AS (SELECT sim, type, sev, label, detector, score FROM tall UNION ALL SELECT sim, type, sev, label, 'c', k*25e-2 + (k*7) % 13 FROM records), vs AS (SELECT * FROM t3 WHERE sim % 2 = 0), tt AS (SELECT * FROM t3 WHERE sim % 2 = 1 AND type IN ('hourglass', 'inversion', 'frozen'))"
+FAMILY += f", bl AS (SELECT type, sev, detector FROM (SELECT type, sev, detector, row_number() OVER (PARTITION BY type, sev ORDER BY round(auroc, 4) DESC, detector) AS r FROM ({ranked('vs', 'type, sev, detector')}) a WHERE detector IN ('b', 'c') AND auroc IS NOT NULL) q WHERE r = 1), us AS (SELECT t.sim, t.label, t.score, t.type || t.sev AS type, CASE WHEN t.detector = 'a' THEN 'a' ELSE 'b' END AS detector FROM tt t JOIN bl ON t.type = bl.type AND t.sev = bl.sev WHERE t.detector = 'a' OR t.detector = bl.detector)"
+FAMILY += DELTAS.replace("FROM tall JOIN wt ON tall.sim = wt.sim", "FROM us JOIN wt ON us.sim = wt.sim").replace("FROM tall", "FROM tt")
+
+
+@query("b3_family_gate", oracle(FAMILY + " SELECT round(avg(m), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi, quantile_cont(m, 0.025) > 0 AS passed FROM (SELECT rep, avg(delta) AS m FROM de GROUP BY rep) q", "tall"))
+def b3_family(spark, d):
+    third = view(spark, d, "records").select("sim", "frame", "type", "sev", "label", "phase", F.lit("c").alias("detector"), F.expr("k*25e-2 + (k*7) % 13").alias("score"))
+    every = view(spark, d, "tall").unionByName(third)
+    cells = metrics.auroc(every.where("sim % 2 = 0"), ["type", "sev", "detector"]).withColumn("cell_phase", F.lit("all"))
+    best = metrics.best_baselines(cells, ["b", "c"])
+    test = every.where("sim % 2 = 1 and type in ('hourglass', 'inversion', 'frozen')")
+    return rounded(resample.gate_mean_diff(resample.family_deltas(test, "a", best, ["type", "sev"], GATE_REPS)), "mean", "lo", "hi")
+
+
 PVALUES = DELTAS + ", pv AS (SELECT type, (count(CASE WHEN delta - 33e-2 <= 0 THEN 1 END) + 1e0) / (count(*) + 1) AS p FROM de GROUP BY type)"
 
 
