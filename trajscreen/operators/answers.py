@@ -7,15 +7,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import DecisionTreeClassifier, GBTClassificationModel, GBTClassifier
+from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trajscreen.functions.columns import dot, draw, log1p_abs, softmax, unit_vector
 from trajscreen.functions.lineage import cut
+from trajscreen.operators.boosting import Boosted, fit, with_logits
 from trajscreen.operators.metrics import abstain_rate, brier_multiclass, ece, fit_tau, macro_f1, selective
 
 ANSWER = "anomaly_type string, location string, confidence double, explanation string"
@@ -137,36 +137,20 @@ def assert_no_leakage(columns: Sequence[str]) -> None:
         raise ValueError(f"leaking features: {bad}")
 
 
-@dataclass
-class Triage:
-    """Boosted trees for each label against the rest."""
-
-    labels: list[str]
-    features: list[str]
-    models: list[GBTClassificationModel]
+Triage = Boosted
 
 
-def fit_triage(train: DataFrame, features: Sequence[str], rounds: int = 5, depth: int = 3, seed: int = 0, rate: float = 0.3) -> Triage:
-    """Boosted trees over the features that predict kind, one model a label; labels in alphabetical order."""
+def fit_triage(train: DataFrame, features: Sequence[str], rounds: int = 300, depth: int = 4, **parameters) -> Triage:
+    """Boosted trees over the features that predict kind, all kinds at once; labels in alphabetical order."""
     assert_no_leakage(features)
-    labels = sorted(r[0] for r in train.select("kind").distinct().collect())  # kinds of failure
-    ready = VectorAssembler(inputCols=list(features), outputCol="x").transform(train).select("kind", "x").cache()
-    models = [GBTClassifier(featuresCol="x", labelCol="y", maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed).fit(ready.select("x", (F.col("kind") == label).cast("double").alias("y"))) for label in labels]
-    ready.unpersist()
-    return Triage(labels, list(features), models)
+    return fit(train, features, "kind", rounds, depth, **parameters)
 
 
 def predict_triage(model: Triage, df: DataFrame, temperature: float = 1.0) -> DataFrame:
-    """df with probs (array by label: the models' probabilities scaled to 1, then tempered), pred (the first of equals) and
-    conf."""
-    out = VectorAssembler(inputCols=model.features, outputCol="__x").transform(df)
-    for i, m in enumerate(model.models):
-        own = m.copy().setFeaturesCol("__x").setProbabilityCol(f"__p{i}").setRawPredictionCol(f"__r{i}").setPredictionCol(f"__y{i}")
-        out = own.transform(out).withColumn(f"__p{i}", F.log(F.greatest(vector_to_array(F.col(f"__p{i}"))[1], F.lit(1e-12)))).drop(f"__r{i}", f"__y{i}")
-    logs = F.array(*[f"__p{i}" for i in range(len(model.models))])  # bound once, or a tree would be run for each use
-    out = out.withColumn("probs", F.get(F.transform(F.array(logs), lambda v: softmax(v, temperature)), F.lit(0)))
+    """df with probs (array by label, tempered), pred (the first of equals) and conf."""
+    out = with_logits(model, df, "__logits").withColumn("probs", softmax(F.col("__logits"), temperature)).drop("__logits")
     names = F.array(*[F.lit(x) for x in model.labels])
-    return out.withColumn("conf", F.array_max("probs")).withColumn("pred", F.element_at(names, F.array_position("probs", F.array_max("probs")).cast("int"))).drop("__x", *[f"__p{i}" for i in range(len(model.models))])
+    return out.withColumn("conf", F.array_max("probs")).withColumn("pred", F.element_at(names, F.array_position("probs", F.array_max("probs")).cast("int")))
 
 
 def truth_index(model: Triage, kind: Column) -> Column:
