@@ -48,9 +48,11 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(both / (F.size(a) + F.size(b) - both))
 
 
-def containment(a: Column, b: Column) -> Column:
-    """Estimated share of a's shingles that b has; 1 if a is empty."""
-    return F.when(F.size(a) == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
+def containment(a: Column, b: Column, scale: int = SCALE) -> Column:
+    """Estimated share of a's shingles that b has; 1 if a is empty. Null, for no estimate, if none of a's hashes lies below the
+    fraction: the one it keeps in their stead tells nothing, as a longer b wouldn't have kept it."""
+    told = F.array_min(a) < F.lit((1 << BITS) // scale)
+    return F.when(F.size(a) == 0, 1.0).when(told, F.size(F.array_intersect(a, b)) / F.size(a))
 
 
 def merged(a: Column, b: Column, scale: int = SCALE) -> Column:
