@@ -6,9 +6,17 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from trajscreen.functions.lineage import cut
+from trajscreen.functions.workers import carried
+
+carried(__name__)
+
+TASKS = 100_000  # tasks of an ingest; more ranges share them
 METRICS = "type string, sev int, phase string, detector string, auroc double, lo double, hi double, tpr double"
 
 
@@ -104,35 +112,85 @@ def _example(buffer: memoryview, at: int, end: int) -> dict[str, bytes]:
     return found
 
 
-def framed_features(content: bytes) -> Iterator[dict[str, bytes]]:
-    """The bytes features of each framed record: 8 bytes of length, 4 of checksum, the message, 4 of checksum."""
-    buffer, at = memoryview(content), 0
-    while at + 12 <= len(buffer):
-        begin = at + 12
-        at = begin + int.from_bytes(buffer[at : at + 8], "little") + 4
-        yield _example(buffer, begin, at - 4)
+#: Bytes of a record around its message: 8 of length and 4 of checksum before it, 4 of checksum after it.
+BEFORE, AFTER = 12, 4
+PIECE = 64 << 20  # bytes of whole records that are one row of the scan
+RUN = "sim bigint, frame int, node int, x double, y double, z double, node_type int, rx double, ry double, rz double"
+
+
+def _opened(path: str) -> pa.NativeFile:
+    """A file by its Hadoop path, for reads at any place."""
+    scheme, _, rest = path.partition(":")
+    if scheme == "file" or not rest:
+        return fs.LocalFileSystem().open_input_file("/" + (rest or path).lstrip("/"))
+    system, inner = fs.FileSystem.from_uri(path.replace("s3a:", "s3:", 1))
+    return system.open_input_file(inner)
+
 
+def framed_features(source: pa.NativeFile, at: int, records: int) -> Iterator[dict[str, bytes]]:
+    """The bytes features of so many framed records from a place on; one record is held at a time."""
+    source.seek(at)
+    for _ in range(records):
+        size = int.from_bytes(source.read(BEFORE)[:8], "little")
+        message = memoryview(source.read(size + AFTER))
+        yield _example(message, 0, size)
 
-def ingest_tensors(spark: SparkSession, path: str, meta: Mapping[str, Mapping], limit: int | None = None) -> DataFrame:
+
+def record_ranges(spark: SparkSession, path: str, piece: int = PIECE) -> DataFrame:
+    """(path, start, records, first): ranges of whole records of about `piece` bytes, or of one longer record, in framed record
+    files; first numbers records over all files in the order of their names. Files are read by their headers only, one
+    task a file, so a file may have any size. Empty files have no ranges; a file that ends within a record is an error."""
+
+    def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column("path").to_pylist():
+                found, start, at, n = [], 0, 0, 0
+                with _opened(name) as source:
+                    end = source.size()
+                    while at < end:
+                        source.seek(at)
+                        at += BEFORE + int.from_bytes(source.read(8), "little") + AFTER
+                        n += 1
+                        if at > end:
+                            raise ValueError(f"{name} ends within a record")
+                        if at - start >= piece or at == end:
+                            found.append((start, n))
+                            start, n = at, 0
+                starts, counts = zip(*found, strict=True) if found else ((), ())
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array(starts, pa.int64()), pa.array(counts, pa.int64())], ["path", "start", "records"])
+
+    files = spark.read.format("binaryFile").load(path).select("path")
+    ranges = cut(files.mapInArrow(indexed, "path string, start bigint, records bigint"))
+    until = lambda w: F.coalesce(F.sum("records").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = ranges.groupBy("path").agg(F.sum("records").alias("records")).select("path", until(Window.orderBy("path")).alias("before"))
+    own = ranges.withColumn("own", until(Window.partitionBy("path").orderBy("start")))
+    return own.join(before, "path").select("path", "start", "records", (F.col("before") + F.col("own")).alias("first"))
+
+
+def ingest_tensors(spark: SparkSession, path: str, meta: Mapping[str, Mapping], limit: int | None = None, piece: int = PIECE) -> DataFrame:
     """(sim, frame, node, x, y, z, node_type, rx, ry, rz) of the runs in framed record files. meta: by feature its dtype,
-    shape and whether it is static (its first row holds). stress is never read. sim numbers runs within each file name
-    order; a file is one task's work and one row of the scan, so it may have 2 GB at most: land long series as many files."""
-    names = sorted(r[0] for r in spark.read.format("binaryFile").load(path).select("path").collect())  # file names only
-    first = {n: i << 20 for i, n in enumerate(names)}
+    shape and whether it is static (its first row holds). stress is never read. sim numbers the runs of all files, 0, 1, ..,
+    in the order of file names and places; limit: the first so many of them. Ranges of whole records are dealt over
+    tasks, so one long file is many tasks' work; ranges beyond the limit aren't read."""
     decode = {k: (np.dtype(v["dtype"]), tuple(v["shape"])) for k, v in meta.items() if k != "stress"}
 
+    def run(features: dict[str, bytes], sim: int) -> pa.RecordBatch:
+        get = lambda f: np.frombuffer(features[f], decode[f][0]).reshape(decode[f][1])
+        world, rest, kind = get("world_pos"), get("mesh_pos"), get("node_type")
+        rest, kind = rest[0] if rest.ndim == 3 else rest, (kind[0] if kind.ndim == 3 else kind)[:, 0]
+        t, n, _ = world.shape
+        cols = [np.full(t * n, sim), np.repeat(np.arange(t), n).astype(np.int32), np.tile(np.arange(n), t).astype(np.int32), *(world[:, :, i].ravel().astype(np.float64) for i in range(3)), np.tile(kind, t).astype(np.int32), *(np.tile(rest[:, i], t).astype(np.float64) for i in range(3))]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["sim", "frame", "node", "x", "y", "z", "node_type", "rx", "ry", "rz"])
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                for k, features in enumerate(framed_features(content)):
-                    if limit is not None and k >= limit:
-                        break
-                    get = lambda f: np.frombuffer(features[f], decode[f][0]).reshape(decode[f][1])  # noqa: B023, E731
-                    world, rest, kind = get("world_pos"), get("mesh_pos"), get("node_type")
-                    rest, kind = rest[0] if rest.ndim == 3 else rest, (kind[0] if kind.ndim == 3 else kind)[:, 0]
-                    t, n, _ = world.shape
-                    cols = [np.full(t * n, first[name] + k), np.repeat(np.arange(t), n).astype(np.int32), np.tile(np.arange(n), t).astype(np.int32), *(world[:, :, i].ravel().astype(np.float64) for i in range(3)), np.tile(kind, t).astype(np.int32), *(np.tile(rest[:, i], t).astype(np.float64) for i in range(3))]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["sim", "frame", "node", "x", "y", "z", "node_type", "rx", "ry", "rz"])
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(rows, "sim bigint, frame int, node int, x double, y double, z double, node_type int, rx double, ry double, rz double")
+            for r in batch.to_pylist():
+                with _opened(r["path"]) as source:
+                    for k, features in enumerate(framed_features(source, r["start"], r["records"])):
+                        yield run(features, r["first"] + k)
+
+    ranges = record_ranges(spark, path, piece)
+    if limit is not None:
+        ranges = ranges.where(F.col("first") < limit).withColumn("records", F.least("records", F.lit(limit) - F.col("first")))
+    ranges = cut(ranges)
+    return ranges.repartition(min(max(ranges.count(), 1), TASKS), "path", "start").mapInArrow(rows, RUN)
