@@ -275,6 +275,11 @@ def b8(spark, d):
     return rounded(resample.permutation_p(_term_pairs(spark, d), jaccard, PERMUTATIONS), "observed", "p")
 
 
+@query("b8_multiset_permutation_p")
+def b8_multiset(spark, d):
+    return rounded(resample.multiset_permutation_p(_term_pairs(spark, d), jaccard, PERMUTATIONS), "observed", "p")
+
+
 @query("l1_conformal_threshold", oracle(", mx AS (SELECT sim, detector, max(score) AS run_max FROM tall WHERE frame >= 10 GROUP BY sim, detector) SELECT detector, round(max(CASE WHEN r = ceil((n+1)*9e-1) THEN run_max END), 6) AS threshold FROM (SELECT *, row_number() OVER (PARTITION BY detector ORDER BY run_max, sim) AS r, count(*) OVER (PARTITION BY detector) AS n FROM mx) q GROUP BY detector", "tall"))
 def l1(spark, d):
     return rounded(alarms.conformal_threshold(alarms.run_max(view(spark, d, "tall"), 10), 0.1), "threshold")
