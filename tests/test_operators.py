@@ -310,19 +310,6 @@ def test_metrics_files_and_guards(spark, tmp_path):
         metrics.assert_labels_agree(a, a.withColumn("label", ~F.col("label")))
 
 
-def test_blocks_of_a_bank_keep_their_size(spark):
-    rng = np.random.default_rng(5)
-    v = rng.normal(size=(900, 6))
-    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").cache()
-    queries, bank = rows.where("vec_id < 600"), rows.where("vec_id >= 600")
-    for side, n in zip(answers.in_blocks(queries, bank, 20), (600, 300), strict=True):
-        sizes = [r["count"] for r in side.groupBy("part", "shard").count().collect()]
-        assert max(sizes) <= 50 and sum(sizes) == n * (15 if n == 600 else 30)
-    got = {r.vec_id: r.distances for r in answers.nearest_in_bank(queries, bank, 3, False, 20).collect()}
-    want = np.sort(np.linalg.norm(v[:600, None] - v[None, 600:], axis=2), axis=1)[:, :3]
-    assert len(got) == 600 and all(np.allclose(got[i], want[i]) for i in range(600))
-
-
 def test_runs_are_whole(spark):
     rows = spark.read.parquet(f"{SF}/lineitem.parquet").groupBy("l_suppkey").count().collect()
     got = {r["sim"]: r for r in view(spark, SF, "positions").groupBy("sim").agg(F.count(F.lit(1)).alias("n"), F.max("frame").alias("last")).collect()}

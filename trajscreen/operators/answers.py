@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,12 +15,20 @@ from pyspark.sql.window import Window
 
 from trajscreen.functions.columns import dot, draw, log1p_abs, softmax, unit_vector
 from trajscreen.functions.lineage import cut
+from trajscreen.functions.workers import carried
 from trajscreen.operators.boosting import Boosted, fit, with_logits
 from trajscreen.operators.metrics import abstain_rate, brier_multiclass, ece, fit_tau, macro_f1, selective
 
+carried(__name__)
+
 ANSWER = "anomaly_type string, location string, confidence double, explanation string"
 BLOCK = 20_000  # rows of a block of queries or of a shard of the bank
 STEP = 256  # queries of a block that are held against a shard at once
+NEAR = "vec_id bigint, d double"
+HELD = 32 << 20  # bytes of a bank that is sent to every task
+PIVOTS = 256
+RINGS = 8  # a cell's rows are cut by their distance to its pivot
+SLACK = 1e-6  # rounding of distances, over the length of the vectors
 
 
 def parse_answer(raw: Column, labels: Sequence[str]) -> Column:
@@ -69,43 +77,127 @@ def zero_shot_scores(embeddings: DataFrame, texts: DataFrame, temperature: float
     return cos.select("item", "vec_id", (1 / (1 + F.exp((F.col("normal") - F.col("odd")) / temperature))).alias("score"), (F.col("odd") - F.col("normal")).alias("difference"))
 
 
-def in_blocks(queries: DataFrame, bank: DataFrame, rows: int = BLOCK, least: int = 8) -> tuple[DataFrame, DataFrame]:
-    """queries and bank (vec_id, embedding) as (vec_id, v, part, shard), every block of queries beside every shard of the
-    bank. By hash a block has about `rows` rows, or fewer where there would be under `least` blocks."""
-    parts, shards = (max(least, -(-df.count() // rows)) for df in (queries, bank))
-
-    def numbered(df: DataFrame, name: str, n: int, other: str, m: int) -> DataFrame:
-        place = F.pmod(F.xxhash64("vec_id", "v"), F.lit(n)).cast("int")
-        return df.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).withColumn(name, place).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
-
-    return numbered(queries, "part", parts, "shard", shards), numbered(bank, "shard", shards, "part", parts)
-
-
-def nearest_in_bank(queries: DataFrame, bank: DataFrame, k: int, cosine: bool, rows: int = BLOCK) -> DataFrame:
-    """(vec_id, distances): ascending distances of each query to its k nearest bank rows. Queries and bank are cut into
-    blocks, as many as their rows ask for; each task compares one block of queries with one shard of the bank by a matrix
-    product, and the shards' best are merged. queries, bank: vec_id, embedding."""
-
-    def block(left, right: pa.Table) -> pa.Table:
-        q, b = np.stack(left.column("v").to_numpy()), np.stack(right.column("v").to_numpy()) if right.num_rows else np.zeros((0, 1))
-        if not len(b):
-            return pa.table({"vec_id": pa.array([], pa.int64()), "d": pa.array([], pa.float64())})
-        if cosine:
-            q, b = q / np.linalg.norm(q, axis=1, keepdims=True), b / np.linalg.norm(b, axis=1, keepdims=True)
-        ids, ds = [], []
-        for at in range(0, len(q), STEP):
-            part = q[at : at + STEP]
-            d = 1 - part @ b.T if cosine else np.sqrt(np.maximum((part * part).sum(1)[:, None] + (b * b).sum(1) - 2 * part @ b.T, 0))
-            best = np.sort(np.partition(d, min(k, len(b)) - 1, axis=1)[:, :k], axis=1)
-            ids.append(np.repeat(left.column("vec_id").to_numpy()[at : at + STEP], best.shape[1]))
-            ds.append(best.ravel())
-        return pa.table({"vec_id": np.concatenate(ids), "d": np.concatenate(ds)})
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Vectors of equal length as a matrix."""
+    flat = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
+
+
+def _distances(q: np.ndarray, b: np.ndarray, cosine: bool) -> np.ndarray:
+    """Between rows; by cosine both are of unit length."""
+    return 1 - q @ b.T if cosine else np.sqrt(np.maximum((q * q).sum(1)[:, None] + (b * b).sum(1) - 2 * q @ b.T, 0))
+
+
+def _nearest(ids: np.ndarray, q: np.ndarray, b: np.ndarray, k: int, cosine: bool) -> pa.Table:
+    """(vec_id, d): the k smallest distances of each row of q to the rows of b, `STEP` rows of q at once."""
+    out_ids, out = [np.zeros(0, np.int64)], [np.zeros(0)]
+    for at in range(0, len(q) if len(b) else 0, STEP):
+        d = _distances(q[at : at + STEP], b, cosine)
+        best = np.sort(np.partition(d, min(k, len(b)) - 1, axis=1)[:, :k], axis=1)
+        out_ids.append(np.repeat(ids[at : at + STEP], best.shape[1]))
+        out.append(best.ravel())
+    return pa.table({"vec_id": np.concatenate(out_ids), "d": np.concatenate(out)})
+
+
+def _vectors(df: DataFrame, cosine: bool) -> DataFrame:
+    """(vec_id, v) of rows with a vector, as doubles; by cosine of unit length, a zero vector as NaN, whose distances are NaN."""
+    v = F.col("embedding").cast("array<double>")
+    length = F.sqrt(dot(v, v))
+    return df.where(F.col("embedding").isNotNull()).select("vec_id", (F.transform(v, lambda x: F.when(length > 0, x / length).otherwise(F.lit(float("nan")))) if cosine else v).alias("v"))
+
+
+def _cells(df: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """(vec_id, v, cell, r): the nearest pivot and the distance to it."""
+    held = df.sparkSession.sparkContext.broadcast(pivots)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = _matrix(batch.column("v"))
+            cell, r = np.zeros(len(v), np.int32), np.zeros(len(v))
+            for at in range(0, len(v), STEP):
+                d = _distances(v[at : at + STEP], held.value, False)
+                cell[at : at + STEP], r[at : at + STEP] = d.argmin(1), d.min(1)
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(cell), pa.array(r)], ["vec_id", "v", "cell", "r"])
+
+    return df.mapInArrow(assign, "vec_id bigint, v array<double>, cell int, r double")
+
+
+def shards_of(bank: DataFrame, pivots: np.ndarray, rows: int) -> tuple[DataFrame, pa.Table]:
+    """The bank (vec_id, v) as (v, shard), and its shards (shard, cell, lo, hi, n) by number: rows of a cell in a ring of
+    distances lo to hi from its pivot, in pieces of about `rows` rows; n is the ring's count at its first piece, else 0. There
+    are at most (pivots x rings) + (bank rows / rows) shards."""
+    placed = cut(_cells(bank, pivots))
+    edges = placed.groupBy("cell").agg(F.percentile_approx("r", F.array(*[F.lit(i / RINGS) for i in range(1, RINGS)])).alias("edges"))
+    ringed = placed.join(F.broadcast(edges), "cell").withColumn("ring", F.size(F.filter("edges", lambda e: e < F.col("r"))))
+    sizes = ringed.groupBy("cell", "ring").agg(F.min("r").alias("lo"), F.max("r").alias("hi"), F.count(F.lit(1)).alias("n"))
+    pieces = sizes.withColumn("pieces", F.ceil(F.col("n") / rows).cast("int")).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    numbered = cut(pieces.withColumn("shard", F.row_number().over(Window.orderBy("cell", "ring", "piece")) - 1))
+    piece = F.pmod(F.xxhash64("vec_id", "v"), F.col("pieces")).cast("int")
+    of_ring = numbered.groupBy("cell", "ring").agg(F.min("shard").alias("least"), F.first("pieces").alias("pieces"))
+    own = ringed.join(F.broadcast(of_ring), ["cell", "ring"]).select("v", (F.col("least") + piece).alias("shard"))
+    return own, numbered.select("shard", "cell", "lo", "hi", F.when(F.col("piece") == 0, F.col("n")).otherwise(0).alias("n")).toArrow().sort_by("shard")
+
+
+def candidate_shards(queries: DataFrame, pivots: np.ndarray, shards: pa.Table, k: int) -> DataFrame:
+    """(vec_id, v, cell, shards): for each query the shards that can hold one of its k nearest rows. A row at distance r from
+    a pivot is, by the triangle inequality, at least |d - r| and at most d + r from a query at distance d from the pivot;
+    the rings that surely hold k rows bound the k-th distance, and rings whose least distance is above it are left out."""
+    held = queries.sparkSession.sparkContext.broadcast((pivots, *(shards.column(c).to_numpy() for c in ("cell", "lo", "hi", "n"))))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        points, cell, lo, hi, n = held.value
+        for batch in batches:
+            v = _matrix(batch.column("v"))
+            own, found, counts = np.zeros(len(v), np.int32), [], [0]
+            for at in range(0, len(v), STEP):
+                part = v[at : at + STEP]
+                to = _distances(part, points, False)
+                own[at : at + STEP] = to.argmin(1)
+                d = to[:, cell]
+                most = np.argsort(d + hi, axis=1)
+                enough = np.minimum((np.cumsum(n[most], axis=1) < k).sum(1), len(cell) - 1)
+                bound = np.take_along_axis(d + hi, np.take_along_axis(most, enough[:, None], 1), 1)
+                slack = SLACK * (1 + np.sqrt((part * part).sum(1))[:, None] + np.sqrt((points * points).sum(1).max()))
+                keep = ~(np.maximum(d - hi, lo - d) > bound + slack)  # NaN is kept
+                found.append(np.nonzero(keep)[1].astype(np.int32))
+                counts.extend(keep.sum(1))
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum(counts).astype(np.int32)), pa.array(np.concatenate(found) if found else np.zeros(0, np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(own), lists], ["vec_id", "v", "cell", "shards"])
+
+    return queries.mapInArrow(choose, "vec_id bigint, v array<double>, cell int, shards array<int>")
+
+
+def nearest_in_bank(queries: DataFrame, bank: DataFrame, k: int, cosine: bool, rows: int = BLOCK, held: int = HELD) -> DataFrame:
+    """(vec_id, distances): ascending distances of each query to its k nearest bank rows (all, if fewer; no row for an empty bank).
+    queries, bank: vec_id, embedding. A bank of at most `held` bytes, measured first, is sent to every task and the queries
+    aren't moved. A larger one is cut into shards around pivots (bank rows of the lowest hashes); a block of queries of one cell
+    meets only the shards that `candidate_shards` names for it, by a matrix product, and the shards' best are merged."""
+    q, b = _vectors(queries, cosine), _vectors(bank, cosine)
+    count, width = b.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    if 8 * count * width <= held:
+        small = queries.sparkSession.sparkContext.broadcast(_matrix(b.select("v").toArrow().column("v")))
+
+        def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield from _nearest(batch.column("vec_id").to_numpy(), _matrix(batch.column("v")), small.value, k, cosine).to_batches()
+
+        return q.mapInArrow(beside, NEAR).groupBy("vec_id").agg(F.slice(F.array_sort(F.collect_list("d")), 1, k).alias("distances"))
+    b = cut(b)
+    pivots = _matrix(b.where(~F.exists("v", F.isnan)).orderBy(F.xxhash64("v"), "vec_id").limit(PIVOTS).select("v").toArrow().column("v"))
+    if not len(pivots):
+        pivots = np.zeros((1, width))
+    own, shards = shards_of(b, pivots, rows)
+    chosen = candidate_shards(q, pivots, shards, k)
+    crowd = chosen.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("salts"))
+    chosen = cut(chosen.join(F.broadcast(crowd), "cell").withColumn("part", F.struct("cell", F.pmod(F.xxhash64("vec_id", "v"), F.col("salts")).alias("salt"))))
+    meeting = chosen.select("vec_id", "v", "part", F.explode("shards").alias("shard"))
+    met = meeting.select(F.col("part").alias("block"), F.col("shard").alias("of")).distinct()
+    banked = own.join(met, F.col("shard") == F.col("of")).select("block", "of", "v")
 
     def pairs(left: pa.Table, right: pa.Table) -> pa.Table:
-        return block(left, right) if left.num_rows else pa.table({"vec_id": pa.array([], pa.int64()), "d": pa.array([], pa.float64())})
+        return _nearest(left.column("vec_id").to_numpy(), _matrix(left.column("v")), _matrix(right.column("v")), k, cosine)
 
-    q, b = in_blocks(queries, bank, rows)
-    found = q.groupBy("part", "shard").cogroup(b.groupBy("part", "shard")).applyInArrow(pairs, "vec_id bigint, d double")
+    found = meeting.groupBy("part", "shard").cogroup(banked.groupBy("block", "of")).applyInArrow(pairs, NEAR)
     return found.groupBy("vec_id").agg(F.slice(F.array_sort(F.collect_list("d")), 1, k).alias("distances"))
 
 
