@@ -1,5 +1,6 @@
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,3 +90,43 @@ def test_alarms_and_maxima(spark, landed):
     assert sorted({r.sim for r in alarms}) == sorted({r.sim for r in p.where("z > 1").select("sim").distinct().collect()}) and len(alarms) == len({r.sim for r in alarms})
     maxima = drained(monitor.running_maxima(frames), spark, "maxima", "complete")
     assert {(r.sim, r.run_max) for r in maxima.collect()} == {(r.sim, r.m) for r in p.groupBy("sim").agg(F.max("z").alias("m")).collect()}
+
+
+def test_median_and_spread_in_place():
+    rng = np.random.default_rng(3)
+    for m in range(1, 40):
+        rows = np.sort(np.round(rng.normal(size=(30, m)), 1), axis=1)  # with ties
+        centre, spread = monitor.middle_and_spread(rows)
+        assert np.allclose(centre, np.median(rows, axis=1)) and np.allclose(spread, np.median(np.abs(rows - centre[:, None]), axis=1))
+
+
+def test_calibrated_scores_equal_batch(spark, landed):
+    p, path = landed
+    calib, rest = range(5, 1000, 10), view(spark, SF, "rest")
+    later = source(spark, path).withColumn("ts", F.timestamp_seconds(F.unix_seconds("ts") + 100))  # a watermark begins at 0 and drops what is as old
+    stream = monitor.monitor(later, calib=calib, delay="1 second")
+    got = {(r.sim, r.frame, r.detector): r.score for r in drained(stream, spark, "calibrated").where("not late").collect()}
+    own = rest.where("node <= 4")  # the stream has these nodes of the plate
+    for name, raw in (("constvel", detect.constvel_scores(p)), ("velocity_causal", detect.velocity_causal_scores(p))):
+        batch = detect.frame_scores(detect.calibrated_causal(raw, own, calib), own).where("frame >= 29").collect()
+        want = {(r.sim, r.frame, f"{name}_calibrated"): r.score for r in batch}
+        assert want and {key for key in got if key[2] == f"{name}_calibrated"} == set(want)
+        assert all(got[key] == pytest.approx(v, rel=1e-6) for key, v in want.items())
+
+
+def test_runs_end_by_event_time(spark, landed, tmp_path):
+    """The last frame lacks a node: it waits till the watermark has passed, then the run's state is gone."""
+    p = landed[0].where("sim = 1 and frame between 1 and 11 and not (frame = 11 and node = 0)")
+    other = landed[0].where("sim = 2 and frame < 3").withColumn("ts", F.timestamp_seconds(F.col("frame") + 1000))
+    back = landed[0].where("sim = 1 and frame = 9")  # behind the first batch's watermark: Spark drops it
+    for i, part in enumerate((p, other, back)):
+        part.coalesce(1).write.parquet(f"{tmp_path}/{i}")
+        for f in os.listdir(f"{tmp_path}/{i}"):
+            os.utime(f"{tmp_path}/{i}/{f}", (1_000_000 + i * 100, 1_000_000 + i * 100))
+    stream = monitor.monitor(source(spark, f"{tmp_path}/*"), delay="1 second", idle_ms=5000)
+    q = stream.writeStream.format("memory").queryName("ended").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = spark.table("ended").collect()
+    assert max(r.frame for r in got if r.sim == 1) == 10 and not [r for r in got if r.late]
+    held = [(s["numRowsTotal"], s["numRowsDroppedByWatermark"]) for e in q.recentProgress for s in e["stateOperators"]]
+    assert max(n for n, _ in held) == 2 and held[-1] == (1, 5)
