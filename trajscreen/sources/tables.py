@@ -28,6 +28,13 @@ def load_split(spark: SparkSession, path: str, split: str, start: int | None = N
     return df if stop is None else df.where(F.col("sim") < stop)
 
 
+def write_runs(df: DataFrame, table: str, buckets: int = 4096, keys: Sequence[str] = ("sim",), order: Sequence[str] = ("sim", "node", "frame")) -> None:
+    """df as a catalog table in buckets by keys, one sorted file a bucket. Lags by (sim, node), groups by sim and more, and, with
+    spark.sql.requireAllClusterKeysForCoPartition false, joins of tables with as many buckets on sim and more then need no
+    further exchange. A bucket is one task's work: take as many as make it fit, a run is never split."""
+    df.repartition(buckets, *keys).write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*order).format("parquet").saveAsTable(table)
+
+
 def read_metrics(spark: SparkSession, path: str, schema: str = METRICS) -> DataFrame:
     """A metrics CSV with a header after '#' lines."""
     return spark.read.option("comment", "#").option("header", True).schema(schema).csv(path)
