@@ -204,9 +204,9 @@ def hotspot_nodes(scores: DataFrame, nodes: DataFrame, k: int = 10) -> DataFrame
 
 
 def diagnostics(positions: DataFrame, nodes: DataFrame, cells: DataFrame, pixels: DataFrame, levels: DataFrame, k: int = 10, size: float = 448.0) -> DataFrame:
-    """(sim, frame, ratio, n_high, n_inverted, gap, speed_ratio, row, col) of each frame from the third on: the frame's residual
+    """(sim, frame, ratio, n_high, n_inverted, gap_mm, speed_ratio, row, col) of each frame from the third on: the frame's residual
     by its run's typical level, plate nodes over five times the median residual, inverted tets, and of the hot spot (the k
-    plate nodes of highest residual) the least distance to an actuator node, the mean speed by the plate's median, and the
+    plate nodes of highest residual) the least distance to an actuator node in mm (places are in m), the mean speed by the plate's median, and the
     cell of the 3 x 3 image grid. levels: (sim, level). pixels: (sim, frame, node, px, py)."""
     every = constvel_scores(positions)
     plate = plate_nodes(nodes)
@@ -217,13 +217,13 @@ def diagnostics(positions: DataFrame, nodes: DataFrame, cells: DataFrame, pixels
     middle = pace.join(plate, "node").groupBy("sim", "frame").agg(median(F.col("speed")).alias("pm"))
     speed = hot.join(pace, list(KEYS)).groupBy("sim", "frame").agg(F.avg("speed").alias("s")).join(middle, ["sim", "frame"]).select("sim", "frame", (F.col("s") / (F.col("pm") + 1e-12)).alias("speed_ratio"))
     tools = positions.join(nodes.where(F.col("node_type") == OBSTACLE).select("node"), "node").select("sim", "frame", *[F.col(c).alias(f"b{c}") for c in "xyz"])
-    gap = hot.join(positions, list(KEYS)).join(tools, ["sim", "frame"]).groupBy("sim", "frame").agg(F.min(norm3(*[F.col(c) - F.col(f"b{c}") for c in "xyz"])).alias("gap"))
+    gap = hot.join(positions, list(KEYS)).join(tools, ["sim", "frame"]).groupBy("sim", "frame").agg(F.min(norm3(*[F.col(c) - F.col(f"b{c}") for c in "xyz"]) * 1000).alias("gap_mm"))
     bad = inverted_cells(positions, nodes, cells).groupBy("sim", "frame").agg(F.count(F.lit(1)).alias("n_inverted"))
     place = grid_cell(hot.join(pixels, list(KEYS)), ("sim", "frame"), 3, size)
     out = frames
     for part in (high, gap, speed, place):
         out = out.join(part, ["sim", "frame"])
-    return out.join(bad, ["sim", "frame"], "left").fillna(0, ["n_inverted"]).select("sim", "frame", "ratio", "n_high", "n_inverted", "gap", "speed_ratio", "row", "col")
+    return out.join(bad, ["sim", "frame"], "left").fillna(0, ["n_inverted"]).select("sim", "frame", "ratio", "n_high", "n_inverted", "gap_mm", "speed_ratio", "row", "col")
 
 
 def color_limits(residuals: DataFrame, frames: Sequence[int], q: float = 0.995, factor: float = 3.0) -> DataFrame:

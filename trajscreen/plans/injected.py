@@ -341,7 +341,7 @@ def t6(spark, d):
     of_copies = states.select("sim").distinct().join(levels.withColumnRenamed("sim", "run"), F.col("sim.run") == F.col("run")).select("sim", "level")
     found = copies.unkeyed(_diagnosed(local, r, c, of_copies).join(states, ["sim", "frame"]))
     found = found.withColumn("kind", F.when(F.col("label"), F.col("type")).otherwise("none")).withColumn("item", F.concat_ws("-", "sim", "type", "sev", "frame"))
-    return answers.diagnostic_tree_cv(found.withColumn("location", F.concat_ws("-", "row", "col")), ["ratio", "n_high", "n_inverted", "gap", "speed_ratio"], carry=("location",))
+    return answers.diagnostic_tree_cv(found.withColumn("location", F.concat_ws("-", "row", "col")), ["ratio", "n_high", "n_inverted", "gap_mm", "speed_ratio"], carry=("location",))
 
 
 PROMPT = ", gp AS (SELECT a.sim, a.frame, min(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z))) AS gap FROM positions a JOIN positions b ON a.sim = b.sim AND a.frame = b.frame WHERE a.node <= 4 AND b.node >= 5 GROUP BY a.sim, a.frame)"
@@ -364,7 +364,7 @@ def w7(spark, d):
 @query("x6_diagnostics")
 def x6(spark, d):
     p, r, c = (view(spark, d, n) for n in ("positions", "rest", "cells"))
-    return rounded(_diagnosed(p, r, c), "ratio", "gap", "speed_ratio", digits=5)
+    return rounded(_diagnosed(p, r, c), "ratio", "gap_mm", "speed_ratio", digits=5)
 
 
 @query("c6_color_limits", oracle(""", cv AS (SELECT sim, frame, node, sqrt(dx*dx+dy*dy+dz*dz) AS score FROM (SELECT sim, frame, node, x - (2*lag(x, 1) OVER t - lag(x, 2) OVER t) AS dx, y - (2*lag(y, 1) OVER t - lag(y, 2) OVER t) AS dy, z - (2*lag(z, 1) OVER t - lag(z, 2) OVER t) AS dz FROM positions WINDOW t AS (PARTITION BY sim, node ORDER BY frame)) q WHERE dx IS NOT NULL)
