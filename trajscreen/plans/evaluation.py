@@ -236,7 +236,7 @@ RUNREPS = "SELECT rep, sum(p*(u + n/2e0)) / (sum(p)*1e0*sum(n)) AS auroc FROM un
 @query("b6_run_auroc", oracle(RUNBOOT + f" SELECT rep, round(auroc, 6) AS auroc FROM ({RUNREPS}) q", "records"))
 def b6(spark, d):
     runs = view(spark, d, "records").groupBy("sim", "label").agg(F.max("score_a").alias("score"))
-    return rounded(resample.weighted_auroc(runs, resample.bootstrap_weights(runs, GATE_REPS), [], GATE_REPS), "auroc")
+    return rounded(resample.weighted_auroc(runs, resample.resamples(runs, GATE_REPS), [], GATE_REPS), "auroc")
 
 
 @query("b6_run_auroc_ci", oracle(RUNBOOT + f", ba AS ({RUNREPS}) SELECT (SELECT round(auroc, 6) FROM ({ranked('rq', 'one')}) z) AS auroc, round(quantile_cont(auroc, 0.025), 6) AS lo, round(quantile_cont(auroc, 0.975), 6) AS hi FROM ba", "records"))
