@@ -92,23 +92,35 @@ def deviation(clean: DataFrame, copy: DataFrame, on: Sequence[str] = ("sim", "fr
     return clean.join(other, list(on)).select(*on, norm3(F.col("cx") - F.col("x"), F.col("cy") - F.col("y"), F.col("cz") - F.col("z")).alias("distance"))
 
 
-def within_radius(a: DataFrame, b: DataFrame, radius: float, keys: Sequence[str]) -> DataFrame:
-    """Pairs (keys, a_node, b_node, distance) at most radius apart. A grid of the radius makes it an equi-join: each b is
-    sent to its own and the neighbouring grid cells."""
-    cell = lambda c: F.floor(F.col(c) / radius)
-    own = a.select(*keys, F.col("node").alias("a_node"), *[F.col(c).alias(f"a{c}") for c in "xyz"], *[cell(c).alias(f"g{c}") for c in "xyz"])
-    near = b.select(*keys, F.col("node").alias("b_node"), *[F.col(c).alias(f"b{c}") for c in "xyz"], *[F.explode(F.sequence(cell(c) - 1, cell(c) + 1)).alias(f"g{c}") for c in "x"], "y", "z")
-    near = near.select(*[c for c in near.columns if c not in ("y", "z")], F.explode(F.sequence(cell("by") - 1, cell("by") + 1)).alias("gy"))
-    near = near.select("*", F.explode(F.sequence(cell("bz") - 1, cell("bz") + 1)).alias("gz"))
+def _near_pairs(a: DataFrame, b: DataFrame, radius: float, keys: Sequence[str]) -> DataFrame:
+    """Pairs (keys, a_node, ax, ay, az, b_node, bx, by, bz, distance) at most radius apart. A grid of twice the radius makes it an
+    equi-join: each b is sent to the grid cells, eight as a rule, that the box about its ball reaches."""
+    cell = lambda x: F.floor(x / (2 * radius))
+    reach = lambda c: F.lit(radius * (1 + 1e-9)) + F.abs(c) * 1e-15
+    own = a.select(*keys, F.col("node").alias("a_node"), *[F.col(c).alias(f"a{c}") for c in "xyz"], *[cell(F.col(c)).alias(f"g{c}") for c in "xyz"])
+    near = b.select(*keys, F.col("node").alias("b_node"), *[F.col(c).alias(f"b{c}") for c in "xyz"])
+    for c in "xyz":
+        at = F.col(f"b{c}")
+        near = near.select("*", F.explode(F.sequence(cell(at - reach(at)), cell(at + reach(at)))).alias(f"g{c}"))
     d = norm3(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by"), F.col("az") - F.col("bz"))
-    return own.join(near, [*keys, "gx", "gy", "gz"]).select(*keys, "a_node", "b_node", d.alias("distance")).where(F.col("distance") <= radius)
+    return own.join(near, [*keys, "gx", "gy", "gz"]).drop("gx", "gy", "gz").withColumn("distance", d).where(F.col("distance") <= radius)
+
+
+def within_radius(a: DataFrame, b: DataFrame, radius: float, keys: Sequence[str]) -> DataFrame:
+    """Pairs (keys, a_node, b_node, distance) at most radius apart."""
+    return _near_pairs(a, b, radius, keys).select(*keys, "a_node", "b_node", "distance")
+
+
+def _touching(positions: DataFrame, nodes: DataFrame, radius: float, keys: Sequence[str], on: Sequence[str]) -> DataFrame:
+    """Pairs of an actuator node (a) and a plate node (b)."""
+    typed = positions.join(nodes.select(*on, "node_type"), list(on))
+    return _near_pairs(typed.where(F.col("node_type") == OBSTACLE), typed.where(F.col("node_type") == NORMAL), radius, keys)
 
 
 def world_edges(positions: DataFrame, nodes: DataFrame, radius: float, keys: Sequence[str] = ("sim", "frame"), on: Sequence[str] = ("node",)) -> DataFrame:
     """Contact edges between actuator and plate nodes, both directions: keys, src, dst, distance."""
-    typed = positions.join(nodes.select(*on, "node_type"), list(on))
-    pairs = within_radius(typed.where(F.col("node_type") == OBSTACLE), typed.where(F.col("node_type") == NORMAL), radius, keys)
-    return pairs.select(*keys, F.col("a_node").alias("src"), F.col("b_node").alias("dst"), "distance").unionByName(pairs.select(*keys, F.col("b_node").alias("src"), F.col("a_node").alias("dst"), "distance"))
+    both = F.array(*[F.struct(F.col(f"{s}_node").alias("src"), F.col(f"{t}_node").alias("dst")) for s, t in ("ab", "ba")])
+    return _touching(positions, nodes, radius, keys, on).select(*keys, F.explode(both).alias("e"), "distance").select(*keys, "e.src", "e.dst", "distance")
 
 
 def contact_pairs(nodes: DataFrame, radius: float, k: int = 8, keys: Sequence[str] = ()) -> DataFrame:
@@ -285,10 +297,8 @@ def step_edge_features(positions: DataFrame, nodes: DataFrame, edges: DataFrame)
 
 def contact_edge_features(positions: DataFrame, nodes: DataFrame, radius: float) -> DataFrame:
     """(sim, frame, src, dst, now_x, now_y, now_z, now_length) of the contact edges within radius, both directions."""
-    pairs = world_edges(positions, nodes, radius).select("sim", "frame", "src", "dst")
-    side = lambda n, s: positions.select("sim", "frame", F.col("node").alias(n), *[F.col(c).alias(f"{s}_{c}") for c in "xyz"])
-    both = pairs.join(side("src", "a"), ["sim", "frame", "src"]).join(side("dst", "b"), ["sim", "frame", "dst"])
-    return both.select("sim", "frame", "src", "dst", *_offset("a_", "b_", "now_")[:3], _offset("a_", "b_", "now")[3])
+    both = F.array(*[F.struct(F.col(f"{s}_node").alias("src"), F.col(f"{t}_node").alias("dst"), *_offset(s, t, "now_")[:3], _offset(s, t, "now")[3]) for s, t in ("ab", "ba")])
+    return _touching(positions, nodes, radius, ("sim", "frame"), ("node",)).select("sim", "frame", F.explode(both).alias("e")).select("sim", "frame", "e.*")
 
 
 def load_features(positions: DataFrame, nodes: DataFrame) -> DataFrame:
