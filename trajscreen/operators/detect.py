@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trajscreen.functions.columns import median, norm3
+from trajscreen.functions.workers import carried
 from trajscreen.operators.metrics import quantile
 from trajscreen.operators.mesh import NORMAL, OBSTACLE, displacement, grid_cell, neighbour_mean, signed_distance, tet_volumes
 
+carried(__name__)
+
 KEYS = ("sim", "frame", "node")
 MAD = 1.4826
+TRACKS = 1 << 19  # speeds that are sorted at once
 
 
 def track():
@@ -49,22 +55,50 @@ def velocity_scores(positions: DataFrame) -> DataFrame:
     return centred.select(*KEYS, (F.col("dev") / (MAD * median(F.col("dev")).over(node) + 1e-9)).alias("score"))
 
 
-def _middle(ordered: Column) -> Column:
-    """Median of a sorted array."""
-    n = F.size(ordered)
-    return (F.get(ordered, F.floor((n - 1) / 2).cast("int")) + F.get(ordered, F.floor(n / 2).cast("int"))) / 2
+def _middle(ordered: np.ndarray) -> np.ndarray:
+    """Medians of sorted rows, as a column."""
+    n = ordered.shape[1]
+    return (ordered[:, (n - 1) // 2, None] + ordered[:, n // 2, None]) / 2
+
+
+def _against_past(min_past: int):
+    """Rows (sim, node, frames, speeds), frames rising -> (sim, node, frame, score). Tracks of the same frames are scored together: each
+    past is sorted once for all frames that look back on it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bounds, frames, speed = batch.column("frames").offsets.to_numpy(), *(batch.column(c).values.to_numpy() for c in ("frames", "speeds"))
+            alike: dict[bytes, list[int]] = {}
+            for i, (lo, hi) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+                alike.setdefault(frames[lo:hi].tobytes(), []).append(i)
+            for key, rows in alike.items():
+                own = np.frombuffer(key, frames.dtype)
+                seen = np.searchsorted(own, np.maximum(own - 4, min_past), "right")
+                if not (scored := np.flatnonzero(seen > 0)).size:
+                    continue
+                step = max(1, TRACKS // len(own))
+                for some in (np.array(rows[at : at + step]) for at in range(0, len(rows), step)):
+                    v = speed[bounds[some][:, None] + np.arange(len(own))]
+                    score = np.empty(v.shape)
+                    for n in np.unique(seen[scored]).tolist():
+                        past = np.sort(v[:, :n], axis=1)
+                        centre = _middle(past)
+                        spread = MAD * _middle(np.sort(np.abs(past - centre), axis=1)) + 1e-9
+                        at = np.flatnonzero(seen == n)
+                        score[:, at] = np.abs(v[:, at] - centre) / spread
+                    of = pa.array(np.repeat(some, len(scored)))
+                    yield pa.RecordBatch.from_arrays([batch.column("sim").take(of), pa.array(np.tile(own[scored], len(some))), batch.column("node").take(of), pa.array(score[:, scored].reshape(-1))], [*KEYS, "score"])
+
+    return run
 
 
 def velocity_causal_scores(positions: DataFrame, min_past: int = 5) -> DataFrame:
     """As velocity_scores, by medians over frames up to max(t - 4, min_past) only. A node's speeds come together in one
-    array (as long as its run), from which each frame takes its past in place: one shuffle by (sim, node)."""
-    tracks = speeds(positions).groupBy("sim", "node").agg(F.collect_list(F.struct("frame", "speed")).alias("track"))
-    rows = tracks.select("sim", "node", "track", F.explode("track").alias("now")).select("sim", "node", "now.frame", "now.speed", "track")
-    bound = F.greatest(F.col("frame") - 4, F.lit(min_past))
-    past = F.array_sort(F.transform(F.filter("track", lambda p: p["frame"] <= bound), lambda p: p["speed"]))
-    centred = rows.select(*KEYS, "speed", past.alias("past")).where(F.size("past") > 0).withColumn("centre", _middle(F.col("past")))
-    spread = centred.select(*KEYS, "speed", "centre", F.array_sort(F.transform("past", lambda x: F.abs(x - F.col("centre")))).alias("off"))
-    return spread.select(*KEYS, (F.abs(F.col("speed") - F.col("centre")) / (MAD * _middle(F.col("off")) + 1e-9)).alias("score"))
+    array (as long as its run) by one shuffle by (sim, node), and arrays are scored in numpy."""
+    track = F.array_sort(F.collect_list(F.struct("frame", "speed")))
+    tracks = speeds(positions).groupBy("sim", "node").agg(track.alias("track")).select("sim", "node", F.col("track.frame").alias("frames"), F.col("track.speed").alias("speeds"))
+    kinds = {f.name: f.dataType.simpleString() for f in positions.schema.fields}
+    return tracks.mapInArrow(_against_past(min_past), "".join(f"{c} {kinds[c]}, " for c in KEYS) + "score double")
 
 
 def _off_neighbours(values: DataFrame, edges: DataFrame, columns: Sequence[str]) -> DataFrame:
