@@ -24,6 +24,7 @@ carried(__name__)
 ANSWER = "anomaly_type string, location string, confidence double, explanation string"
 BLOCK = 20_000  # rows of a block of queries or of a shard of the bank
 STEP = 256  # queries of a block that are held against a shard at once
+BANKED = 4096  # rows of a bank whose distances are held at once
 NEAR = "vec_id bigint, d double"
 HELD = 32 << 20  # bytes of a bank that is sent to every task
 PIVOTS = 256
@@ -89,11 +90,15 @@ def _distances(q: np.ndarray, b: np.ndarray, cosine: bool) -> np.ndarray:
 
 
 def _nearest(ids: np.ndarray, q: np.ndarray, b: np.ndarray, k: int, cosine: bool) -> pa.Table:
-    """(vec_id, d): the k smallest distances of each row of q to the rows of b, `STEP` rows of q at once."""
+    """(vec_id, d): the k smallest distances of each row of q to the rows of b, `STEP` rows of q and `BANKED` of b at once."""
     out_ids, out = [np.zeros(0, np.int64)], [np.zeros(0)]
     for at in range(0, len(q) if len(b) else 0, STEP):
-        d = _distances(q[at : at + STEP], b, cosine)
-        best = np.sort(np.partition(d, min(k, len(b)) - 1, axis=1)[:, :k], axis=1)
+        some = q[at : at + STEP]
+        best = np.zeros((len(some), 0))
+        for of in range(0, len(b), BANKED):
+            d = np.concatenate([best, _distances(some, b[of : of + BANKED], cosine)], axis=1)
+            best = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, :k]
+        best = np.sort(best, axis=1)
         out_ids.append(np.repeat(ids[at : at + STEP], best.shape[1]))
         out.append(best.ravel())
     return pa.table({"vec_id": np.concatenate(out_ids), "d": np.concatenate(out)})
