@@ -244,6 +244,15 @@ def closest_on_triangles(pairs: DataFrame, p: str, a: str, b: str, c: str) -> Da
     return steps.drop(*[c for c in steps.columns if c.startswith(("__normal_", "__foot_", "__share_")) or c == "__height"])
 
 
+def cornered(shapes: DataFrame, names: Sequence[str], positions: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, names, <name>x, <name>y, <name>z): where the corners of shapes (names: nodes, the same in every mesh state) are in each
+    state that has them all. One join of the exploded corners and one aggregation, whatever their number."""
+    corners = shapes.select(*names, F.posexplode(F.array(*names)).alias("__corner", "node"))
+    at = corners.join(positions.select(*keys, "node", "x", "y", "z"), "node")
+    places = [F.max(F.when(F.col("__corner") == i, F.col(c))).alias(f"{n}{c}") for i, n in enumerate(names) for c in "xyz"]
+    return at.groupBy(*keys, *names).agg(*places, F.count(F.lit(1)).alias("__n")).where(F.col("__n") == len(names)).drop("__n")
+
+
 def signed_distance(positions: DataFrame, nodes: DataFrame, cells: DataFrame, on: Sequence[str] = ("node",), points: DataFrame | None = None) -> DataFrame:
     """(sim, frame, node, distance) of plate nodes to the actuator's surface, negative inside one of its tets. Surface and
     tets are found once. The triangles of a frame lie in blocks of a grid; a node is held against those of the blocks that can be
@@ -254,17 +263,12 @@ def signed_distance(positions: DataFrame, nodes: DataFrame, cells: DataFrame, on
         typed = typed.join(points, ["sim", "frame", "node"], "left_semi")
     points = typed.where(F.col("node_type") == NORMAL).select("sim", "frame", "node", *[F.col(c).alias(f"p{c}") for c in "xyz"])
     hull, state = surface_triangles(cells, nodes), ["sim", "frame"]
-    corner = lambda name: positions.select("sim", "frame", F.col("node").alias(name), *[F.col(c).alias(f"{name}{c}") for c in "xyz"])
     at = lambda n: [F.col(f"{n}{c}") for c in "xyz"]
     box = lambda f, names: [f(*[F.col(f"{n}{c}") for n in names]) for c in "xyz"]
-    faces = hull.join(corner("a"), "a").join(corner("b"), [*state, "b"]).join(corner("c"), [*state, "c"])
-    faces, blocks = blocked(faces, state, box(F.least, "abc"), box(F.greatest, "abc"), at("a"))
+    faces, blocks = blocked(cornered(hull, "abc", positions, state), state, box(F.least, "abc"), box(F.greatest, "abc"), at("a"))
     pairs = near_blocks(points, blocks, state, at("p")).join(faces, [*state, "block"])
     distance = closest_on_triangles(pairs, "p", "a", "b", "c").select("sim", "frame", "node", "near.d").groupBy("sim", "frame", "node").agg(F.min("d").alias("d"))
     own = cells.select("cell", F.explode(F.array(*VERTICES)).alias("node"), *VERTICES).join(nodes.select("node", "node_type"), "node").groupBy("cell", *VERTICES).agg(F.min((F.col("node_type") == OBSTACLE).cast("int")).alias("all")).where("all = 1").drop("all")
-    tets = own
-    for v in VERTICES:
-        tets = tets.join(corner(v), [*(["sim", "frame"] if v != "v0" else []), v])
 
     def volume(a: list, b: list, c: list, d: list):
         u, v, w = ([x - y for x, y in zip(q, a, strict=True)] for q in (b, c, d))
@@ -274,7 +278,7 @@ def signed_distance(positions: DataFrame, nodes: DataFrame, cells: DataFrame, on
     whole = F.signum(volume(*q))
     parts = [F.signum(volume(*[p if j == i else x for j, x in enumerate(q)])) for i in range(4)]
     within = (whole != 0) & (parts[0] == whole) & (parts[1] == whole) & (parts[2] == whole) & (parts[3] == whole)
-    tets, blocks = blocked(tets, state, box(F.least, VERTICES), box(F.greatest, VERTICES), at("v0"))
+    tets, blocks = blocked(cornered(own, VERTICES, positions, state), state, box(F.least, VERTICES), box(F.greatest, VERTICES), at("v0"))
     holding = F.filter("blocks", lambda b: _least(p, b) == 0)
     open_ = points.join(blocks, state).withColumn("block", F.explode(F.transform(holding, lambda b: b["block"]))).drop("blocks")
     inside = open_.join(tets, [*state, "block"]).where(within).select("sim", "frame", "node").distinct().withColumn("in", F.lit(True))

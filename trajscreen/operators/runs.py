@@ -9,25 +9,29 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajscreen.functions.lineage import cut
+from trajscreen.functions.lineage import cut, stored
 from trajscreen.operators import alarms, detect, inject, mesh
 
 #: Parameters of the global errors, by kind.
 GRID: Mapping[str, Sequence[float]] = {"scale": (0.05, 0.1, 0.2), "lag": (2, 5, 10), "timescale": (0.95, 0.9, 0.8)}
 
 
+DEALT = 1 << 19  # rows of runs that a task holds, about
+
 #: A surrogate model: positions (sim, frame, node, x, y, z), whatever the type of sim, to its predictions for their rows.
 Surrogate = Callable[[DataFrame], DataFrame]
 
 
 @contextmanager
-def dealt_by_run(spark: SparkSession) -> Iterator[None]:
+def dealt_by_run(spark: SparkSession, partitions: int | None = None) -> Iterator[None]:
     """Joins on sim and more, of tables dealt by sim, need no exchange for the jobs that run inside; plans aren't adapted there, as
     a checkpoint of an adapted plan forgets how its rows are dealt. The session's own settings come back."""
-    names = ("spark.sql.requireAllClusterKeysForCoPartition", "spark.sql.adaptive.enabled")
-    before = {name: spark.conf.get(name) for name in names}
-    for name in names:
-        spark.conf.set(name, "false")
+    now = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.adaptive.enabled": "false"}
+    if partitions:
+        now["spark.sql.shuffle.partitions"] = str(partitions)
+    before = {name: spark.conf.get(name) for name in now}
+    for name, value in now.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
@@ -42,6 +46,20 @@ def dealt(positions: DataFrame) -> DataFrame:
         return cut(positions.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "sim"))
 
 
+def by_run(positions: DataFrame, job: Callable[[DataFrame], DataFrame], rows: int = 0) -> DataFrame:
+    """job(positions), stored, of a job all of whose steps are by sim: runs are dealt over the tasks once and kept there on disk
+    while the job runs, so that no step moves their rows. rows: about how many there are; a task gets about DEALT of them, however
+    many there are in all."""
+    spark = positions.sparkSession
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // DEALT))
+    with dealt_by_run(spark, partitions):
+        held = positions.repartition(partitions, "sim").persist(StorageLevel.DISK_ONLY)
+        try:
+            return stored(job(held))
+        finally:
+            held.unpersist()
+
+
 def run_statistics(positions: DataFrame, nodes: DataFrame, cells: DataFrame, edges: DataFrame, frames: Sequence[int], residual: Surrogate | None = None, shape: Surrogate | None = None) -> DataFrame:
     """(sim, detector, value) of whole runs: the median frame score of constvel, laplacian, vlap (by the plate's step) and
     velocity on the given frames (start, stop, step), and contact_gap and contact_depth by the actuator's step. With surrogates

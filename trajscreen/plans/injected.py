@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from trajscreen.functions.lineage import cut
 from trajscreen.operators import alarms, answers, copies, detect, inject, mesh, metrics, runs
 from trajscreen.plans.fixtures import oracle, view
-from trajscreen.plans.screening import _E, CONSTVEL, COPY, DEPTH, GAP, LAP, MATRIX, PX, PY, STEPS, VLAP, changed, registered, rounded
+from trajscreen.plans.screening import _E, CONSTVEL, COPY, DEPTH, GAP, LAP, MATRIX, PX, PY, STEPS, VLAP, by_run, changed, registered, rounded
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -188,8 +188,7 @@ sd AS (SELECT t4.sim, t4.frame, t4.node, CASE WHEN max(depth) > 0 THEN -min(d) E
 
 @query("j8_signed_distance", oracle(SUNK + SIGNED.replace("positions", "sk") + " SELECT sim, frame, node, round(distance, 6) AS distance FROM sd", "positions"))
 def j8(spark, d):
-    p, r, c = (view(spark, d, n) for n in ("positions", "rest", "cells"))
-    return rounded(mesh.signed_distance(sunk(p), r, c), "distance")
+    return rounded(by_run(spark, d, lambda p, r, c: mesh.signed_distance(sunk(p), r, c)), "distance")
 
 
 @query("r2_contact_run_stats", oracle(SUNK + (SIGNED + STEPS).replace("positions", "sk") + """, st AS (SELECT sim, sqrt(avg(speed*speed)) AS step FROM speed WHERE node >= 5 GROUP BY sim), g AS (SELECT sim, frame, min(distance) AS gap FROM sd GROUP BY sim, frame)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trajscreen.functions.columns import norm3
-from trajscreen.operators import alarms, detect, inject, mesh, metrics
+from trajscreen.operators import alarms, detect, inject, mesh, metrics, runs
 from trajscreen.plans.fixtures import oracle, view
 
 CALIB = range(5, 2**31 - 1, 10)  # every tenth frame of a run, however long
@@ -41,6 +41,12 @@ def _views(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
     return [view(spark, sf_dir, n) for n in names]
 
 
+def by_run(spark: SparkSession, sf_dir: str, job: Callable[[DataFrame, DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """job(positions, rest, cells), all of whose steps are by run."""
+    p, r, c = _views(spark, sf_dir, "positions", "rest", "cells")
+    return runs.by_run(p, lambda held: job(held, r, c), view(spark, sf_dir, "lineitem").count())
+
+
 # building blocks of the oracle SQL
 STEPS = """, sp AS (SELECT *, x - lag(x) OVER t AS vx, y - lag(y) OVER t AS vy, z - lag(z) OVER t AS vz FROM positions WINDOW t AS (PARTITION BY sim, node ORDER BY frame)),
 speed AS (SELECT sim, frame, node, vx, vy, vz, sqrt(vx*vx + vy*vy + vz*vz) AS speed FROM sp WHERE vx IS NOT NULL)"""
