@@ -8,7 +8,7 @@ from trajscreen.operators import runs
 from trajscreen.plans import registry
 
 SF = "/root/testdata/sf0.001"
-BY_RUN = ["j8_signed_distance"]
+BY_RUN = ["j8_signed_distance", "r2_contact_run_stats"]
 
 
 @pytest.mark.parametrize("name", BY_RUN)
