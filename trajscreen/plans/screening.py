@@ -165,8 +165,7 @@ def j1(spark, d):
 @query("j2_world_edges", oracle("""SELECT a.sim, a.frame, a.node AS src, b.node AS dst, round(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)), 6) AS distance FROM positions a JOIN positions b ON a.sim = b.sim AND a.frame = b.frame JOIN rest r ON r.node = a.node JOIN rest q ON q.node = b.node
 WHERE ((r.node_type = 1 AND q.node_type = 0) OR (r.node_type = 0 AND q.node_type = 1)) AND sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)) <= 215e-1""", "positions"))
 def j2(spark, d):
-    p, r = _views(spark, d, "positions", "rest")
-    return rounded(mesh.world_edges(p, r, 21.5), "distance")
+    return rounded(by_run(spark, d, lambda p, r, c: mesh.world_edges(p, r, 21.5)), "distance")
 
 
 @query("j4_neighbour_mean", oracle(DISP + ", m AS (SELECT d.sim, d.frame, dst AS node, avg(uz) AS m FROM disp d JOIN edges ON d.node = src GROUP BY d.sim, d.frame, dst) SELECT d.sim, d.frame, d.node, round(uz, 6) AS uz, round(coalesce(m, 0), 6) AS mean_uz FROM disp d LEFT JOIN m ON d.sim = m.sim AND d.frame = m.frame AND d.node = m.node", "positions", "edges"), zero=('uz', 'mean_uz'))
