@@ -306,8 +306,7 @@ def d4(spark, d):
 
 @query("d5_vlap_scores", oracle(VLAP + " SELECT sim, frame, node, round(score, 6) AS score FROM vlap", "positions", "edges"))
 def d5(spark, d):
-    p, c = _views(spark, d, "positions", "cells")
-    return rounded(detect.velocity_laplacian_scores(p, mesh.mesh_edges(c)), "score")
+    return rounded(by_run(spark, d, lambda p, r, c: detect.velocity_laplacian_scores(p, mesh.mesh_edges(c))), "score")
 
 
 @query("d6_velocity_causal", oracle(STEPS + """, pr AS (SELECT n.sim, n.frame, n.node, n.speed, p.speed AS past FROM speed n JOIN speed p ON n.sim = p.sim AND n.node = p.node AND p.frame <= greatest(n.frame - 4, 5)), ce AS (SELECT sim, frame, node, speed, quantile_cont(past, 0.5) AS c FROM pr GROUP BY ALL),
