@@ -320,9 +320,8 @@ BADCELL = VOL + RESTVOL + ", bad AS (SELECT sim, frame, vol.cell FROM vol JOIN r
 
 @query("d8_jacobian_scores", oracle(COPY.replace("x + 1e0 AS x", "x + 60e0 AS x") + BADCELL.replace("positions", "cp") + ", n AS (SELECT sim, frame, node, count(*) AS n FROM (SELECT sim, frame, unnest([v0,v1,v2,v3]) AS node FROM bad JOIN cells ON bad.cell = cells.cell) q GROUP BY ALL) SELECT p.sim, p.frame, p.node, CAST(coalesce(n, 0) AS DOUBLE) AS score FROM cp p LEFT JOIN n ON p.sim = n.sim AND p.frame = n.frame AND p.node = n.node", "positions", "cells"))
 def d8(spark, d):
-    p, r, c = _views(spark, d, "positions", "rest", "cells")
-    moved = mesh.apply_deltas(p, changed(p).withColumn("x", F.col("x") - 1.0 + 60.0))
-    return detect.jacobian_scores(moved, r, c)
+    moved = lambda p: mesh.apply_deltas(p, changed(p).withColumn("x", F.col("x") - 1.0 + 60.0))
+    return by_run(spark, d, lambda p, r, c: detect.jacobian_scores(moved(p), r, c))
 
 
 @query("d9_frame_scores", oracle(CONSTVEL + f" SELECT sim, frame, round(score, 6) AS score FROM {FRAME.format('cv')}", "positions"))
