@@ -8,7 +8,7 @@ from trajscreen.operators import runs
 from trajscreen.plans import registry
 
 SF = "/root/testdata/sf0.001"
-BY_RUN = ["d5_vlap_scores", "d8_jacobian_scores", "j2_world_edges", "j8_signed_distance", "r2_contact_run_stats"]
+BY_RUN = ["d5_vlap_scores", "d7_contact_scores", "d8_jacobian_scores", "j2_world_edges", "j8_signed_distance", "r2_contact_run_stats"]
 
 
 @pytest.mark.parametrize("name", BY_RUN)
