@@ -9,9 +9,9 @@ from contextlib import contextmanager
 from contextvars import ContextVar
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-_held: ContextVar[list[DataFrame] | None] = ContextVar("held", default=None)
+_holding: ContextVar[bool] = ContextVar("holding", default=False)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -30,25 +30,22 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 @contextmanager
-def holding() -> Iterator[None]:
-    """For the jobs that run inside, `kept` holds tables on the tasks' disks, where their rows lie, and drops them all at the end."""
-    token = _held.set([])
+def holding(spark: SparkSession) -> Iterator[None]:
+    """For the jobs that run inside, `kept` holds tables on the tasks' own disks, where their rows lie; all are dropped at the end."""
+    before, token = set(spark.sparkContext._jsc.getPersistentRDDs()), _holding.set(True)
     try:
         yield
     finally:
-        for df in _held.get():
-            df.unpersist()
-        _held.reset(token)
+        _holding.reset(token)
+        for number, rdd in dict(spark.sparkContext._jsc.getPersistentRDDs()).items():
+            if number not in before:
+                rdd.unpersist()
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """df, computed once: inside `holding` without a move of its rows and compressed by columns, else as cut does."""
-    held = _held.get()
-    if held is None:
-        return cut(df)
-    held.append(df.persist(StorageLevel.DISK_ONLY))
-    df.count()  # a job of its own, so that its sorts don't wait on those of what follows
-    return df
+    """df, computed once and planned without df's own plan: inside `holding` by a compressed local checkpoint, which moves no rows
+    and knows how they are dealt (a lost executor ends the job), else as cut does."""
+    return df.localCheckpoint(storageLevel=StorageLevel.DISK_ONLY) if _holding.get() else cut(df)
 
 
 def _folder(df: DataFrame) -> str:

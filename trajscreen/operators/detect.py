@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from trajscreen.functions.columns import median, norm3
 from trajscreen.functions.workers import carried
 from trajscreen.operators.metrics import quantile
-from trajscreen.operators.mesh import NORMAL, OBSTACLE, displacement, grid_cell, neighbour_mean, signed_distance, tet_volumes
+from trajscreen.operators.mesh import NORMAL, OBSTACLE, displacement, neighbour_mean, signed_distance, tet_volumes
 
 carried(__name__)
 
@@ -242,22 +242,21 @@ def diagnostics(positions: DataFrame, nodes: DataFrame, cells: DataFrame, pixels
     by its run's typical level, plate nodes over five times the median residual, inverted tets, and of the hot spot (the k
     plate nodes of highest residual) the least distance to an actuator node in mm (places are in m), the mean speed by the plate's median, and the
     cell of the 3 x 3 image grid. levels: (sim, level). pixels: (sim, frame, node, px, py)."""
-    every = constvel_scores(positions)
-    plate = plate_nodes(nodes)
-    frames = frame_scores(every, nodes).join(levels, "sim").select("sim", "frame", (F.col("score") / (F.col("level") + 1e-12)).alias("ratio"))
-    high = every.join(plate, "node").withColumn("m", median(F.col("score")).over(Window.partitionBy("sim", "frame"))).groupBy("sim", "frame").agg(F.sum((F.col("score") > 5 * F.col("m")).cast("int")).alias("n_high"))
-    hot = hotspot_nodes(every, nodes, k).select(*KEYS)
-    pace = speeds(positions)
-    middle = pace.join(plate, "node").groupBy("sim", "frame").agg(median(F.col("speed")).alias("pm"))
-    speed = hot.join(pace, list(KEYS)).groupBy("sim", "frame").agg(F.avg("speed").alias("s")).join(middle, ["sim", "frame"]).select("sim", "frame", (F.col("s") / (F.col("pm") + 1e-12)).alias("speed_ratio"))
-    tools = positions.join(nodes.where(F.col("node_type") == OBSTACLE).select("node"), "node").select("sim", "frame", *[F.col(c).alias(f"b{c}") for c in "xyz"])
-    gap = hot.join(positions, list(KEYS)).join(tools, ["sim", "frame"]).groupBy("sim", "frame").agg(F.min(norm3(*[F.col(c) - F.col(f"b{c}") for c in "xyz"]) * 1000).alias("gap_mm"))
-    bad = inverted_cells(positions, nodes, cells).groupBy("sim", "frame").agg(F.count(F.lit(1)).alias("n_inverted"))
-    place = grid_cell(hot.join(pixels, list(KEYS)), ("sim", "frame"), 3, size)
-    out = frames
-    for part in (high, gap, speed, place):
-        out = out.join(part, ["sim", "frame"])
-    return out.join(bad, ["sim", "frame"], "left").fillna(0, ["n_inverted"]).select("sim", "frame", "ratio", "n_high", "n_inverted", "gap_mm", "speed_ratio", "row", "col")
+    state = ["sim", "frame"]
+    moved = positions.join(nodes.select("node", "node_type"), "node").select(*KEYS, "node_type", *"xyz", *[_lag(c, n).alias(f"{c}{n}") for c in "xyz" for n in (1, 2)])
+    residual = norm3(*[F.col(c) - (2 * F.col(f"{c}1") - F.col(f"{c}2")) for c in "xyz"])
+    own = moved.where((F.col("node_type") == NORMAL) & F.col("x1").isNotNull()).select(*KEYS, *"xyz", residual.alias("score"), norm3(*[F.col(c) - F.col(f"{c}1") for c in "xyz"]).alias("speed"))
+    every = Window.partitionBy(*state)
+    placed = own.join(pixels.select(*KEYS, "px", "py"), list(KEYS), "left").withColumn("r", F.row_number().over(every.orderBy(F.desc_nulls_last("score"), "node"))).withColumn("m", median(F.col("score")).over(every))
+    hot = (F.col("r") <= k) & F.col("score").isNotNull()
+    tools = positions.join(nodes.where(F.col("node_type") == OBSTACLE).select("node"), "node").select(*state, *[F.col(c).alias(f"b{c}") for c in "xyz"])
+    gap = placed.where(hot).select(*state, *"xyz").join(tools, state).groupBy(*state).agg(F.min(norm3(*[F.col(c) - F.col(f"b{c}") for c in "xyz"]) * 1000).alias("gap_mm"))
+    of_hot = lambda c: F.avg(F.when(hot, F.col(c)))
+    cell = lambda c: F.least(F.greatest(F.floor(of_hot(c) * 3 / size), F.lit(0)), F.lit(2)).cast("int")
+    found = placed.groupBy(*state).agg(F.avg(F.when(F.col("r") <= 5, F.col("score"))).alias("top"), F.sum((F.col("score") > 5 * F.col("m")).cast("int")).alias("n_high"), (of_hot("speed") / (median(F.col("speed")) + 1e-12)).alias("speed_ratio"), cell("py").alias("row"), cell("px").alias("col"))
+    found = found.where(F.col("top").isNotNull() & F.col("row").isNotNull()).join(levels, "sim").withColumn("ratio", F.col("top") / (F.col("level") + 1e-12)).join(gap, state)
+    bad = inverted_cells(positions, nodes, cells).groupBy(*state).agg(F.count(F.lit(1)).alias("n_inverted"))
+    return found.join(bad, state, "left").fillna(0, ["n_inverted"]).select(*state, "ratio", "n_high", "n_inverted", "gap_mm", "speed_ratio", "row", "col")
 
 
 def color_limits(residuals: DataFrame, frames: Sequence[int], q: float = 0.995, factor: float = 3.0) -> DataFrame:

@@ -52,7 +52,7 @@ def by_run(positions: DataFrame, job: Callable[[DataFrame], DataFrame], rows: in
     many there are in all."""
     spark = positions.sparkSession
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // DEALT))
-    with dealt_by_run(spark, partitions), holding():
+    with dealt_by_run(spark, partitions), holding(spark):
         held = positions.repartition(partitions, "sim").persist(StorageLevel.DISK_ONLY)
         try:
             return stored(job(held))

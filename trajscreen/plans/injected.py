@@ -366,8 +366,7 @@ def w7(spark, d):
 
 @query("x6_diagnostics")
 def x6(spark, d):
-    p, r, c = (view(spark, d, n) for n in ("positions", "rest", "cells"))
-    return rounded(_diagnosed(p, r, c), "ratio", "gap_mm", "speed_ratio", digits=5)
+    return rounded(by_run(spark, d, _diagnosed), "ratio", "gap_mm", "speed_ratio", digits=5)
 
 
 @query("c6_color_limits", oracle(""", cv AS (SELECT sim, frame, node, sqrt(dx*dx+dy*dy+dz*dz) AS score FROM (SELECT sim, frame, node, x - (2*lag(x, 1) OVER t - lag(x, 2) OVER t) AS dx, y - (2*lag(y, 1) OVER t - lag(y, 2) OVER t) AS dy, z - (2*lag(z, 1) OVER t - lag(z, 2) OVER t) AS dz FROM positions WINDOW t AS (PARTITION BY sim, node ORDER BY frame)) q WHERE dx IS NOT NULL)
