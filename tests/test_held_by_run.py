@@ -8,7 +8,7 @@ from trajscreen.operators import runs
 from trajscreen.plans import registry
 
 SF = "/root/testdata/sf0.001"
-HELD = ["i13_sparse_copy_scores", "x6_diagnostics"]
+HELD = ["i13_sparse_copy_scores", "x6_diagnostics", "e1_frame_benchmark", "t6_diagnostic_tree"]
 
 
 @pytest.mark.parametrize("name", HELD)
