@@ -13,7 +13,7 @@ from trajscreen.plans.fixtures import view
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["e1_frame_benchmark"])
+@pytest.mark.parametrize("name", ["e1_frame_benchmark", "t6_diagnostic_tree"])
 def test_no_table_of_copies_moves_rows_of_runs(spark, monkeypatch, name):
     plans, once = [], {"stored": runs.stored, "kept": copies.kept}
     seen = lambda f: lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or f(df)
